@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
-FEATURES, MIN_POSITIVE, MIN_RATIO = 3000, 5, 2.0
+#: A word enters if at least so many positives and this share of them hold it, at this ratio.
+FEATURES, MIN_POSITIVE, MIN_SHARE, MIN_RATIO = 400, 5, 0.01, 4.0
 PREFIXES = (4, 6)
-EPOCHS, BATCH, RATE, L2 = 30, 512, 0.05, 2e-4
+EPOCHS, BATCH, RATE, L2 = 120, 512, 0.05, 1e-4
 THRESHOLD = 0.7
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -81,7 +82,7 @@ def train(positive: list[str], unlabelled: list[str], prior: float, seed: int =
         share = (a + b) / (n_p + n_u)
         return 2 * (a * np.log(a / (n_p * share)) + (b * np.log(b / (n_u * share)) if b else 0.0))
 
-    common = [f for f, a in p_df.items() if a >= MIN_POSITIVE and (a / n_p) >= MIN_RATIO * (u_df[f] / n_u)]
+    common = [f for f, a in p_df.items() if a >= max(MIN_POSITIVE, MIN_SHARE * n_p) and (a / n_p) >= MIN_RATIO * (u_df[f] / n_u)]
     picked = sorted(common, key=lambda f: (-gain(f), f))[:FEATURES]
     at = {f: i for i, f in enumerate(picked)}
 
@@ -118,6 +119,18 @@ def train(positive: list[str], unlabelled: list[str], prior: float, seed: int =
             move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w -= move[:-1]
             b -= move[-1]
+    # the cut: positives found squared over the share of unlabelled texts taken, which grows as
+    # precision times recall does and needs no negative labels; the score is THRESHOLD there
+    z_p, z_u = x_p @ w + b, x_u @ w + b
+    grid = np.unique(np.quantile(np.concatenate([z_p, z_u]), np.linspace(0, 1, 400)))
+    found = 1 - np.searchsorted(np.sort(z_p), grid) / n_p
+    taken = 1 - np.searchsorted(np.sort(z_u), grid) / n_u
+    merit = np.where(found > 0, found**2 / np.maximum(taken, 0.5 * prior), 0)
+    k = int(np.argmax(merit))
+    below = np.concatenate([z_p, z_u])
+    below = below[below < grid[k]]
+    cut = (grid[k] + below.max()) / 2 if len(below) else grid[k]
+    b += float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
     return Model({f: round(float(x), 6) for f, x in zip(picked, w) if abs(x) > 1e-6}, round(float(b), 6))
 
 
