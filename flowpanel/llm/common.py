@@ -44,6 +44,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sampled_ids(ids: DataFrame, n: int) -> DataFrame:
+    """At most n ids of the column doc_id, those of least hash: the same ids on every run.
+
+    A threshold on the hash leaves about twice as many before they are sorted, so that what
+    one task reads does not grow with the input.
+    """
+    total = ids.count()
+    h = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 40))
+    some = ids.select("doc_id").where(h < min(1.0, (2 * n + 200) / max(1, total)) * float(1 << 40))
+    return some.orderBy(h, "doc_id").limit(n)
+
+
 def words(text: Column) -> Column:
     """Array of the words of text; null texts have none."""
     text = F.coalesce(text, F.lit(""))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import sampled_ids, small_batches, table
 
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
 #: A word enters if at least so many positives and this share of them hold it, at this ratio.
@@ -139,10 +139,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     seen = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     row = seen.agg(F.avg("toxic").alias("prior")).collect()[0]
     prior = min(0.5, max(0.001, row["prior"] or 0.001))
-    least = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     # ids first: at most so many texts are then picked by a broadcast of at most so many ids
-    p_ids = least(seen.where("toxic = 1").select("doc_id"), MOST_POSITIVE).withColumn("kind", F.lit(1))
-    u_ids = least(docs.where(fold(F.col("doc_id")) != 1).select("doc_id"), MOST_UNLABELLED).withColumn("kind", F.lit(0))
+    p_ids = sampled_ids(seen.where("toxic = 1"), MOST_POSITIVE).withColumn("kind", F.lit(1))
+    u_ids = sampled_ids(docs.where(fold(F.col("doc_id")) != 1), MOST_UNLABELLED).withColumn("kind", F.lit(0))
     picked = docs.select("doc_id", "text").join(F.broadcast(p_ids.unionByName(u_ids)), "doc_id")
     got = picked.select("kind", F.coalesce("text", F.lit("")).alias("text"), "doc_id").toArrow().sort_by([("kind", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     kinds, texts = got.column("kind").to_pylist(), got.column("text").to_pylist()
