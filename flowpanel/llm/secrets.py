@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, hex_sha256, table
+from .common import SPACE, hex_sha256, sampled_ids, table
 
 #: The fixed base patterns; matches whose group is shorter than the number are dropped.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -96,7 +96,8 @@ def random_strings(spark: SparkSession, n: int = TRAIN_RANDOM) -> DataFrame:
 def ordinary_words(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> DataFrame:
     """Samples labelled ordinary: words of a bounded sample of documents outside base spans,
     and the same words joined as identifiers are."""
-    some = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(train_docs)
+    ids = F.broadcast(sampled_ids(docs.where("text is not null"), train_docs))  # at most train_docs rows
+    some = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id")
     clean = F.col("text")
     for _, pattern, _, _ in BASE:
         clean = F.regexp_replace(clean, pattern, " ")
