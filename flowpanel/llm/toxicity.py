@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import sampled_ids, small_batches, table
 
-MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
+MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
 #: A word enters if at least so many positives and this share of them hold it, at this ratio.
 FEATURES, MIN_POSITIVE, MIN_SHARE, MIN_RATIO = 400, 5, 0.01, 4.0
 PREFIXES = (4, 6)
@@ -73,26 +73,33 @@ def train(positive: list[str], unlabelled: list[str], prior: float, seed: int =
     """Fits the classifier; deterministic for the same lists."""
     if not positive or not unlabelled:
         return Model({}, -20.0)
-    p_sets, u_sets = [features(t) for t in positive], [features(t) for t in unlabelled]
-    p_df, u_df = Counter(f for s in p_sets for f in s), Counter(f for s in u_sets for f in s)
-    n_p, n_u = len(p_sets), len(u_sets)
+    # counted text by text: only the words of enough positives are ever held
+    n_p, n_u = len(positive), len(unlabelled)
+    p_df = Counter()
+    for t in positive:
+        p_df.update(features(t))
+    least = max(MIN_POSITIVE, MIN_SHARE * n_p)
+    p_df = {f: a for f, a in p_df.items() if a >= least}
+    u_df = Counter()
+    for t in unlabelled:
+        u_df.update(features(t) & p_df.keys())
 
     def gain(f: str) -> float:
         a, b = p_df[f], u_df[f]
         share = (a + b) / (n_p + n_u)
         return 2 * (a * np.log(a / (n_p * share)) + (b * np.log(b / (n_u * share)) if b else 0.0))
 
-    common = [f for f, a in p_df.items() if a >= max(MIN_POSITIVE, MIN_SHARE * n_p) and (a / n_p) >= MIN_RATIO * (u_df[f] / n_u)]
+    common = [f for f, a in p_df.items() if a / n_p >= MIN_RATIO * (u_df[f] / n_u)]
     picked = sorted(common, key=lambda f: (-gain(f), f))[:FEATURES]
     at = {f: i for i, f in enumerate(picked)}
 
-    def matrix(sets) -> np.ndarray:
-        out = np.zeros((len(sets), len(picked)), dtype=np.float32)
-        for i, s in enumerate(sets):
-            out[i, [at[f] for f in s & at.keys()]] = 1.0
+    def matrix(texts) -> np.ndarray:
+        out = np.zeros((len(texts), len(picked)), dtype=np.float32)
+        for i, t in enumerate(texts):
+            out[i, [at[f] for f in features(t) & at.keys()]] = 1.0
         return out
 
-    x_p, x_u = matrix(p_sets), matrix(u_sets)
+    x_p, x_u = matrix(positive), matrix(unlabelled)
     rng = np.random.default_rng(seed)
     w, b = np.zeros(len(picked)), -1.0
     m, v, step = np.zeros(len(picked) + 1), np.zeros(len(picked) + 1), 0
