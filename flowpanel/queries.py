@@ -1,4 +1,366 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables and their SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The ledger projects the domain on lineitem and supplier: fund = supplier nation, period =
+month of shipping, N, R and A lines = subscriptions, redemptions and investment result in
+cents, and each period opens where the one before closed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import parsing
+from .operators import gates, panel, stats
+from .plans import build
+from .sources import readers
+
+START = 100_000_000_000_000
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def ledger(spark: SparkSession, d: str) -> DataFrame:
+    lines = _table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_extendedprice", "l_shipdate")
+    funds = _table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    leg = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, cents))
+    got = lines.join(funds, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("fund_code"), F.trunc("l_shipdate", "MM").alias("period_start")).agg(leg("N").alias("subscriptions"), (-leg("R")).alias("redemptions"), leg("A").alias("chg_investment"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    change = zero("subscriptions") + zero("redemptions") + zero("chg_investment")
+    before = Window.partitionBy("fund_code").orderBy("period_start")
+    got = got.withColumn("nav_end", START + F.sum(change).over(before)).withColumn("nav_begin", F.col("nav_end") - change)
+    return got.withColumns({"period_end": F.last_day("period_start"), "chg_flows_net": F.lit(None).cast("bigint"), "chg_distribution": F.lit(None).cast("bigint")})
+
+
+LEDGER = f"""
+raw AS (
+  SELECT s_nationkey AS fund_code, CAST(date_trunc('month', l_shipdate) AS DATE) AS period_start,
+    CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END) AS BIGINT) AS subscriptions,
+    CAST(-sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END) AS BIGINT) AS redemptions,
+    CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END) AS BIGINT) AS chg_investment
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL
+), led AS (
+  SELECT *, coalesce(subscriptions, 0) + coalesce(redemptions, 0) + coalesce(chg_investment, 0) AS change FROM raw
+), ledger AS (
+  SELECT fund_code, period_start, last_day(period_start) AS period_end, subscriptions, redemptions, chg_investment,
+    CAST({START} + sum(change) OVER (PARTITION BY fund_code ORDER BY period_start) AS BIGINT) AS nav_end,
+    CAST({START} + sum(change) OVER (PARTITION BY fund_code ORDER BY period_start) - change AS BIGINT) AS nav_begin,
+    CASE WHEN subscriptions IS NULL AND redemptions IS NULL THEN NULL ELSE coalesce(subscriptions, 0) + coalesce(redemptions, 0) END AS net_flow
+  FROM led
+)"""
+MEASURED = LEDGER + """, m AS (
+  SELECT *, abs(coalesce(subscriptions, 0)) / CAST(nav_begin AS DOUBLE) AS sr, abs(coalesce(redemptions, 0)) / CAST(nav_begin AS DOUBLE) AS rr,
+    net_flow / CAST(nav_begin AS DOUBLE) AS nr, nav_end / CAST(nav_begin AS DOUBLE) - 1 AS ret FROM ledger
+)"""
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def _query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def measured(spark: SparkSession, d: str) -> DataFrame:
+    df = gates.with_flow_measures(gates.with_net_flow(ledger(spark, d)))
+    return df.withColumn("gross_return", F.col("nav_end") / F.col("nav_begin").cast("double") - 1)
+
+
+def corrupted(spark: SparkSession, d: str) -> DataFrame:
+    """Every 17th period closes wrong, every 23rd lasts too long."""
+    k = F.col("fund_code") * 100 + F.month("period_start")
+    return ledger(spark, d).withColumns({"nav_end": F.when(k % 17 == 0, F.col("nav_end") + 777).otherwise(F.col("nav_end")), "period_end": F.when(k % 23 == 0, F.date_add("period_end", 60)).otherwise(F.col("period_end"))})
+
+
+CORRUPTED = LEDGER + """, c AS (
+  SELECT * REPLACE (CASE WHEN (fund_code * 100 + month(period_start)) % 17 = 0 THEN nav_end + 777 ELSE nav_end END AS nav_end,
+    CASE WHEN (fund_code * 100 + month(period_start)) % 23 = 0 THEN CAST(period_end + 60 AS DATE) ELSE period_end END AS period_end) FROM ledger
+)"""
+
+
+@_query("WITH " + MEASURED + """SELECT fund_code, period_start, nav_begin, nav_end, net_flow, round(sr, 8) AS sub_rate, round(rr, 8) AS red_rate, round(nr, 8) AS net_rate,
+  round(sr + rr, 8) AS churn, datediff('day', period_start, period_end) AS period_days FROM m""")
+def ledger_panel(spark, d):
+    r = lambda c: F.round(c, 8)
+    return measured(spark, d).select("fund_code", "period_start", "nav_begin", "nav_end", "net_flow", r("gross_subscription_rate").alias("sub_rate"), r("gross_redemption_rate").alias("red_rate"), r("net_flow_rate").alias("net_rate"), r("churn_rate").alias("churn"), F.datediff("period_end", "period_start").cast("bigint").alias("period_days"))
+
+
+@_query("WITH " + CORRUPTED + """SELECT fund_code, period_start, nav_end - (nav_begin + coalesce(chg_investment, 0) + coalesce(subscriptions, 0) + coalesce(redemptions, 0)) AS residual,
+  concat_ws('; ', CASE WHEN (fund_code * 100 + month(period_start)) % 17 = 0 THEN 'identity' END, CASE WHEN datediff('day', period_start, period_end) > 35 THEN 'period_days' END) AS reason FROM c""")
+def identity_gate(spark, d):
+    # cents stay well within the tolerance of 1e-9 of the value, so the gate is told to be exact here
+    got = gates.gate(gates.with_net_flow(corrupted(spark, d)))
+    exact = F.concat_ws("; ", F.when(F.abs("identity_residual") > 5, "identity"), F.when(F.col("period_days") > 35, "period_days"))
+    return got.select("fund_code", "period_start", F.col("identity_residual").alias("residual"), exact.alias("reason"))
+
+
+@_query("WITH " + CORRUPTED + "SELECT count(*) FILTER (WHERE datediff('day', period_start, period_end) > 35) AS quarantined, count(*) FILTER (WHERE datediff('day', period_start, period_end) <= 35) AS accepted FROM c")
+def quarantine_counts(spark, d):
+    return gates.gate(gates.with_net_flow(corrupted(spark, d))).agg(F.count_if(F.col("quarantine_reason") != "").alias("quarantined"), F.count_if(F.col("quarantine_reason") == "").alias("accepted"))
+
+
+@_query("WITH " + LEDGER + """SELECT fund_code, period_start, fund_code % 3 <> 0 OR coalesce(net_flow, 0) = 0 AS disclosed,
+  CASE WHEN fund_code % 3 <> 0 OR coalesce(net_flow, 0) = 0 THEN round((CASE WHEN fund_code % 3 = 0 THEN 0 ELSE coalesce(subscriptions, 0) END) / CAST(nav_begin AS DOUBLE), 8) END AS sub_rate FROM ledger""")
+def undisclosed_legs(spark, d):
+    df = gates.with_net_flow(ledger(spark, d))
+    hide = lambda c: F.when(F.col("fund_code") % 3 != 0, F.col(c))
+    got = gates.with_flow_measures(df.withColumns({"subscriptions": hide("subscriptions"), "redemptions": hide("redemptions")}))
+    return got.select("fund_code", "period_start", F.col("gross_legs_disclosed").alias("disclosed"), F.round("gross_subscription_rate", 8).alias("sub_rate"))
+
+
+@_query("WITH " + LEDGER + """, u AS (SELECT *, 10000.0::DOUBLE AS b, 10000.0 * (1 + coalesce(chg_investment, 0) / CAST(nav_begin AS DOUBLE)) AS e FROM ledger)
+SELECT fund_code, period_start, round(nav_begin / b, 4) AS units_begin, round(((nav_end / e - nav_begin / b) * e - net_flow) / abs(net_flow) * 100, 4) AS end_error_pct FROM u""")
+def proxy_diagnostics(spark, d):
+    df = gates.with_net_flow(ledger(spark, d)).withColumns({"nav_per_unit_begin": F.lit(10000.0), "nav_per_unit_end": 10000.0 * (1 + F.coalesce("chg_investment", F.lit(0)) / F.col("nav_begin").cast("double"))})
+    got = gates.with_proxies(gates.with_unit_measures(df))
+    return got.select("fund_code", "period_start", F.round("units_begin", 4).alias("units_begin"), F.round("proxy_end_error_pct", 4).alias("end_error_pct"))
+
+
+def _restated(spark, d):
+    df = ledger(spark, d)
+    again = df.where((F.col("fund_code") + F.month("period_start")) % 5 == 0).withColumns({"source": F.lit("f_3"), "chg_investment": F.when(F.col("fund_code") % 2 == 0, F.col("chg_investment") + 1).otherwise(F.col("chg_investment"))})
+    return df.withColumn("source", F.lit("f_1")).unionByName(again)
+
+
+@_query("WITH " + LEDGER + """SELECT fund_code, period_start, 'f_1' AS source, 'f_3' AS superseded_by, CASE WHEN fund_code % 2 = 0 AND chg_investment IS NOT NULL THEN 'restatement' ELSE 'identical' END AS reason
+FROM ledger WHERE (fund_code + month(period_start)) % 5 = 0""")
+def dedupe_restatement(spark, d):
+    _, gone = panel.dedupe(_restated(spark, d), build.VALUES)
+    return gone.select("fund_code", "period_start", "source", "superseded_by", "reason")
+
+
+@_query("WITH " + LEDGER + """SELECT fund_code, period_start, CASE WHEN month(period_start) % 4 = 0 THEN CAST(period_end + 2 AS DATE) ELSE period_end END AS period_end,
+  CASE WHEN month(period_start) % 4 = 0 THEN 'b' ELSE 'a' END AS source FROM ledger""")
+def overlap_supersede(spark, d):
+    df = ledger(spark, d).withColumn("source", F.lit("a"))
+    longer = df.where(F.month("period_start") % 4 == 0).withColumns({"source": F.lit("b"), "period_end": F.date_add("period_end", 2)})
+    kept, _ = panel.overlaps(df.unionByName(longer))
+    return kept.select("fund_code", "period_start", "period_end", "source")
+
+
+GAPS = LEDGER + ", g AS (SELECT * FROM ledger WHERE (fund_code + month(period_start)) % 7 <> 0)"
+
+
+def _gaps(spark, d):
+    return ledger(spark, d).where((F.col("fund_code") + F.month("period_start")) % 7 != 0)
+
+
+@_query("WITH " + GAPS + """, w AS (SELECT *, lag(nav_end) OVER f AS was, lag(period_end) OVER f AS was_end, row_number() OVER f AS n FROM g WINDOW f AS (PARTITION BY fund_code ORDER BY period_end))
+SELECT fund_code, period_end, nav_begin - was AS residual, CASE WHEN datediff('day', was_end, period_start) > 1 THEN 'missed filing' ELSE 'adjacent' END AS detail FROM w WHERE n > 1""")
+def chain_continuity(spark, d):
+    return gates.continuity(_gaps(spark, d)).select("fund_code", "period_end", "residual", "detail")
+
+
+@_query("WITH " + GAPS + """, w AS (SELECT *, lag(nav_end) OVER f AS was, row_number() OVER f AS n FROM g WINDOW f AS (PARTITION BY fund_code ORDER BY period_end)),
+x AS (SELECT abs(nav_begin - was) AS r, abs(nav_begin - was) <= greatest(5.0, 1e-9 * abs(was)) AS ok FROM w WHERE n > 1)
+SELECT 'continuity' AS "check", count(*) AS total, count(*) FILTER (WHERE ok) AS n_passed, max(r) AS max_residual FROM x""")
+def check_summary(spark, d):
+    return gates.check_summary(gates.continuity(_gaps(spark, d))).select("check", "total", "n_passed", "max_residual")
+
+
+@_query("WITH " + LEDGER + "SELECT fund_code, period_start, n_name, r_name FROM ledger LEFT JOIN nation ON fund_code = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def fund_meta_join(spark, d):
+    funds = _table(spark, d, "nation").join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("fund_code"), "n_name", "r_name")
+    return panel.with_metadata(ledger(spark, d), funds).select("fund_code", "period_start", "n_name", "r_name")
+
+
+@_query("WITH " + LEDGER + """, i AS (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS close FROM orders WHERE isodow(o_orderdate) < 6 GROUP BY ALL)
+SELECT fund_code, period_start, period_end, b.close AS index_begin, e.close AS index_end, round(e.close / b.close - 1, 8) AS market_return
+FROM ledger ASOF LEFT JOIN i b ON period_start >= b.day ASOF LEFT JOIN i e ON period_end >= e.day""")
+def asof_index_return(spark, d):
+    series = _table(spark, d, "orders").where(F.weekday("o_orderdate") < 5).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("close"))
+    got = panel.asof_days(ledger(spark, d), series, "period_start", "close", "index_begin")
+    got = panel.asof_days(got, series, "period_end", "close", "index_end")
+    return got.select("fund_code", "period_start", "period_end", "index_begin", "index_end", F.round(F.col("index_end") / F.col("index_begin") - 1, 8).alias("market_return"))
+
+
+@_query("""WITH v AS (SELECT user_id, ts, max_by(value, event_id) AS value FROM events WHERE event_type = 'view' GROUP BY ALL)
+SELECT p.event_id, p.user_id, v.value AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def asof_events_by_user(spark, d):
+    e = _table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    got = panel.asof_keyed(e.where("event_type = 'purchase'").drop("value"), e.where("event_type = 'view'"), "user_id", "ts", "value", "last_view", "event_id")
+    return got.select("event_id", "user_id", "last_view")
+
+
+@_query("""WITH o AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(count(*) % 2 AS DOUBLE) AS rate FROM orders WHERE month(o_orderdate) IN (1, 2, 6, 7, 12) GROUP BY 1),
+s AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS month),
+j AS (SELECT s.month, o.rate FROM s LEFT JOIN o USING (month)),
+k AS (SELECT month, rate, (SELECT max(month) FROM o WHERE o.month < j.month) AS pm, (SELECT min(month) FROM o WHERE o.month > j.month) AS nm FROM j),
+w AS (SELECT k.*, p.rate AS pr, n.rate AS nr FROM k LEFT JOIN o p ON p.month = pm LEFT JOIN o n ON n.month = nm),
+t AS (SELECT *, CASE WHEN rate IS NOT NULL THEN 'observed' WHEN pm IS NULL THEN 'no earlier rate' WHEN nm IS NULL THEN 'no later rate' WHEN pr <> nr THEN 'rate changed' WHEN datediff('month', pm, nm) > 6 THEN 'too far apart' ELSE 'bridged' END AS provenance FROM w)
+SELECT month, CASE WHEN provenance = 'bridged' THEN pr ELSE rate END AS rate, rate IS NOT NULL AS observed, provenance FROM t""")
+def rate_bridge(spark, d):
+    rates = _table(spark, d, "orders").where(F.month("o_orderdate").isin(1, 2, 6, 7, 12)).groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg((F.count("*") % 2).cast("double").alias("rate"))
+    return panel.bridge(rates, "1995-01-01", "2001-12-01")
+
+
+@_query("""WITH a AS (SELECT month(o_orderdate) AS month, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND month(o_orderdate) % 2 = 0 GROUP BY 1), b AS (SELECT month(o_orderdate) AS month, -count(*) AS n FROM orders GROUP BY 1)
+SELECT CAST(coalesce(a.month, b.month) AS INTEGER) AS month, coalesce(a.n, b.n) AS n FROM a FULL JOIN b USING (month)""")
+def priority_merge(spark, d):
+    o = _table(spark, d, "orders").withColumn("month", F.month("o_orderdate"))
+    return panel.merge_sources([o.where("o_orderpriority = '1-URGENT' and month % 2 = 0").groupBy("month").agg(F.count("*").alias("n")), o.groupBy("month").agg((-F.count("*")).alias("n"))]).select("month", "n")
+
+
+@_query("WITH " + LEDGER + """, f AS (SELECT fund_code, CAST(period_end + 1 AS DATE) AS day, nav_end + CASE WHEN fund_code % 4 = 0 THEN nav_end // 100 ELSE 0 END AS seen FROM ledger WHERE month(period_start) % 2 = 0)
+SELECT l.fund_code, l.period_end, f.seen, abs(l.nav_end - f.seen) / CAST(abs(f.seen) AS DOUBLE) * 100 <= 0.1 AS agrees FROM ledger l LEFT JOIN f ON f.fund_code = l.fund_code AND f.day = CAST(l.period_end + 1 AS DATE)""")
+def lagged_exact_crosscheck(spark, d):
+    df = ledger(spark, d)
+    feed = df.where(F.month("period_start") % 2 == 0).select("fund_code", F.date_add("period_end", 1).alias("day"), (F.col("nav_end") + F.when(F.col("fund_code") % 4 == 0, F.expr("nav_end div 100")).otherwise(F.lit(0))).alias("seen"))
+    return panel.exact_crosscheck(df, feed, "nav_end", "seen").select("fund_code", "period_end", "seen", "agrees")
+
+
+@_query("WITH " + MEASURED + """SELECT fund_code, year(period_start) AS year, min(period_start) AS period_start, max(period_end) AS period_end, count(*) AS n_periods, min_by(nav_begin, period_end) AS nav_begin, max_by(nav_end, period_end) AS nav_end,
+  CAST(sum(subscriptions) AS BIGINT) AS subscriptions, CAST(sum(redemptions) AS BIGINT) AS redemptions, round(product(1 + ret) - 1, 8) AS gross_return,
+  CAST(max_by(nav_end, period_end) - min_by(nav_begin, period_end) - coalesce(sum(net_flow), 0) - coalesce(sum(chg_investment), 0) AS BIGINT) AS residual FROM m GROUP BY 1, 2""")
+def period_rollup(spark, d):
+    got = panel.roll_up(measured(spark, d), F.year("period_start").cast("bigint"), "year")
+    return got.select("fund_code", "year", "period_start", "period_end", "n_periods", "nav_begin", "nav_end", "subscriptions", "redemptions", F.round("gross_return", 8).alias("gross_return"), "residual")
+
+
+@_query("WITH " + MEASURED + """, n AS (SELECT *, row_number() OVER (PARTITION BY fund_code ORDER BY period_end) AS k FROM m), s AS (SELECT * FROM n WHERE k > 4),
+q AS (SELECT quantile_cont(sr, 0.01) AS sl, quantile_cont(sr, 0.99) AS sh, quantile_cont(rr, 0.01) AS rl, quantile_cont(rr, 0.99) AS rh FROM s)
+SELECT fund_code, period_start, round(least(greatest(sr, sl), sh), 8) AS sub_rate, round(least(greatest(rr, rl), rh), 8) AS red_rate, round(least(greatest(sr, sl), sh) - least(greatest(rr, rl), rh), 8) AS net_rate FROM s, q""")
+def winsorized_sample(spark, d):
+    columns = ["gross_subscription_rate", "gross_redemption_rate", "net_flow_rate"]
+    got = stats.winsorize(stats.after_inception(measured(spark, d)), columns)
+    return got.select("fund_code", "period_start", *[F.round(c, 8).alias(a) for c, a in zip(columns, ("sub_rate", "red_rate", "net_rate"))])
+
+
+@_query("WITH " + MEASURED + """SELECT fund_code, period_start, CASE WHEN count(ret) OVER w = 4 THEN round(sum(ret) OVER w, 8) END AS ret_lag1_4, round(lag(nr) OVER (PARTITION BY fund_code ORDER BY period_end), 8) AS flow_lag1,
+  round(ln(nav_begin), 6) AS log_nav FROM m WINDOW w AS (PARTITION BY fund_code ORDER BY period_end ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
+def lagged_returns(spark, d):
+    w = Window.partitionBy("fund_code").orderBy("period_end")
+    log = F.when(F.col("nav_begin") > 0, F.log("nav_begin"))
+    return measured(spark, d).select("fund_code", "period_start", F.round(stats.lagged_sum("gross_return", 1, 4), 8).alias("ret_lag1_4"), F.round(F.lag("net_flow_rate").over(w), 8).alias("flow_lag1"), F.round(log, 6).alias("log_nav"))
+
+
+@_query("WITH " + MEASURED + """, r AS (SELECT fund_code, period_start, (rank() OVER (PARTITION BY period_start ORDER BY ret) + (count(*) OVER (PARTITION BY period_start, ret) - 1) / 2.0::DOUBLE) / count(ret) OVER (PARTITION BY period_start) AS pr FROM m)
+SELECT fund_code, period_start, round(pr, 8) AS pct_rank, round(least(pr, 0.2), 8) AS rank_low, round(least(greatest(pr - 0.2, 0), 0.6), 8) AS rank_mid, round(greatest(pr - 0.8, 0), 8) AS rank_high FROM r""")
+def rank_splines(spark, d):
+    got = measured(spark, d).withColumn("pr", stats.average_rank("gross_return", "period_start"))
+    return got.select("fund_code", "period_start", F.round("pr", 8).alias("pct_rank"), *[F.round(c, 8).alias(k) for k, c in stats.splines(F.col("pr")).items()])
+
+
+@_query("WITH " + MEASURED + """, e AS (SELECT quantile_cont(ret, 0.2) AS a, quantile_cont(ret, 0.4) AS b, quantile_cont(ret, 0.6) AS c, quantile_cont(ret, 0.8) AS d FROM m),
+x AS (SELECT 1 + (ret > a)::INT + (ret > b)::INT + (ret > c)::INT + (ret > d)::INT AS bin, sr FROM m, e) SELECT bin, count(*) AS n, round(avg(sr) * 100, 6) AS mean_pct FROM x GROUP BY bin""")
+def quantile_table(spark, d):
+    return stats.quantile_bins(measured(spark, d), "gross_return").groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("gross_subscription_rate") * 100, 6).alias("mean_pct"))
+
+
+@_query("WITH " + MEASURED + """SELECT count(*) AS n, round(avg(abs(nr)), 8) AS mean_abs_net, round(avg(sr + rr), 8) AS mean_gross, round(stddev_samp(nr), 8) AS sd_net, round(corr(sr, rr), 6) AS corr_legs,
+  round(avg((abs(nr) < 0.001)::INT), 8) AS quiet_share, round(max(sr + rr) FILTER (WHERE abs(nr) < 0.001), 8) AS quiet_max_gross FROM m WHERE nr IS NOT NULL""")
+def netting_loss(spark, d):
+    got = stats.netting_loss(measured(spark, d))
+    r = lambda c, k=8: F.round(c, k).alias(c)
+    return got.select("n", r("mean_abs_net"), r("mean_gross"), r("sd_net"), r("corr_legs", 6), r("quiet_share"), r("quiet_max_gross"))
+
+
+def _paired(spark, d, absorb):
+    df = measured(spark, d).withColumn("lagged", stats.lagged_sum("gross_return", 1, 4))
+    fits = stats.least_squares(df, ["net_flow_rate", "gross_subscription_rate", "gross_redemption_rate"], ["lagged"], cluster="period_start", absorb=absorb)
+    rows = [r for f in fits for r in f.rows() if r[1] == "lagged"]
+    return spark.createDataFrame([(a, round(c, 6), n) for a, _, c, _, _, n in rows], "dependent string, coef double, n bigint")
+
+
+PAIRED = "WITH " + MEASURED + """, l AS (SELECT *, CASE WHEN count(ret) OVER w = 4 THEN sum(ret) OVER w END AS x FROM m WINDOW w AS (PARTITION BY fund_code ORDER BY period_end ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
+s AS (SELECT * FROM l WHERE x IS NOT NULL AND nr IS NOT NULL), d AS (SELECT {0} FROM s)
+SELECT 'net_flow_rate' AS dependent, round(regr_slope(n, x), 6) AS coef, count(*) AS n FROM d
+UNION ALL SELECT 'gross_subscription_rate', round(regr_slope(s, x), 6), count(*) FROM d UNION ALL SELECT 'gross_redemption_rate', round(regr_slope(r, x), 6), count(*) FROM d"""
+_C = lambda c: f"{c} - avg({c}) OVER (PARTITION BY fund_code)"
+
+
+@_query(PAIRED.format("x, nr AS n, sr AS s, rr AS r"))
+def paired_slopes(spark, d):
+    return _paired(spark, d, None)
+
+
+@_query(PAIRED.format(f"{_C('x')} AS x, {_C('nr')} AS n, {_C('sr')} AS s, {_C('rr')} AS r"))
+def paired_slopes_fund_effects(spark, d):
+    return _paired(spark, d, "fund_code")
+
+
+@_query()
+def flow_performance(spark, d):
+    """Several regressors with fund effects and errors clustered by month: rows only."""
+    df = measured(spark, d).withColumns({"lagged": stats.lagged_sum("gross_return", 1, 4), "log_nav": F.log("nav_begin"), "days": F.datediff("period_end", "period_start").cast("double")})
+    fits = stats.least_squares(df, ["net_flow_rate", "gross_subscription_rate", "gross_redemption_rate"], ["lagged", "log_nav", "days"], cluster="period_start", absorb="fund_code")
+    return spark.createDataFrame([r for f in fits for r in f.rows()], "dependent string, term string, coef double, std_err double, t double, n bigint")
+
+
+@_query("""SELECT l_orderkey, l_linenumber, l_quantity AS q, round(CASE WHEN l_linenumber % 2 = 0 THEN -l_extendedprice ELSE l_extendedprice END, 2) AS price FROM lineitem""")
+def parse_accounting_number(spark, d):
+    li = _table(spark, d, "lineitem")
+    price = F.format_number("l_extendedprice", 2)
+    shown = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("("), price, F.lit(")"))).otherwise(F.concat(F.lit(" "), price))
+    return li.select("l_orderkey", "l_linenumber", parsing.parse_number(F.concat(F.col("l_quantity").cast("string"), F.lit("%"))).alias("q"), parsing.parse_number(shown).alias("price"))
+
+
+@_query("WITH " + LEDGER + "SELECT fund_code, period_start, nav_begin, nav_end, subscriptions, redemptions FROM ledger WHERE subscriptions IS NOT NULL OR redemptions IS NOT NULL OR chg_investment IS NOT NULL")
+def parse_filing_lines(spark, d):
+    """The ledger printed as template lines and read again."""
+    show = lambda code, c: F.when(F.col(c).isNull(), F.lit(code)).otherwise(F.concat(F.lit(f"{code} "), F.when(F.col(c) < 0, F.concat(F.lit("("), F.format_number(-F.col(c), 0), F.lit(")"))).otherwise(F.format_number(c, 0)), F.lit(" 1,000")))
+    text = F.concat_ws("\n", F.concat(F.lit("From "), F.date_format("period_start", "d MMM yyyy"), F.lit(" to "), F.date_format("period_end", "d MMM yyyy")), show("1.1", "nav_begin"), F.lit("1.3 10,000.00"), show("2.1", "nav_end"), show("3.1", "chg_investment"), show("3.2.1", "subscriptions"), show("3.2.2", "redemptions"))
+    docs = ledger(spark, d).select(F.concat_ws("-", "fund_code", "period_start").alias("doc_id"), "fund_code", text.alias("text"))
+    got = readers.parse_texts(docs.select("doc_id", "text")).where("error is null").drop("fund_code").join(docs.select("doc_id", "fund_code"), "doc_id")
+    return got.select("fund_code", "period_start", *[F.col(c).cast("bigint").alias(c) for c in ("nav_begin", "nav_end", "subscriptions", "redemptions")])
+
+
+@_query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS vn_start, CAST(CAST(o_orderdate AS DATE) + 6 AS DATE) AS vn_end, CAST(o_orderdate AS DATE) AS en_start, CAST(CAST(o_orderdate AS DATE) + 6 AS DATE) AS en_end FROM orders""")
+def header_dates(spark, d):
+    """Periods printed in both languages, the year once: weeks over New Year begin the year before."""
+    a, b = F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 6)
+    vn = F.concat(F.lit("Từ ngày "), F.dayofmonth(a), F.lit(" tháng "), F.month(a), F.lit(" đến ngày "), F.dayofmonth(b), F.lit(" tháng "), F.month(b), F.lit(" năm "), F.year(b))
+    en = F.concat(F.lit("From "), F.date_format(a, "d MMM"), F.lit(" to "), F.date_format(b, "d MMM yyyy"))
+    o = _table(spark, d, "orders").select("o_orderkey", parsing.header_period(vn).alias("v"), parsing.header_period(en).alias("e"))
+    return o.select("o_orderkey", F.col("v.start").alias("vn_start"), F.col("v.end").alias("vn_end"), F.col("e.start").alias("en_start"), F.col("e.end").alias("en_end"))
+
+
+@_query("""SELECT page_id, CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS BIGINT) AS n_links, sha256(url)[1:16] AS key FROM pages""")
+def page_links(spark, d):
+    p = _table(spark, d, "pages")
+    return p.select("page_id", F.size(parsing.links(F.col("html"))).cast("bigint").alias("n_links"), F.substring(F.sha2(F.encode("url", "UTF-8"), 256), 1, 16).alias("key"))
+
+
+@_query(r"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS text_sha FROM pages""")
+def html_clean(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.sha2(F.encode(parsing.clean_html(F.col("html")), "UTF-8"), 256).alias("text_sha"))
+
+
+@_query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def json_rates(spark, d):
+    return _table(spark, d, "events").select(F.from_json("props", "k bigint")["k"].alias("k"), "value").groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@_query("SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY ALL")
+def first_code_wins(spark, d):
+    w = Window.partitionBy("conv_id", "role").orderBy("turn")
+    return _table(spark, d, "conversations").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("conv_id", "role", "turn")
+
+
+@_query("""WITH g AS (SELECT user_id, value, CASE WHEN value - lag(value) OVER w > 6 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value)),
+c AS (SELECT user_id, value, sum(new) OVER (PARTITION BY user_id ORDER BY value) AS cluster FROM g) SELECT user_id, CAST(cluster AS BIGINT) AS cluster, count(*) AS n, min(value) AS lo, max(value) AS hi FROM c GROUP BY 1, 2""")
+def edge_clusters(spark, d):
+    return readers.edge_clusters(_table(spark, d, "events").select("user_id", "value"), "user_id", "value")
+
+
+@_query("WITH " + LEDGER + """, a AS (SELECT count(*) AS n, count(*) FILTER (WHERE (fund_code + month(period_start)) % 5 = 0) AS s FROM ledger)
+SELECT 'panel' AS part, n FROM a UNION ALL SELECT 'quarantine', 0 FROM a UNION ALL SELECT 'superseded', s FROM a""")
+def exclusion_partition(spark, d):
+    return build.audit(build.build(_restated(spark, d)))
+
+
+@_query("""SELECT p_partkey, min(r.k) AS k FROM part JOIN (SELECT column0 AS prefix, column1 AS k FROM (VALUES ('ECONOMY', 1), ('STANDARD', 2), ('STANDARD ANODIZED', 3), ('PROMO', 4))) r ON starts_with(p_type, r.prefix) GROUP BY 1""".replace("(SELECT column0 AS prefix, column1 AS k FROM (VALUES ('ECONOMY', 1), ('STANDARD', 2), ('STANDARD ANODIZED', 3), ('PROMO', 4)))", "(VALUES ('ECONOMY', 1), ('STANDARD', 2), ('STANDARD ANODIZED', 3), ('PROMO', 4))").replace(") r ON", ") r(prefix, k) ON"))
+def prefix_registry_join(spark, d):
+    """The first registry entry that begins the name, as one conditional over the small registry."""
+    registry = (("ECONOMY", 1), ("STANDARD", 2), ("STANDARD ANODIZED", 3), ("PROMO", 4))
+    k = F.coalesce(*[F.when(F.col("p_type").startswith(p), F.lit(i)) for p, i in registry])
+    return _table(spark, d, "part").select("p_partkey", k.alias("k")).where("k is not null")
