@@ -33,6 +33,8 @@ BASE = (
 #: Candidates of the Markov models, and what their log-likelihood ratio per character must reach.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 RATIO = 0.5
+#: Weight of the single characters in the estimate of a pair.
+BACKOFF = 4.0
 TRAIN_DOCS = 2000
 TRAIN_WORDS = 50_000
 TRAIN_RANDOM = 4000
@@ -117,8 +119,10 @@ def log_ratios(spark: SparkSession, docs: DataFrame, train_docs: int = TRAIN_DOC
     for tokens in (random_strings(spark), ordinary_words(docs, train_docs)):
         count = {r["code"]: r["n"] for r in _pairs(tokens).collect()}
         total = [sum(count.get(a * 128 + b, 0) for b in range(128)) for a in range(128)]
-        # add-half smoothing over the 66 characters that candidates may hold
-        models.append([math.log((count.get(i, 0) + 0.5) / (total[i >> 7] + 33.0)) for i in range(128 * 128)])
+        # add-half smoothing over the 66 characters that candidates may hold; rare pairs lean on it
+        single = [sum(count.get(a * 128 + b, 0) for a in range(128)) for b in range(128)]
+        single = [(n + 0.5) / (sum(single) + 33.0) for n in single]
+        models.append([math.log((count.get(i, 0) + BACKOFF * single[i & 127]) / (total[i >> 7] + BACKOFF)) for i in range(128 * 128)])
     return [round(a - b, 6) for a, b in zip(*models)]
 
 
