@@ -37,7 +37,7 @@ from .common import components, small_batches, table, written
 
 LINK = 0.98
 #: Vectors of a shard; candidates, degree and factor of the pruning; width and slack of the search.
-SHARD, CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 1500, 48, 20, 1.2, 24, 0.02
+SHARD, CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 4000, 48, 20, 1.2, 24, 0.02
 #: Pivots over all labels, which every task holds, at most.
 MOST_PIVOTS = 4096
 MEDOIDS = 4
