@@ -11,7 +11,8 @@ give candidate buckets. Components need no pairs inside a linked group, so links
 three steps, each confirmed on the full sets: (1) a bucket's members against its smallest id;
 (2) each member of a bucket that still holds several components against its most similar
 member of another one; (3) all remaining pairs of a bucket across components. Buckets are
-compared in blocks of bounded size; pairs whose sketches agree in fewer than ``LEAST_AGREE``
+compared in blocks of bounded size, by a finer sketch of the documents in open buckets. Pairs
+whose sketches agree in fewer than ``LEAST_AGREE`` (steps 2 and 3: or ``FINE_AGREE``)
 coordinates are passed over, which at the threshold happens with probability below 1e-6.
 
 Words are maximal runs without ASCII white space, A-Z in lower case. A text with fewer than five words
@@ -38,8 +39,11 @@ COORDINATES, ROWS = 128, 4
 BANDS = COORDINATES // ROWS
 #: Six standard deviations below the agreement expected at the threshold.
 LEAST_AGREE = 67
-#: Members of a block of a bucket.
-BLOCK = 256
+#: Coordinates of the finer sketch, eight bits of each, and the same bound for it.
+FINE = 1024
+FINE_AGREE = 684
+#: Members of a block of a bucket: a task holds two blocks of FINE bytes a member.
+BLOCK = 1024
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -154,18 +158,24 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "brief_a", "brief_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link by their full sets. docs: doc_id, text."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.binary())])
+def _sets(docs: DataFrame, ids: DataFrame, fine: bool = False) -> DataFrame:
+    """doc_id, n, set, fine (the finer sketch, or null) of the documents in ids (doc_id)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("fine", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], schema=schema)
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            briefs = [b.tobytes() for b in (sketches(sets, FINE) & np.uint64(0xFF)).astype(np.uint8)] if fine else [None] * len(sets)
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(briefs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     small_batches(docs.sparkSession)
     some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = written(some.mapInArrow(make, "doc_id bigint, set binary"))
+    return some.mapInArrow(make, "doc_id bigint, n bigint, set binary, fine binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link by their full sets (doc_id, set)."""
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,31 +195,34 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _across(members: DataFrame, best_only: bool) -> DataFrame:
     """Likely pairs (a < b) across components inside buckets.
 
-    members: key, size (of the bucket), doc_id, component, n, brief. A bucket of more than
+    members: key, size (of the bucket), doc_id, component, n, fine. A bucket of more than
     BLOCK members is compared block by block, each pair of blocks in a group of its own.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id", F.lit(3)), blocks).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n", "brief")
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n", "fine")
     spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def group(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         rows = pa.Table.from_batches(rows)
         ids, comp, n, own = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n", "own"))
-        brief = np.frombuffer(b"".join(rows.column("brief").to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES)
+        fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), dtype=np.uint8).reshape(-1, FINE)
+        coarse = np.ascontiguousarray(fine[:, :COORDINATES])
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         found_a, found_b = [], []
         for k in range(len(ids)):
-            agree = (brief == brief[k]).sum(axis=1)
-            ok = (agree >= LEAST_AGREE) & (comp != comp[k]) & (OF * np.minimum(n, n[k]) >= SIMILAR * np.maximum(n, n[k]))
+            ok = (comp != comp[k]) & (OF * np.minimum(n, n[k]) >= SIMILAR * np.maximum(n, n[k]))
             if i != j:
                 ok &= own != own[k]
             if not best_only:
                 ok &= ids > ids[k]
             at = np.flatnonzero(ok)
+            at = at[np.count_nonzero(coarse[at] == coarse[k], axis=1) >= LEAST_AGREE]
+            agree = np.count_nonzero(fine[at] == fine[k], axis=1)
+            at, agree = at[agree >= FINE_AGREE], agree[agree >= FINE_AGREE]
             if best_only and len(at):
-                at = at[np.lexsort((ids[at], -agree[at]))[:1]]
+                at = at[np.lexsort((ids[at], -agree))[:1]]
             found_a.append(np.minimum(ids[at], ids[k]))
             found_b.append(np.maximum(ids[at], ids[k]))
         return np.concatenate(found_a), np.concatenate(found_b)
@@ -247,18 +260,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sizes = buckets.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("size")).where("size > 1")
     members = written(buckets.join(sizes, "key").select("key", "size", "a", "doc_id"))
     tested = written(_likely(members.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), nodes))
-    links = written(_confirmed(tested, docs))
+    ends = tested.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    links = written(_confirmed(tested, written(_sets(docs, ends))))
+    sets = None
     for best_only in (True, False):
         group = components(links)
         # buckets of two had their only pair tested
         placed = members.where("size > 2").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_ = placed.join(mixed, "key").join(nodes.select("doc_id", "n", "brief"), "doc_id")
-        more = written(_across(open_.select("key", "size", "doc_id", "component", "n", "brief"), best_only).join(tested, ["a", "b"], "left_anti"))
+        open_ = written(placed.join(mixed, "key").select("key", "size", "doc_id", "component"))
+        if sets is None:  # later buckets are among these
+            sets = written(_sets(docs, open_.select("doc_id").distinct(), fine=True))
+        more = written(_across(open_.join(sets.select("doc_id", "n", "fine"), "doc_id"), best_only).join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
         tested = tested.unionByName(more)
-        links = written(links.unionByName(_confirmed(more, docs)))
+        links = written(links.unionByName(_confirmed(more, sets)))
     group = components(links)
     smallest = nodes.select("print", F.col("doc_id").alias("node")).join(group, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     out = all_.select("doc_id", "n", "print").join(smallest, "print", "left")
