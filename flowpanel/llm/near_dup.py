@@ -195,19 +195,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _across(members: DataFrame, best_only: bool) -> DataFrame:
     """Likely pairs (a < b) across components inside buckets.
 
-    members: key, size (of the bucket), doc_id, component, n, fine. A bucket of more than
-    BLOCK members is compared block by block, each pair of blocks in a group of its own.
+    members: key, size (of the bucket), doc_id, component, n, fine, bands. A bucket of more
+    than BLOCK members is compared block by block, each pair of blocks in a group of its own.
+    Without best_only a pair comes from the first bucket that its two share, and no other:
+    as its components differ, that bucket is open too (or of two, and its pair tested).
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id", F.lit(3)), blocks).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n", "fine")
+    spread = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "n", "fine", "bands")
     spread = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def group(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         rows = pa.Table.from_batches(rows)
         ids, comp, n, own = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n", "own"))
         fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), dtype=np.uint8).reshape(-1, FINE)
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        key = rows.column("key")[0].as_py()
         coarse = np.ascontiguousarray(fine[:, :COORDINATES])
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         found_a, found_b = [], []
@@ -223,6 +227,9 @@ def _across(members: DataFrame, best_only: bool) -> DataFrame:
             at, agree = at[agree >= FINE_AGREE], agree[agree >= FINE_AGREE]
             if best_only and len(at):
                 at = at[np.lexsort((ids[at], -agree))[:1]]
+            elif len(at):
+                first = (bands[at] == bands[k]).argmax(axis=1)
+                at = at[bands[k][first] == key]
             found_a.append(np.minimum(ids[at], ids[k]))
             found_b.append(np.maximum(ids[at], ids[k]))
         return np.concatenate(found_a), np.concatenate(found_b)
@@ -270,8 +277,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         open_ = written(placed.join(mixed, "key").select("key", "size", "doc_id", "component"))
         if sets is None:  # later buckets are among these
-            sets = written(_sets(docs, open_.select("doc_id").distinct(), fine=True))
-        more = written(_across(open_.join(sets.select("doc_id", "n", "fine"), "doc_id"), best_only).join(tested, ["a", "b"], "left_anti"))
+            sets = written(_sets(docs, open_.select("doc_id").distinct(), fine=True).join(nodes.select("doc_id", "bands"), "doc_id"))
+        more = written(_across(open_.join(sets.select("doc_id", "n", "fine", "bands"), "doc_id"), best_only).join(tested, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
         tested = tested.unionByName(more)
