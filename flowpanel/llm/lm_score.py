@@ -5,10 +5,16 @@ background (all documents), share one vocabulary and one smoothing. A document's
 the mean over its tokens of the background's loss less the target's: high for texts that
 are more like the target than the corpus at large.
 
-The vocabulary is hashed: a token's number is a hash of the word in 2**16, a pair's cell a
-hash of both numbers in 2**20, so models have a fixed size, every token of every document
-counts, and no word is dropped. Each task counts its own rows and sends the cells that are
-not zero; they are summed by cell.
+Words and pairs are counted exactly, under keys of 64 bits, so the models grow with the
+corpus: no cap, no shared cells. Documents are dealt to blocks of about ``BLOCK`` tokens. A
+block lists each of its words and pairs once with its own counts, cut by key into buckets
+whose number follows the input; a bucket adds up the lists of all blocks and answers each of
+them with the corpus counts in the order asked; a block then scores its documents. Lists are
+as long as a block at most, so a pair that stands in every document costs a row of no task
+more than any other.
+
+``models`` and ``score`` hold the same model in a fixed number of hashed cells; no query
+uses them.
 
 Tokens are the white-space separated words in ASCII lower case. Null and empty texts have no
 tokens and score 0. Repeated rows count as often as they stand; an empty table gives an
@@ -26,32 +32,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sampled_ids, small_batches, table
+from .common import sampled_ids, small_batches, table, written
 
+#: Tokens of one block, and bytes of text for each bucket of keys.
+BLOCK = 3_000_000
+BUCKET_BYTES = 24 << 20
 WORDS, CELLS = 1 << 16, 1 << 20
 MOST_TARGET = 20_000
 LAMBDA, ALPHA = 0.6, 0.5
 
 
-class _Numbers(dict):
-    """word -> number; emptied when full."""
+class _Keys(dict):
+    """word -> key of 64 bits; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= 500_000:
             self.clear()
-        self[word] = n = xxhash.xxh3_64_intdigest(word) % WORDS
+        self[word] = n = xxhash.xxh3_64_intdigest(word)
         return n
 
 
-_NUMBERS = _Numbers()
+_KEYS = _Keys()
 
 
-def numbers(text: str | None) -> np.ndarray:
-    """The numbers of the tokens."""
+def keys(text: str | None) -> np.ndarray:
+    """The keys of the tokens."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(_NUMBERS.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+    return np.fromiter(map(_KEYS.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+
+
+def numbers(text: str | None) -> np.ndarray:
+    """The numbers of the tokens among hashed cells."""
+    return (keys(text) % np.uint64(WORDS)).astype(np.int64)
 
 
 def cells(ids: np.ndarray) -> np.ndarray:
@@ -135,8 +149,146 @@ def score(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     return part.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
 
 
+def _pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    x = before * np.uint64(0x9E3779B97F4A7C15) + after
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """An array of 8-byte numbers, its bytes by place and compressed."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + (pa.Codec("zstd").compress(planes.tobytes(), asbytes=True) if len(x) else b"")
+
+
+def _unpack(b: bytes, dtype: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    if not n:
+        return np.zeros(0, dtype=dtype)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(b[8:], 8 * n, asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).reshape(-1).view(dtype)
+
+
+def _pack_keys(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, np.uint64), dtype=np.uint64)
+
+
+def _pairs(words: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Places of each token and the one before it in ``at``, and the key of their pair.
+
+    ``at`` holds for each text with tokens a start (key 0) and its tokens.
+    """
+    there = lengths[lengths > 0] + 1
+    ends = np.cumsum(there)
+    first, last = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
+    first[ends - there], last[ends - 1] = True, True
+    before, after = at[~last], at[~first]
+    return before, after, _pair_keys(words[before], words[after])
+
+
+def _blocks(docs: DataFrame, target: np.ndarray, buckets: int) -> DataFrame:
+    """Two kinds of rows: a block's documents (bucket -1), and its keys and counts of a bucket."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.unique(target))
+    ddl = "block bigint, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary, ids array<bigint>, lengths binary, at binary"
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(k, pa.binary()) for k in ("words", "word_counts", "pairs", "pair_counts")], ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("at", pa.binary())])
+    cuts = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
+
+    def listed(block: int, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
+        lengths = np.array([len(x) for x in texts], dtype=np.int64)
+        good = np.isin(np.array([0 if i is None else i for i in ids], dtype=np.int64), sent.value) & np.array([i is not None for i in ids])
+        start = np.zeros(1, dtype=np.uint64)
+        words, at = np.unique(np.concatenate([start[:0], *[y for x in texts if len(x) for y in (start, x)]]), return_inverse=True)
+        before, after, pair = _pairs(words, at, lengths)
+        of_good = np.repeat(good, lengths)
+        each = [np.bincount(x, minlength=len(words)) for x in (after, after[of_good], before, before[of_good])]
+        pairs, place = np.unique(pair, return_inverse=True)
+        both = [np.bincount(x, minlength=len(pairs)) for x in (place, place[of_good])]
+        rows = [{"block": block, "bucket": -1, "words": _pack_keys(words), "ids": ids, "lengths": _pack(lengths), "at": _pack(at.astype(np.int64))}]
+        w, p = ([0, *np.searchsorted(x, cuts).tolist(), len(x)] for x in (words, pairs))
+        for k in range(buckets):
+            a, b = slice(w[k], w[k + 1]), slice(p[k], p[k + 1])
+            rows.append({"block": block, "bucket": k, "words": _pack_keys(words[a]), "word_counts": _pack(np.concatenate([x[a] for x in each])), "pairs": _pack_keys(pairs[b]), "pair_counts": _pack(np.concatenate([x[b] for x in both]))})
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(i)
+                texts.append(keys(text))
+                size += len(texts[-1])
+                if size >= BLOCK or len(ids) >= BLOCK:
+                    yield listed(block, ids, texts)
+                    block, ids, texts, size = block + 1, [], [], 0
+        if ids:
+            yield listed(block, ids, texts)
+
+    return docs.mapInArrow(run, ddl)
+
+
+def _answers(lists: DataFrame) -> DataFrame:
+    """For each list of a bucket, the corpus counts of its keys, and the bucket's own totals."""
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("word_counts", pa.binary()), ("pair_counts", pa.binary()), ("n_words", pa.int64()), ("n_background", pa.int64()), ("n_target", pa.int64())])
+
+    def summed(listed: list[np.ndarray], counts: list[np.ndarray], kinds: int) -> tuple[np.ndarray, list[bytes]]:
+        every, place = np.unique(np.concatenate(listed), return_inverse=True)
+        own = np.concatenate([x.reshape(kinds, -1) for x in counts], axis=1)
+        # doubles hold whole numbers to 2**53
+        total = np.stack([np.bincount(place, weights=x, minlength=len(every)) for x in own]).astype(np.int64)
+        ends = np.cumsum([0, *map(len, listed)])
+        return total, [_pack(total[:, place[a:b]].reshape(-1)) for a, b in zip(ends, ends[1:])]
+
+    def run(rows: pa.Table) -> pa.Table:
+        got = {k: rows.column(k).to_pylist() for k in ("words", "word_counts", "pairs", "pair_counts")}
+        total, words = summed([_unpack_keys(x) for x in got["words"]], [_unpack(x) for x in got["word_counts"]], 4)
+        _, pairs = summed([_unpack_keys(x) for x in got["pairs"]], [_unpack(x) for x in got["pair_counts"]], 2)
+        n = rows.num_rows
+        sizes = [pa.array([int(x)] * n, pa.int64()) for x in ((total[0] > 0).sum(), total[0].sum(), total[1].sum())]
+        return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"), pa.array(words, pa.binary()), pa.array(pairs, pa.binary()), *sizes], schema=schema)
+
+    return lists.groupBy("bucket").applyInArrow(run, "block bigint, bucket int, word_counts binary, pair_counts binary, n_words bigint, n_background bigint, n_target bigint")
+
+
+def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *[(k, pa.float64()) for k in ("target_loss", "background_loss", "score")]])
+    (row,), answers = left.to_pylist(), sorted(right.to_pylist(), key=lambda r: r["bucket"])
+    words, lengths, at = _unpack_keys(row["words"]), _unpack(row["lengths"]), _unpack(row["at"])
+    before, after, pair = _pairs(words, at, lengths)
+    place = np.unique(pair, return_inverse=True)[1]
+    count, count_t, context, context_t = np.concatenate([_unpack(r["word_counts"]).reshape(4, -1) for r in answers], axis=1)
+    both, both_t = np.concatenate([_unpack(r["pair_counts"]).reshape(2, -1) for r in answers], axis=1)
+    v, n, n_t = (sum(r[k] for r in answers) for k in ("n_words", "n_background", "n_target"))
+    text = np.repeat(np.arange(len(lengths)), lengths)
+
+    def mean_loss(count: np.ndarray, context: np.ndarray, both: np.ndarray, n: int) -> np.ndarray:
+        single = (1 - LAMBDA) * (count + ALPHA) / (n + ALPHA * v)
+        losses = -np.log(single[after] + LAMBDA * both[place] / np.maximum(context, 1)[before])
+        return np.bincount(text, weights=losses, minlength=len(lengths)) / np.maximum(lengths, 1)
+
+    b, t = mean_loss(count, context, both, n), mean_loss(count_t, context_t, both_t, n_t)
+    return pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array(t), pa.array(b), pa.array(b - t)], schema=schema)
+
+
+def exact_score(docs: DataFrame, target_ids: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score, from exact counts of all documents."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    got = written(_blocks(docs, target_ids, 1 + size // BUCKET_BYTES))
+    answers = _answers(got.where("bucket >= 0").select("block", "bucket", "words", "word_counts", "pairs", "pair_counts"))
+    texts = got.where("bucket = -1").select("block", "words", "ids", "lengths", "at")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     ids = [r[0] for r in sampled_ids(good, MOST_TARGET).collect()]
-    return score(docs, models(docs, ids))
+    return exact_score(docs, np.array(ids, dtype=np.int64))

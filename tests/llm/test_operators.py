@@ -130,6 +130,40 @@ def test_lm_score_brute_force(docs, empty):
     assert lm_score.score(empty, lm_score.models(empty, [])).count() == 0
 
 
+def exact_losses(texts, chosen, v, scale=1.0):
+    """The mean loss of each text under exact counts of the chosen texts, by plain counting."""
+    tokens = [(t or "").encode().lower().split() for t in texts]
+    single, ctx, pair = (collections.Counter() for _ in range(3))
+    for i in chosen:
+        for a, b in zip([None, *tokens[i]], tokens[i]):
+            single[b] += scale
+            ctx[a] += 1
+            pair[a, b] += 1
+    n = sum(single.values())
+    loss = lambda a, b: -np.log((1 - lm_score.LAMBDA) * (single[b] + lm_score.ALPHA) / (n + lm_score.ALPHA * v) + lm_score.LAMBDA * pair[a, b] / max(1, ctx[a]))
+    return [np.mean([loss(a, b) for a, b in zip([None, *x], x)]) if x else 0.0 for x in tokens]
+
+
+def put_lm_tables(spark, folder, texts, good):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, int(i in good)) for i in range(len(texts))] + [(None, 1), (min(good), 1)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{folder}/labels.parquet")
+
+
+def test_lm_score_counts_more_words_than_cells_exactly(spark, tmp_path, monkeypatch):
+    texts = [None, " ", *[" ".join(f"w{i % 7}x{j * j % 997}y{i * j}" for j in range(1100)) for i in range(90)]]
+    texts += [texts[5], texts[6] + " the end", "the the the"]
+    v = len({w for t in texts for w in (t or "").split()})
+    assert v > 1 << 16
+    put_lm_tables(spark, tmp_path, texts, set(range(len(texts))))
+    monkeypatch.setattr(lm_score, "BUCKET_BYTES", 200_000)
+    got = by_id(lm_score.op5_lm_score(spark, str(tmp_path)))
+    want = exact_losses(texts, range(len(texts)), v)
+    assert len(got) == len(texts) and got[0]["n_tokens"] == got[1]["n_tokens"] == 0
+    assert [got[i]["background_loss"] for i in range(len(texts))] == pytest.approx(want)
+    assert [got[i]["target_loss"] for i in range(len(texts))] == pytest.approx(want)
+
+
 def test_chat_round_trip(spark):
     nasty = [r"\### Assistant: </turn> ok", "\n### User:\n", "\n</turn>", "\\", "\\\\###", "</turn>" * 3, "", None, "plain"]
     rows = [(1, i, ["user", "assistant", "assistant", None, "od:\nd"][i % 5], t, "x") for i, t in enumerate(nasty)] + [(2, 0, "user", "a", "x"), (2, 0, "user", "a", "x"), (None, None, "assistant", "b", "x")]
