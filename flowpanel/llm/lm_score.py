@@ -6,21 +6,21 @@ the mean over its tokens of the background's loss less the target's: high for te
 are more like the target than the corpus at large.
 
 Words and pairs are counted exactly, under keys of 64 bits, so the models grow with the
-corpus: no cap, no shared cells. Documents are dealt to blocks of about ``BLOCK`` tokens. A
-block lists each of its words and pairs once with its own counts, cut by key into buckets
-whose number follows the input; a bucket adds up the lists of all blocks and answers each of
-them with the corpus counts in the order asked; a block then scores its documents. Lists are
-as long as a block at most, so a pair that stands in every document costs a row of no task
-more than any other.
+corpus: no cap, no shared cells. Documents are dealt to blocks of about ``BLOCK`` tokens,
+written once. A block lists each of its words and pairs once with its own counts, cut by key
+into buckets whose number follows the input; a bucket adds up the lists of all blocks and
+answers each of them with the corpus counts in the order asked; a block then scores its
+documents. A pair that stands in every document stands once in a block's list, as any other.
 
 ``models`` and ``score`` hold the same model in a fixed number of hashed cells; no query
 uses them.
 
 Tokens are the white-space separated words in ASCII lower case. Null and empty texts have no
 tokens and score 0. Repeated rows count as often as they stand; an empty table gives an
-empty result; other columns are not read. The target takes at most ``MOST_TARGET`` labelled
-documents, those with the least hash of their id; without any, target and background agree
-and scores are near 0.
+empty result; other columns are not read. The target counts every row whose id is labelled
+good, and its words are scaled to the background's number of tokens, so that both models
+are smoothed alike at any size; without any such row, target and background agree and
+scores are 0. Tasks look ids up in a sorted array of the labelled ones, 8 bytes each.
 """
 
 from __future__ import annotations
@@ -32,13 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sampled_ids, small_batches, table, written
+from .common import small_batches, table, written
 
 #: Tokens of one block, and bytes of text for each bucket of keys.
-BLOCK = 3_000_000
-BUCKET_BYTES = 24 << 20
+BLOCK = 2_250_000
+BUCKET_BYTES = 16 << 20
 WORDS, CELLS = 1 << 16, 1 << 20
-MOST_TARGET = 20_000
 LAMBDA, ALPHA = 0.6, 0.5
 
 
@@ -48,7 +47,7 @@ class _Keys(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = n = xxhash.xxh3_64_intdigest(word)
         return n
@@ -191,29 +190,19 @@ def _pairs(words: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.n
     return before, after, _pair_keys(words[before], words[after])
 
 
-def _blocks(docs: DataFrame, target: np.ndarray, buckets: int) -> DataFrame:
-    """Two kinds of rows: a block's documents (bucket -1), and its keys and counts of a bucket."""
+def _blocks(docs: DataFrame, target: np.ndarray) -> DataFrame:
+    """Blocks of documents: ids, numbers of tokens, which are of the target, distinct words and the place of each token."""
     sent = docs.sparkSession.sparkContext.broadcast(np.unique(target))
-    ddl = "block bigint, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary, ids array<bigint>, lengths binary, at binary"
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(k, pa.binary()) for k in ("words", "word_counts", "pairs", "pair_counts")], ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("at", pa.binary())])
-    cuts = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), *[(k, pa.binary()) for k in ("lengths", "good", "words", "at")]])
 
-    def listed(block: int, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
-        lengths = np.array([len(x) for x in texts], dtype=np.int64)
-        good = np.isin(np.array([0 if i is None else i for i in ids], dtype=np.int64), sent.value) & np.array([i is not None for i in ids])
+    def packed(block: int, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.array([0 if i is None else i for i in ids], dtype=np.int64)
+        good = np.searchsorted(sent.value, own, "right") > np.searchsorted(sent.value, own)
+        good &= np.array([i is not None for i in ids])
         start = np.zeros(1, dtype=np.uint64)
         words, at = np.unique(np.concatenate([start[:0], *[y for x in texts if len(x) for y in (start, x)]]), return_inverse=True)
-        before, after, pair = _pairs(words, at, lengths)
-        of_good = np.repeat(good, lengths)
-        each = [np.bincount(x, minlength=len(words)) for x in (after, after[of_good], before, before[of_good])]
-        pairs, place = np.unique(pair, return_inverse=True)
-        both = [np.bincount(x, minlength=len(pairs)) for x in (place, place[of_good])]
-        rows = [{"block": block, "bucket": -1, "words": _pack_keys(words), "ids": ids, "lengths": _pack(lengths), "at": _pack(at.astype(np.int64))}]
-        w, p = ([0, *np.searchsorted(x, cuts).tolist(), len(x)] for x in (words, pairs))
-        for k in range(buckets):
-            a, b = slice(w[k], w[k + 1]), slice(p[k], p[k + 1])
-            rows.append({"block": block, "bucket": k, "words": _pack_keys(words[a]), "word_counts": _pack(np.concatenate([x[a] for x in each])), "pairs": _pack_keys(pairs[b]), "pair_counts": _pack(np.concatenate([x[b] for x in both]))})
-        return pa.RecordBatch.from_pylist(rows, schema=schema)
+        row = {"block": block, "ids": ids, "lengths": _pack(np.array([len(x) for x in texts], dtype=np.int64)), "good": _pack(good.astype(np.int64))}
+        return pa.RecordBatch.from_pylist([row | {"words": _pack_keys(words), "at": _pack(at.astype(np.int64))}], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -225,12 +214,40 @@ def _blocks(docs: DataFrame, target: np.ndarray, buckets: int) -> DataFrame:
                 texts.append(keys(text))
                 size += len(texts[-1])
                 if size >= BLOCK or len(ids) >= BLOCK:
-                    yield listed(block, ids, texts)
+                    yield packed(block, ids, texts)
                     block, ids, texts, size = block + 1, [], [], 0
         if ids:
-            yield listed(block, ids, texts)
+            yield packed(block, ids, texts)
+
+    return docs.mapInArrow(run, "block bigint, ids array<bigint>, lengths binary, good binary, words binary, at binary")
+
+
+def _lists(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Each block's keys and counts of each bucket."""
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(k, pa.binary()) for k in ("words", "word_counts", "pairs", "pair_counts")]])
+    cuts = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
+
+    def listed(block: int, lengths: bytes, good: bytes, words: bytes, at: bytes) -> pa.RecordBatch:
+        lengths, words = _unpack(lengths), _unpack_keys(words)
+        before, after, pair = _pairs(words, _unpack(at), lengths)
+        of_good = np.repeat(_unpack(good) > 0, lengths)
+        each = [np.bincount(x, minlength=len(words)) for x in (after, after[of_good], before, before[of_good])]
+        del before, after
+        pairs, place = np.unique(pair, return_inverse=True)
+        both = [np.bincount(x, minlength=len(pairs)) for x in (place, place[of_good])]
+        rows, (w, p) = [], ([0, *np.searchsorted(x, cuts).tolist(), len(x)] for x in (words, pairs))
+        for k in range(buckets):
+            a, b = slice(w[k], w[k + 1]), slice(p[k], p[k + 1])
+            rows.append({"block": block, "bucket": k, "words": _pack_keys(words[a]), "word_counts": _pack(np.concatenate([x[a] for x in each])), "pairs": _pack_keys(pairs[b]), "pair_counts": _pack(np.concatenate([x[b] for x in both]))})
+        return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield listed(**row)
 
-    return docs.mapInArrow(run, ddl)
+    part = blocks.select("block", "lengths", "good", "words", "at")
+    return part.mapInArrow(run, "block bigint, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary")
 
 
 def _answers(lists: DataFrame) -> DataFrame:
@@ -267,12 +284,13 @@ def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
     v, n, n_t = (sum(r[k] for r in answers) for k in ("n_words", "n_background", "n_target"))
     text = np.repeat(np.arange(len(lengths)), lengths)
 
-    def mean_loss(count: np.ndarray, context: np.ndarray, both: np.ndarray, n: int) -> np.ndarray:
+    def mean_loss(count: np.ndarray, context: np.ndarray, both: np.ndarray) -> np.ndarray:
         single = (1 - LAMBDA) * (count + ALPHA) / (n + ALPHA * v)
         losses = -np.log(single[after] + LAMBDA * both[place] / np.maximum(context, 1)[before])
         return np.bincount(text, weights=losses, minlength=len(lengths)) / np.maximum(lengths, 1)
 
-    b, t = mean_loss(count, context, both, n), mean_loss(count_t, context_t, both_t, n_t)
+    b = mean_loss(count, context, both)
+    t = mean_loss(count_t * (n / n_t), context_t, both_t) if n_t else b
     return pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array(t), pa.array(b), pa.array(b - t)], schema=schema)
 
 
@@ -281,14 +299,13 @@ def exact_score(docs: DataFrame, target_ids: np.ndarray) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    got = written(_blocks(docs, target_ids, 1 + size // BUCKET_BYTES))
-    answers = _answers(got.where("bucket >= 0").select("block", "bucket", "words", "word_counts", "pairs", "pair_counts"))
-    texts = got.where("bucket = -1").select("block", "words", "ids", "lengths", "at")
+    blocks = written(_blocks(docs, target_ids))
+    answers = _answers(_lists(blocks, 1 + size // BUCKET_BYTES))
+    texts = blocks.select("block", "ids", "lengths", "words", "at")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    ids = [r[0] for r in sampled_ids(good, MOST_TARGET).collect()]
-    return exact_score(docs, np.array(ids, dtype=np.int64))
+    good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint"))
+    return exact_score(docs, good.toArrow().column(0).to_numpy())

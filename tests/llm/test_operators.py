@@ -164,6 +164,19 @@ def test_lm_score_counts_more_words_than_cells_exactly(spark, tmp_path, monkeypa
     assert [got[i]["target_loss"] for i in range(len(texts))] == pytest.approx(want)
 
 
+def test_lm_score_target_takes_every_good_document(spark, tmp_path):
+    texts = [f"w{i % 50} n{i} a" for i in range(21_000)] + ["", None]
+    good = set(range(0, 20_500)) | {21_000}
+    put_lm_tables(spark, tmp_path, texts, good)
+    got = by_id(lm_score.op5_lm_score(spark, str(tmp_path)))
+    v = len({w for t in texts for w in (t or "").split()})
+    n, n_t = 3 * 21_000, 3 * 20_500
+    want = exact_losses(texts, sorted(good), v, n / n_t)
+    assert [got[i]["target_loss"] for i in range(len(texts))] == pytest.approx(want)
+    put_lm_tables(spark, tmp_path / "none", texts[:9], {99})
+    assert {r["score"] for r in lm_score.op5_lm_score(spark, str(tmp_path / "none")).collect()} == {0.0}
+
+
 def test_chat_round_trip(spark):
     nasty = [r"\### Assistant: </turn> ok", "\n### User:\n", "\n</turn>", "\\", "\\\\###", "</turn>" * 3, "", None, "plain"]
     rows = [(1, i, ["user", "assistant", "assistant", None, "od:\nd"][i % 5], t, "x") for i, t in enumerate(nasty)] + [(2, 0, "user", "a", "x"), (2, 0, "user", "a", "x"), (None, None, "assistant", "b", "x")]
