@@ -71,6 +71,16 @@ def header_period(text: Column) -> Column:
     return F.struct(F.coalesce(vs, es).alias("start"), F.coalesce(ve, ee).alias("end"), F.nullif(F.concat_ws("; ", said("start", vs, es), said("end", ve, ee)), F.lit("")).alias("conflict"))
 
 
+#: The filing's own date, Vietnamese first.
+VN_REPORT = r"(?iu)Ngày lập báo cáo\s*:?\s*Ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+EN_REPORT = r"(?iu)Reporting\s+Date\s*:?\s*(\d{1,2}\s+\p{L}{3,}\s+\d{4})"
+
+
+def report_date(text: Column) -> Column:
+    g = lambda p, k: F.regexp_extract(text, p, k)
+    return F.coalesce(_dmy(g(VN_REPORT, 1), g(VN_REPORT, 2), g(VN_REPORT, 3)), english_date(g(EN_REPORT, 1)))
+
+
 def clean_html(html: Column) -> Column:
     """Text without tags, white space collapsed, the five basic entities resolved."""
     text = F.regexp_replace(html, r"<[^>]*>", " ")

@@ -306,11 +306,13 @@ def parse_accounting_number(spark, d):
 
 @_query("WITH " + LEDGER + "SELECT fund_code, period_start, nav_begin, nav_end, subscriptions, redemptions FROM ledger WHERE subscriptions IS NOT NULL OR redemptions IS NOT NULL OR chg_investment IS NOT NULL")
 def parse_filing_lines(spark, d):
-    """The ledger printed as template lines and read again."""
+    """The ledger printed as template lines and read again; where line 4 is not read as printed, the row goes."""
     show = lambda code, c: F.when(F.col(c).isNull(), F.lit(code)).otherwise(F.concat(F.lit(f"{code} "), F.when(F.col(c) < 0, F.concat(F.lit("("), F.format_number(-F.col(c), 0), F.lit(")"))).otherwise(F.format_number(c, 0)), F.lit(" 1,000")))
-    text = F.concat_ws("\n", F.concat(F.lit("From "), F.date_format("period_start", "d MMM yyyy"), F.lit(" to "), F.date_format("period_end", "d MMM yyyy")), show("1.1", "nav_begin"), F.lit("1.3 10,000.00"), show("2.1", "nav_end"), show("3.1", "chg_investment"), show("3.2.1", "subscriptions"), show("3.2.2", "redemptions"))
+    day = lambda c: F.date_format(c, "'ngày' d 'tháng' M 'năm' yyyy")
+    header = [F.concat(F.lit("4 Kỳ báo cáo: Từ "), day("period_start"), F.lit(" đến "), day("period_end")), F.concat(F.lit("Reporting period: From "), F.date_format("period_start", "d MMM yyyy"), F.lit(" to "), F.date_format("period_end", "d MMM yyyy")), F.concat(F.lit("5 Ngày lập báo cáo: "), day(F.date_add("period_end", 1)))]
+    text = F.concat_ws("\n", *header, show("1.1", "nav_begin"), F.lit("1.3 10,000.00"), show("2.1", "nav_end"), show("3.1", "chg_investment"), show("3.2.1", "subscriptions"), show("3.2.2", "redemptions"), F.lit("4 721.53 (78.44)"))
     docs = ledger(spark, d).select(F.concat_ws("-", "fund_code", "period_start").alias("doc_id"), "fund_code", text.alias("text"))
-    got = readers.parse_texts(docs.select("doc_id", "text")).where("error is null").drop("fund_code").join(docs.select("doc_id", "fund_code"), "doc_id")
+    got = readers.parse_texts(docs.select("doc_id", "text")).where("error is null and chg_nav_per_unit = 721.53 and prior_chg_nav_per_unit = -78.44 and report_date = period_end + 1").drop("fund_code").join(docs.select("doc_id", "fund_code"), "doc_id")
     return got.select("fund_code", "period_start", *[F.col(c).cast("bigint").alias(c) for c in ("nav_begin", "nav_end", "subscriptions", "redemptions")])
 
 

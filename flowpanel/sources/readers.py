@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.parsing import fund_code, header_period, normalise_code, parse_number
+from ..functions.parsing import fund_code, header_period, normalise_code, parse_number, report_date
 
 #: The fixed template: line code, field, by variant.
 FIELDS = {
@@ -27,6 +27,9 @@ ROW = r"^\s*(\d(?:\.\d+){0,2})\s+(.*)$"
 FIGURE = r"\(?-?\d[\d,]*(?:\.\d+)?\)?%?"
 TRAILING = rf"(?:^|\s)({FIGURE})(?:\s+({FIGURE}))?\s*$"
 
+#: Labels of the bilingual header; "4 Kỳ báo cáo: ... năm 2022" is no line 4.
+METADATA = r"(?iu)Kỳ báo cáo|Ngày lập báo cáo|Reporting period|Reporting Date|Tên Quỹ|Fund name|Tên Công ty|Fund Management Company|Tên Ngân hàng|Supervisory bank|Đơn vị tính|Currency"
+
 
 def container(content: Column, path: Column) -> Column:
     head = F.hex(F.substring(content, 1, 4))
@@ -34,10 +37,11 @@ def container(content: Column, path: Column) -> Column:
 
 
 def text_cells(lines: DataFrame) -> DataFrame:
-    """doc_id, code, this, last: the first line of each code, its trailing one or two figures."""
+    """doc_id, code, this, last: the first line of each code, its trailing one or two figures; header lines are none."""
     line = F.replace("line", F.lit(" "), F.lit(" "))
     rows = lines.withColumn("line", line).where(F.col("line").rlike(ROW))
     rest = F.regexp_extract("line", ROW, 2)
+    rows = rows.where(~rest.rlike(METADATA))
     cells = rows.select("doc_id", "line_no", F.regexp_extract("line", ROW, 1).alias("code"), F.nullif(F.regexp_extract(rest, TRAILING, 1), F.lit("")).alias("a"), F.nullif(F.regexp_extract(rest, TRAILING, 2), F.lit("")).alias("b"))
     w = Window.partitionBy("doc_id", "code").orderBy("line_no")
     cells = cells.where("a is not null").withColumn("r", F.row_number().over(w)).where("r = 1")
@@ -54,15 +58,16 @@ def filings(cells: DataFrame) -> DataFrame:
     for f in ALTERNATE.values():
         got = got.withColumns({f: F.when(alternate, F.col(f"_alt_{f}")).otherwise(F.col(f)), f"prior_{f}": F.when(alternate, F.col(f"_altprior_{f}")).otherwise(F.col(f"prior_{f}"))})
     error = F.when(F.col("nav_end").isNull(), "line 2.1 is missing").when(F.coalesce(*CHANGES).isNull(), "no line of section 3: a point-in-time report")
+    got = got.withColumn("foreign_share_of_nav", F.col("foreign_value").cast("double") / F.nullif(F.col("nav_end").cast("double"), F.lit(0.0)) * 100)
     return got.drop(*[f"{p}_{f}" for f in ALTERNATE.values() for p in ("_alt", "_altprior")]).withColumn("error", error)
 
 
 def parse_texts(docs: DataFrame) -> DataFrame:
-    """Filings with header dates and fund code from doc_id, text."""
+    """Filings with header dates, report date and fund code from doc_id, text."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
     flat = F.regexp_replace("text", r"\s+", " ")
-    head = docs.select("doc_id", header_period(flat).alias("h"), fund_code(flat).alias("fund_code"))
-    head = head.select("doc_id", "fund_code", F.col("h.start").alias("period_start"), F.col("h.end").alias("period_end"), F.col("h.conflict").alias("date_conflict"))
+    head = docs.select("doc_id", header_period(flat).alias("h"), fund_code(flat).alias("fund_code"), report_date(flat).alias("report_date"))
+    head = head.select("doc_id", "fund_code", "report_date", F.col("h.start").alias("period_start"), F.col("h.end").alias("period_end"), F.col("h.conflict").alias("date_conflict"))
     return head.join(filings(text_cells(lines)), "doc_id", "left").withColumn("error", F.when(F.col("template_variant").isNull(), "line 2.1 is missing").otherwise(F.col("error")))
 
 
