@@ -279,8 +279,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
         if sets is None:  # later buckets are among these
             sets = written(_sets(docs, open_.select("doc_id").distinct(), fine=True).join(nodes.select("doc_id", "bands"), "doc_id"))
         more = written(_across(open_.join(sets.select("doc_id", "n", "fine", "bands"), "doc_id"), best_only).join(tested, ["a", "b"], "left_anti"))
+        # even if the most similar partners were all refused before, others may link
         if more.isEmpty():
-            break
+            continue
         tested = tested.unionByName(more)
         links = written(links.unionByName(_confirmed(more, sets)))
     group = components(links)

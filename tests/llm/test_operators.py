@@ -214,6 +214,16 @@ def test_near_groups_brute_force(docs, empty):
     assert near_dup.near_groups(empty).count() == 0
 
 
+def test_near_groups_compare_all_pairs_though_no_best_one_is_left(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*words, f"end{i}"]) for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    across = near_dup._across
+    monkeypatch.setattr(near_dup, "_likely", lambda pairs, nodes: pairs.limit(0))
+    monkeypatch.setattr(near_dup, "_across", lambda members, best_only: across(members, best_only).limit(0 if best_only else 99))
+    assert [r["component_id"] for r in near_dup.near_groups(df).orderBy("doc_id").collect()] == [0, 0, 0]
+
+
 def test_sketches_fill_and_estimate():
     sets = [near_dup.shingles(t) for t in TEXTS]
     s = near_dup.sketches(sets)
