@@ -10,10 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowpanel.llm import bpe, mixing, near_dup, secrets, toxicity
 from flowpanel.llm.common import table, written
 
+#: Documents of a bucket, about, and the parts of a whole copy that are drawn by.
+BUCKET, UNIT = 2000, 1 << 20
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -21,8 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dup.near_groups(docs.select("doc_id", "text")).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Each row is a document of its own, also where ids repeat or are null; the first by id stays."""
+    numbered = written(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns)).withColumn("_row", F.monotonically_increasing_id()))
+    gone = near_dup.near_groups(numbered.select(F.col("_row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +36,31 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number."""
-    times = mixing.mix(docs.select("doc_id", "source", "text")).where("size > 0")
-    times = times.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_times")).where("_times > 0")
-    return docs.join(times, "doc_id").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """Each row as often as the mix takes it.
+
+    What is left beside whole copies is drawn by systematic sampling within the source: of a
+    running sum of these parts, from a start that depends on the source, every whole number
+    that is passed adds a copy. So a source keeps its expected words, whatever its documents'
+    sizes.
+    """
+    same = ["doc_id", "source", "size"]
+    times = written(mixing.mix(docs.select("doc_id", "source", "text")).where("size > 0").select(*same, "row", "taken"))
+    buckets = 1 + times.count() // BUCKET
+    times = times.withColumn("part", F.floor(F.col("taken") % F.col("size") * UNIT / F.col("size")))
+    times = times.withColumn("hash", F.xxhash64(*same, "row")).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
+    sums = times.groupBy("source", "bucket").agg(F.sum("part").alias("sum"))
+    start = F.pmod(F.xxhash64("source", F.lit(29)), F.lit(UNIT))
+    sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("in"), (start + F.sum("sum").over(Window.partitionBy("source").orderBy("bucket")) - F.col("sum")).alias("base"))
+    inside = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size", "row")
+    times = times.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
+    times = times.withColumn("to", F.col("base") + F.sum("part").over(inside))
+    whole = F.floor(F.col("taken") / F.col("size")) + F.floor(F.col("to") / UNIT) - F.floor((F.col("to") - F.col("part")) / UNIT)
+    times = times.select(*[F.col(c).alias(f"_{c}") for c in [*same, "row"]], whole.cast("int").alias("_times")).where("_times > 0")
+    # rows alike in id, source and size are told apart by number, in the order of a hash of all columns
+    own = docs.withColumns({"_a": F.col("doc_id").cast("bigint"), "_b": F.col("source").cast("string"), "_c": mixing.word_count(F.col("text")), "_h": F.xxhash64(*docs.columns)})
+    own = own.withColumn("_d", F.row_number().over(Window.partitionBy("_a", "_b", "_c").orderBy("_h")))
+    on = F.col("_a").eqNullSafe(F.col("_doc_id")) & F.col("_b").eqNullSafe(F.col("_source")) & (F.col("_c") == F.col("_size")) & (F.col("_d") == F.col("_row"))
+    return own.join(times, on).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def targets(sizes: list[int], weights=WEIGHTS, passes: int = PASSES) -> list[flo
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> DataFrame:
-    """doc_id, size, source_size, target, taken and row, a number that tells repeated rows apart.
+    """doc_id, size, source_size, target, taken, row (a number that tells equal rows apart) and source.
 
     docs: doc_id, source and either size or text.
     """
@@ -115,10 +115,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES) -> DataFrame:
     # each document's part of each block
     whole = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / F.col("cut")), F.floor((F.col("from") + F.col("size") - 1) / F.col("cut")))))
     part = F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * F.col("cut")) - F.greatest(F.col("from"), F.col("block") * F.col("cut"))
-    keys = ["doc_id", "size", "source_size", "target", "copy", "k"]
+    keys = ["doc_id", "size", "source_size", "target", "copy", "k", "source"]
     taken = whole.withColumn("part", part).join(times, ["k", "block"], "left").groupBy(*keys).agg(F.sum(F.col("part") * F.coalesce("times", F.lit(0))).alias("taken"))
     none = placed.where("size <= 0").select(*keys, F.lit(0).cast("bigint").alias("taken"))
-    return taken.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", F.col("copy").alias("row"))
+    return taken.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", F.col("copy").alias("row"), "source")
 
 
 def _bisect(point: Column, bounds: list[int]) -> Column:

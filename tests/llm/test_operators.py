@@ -86,6 +86,30 @@ def test_mix(spark, docs, empty):
     assert mixing.mix(docs.drop("size")).count() == len(TEXTS)
 
 
+def test_pipeline_decides_by_row(spark):
+    import corpus_pipeline
+
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    far = " ".join(f"v{i}" for i in range(300))
+    near = [" ".join([*(f"w{i}" for i in range(300)), f"end{j}"]) for j in range(2)]
+    rows = [(1, near[0], "en", "a", 1), (1, near[0], "en", "a", 1), (2, near[1], "en", "a", 1), (2, far, "en", "a", 1), (None, "alone here", "en", "a", 1)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, columns), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, "alone here"), (1, near[0]), (2, far)])
+
+    # ids null or shared by short and long texts, and a last source of few long documents, taken to less than half
+    rows = [(None, f"n{i} " * 40, "en", "a", 1) for i in range(300)] + [(7, f"s{i} " * (1 + i % 90), "en", "a", 1) for i in range(300)]
+    rows += [(i, f"b{i} " * 3000, "en", s, 1) for s in "bc" for i in range(20)]
+    df = spark.createDataFrame(rows, columns)
+    taken = collections.Counter()
+    for r in mixing.mix(df).collect():
+        taken[r["source"], r["doc_id"] if r["source"] == "a" else 0] += r["taken"]
+    made = collections.Counter()
+    for r in corpus_pipeline.mix_sources(spark, df, "").collect():
+        made[r["source"], r["doc_id"] if r["source"] == "a" else 0] += len(WORDS(r["text"]))
+    assert 0 < taken["c", 0] < 30_000 and made.keys() == taken.keys()
+    assert all(abs(made[k] - taken[k]) <= max(3000, 0.05 * taken[k]) for k in taken)
+
+
 def test_toxicity_held_out(spark, empty):
     r = random.Random(1)
     vocab = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
