@@ -1,10 +1,15 @@
 """Operator 2: byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-Within one pre-token, every adjacent pair whose bytes are a vocabulary entry sits in the
-bucket of its merge rank. A bitmap of two levels marks the ranks whose buckets hold entries; find-first-set picks the least rank, and the leftmost live position of its
-bucket merges. Positions are nodes of a linked list over the bytes; a merge pushes the pairs
-it creates and leaves outdated entries behind, which are skipped when popped. So a pre-token
-of n bytes costs about n pushes, however long it is.
+Every adjacent pair whose bytes are a vocabulary entry sits in the bucket of its merge rank. A
+bitmap of two levels marks the ranks whose buckets hold entries; find-first-set picks the least
+rank, and the live positions of its bucket merge from the left. Positions are nodes of linked
+lists over the bytes; a merge pushes the pairs it creates and leaves outdated entries behind,
+which are skipped when popped. So n bytes cost about n pushes, however long a pre-token is.
+
+Pre-tokens don't touch, so one queue serves many: the new short pre-tokens of some texts share
+their buckets. A worker remembers, for short pre-tokens, the ids as joined decimals, and for
+these decimals the bytes that they decode to; a text's ids and its decoded bytes are joined from
+them. Longer pre-tokens each have a queue of their own and are not remembered.
 
 Texts: null and empty texts have no tokens; texts are encoded whole. Repeated rows give
 repeated results, other columns are not read, and an empty table gives an empty result.
@@ -13,21 +18,27 @@ repeated results, other columns are not read, and an empty table gives an empty
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table
 
-#: Entries of a worker's memo of pre-tokens; it is emptied when full. It saves work only.
-MEMO = 500_000
+#: Entries of each of the two generations of a worker's memo of pre-tokens. It saves work only.
+MEMO = 250_000
 #: Longer pre-tokens are not remembered, so that the memo stays small in bytes.
 MEMO_CHARS = 48
+#: Characters of the texts whose pre-tokens are held at once, if there are several.
+GROUP_CHARS = 1 << 20
 
 
 class BytePairEncoder:
@@ -51,6 +62,8 @@ class BytePairEncoder:
             self.bytes_of[rank] = piece
         self.decimal = [str(i) for i in range(size)]
         self.byte_id = [self.ranks[bytes([i])] for i in range(256)]
+        #: rank of each pair of bytes, -1 if none
+        self.first = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], dtype=np.int64)
         #: left id << 17 | right id -> id of the two together
         self.pair = {
             self.ranks[piece[:k]] << 17 | self.ranks[piece[k:]]: rank
@@ -60,7 +73,10 @@ class BytePairEncoder:
         }
         self.split = regex.compile(pattern).findall
         self.low = [0] * ((size >> 6) + 1)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.buckets: list[list[int]] = [[]] * size
+        #: pre-token -> its ids as joined decimals, and the bytes that they decode to
+        self.young: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -130,25 +146,142 @@ class BytePairEncoder:
             at = after[at]
         return out
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
-        if len(piece) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[piece] = ids
-        return ids
+    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of many short pre-tokens, by one queue.
 
-    def encode(self, text: str | None) -> list[int]:
-        memo, slow = self.memo, self._piece
-        return list(chain.from_iterable([memo.get(p) or slow(p) for p in self.split(text or "")]))
+        Where a merge makes a pair of a lower rank, the rest of its pre-token waits for that one.
+        """
+        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        codes = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
+        n, get, low = len(codes), self.pair.get, self.low
+        ends = np.cumsum(sizes)
+        ranks = np.full(n, -1, dtype=np.int64)
+        ranks[:-1] = self.first[codes[:-1] << 8 | codes[1:]]
+        ranks[ends - 1] = -1
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1], before[ends - sizes] = n, -1
+        ends, none = ends.tolist(), []
+        ids, due, after, before = np.array(self.byte_id)[codes].tolist(), ranks.tolist(), after.tolist(), before.tolist()
+        buckets = self.buckets
+        upper = 0
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        present, starts = np.unique(ranks[order], return_index=True)
+        order = order.tolist()
+        for r, lo, hi in zip(present.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)]):
+            buckets[r] = order[lo:hi]
+            low[r >> 6] |= 1 << (r & 63)
+            upper |= 1 << (r >> 6)
+        waiting: list[int] = []
+        while upper:
+            j = (upper & -upper).bit_length() - 1
+            word = low[j]
+            rank = j << 6 | ((word & -word).bit_length() - 1)
+            low[j] = word = word & (word - 1)
+            if not word:
+                upper &= upper - 1
+            bucket, buckets[rank] = buckets[rank], none
+            if len(bucket) > 1:
+                bucket.sort()
+            base, end = rank << 17, 0
+            for at in bucket:
+                if due[at] != rank:
+                    continue
+                if at < end:
+                    waiting.append(at)
+                    continue
+                gone = after[at]
+                after[at] = follows = after[gone]
+                ids[at] = rank
+                ids[gone] = due[gone] = due[at] = -1
+                if follows < n:
+                    before[follows] = at
+                    if (r := get(base | ids[follows])) is not None:
+                        due[at] = r
+                        if bucket := buckets[r]:
+                            bucket.append(at)
+                        else:
+                            buckets[r] = [at]
+                            low[r >> 6] |= 1 << (r & 63)
+                            upper |= 1 << (r >> 6)
+                        if r < rank:
+                            end = ends[bisect_right(ends, at)]
+                if (at := before[at]) >= 0:
+                    due[at] = -1
+                    if (r := get(ids[at] << 17 | rank)) is not None:
+                        due[at] = r
+                        if bucket := buckets[r]:
+                            bucket.append(at)
+                        else:
+                            buckets[r] = [at]
+                            low[r >> 6] |= 1 << (r & 63)
+                            upper |= 1 << (r >> 6)
+                        if r < rank:
+                            end = ends[bisect_right(ends, at)]
+            if waiting:
+                buckets[rank], waiting = waiting, []
+                low[rank >> 6] |= 1 << (rank & 63)
+                upper |= 1 << (rank >> 6)
+        ids = np.array(ids, dtype=np.int64)
+        cuts = [0, *np.cumsum(ids >= 0)[np.array(ends) - 1].tolist()]
+        ids = ids[ids >= 0].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def digests(self, text: str | None) -> tuple[list[int], str, str]:
-        ids = self.encode(text)
-        decimals = ",".join(map(self.decimal.__getitem__, ids))
-        return ids, hashlib.sha256(decimals.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+    def _learn(self, pieces: set[str]) -> dict[str, tuple[str, bytes]]:
+        """A memo that holds these short pre-tokens.
+
+        It has two generations: when the new one is full it becomes the old one, whose entries
+        move on as they are used again, so that frequent pre-tokens stay.
+        """
+        new = pieces.difference(self.young)
+        if len(self.young) + len(new) > MEMO:
+            self.old, self.young = self.young, {}
+            new = pieces
+        young, old = self.young, self.old
+        some = []
+        for p in new:
+            if (known := old.get(p)) is None:
+                some.append(p)
+            else:
+                young[p] = known
+        if some:
+            for piece, ids in zip(some, self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in some])):
+                young[piece] = ",".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
+        return young
+
+    def _long(self, piece: str) -> tuple[str, bytes]:
+        ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        return ",".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
+
+    def encode_texts(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
+        """For each text its ids as joined decimals and the bytes that they decode to."""
+        sizes = list(accumulate(len(t or "") for t in texts))
+        lo = 0
+        while lo < len(texts):
+            hi, until = lo + 1, (sizes[lo - 1] if lo else 0) + GROUP_CHARS
+            while hi < len(texts) and sizes[hi] <= until:
+                hi += 1
+            split = [self.split(t or "") for t in texts[lo:hi]]
+            lo = hi
+            every = set().union(*split)
+            long = {p: self._long(p) for p in every if len(p) > MEMO_CHARS}
+            every.difference_update(long)
+            memo = self._learn(every)
+            if long:
+                memo = {**{p: memo[p] for p in every}, **long}
+            for pieces in split:
+                if pieces:
+                    decimals, decoded = zip(*map(memo.__getitem__, pieces))
+                    yield ",".join(decimals), b"".join(decoded)
+                else:
+                    yield "", b""
+
+    def encode(self, text: str | None) -> list[int]:
+        ((decimals, _),) = self.encode_texts([text])
+        return list(map(int, decimals.split(","))) if decimals else []
 
 
 @lru_cache(maxsize=2)
@@ -171,12 +304,20 @@ def encode(docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks)
+        gc.disable()  # nothing here makes cycles, and the many short lists would start it often
         for batch in batches:
-            out = [enc.digests(t) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([len(x[0]) for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
+            decimals, digests, decoded = [], [], []
+            for text, back in enc.encode_texts(batch.column(1).to_pylist()):
+                if with_ids:
+                    decimals.append(text)
+                digests.append((text.count(",") + 1 if text else 0, hashlib.sha256(text.encode()).hexdigest()))
+                decoded.append(hashlib.sha256(back).hexdigest())
+            columns = [batch.column(0), pa.array([n for n, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.string()), pa.array(decoded, pa.string())]
             if with_ids:
-                columns.append(pa.array([x[0] for x in out], pa.list_(pa.int32())))
+                ids = pc.split_pattern(pa.array([x for x in decimals if x], pa.string()), ",").flatten().cast(pa.int32())
+                columns.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(n for n, _ in digests)], pa.int32()), ids))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        gc.enable()
 
     spark_schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     picked = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -51,6 +51,30 @@ def test_bpe_round_trip(docs, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_bpe_memo_and_shared_queue(monkeypatch):
+    """Pre-tokens of many kinds at once, a memo that turns over, and pre-tokens too long for it."""
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    enc = bpe.BytePairEncoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    r = random.Random(7)
+    parts = ["a", "aa", "ab", "the", "ing", "é", "中", "ñ", "\U0001d4b3", "1", "==", " ", "\n", "'s"]
+    texts = [None, "", *["".join(r.choice(parts) for _ in range(r.randint(1, 90))) for _ in range(600)], "a" * 4000 + " " + "ab" * 900 + " the"]
+    want = [own.encode_ordinary(t or "") for t in texts]
+    monkeypatch.setattr(bpe, "MEMO", 40)
+    for size in (1, 500, 1 << 20):
+        monkeypatch.setattr(bpe, "GROUP_CHARS", size)
+        got = list(enc.encode_texts(texts))
+        assert [a for a, _ in got] == [",".join(map(str, w)) for w in want]
+        assert [b for _, b in got] == [(t or "").encode() for t in texts]
+    pieces = sorted({p for t in texts for p in enc.split(t or "")})
+    assert enc.encode_pieces([p.encode() for p in pieces]) == [enc.encode_piece(p.encode()) for p in pieces]
+    assert not any(enc.low) and not any(enc.buckets)
+
+
 def test_token_counts_at_every_prefix(docs, empty):
     import sentencepiece
 
