@@ -9,19 +9,24 @@ NBSP = " "
 
 
 def parse_number(token: Column) -> Column:
-    """A printed figure as a double, NULL if it is none: separators, brackets for negatives, percent."""
-    plain = F.trim(F.regexp_replace(F.replace(token, F.lit(NBSP), F.lit(" ")), "%", ""))
-    negative = plain.startswith("(") | plain.endswith(")")
-    digits = F.regexp_replace(plain, r"[(),\s]", "")
+    """A printed figure as a double, NULL if it is none: separators, one percent sign at the end,
+    brackets at either end for a changed sign. Only digits count: no nan, inf or exponents."""
+    plain = F.trim(F.replace(token, F.lit(NBSP), F.lit(" ")))
+    plain = F.trim(F.regexp_replace(plain, r"%$", ""))
+    changed = plain.startswith("(") | plain.endswith(")")
+    digits = F.regexp_replace(F.regexp_replace(plain, r"^\(+|\)+$", ""), r"[, ]", "")
     value = F.when(digits.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), digits.try_cast("double"))
-    return F.when(negative, -F.abs(value)).otherwise(value)
+    return F.when(changed, -value).otherwise(value)
 
 
 def normalise_code(code: Column) -> Column:
-    """A line code as trimmed text without a trailing .0; blanks are NULL."""
-    text = F.trim(F.replace(code.cast("string"), F.lit(NBSP), F.lit(" ")))
-    text = F.when(text.rlike(r"^\d+\.\d*0+$") & ~text.rlike(r"^\d+\.\d+\."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
-    return F.nullif(text, F.lit(""))
+    """A line code from a text cell: trimmed, otherwise as it stands ("2.10" is no "2.1"); blanks are NULL."""
+    return F.nullif(F.trim(F.replace(code.cast("string"), F.lit(NBSP), F.lit(" "))), F.lit(""))
+
+
+def number_code(value: Column) -> Column:
+    """A line code from a numeric cell: 6.1 is "6.1", 1.0 is "1"; NaN is NULL."""
+    return F.when(~F.isnan(value), F.nullif(F.regexp_replace(F.format_string("%.10f", value), r"\.?0+$", ""), F.lit("")))
 
 
 def month_key(day: Column) -> Column:
@@ -37,43 +42,56 @@ def _dmy(d: Column, m: Column, y: Column) -> Column:
 
 
 #: Fixed header shapes: the first that matches decides, even if its date does not exist.
-VN_FULL = r"(?iu)từ ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})\s+đến\s+(?:ngày\s+)?(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
-VN_SHORT = r"(?iu)từ ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+đến\s+(?:ngày\s+)?(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
-VN_SLASH = r"(?iu)từ\s+(?:ngày\s+)?(\d{1,2})/(\d{1,2})/(\d{4})\s+đến\s+(?:ngày\s+)?(\d{1,2})/(\d{1,2})/(\d{4})"
-EN_FULL = r"(?iu)from\s+(\d{1,2}\s+\p{L}+\s+\d{4})\s+to\s+(\d{1,2}\s+\p{L}+\s+\d{4})"
-EN_SHORT = r"(?iu)from\s+(\d{1,2}\s+\p{L}+)\s+to\s+(\d{1,2}\s+\p{L}+\s+\d{4})"
+VN_FULL = r"(?iu)từ\s+ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})\s+đến\s+ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+VN_SHORT = r"(?iu)từ\s+ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+đến\s+ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+VN_SLASH = r"(?iu)từ\s*:?\s*(\d{1,2})/(\d{1,2})/(\d{4})\s*đến\s*:?\s*(\d{1,2})/(\d{1,2})/(\d{4})"
+EN_FULL = r"(?iu)from\s+(\d{1,2}\s+[\p{L}\d_]{3,}\s+\d{4})\s+to\s+(\d{1,2}\s+[\p{L}\d_]{3,}\s+\d{4})"
+EN_SHORT = r"(?iu)from\s+(\d{1,2}\s+[\p{L}\d_]{3,})\s+to\s+(\d{1,2}\s+[\p{L}\d_]{3,}\s+\d{4})"
 
 
-def vietnamese_period(text: Column) -> tuple[Column, Column]:
-    g = lambda p, k: F.regexp_extract(text, p, k)
+def _both(start: Column, end: Column) -> Column:
+    """struct(s, e) if both dates exist."""
+    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("s"), end.alias("e")))
+
+
+def _groups(text: Column, pattern: str, n: int) -> list[Column]:
+    return [F.regexp_extract(text, pattern, k) for k in range(1, n + 1)]
+
+
+def vietnamese_period(text: Column) -> Column:
+    """struct(s, e) of the first shape that matches; NULL if one of its dates does not exist."""
+    full, slash = _groups(text, VN_FULL, 6), _groups(text, VN_SLASH, 6)
+    d1, m1, d2, m2, y2 = _groups(text, VN_SHORT, 5)
     # a start month after the end month lies in the year before
-    year = (g(VN_SHORT, 5).try_cast("int") - (g(VN_SHORT, 2).try_cast("int") > g(VN_SHORT, 4).try_cast("int")).cast("int")).cast("string")
-    start = F.when(text.rlike(VN_FULL), _dmy(g(VN_FULL, 1), g(VN_FULL, 2), g(VN_FULL, 3))).when(text.rlike(VN_SHORT), _dmy(g(VN_SHORT, 1), g(VN_SHORT, 2), year)).when(text.rlike(VN_SLASH), _dmy(g(VN_SLASH, 1), g(VN_SLASH, 2), g(VN_SLASH, 3)))
-    end = F.when(text.rlike(VN_FULL), _dmy(g(VN_FULL, 4), g(VN_FULL, 5), g(VN_FULL, 6))).when(text.rlike(VN_SHORT), _dmy(g(VN_SHORT, 3), g(VN_SHORT, 4), g(VN_SHORT, 5))).when(text.rlike(VN_SLASH), _dmy(g(VN_SLASH, 4), g(VN_SLASH, 5), g(VN_SLASH, 6)))
-    return start, end
+    year = (y2.try_cast("int") - (m1.try_cast("int") > m2.try_cast("int")).cast("int")).cast("string")
+    return (
+        F.when(full[0] != "", _both(_dmy(*full[:3]), _dmy(*full[3:])))
+        .when(d1 != "", _both(_dmy(d1, m1, year), _dmy(d2, m2, y2)))
+        .when(slash[0] != "", _both(_dmy(*slash[:3]), _dmy(*slash[3:])))
+    )
 
 
-def english_period(text: Column) -> tuple[Column, Column]:
-    g = lambda p, k: F.regexp_extract(text, p, k)
-    end_short = english_date(g(EN_SHORT, 2))
-    same = english_date(F.concat_ws(" ", g(EN_SHORT, 1), F.year(end_short).cast("string")))
-    # the month after the end's month belongs to the year before
-    start_short = F.when(F.month(same) > F.month(end_short), F.add_months(same, -12)).otherwise(same)
-    start = F.when(text.rlike(EN_FULL), english_date(g(EN_FULL, 1))).when(text.rlike(EN_SHORT), start_short)
-    end = F.when(text.rlike(EN_FULL), english_date(g(EN_FULL, 2))).when(text.rlike(EN_SHORT), end_short)
-    return start, end
+def english_period(text: Column) -> Column:
+    a, b = _groups(text, EN_FULL, 2)
+    c, d = _groups(text, EN_SHORT, 2)
+    end = english_date(d)
+    same = english_date(F.concat_ws(" ", c, F.year(end).cast("string")))
+    # a month after the end's month belongs to the year before
+    start = F.when(F.month(same) > F.month(end), F.add_months(same, -12)).otherwise(same)
+    return F.when(a != "", _both(english_date(a), english_date(b))).when(c != "", _both(start, end))
 
 
 def header_period(text: Column) -> Column:
     """struct(start, end, conflict): Vietnamese first, endpoint by endpoint; both are named if they differ."""
-    (vs, ve), (es, ee) = vietnamese_period(text), english_period(text)
-    said = lambda what, a, b: F.when(a != b, F.concat(F.lit(f"{what}: "), a.cast("string"), F.lit(" vs "), b.cast("string")))
-    return F.struct(F.coalesce(vs, es).alias("start"), F.coalesce(ve, ee).alias("end"), F.nullif(F.concat_ws("; ", said("start", vs, es), said("end", ve, ee)), F.lit("")).alias("conflict"))
+    vn, en = vietnamese_period(text), english_period(text)
+    said = lambda what, k: F.when(vn[k] != en[k], F.concat(F.lit(f"{what} VN "), vn[k].cast("string"), F.lit(" vs EN "), en[k].cast("string")))
+    conflict = F.nullif(F.concat_ws("; ", said("period_start", "s"), said("period_end", "e")), F.lit(""))
+    return F.struct(F.coalesce(vn["s"], en["s"]).alias("start"), F.coalesce(vn["e"], en["e"]).alias("end"), conflict.alias("conflict"))
 
 
 #: The filing's own date, Vietnamese first.
 VN_REPORT = r"(?iu)Ngày lập báo cáo\s*:?\s*Ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
-EN_REPORT = r"(?iu)Reporting\s+Date\s*:?\s*(\d{1,2}\s+\p{L}{3,}\s+\d{4})"
+EN_REPORT = r"(?iu)Reporting\s+Date\s*:?\s*(\d{1,2}\s+[\p{L}\d_]{3,}\s+\d{4})"
 
 
 def report_date(text: Column) -> Column:
@@ -83,37 +101,111 @@ def report_date(text: Column) -> Column:
 
 def clean_html(html: Column) -> Column:
     """Text without tags, white space collapsed, the five basic entities resolved."""
-    text = F.regexp_replace(html, r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]*>", " ")), r"\s+", " "))
+
+
+#: Document links carry one of these endings.
+DOCUMENTS = "pdf|xlsx|xls"
 
 
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), F.lit(1))
 
 
+def file_links(html: Column) -> Column:
+    """The distinct targets of links to documents, in either kind of quotes, a query string allowed."""
+    found = F.regexp_extract_all(html, F.lit(rf"""(?i)href=["']([^"']+\.(?:{DOCUMENTS})(?:\?[^"']*)?)["']"""), F.lit(1))
+    return F.array_distinct(F.transform(found, unescape))
+
+
+def unescape(text: Column) -> Column:
+    """The five basic entities and the no-break space resolved."""
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def absolute_url(base: Column, link: Column) -> Column:
+    """link as seen from the page base: whole, from the host's root, or beside the page."""
+    host = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), link))
+        .when(link.startswith("/"), F.concat(host, link))
+        .otherwise(F.concat(folder, F.lit("/"), link))
+    )
+
+
 def base_name(url: Column) -> Column:
-    path = F.regexp_replace(url, r"[?#].*$", "")
-    return F.try_url_decode(F.element_at(F.split(path, "/"), -1))
+    """The last part of the path, percent signs resolved; a part that can't be resolved stays."""
+    last = F.element_at(F.split(F.regexp_replace(url, r"[?#].*$", ""), "/"), -1)
+    return F.coalesce(F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))), last)
+
+
+def page_slug(url: Column) -> Column:
+    return F.lower(base_name(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")))
+
+
+#: Endings that a cached document keeps.
+SUFFIX = r"(?i)\.(pdf|xlsx|xlsm|xls|zip)$"
+
+
+def url_hash(url: Column) -> Column:
+    return F.substring(F.sha2(F.encode(url, "UTF-8"), 256), 1, 16)
+
+
+def cache_name(url: Column, content: Column | None = None) -> Column:
+    """<stem>-<first 16 hex digits of the SHA-256 of the content, if given, else of the URL><suffix>."""
+    last = F.element_at(F.split(F.regexp_replace(url, r"[?#].*$", ""), "/"), -1)
+    name = F.regexp_replace(F.when(last == "", "download").otherwise(last), r"[^A-Za-z0-9._-]", "_")
+    ending = F.lower(F.regexp_extract(name, SUFFIX, 0))
+    stem = F.substring(F.regexp_replace(name, SUFFIX, ""), 1, 80)
+    digest = url_hash(url) if content is None else F.coalesce(F.substring(F.sha2(content, 256), 1, 16), url_hash(url))
+    return F.concat(F.when(stem == "", "download").otherwise(stem), F.lit("-"), digest, ending)
+
+
+def flat_date(name: Column) -> Column:
+    """The first eight digits of a file name as yyyymmdd."""
+    d = r"(\d{4})(\d{2})(\d{2})"
+    y, m, d_ = _groups(name, d, 3)
+    return _dmy(d_, m, y)
+
+
+def period_date(name: Column) -> Column:
+    """The end of the period that a file name states: a dotted date after "den-", else eight
+    digits at the end (a copy's number may follow), else the first eight digits."""
+    dotted, last = r"(?i)den-(\d{2})\.(\d{2})\.(\d{4})", rf"(?i)(\d{{4}})(\d{{2}})(\d{{2}})(?:-\d+)?\.(?:{DOCUMENTS})$"
+    y, m, d = _groups(name, last, 3)
+    return F.when(name.rlike(dotted), _dmy(*_groups(name, dotted, 3))).when(name.rlike(last), _dmy(d, m, y)).otherwise(flat_date(name))
+
+
+def any_date(name: Column) -> Column:
+    """The first of yyyymmdd, yyyy-mm-dd and dd.mm.yyyy (also with _ or -) that is a date."""
+    y, m, d = _groups(name, r"(\d{4})-(\d{2})-(\d{2})", 3)
+    return F.coalesce(flat_date(name), _dmy(d, m, y), _dmy(*_groups(name, r"(\d{2})[_.-](\d{2})[_.-](\d{4})", 3)))
 
 
-def cache_name(url: Column) -> Column:
-    """<stem>-<first 16 hex digits of the SHA-256>."""
-    stem = F.regexp_replace(base_name(url), r"\.[A-Za-z0-9]+$", "")
-    return F.concat(stem, F.lit("-"), F.substring(F.sha2(F.encode(url, "UTF-8"), 256), 1, 16))
+#: Fixed name shapes of the reports: (kind, pattern), the first that matches decides.
+KINDS = {
+    "period_word": (("daily", r"(?iu)[-_](?:ngay|ngày|daily)[-_]"), ("weekly", r"(?iu)[-_](?:tuan|tuần|weekly)[-_]")),
+    "bc_code": (("daily", r"(?i)_BC_NGAY_"), ("period", r"(?i)_BC_KY_"), ("weekly", r"(?i)_BC_TUAN_"), ("unknown", r"(?i)_BC_")),
+    "change_word": (("weekly", r"(?i)thay[\s_-]?doi"),),
+}
+WEEKLY_PAGE = r"(?i)(?:^|[-_])(?:tuan|week)(?:[-_]|$)"
 
 
-def filename_date(name: Column) -> Column:
-    """yyyy-mm-dd, yyyymmdd or dd.mm.yyyy (also with _ or -) in a file name."""
-    iso, flat, dmy = r"(\d{4})-(\d{2})-(\d{2})", r"(20\d{2})(\d{2})(\d{2})", r"(\d{1,2})[._-](\d{1,2})[._-](\d{4})"
-    g = lambda p, k: F.regexp_extract(name, p, k)
-    return F.when(name.rlike(iso), _dmy(g(iso, 3), g(iso, 2), g(iso, 1))).when(name.rlike(dmy), _dmy(g(dmy, 1), g(dmy, 2), g(dmy, 3))).when(name.rlike(flat), _dmy(g(flat, 3), g(flat, 2), g(flat, 1)))
+def report_kind(name: Column, scheme: str) -> Column:
+    """The kind that a file name states in a scheme of KINDS, else "other"."""
+    out = None
+    for kind, pattern in KINDS[scheme]:
+        out = F.when(name.rlike(pattern), kind) if out is None else out.when(name.rlike(pattern), kind)
+    return out.otherwise("other")
 
 
-def report_kind(name: Column) -> Column:
-    return F.when(name.rlike("(?iu)weekly|tuan|tuần"), "weekly").when(name.rlike("(?iu)daily|ngay|ngày"), "daily").when(name.rlike("(?iu)thay.?doi|change"), "change").otherwise("other")
+#: A code in brackets: two capitals or digits at least, one part after a hyphen allowed.
+FUND_CODE = r"\(([A-Z][A-Z0-9]{1,6}(?:-[A-Z0-9]{2,6})?)\)"
 
 
 def fund_code(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"\(([A-Z][A-Z0-9]{2,})\)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, FUND_CODE, 1), F.lit(""))

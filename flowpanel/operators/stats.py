@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,17 +22,99 @@ def clip(x: Column, low: Column, high: Column) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
 
 
+#: Rows of a bracket that one exact percentile may still hold, and the precision of the narrowing.
+BRACKET, ACCURACY = 1_000_000, 10_000
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Interpolated quantiles of each column, exact at any size.
+
+    The order statistics wanted are first narrowed to brackets by approximate quantiles, checked
+    by counting, again and again until a bracket holds few rows (or one value); only these reach
+    the exact percentile, whose position is moved by the rows below. All columns and shares are
+    done at once.
+    """
+    xs = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    row = df.agg(*[F.count(x).alias(f"{c}:n") for c, x in xs.items()], *[f(x).alias(f"{c}:{k}") for c, x in xs.items() for k, f in (("lo", F.min), ("hi", F.max))]).collect()[0]
+    keys = [(c, q) for c in columns for q in shares if row[f"{c}:n"]]
+    spot = {(c, q): (row[f"{c}:n"] - 1) * q for c, q in keys}
+    at = {(c, q): (row[f"{c}:lo"], row[f"{c}:hi"], 0, row[f"{c}:n"]) for c, q in keys}  # low, high, rows below, rows inside
+    within = lambda k: F.when(xs[k[0]].between(at[k][0], at[k][1]), xs[k[0]])
+    open_ = [k for k in keys if at[k][3] > BRACKET and at[k][0] < at[k][1]]
+    while open_:
+        place = {k: (spot[k] - at[k][2]) / at[k][3] for k in open_}
+        near = {k: [min(1.0, max(0.0, place[k] + d / ACCURACY)) for d in (-2, 2)] for k in open_}
+        got = df.agg(*[F.percentile_approx(within(k), near[k], ACCURACY).alias(f"b{i}") for i, k in enumerate(open_)]).collect()[0]
+        sides = {k: got[f"b{i}"] for i, k in enumerate(open_)}
+        counted = df.agg(*[e.alias(f"{n}{i}") for i, k in enumerate(open_) for n, e in (("u", F.count_if(within(k) < sides[k][0])), ("i", F.count_if(within(k).between(*sides[k]))))]).collect()[0]
+        for i, k in enumerate(list(open_)):
+            low, high, below, inside = (*sides[k], at[k][2] + counted[f"u{i}"], counted[f"i{i}"])
+            # a bracket that misses its spot, or narrows nothing, is left as it was
+            ok = below <= np.floor(spot[k]) and np.ceil(spot[k]) < below + inside and inside < at[k][3]
+            if ok:
+                at[k] = (low, high, below, inside)
+            if not ok or inside <= BRACKET or low == high:
+                open_.remove(k)
+    if not keys:
+        return {c: [None] * len(shares) for c in columns}
+    inner = {k: min(1.0, max(0.0, (spot[k] - at[k][2]) / (at[k][3] - 1))) if at[k][3] > 1 else 0.0 for k in keys}
+    got = df.agg(*[F.percentile(within(k), F.lit(inner[k])).alias(f"q{i}") for i, k in enumerate(keys)]).collect()[0]
+    out = {k: got[f"q{i}"] for i, k in enumerate(keys)}
+    return {c: [out.get((c, q)) for q in shares] for c in columns}
+
+
+LEGS = ("gross_subscription_rate", "gross_redemption_rate")
+FLOWS = ("net_flow_rate", *LEGS)
+
+
 def winsorize(df: DataFrame, columns: list[str], share: float = WINSOR) -> DataFrame:
-    """Pooled exact quantiles, one aggregation for all columns; then net is rebuilt from its legs."""
-    row = df.agg(*[F.percentile(c, F.array(F.lit(share), F.lit(1 - share))).alias(c) for c in columns]).collect()[0]
-    out = df.withColumns({c: clip(F.col(c), F.lit(row[c][0]), F.lit(row[c][1])) for c in columns if row[c]})
-    legs = ("gross_subscription_rate", "gross_redemption_rate")
-    if "net_flow_rate" in columns and all(x in columns for x in legs):
-        s, r = (F.col(x) for x in legs)
+    """Clipped at pooled exact quantiles; then net is rebuilt from its legs."""
+    bounds = exact_quantiles(df, columns, [share, 1 - share])
+    return _clipped(df, bounds)
+
+
+def _clipped(df: DataFrame, bounds: dict[str, list[float | None]]) -> DataFrame:
+    out = df.withColumns({c: clip(F.col(c), F.lit(lo), F.lit(hi)) for c, (lo, hi) in bounds.items() if lo is not None})
+    if "net_flow_rate" in bounds and all(x in bounds for x in LEGS):
+        s, r = (F.col(x) for x in LEGS)
         out = out.withColumn("net_flow_rate", F.when(s.isNotNull() & r.isNotNull(), s - r).otherwise(F.col("net_flow_rate")))
     return out
 
 
+def prepare_sample(df: DataFrame, inception: int = INCEPTION, share: float | None = WINSOR, order: str = "period_end") -> tuple[DataFrame, dict]:
+    """The sample without each fund's first periods, winsorized, and a record of what that did:
+    rows in, dropped and out, funds affected, values clipped, net flows rebuilt."""
+    n = F.row_number().over(Window.partitionBy("fund_code").orderBy(F.asc_nulls_first(order)))
+    ranked = df.withColumn("_n", n)
+    record: dict = {}
+    early = F.col("_n") <= inception
+    got = ranked.agg(F.count("*").alias("n_input"), F.count_if(early).alias("n_dropped_inception"), F.countDistinct(F.when(early, F.col("fund_code"))).alias("funds_affected")).collect()[0]
+    record |= got.asDict() | {"inception_periods": inception}
+    sample = ranked.where(~early).drop("_n")
+    if share:
+        measures = [c for c in (*FLOWS, "churn_rate") if c in df.columns]
+        bounds = exact_quantiles(sample, measures, [share, 1 - share])
+        outside = [((F.col(c) < lo) | (F.col(c) > hi)).cast("int") for c, (lo, hi) in bounds.items() if lo is not None]
+        both = F.lit(True) if all(c in df.columns for c in FLOWS) else F.lit(False)
+        for c in LEGS:
+            both = both & (F.col(c).isNotNull() if c in df.columns else F.lit(False))
+        got = sample.agg(F.coalesce(F.sum(sum([F.coalesce(x, F.lit(0)) for x in outside], F.lit(0))), F.lit(0)).alias("n_values_winsorised"), F.count_if(both).alias("n_net_rebuilt_from_legs")).collect()[0]
+        record |= got.asDict() | {"winsor_quantile": share}
+        sample = _clipped(sample, bounds)
+    return sample, record | {"n_output": record["n_input"] - record["n_dropped_inception"]}
+
+
+def add_lagged_performance(df: DataFrame, lag: int = 1, widths: tuple[int, ...] = (1, 4, 12), order: str = "period_end") -> DataFrame:
+    """ret_lag{lag}_{width}, exc_lag..., log_nav_begin and flow_lag1, as far as their columns are there; one sort by fund."""
+    of = [(k, c) for k, c in (("ret", "gross_return"), ("exc", "excess_return")) if c in df.columns]
+    out = {f"{k}_lag{lag}_{w}": lagged_sum(c, lag, w, order=order) for k, c in of for w in widths}
+    if "nav_begin" in df.columns:
+        out["log_nav_begin"] = F.when(F.col("nav_begin") > 0, F.log("nav_begin"))
+    if "net_flow_rate" in df.columns:
+        out["flow_lag1"] = F.lag("net_flow_rate").over(Window.partitionBy("fund_code").orderBy(order))
+    return df.withColumns(out)
+
+
 def lagged_sum(x: str, lag: int, width: int, by: str = "fund_code", order: str = "period_end") -> Column:
     """Sum of the width rows that end lag rows back; NULL unless all are there."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(-(lag + width - 1), -lag)
@@ -53,11 +135,30 @@ def splines(rank: Column, breaks=BREAKS) -> dict[str, Column]:
     return {"rank_low": guard(F.least(rank, lo)), "rank_mid": guard(F.least(F.greatest(rank - lo, F.lit(0.0)), hi - lo)), "rank_high": guard(F.greatest(rank - hi, F.lit(0.0)))}
 
 
+def performance_rank_splines(df: DataFrame, performance: str, by: str = "period_end", breaks=BREAKS) -> DataFrame:
+    """perf_rank within each period and its three parts."""
+    out = df.withColumn("perf_rank", average_rank(performance, by))
+    return out.withColumns(splines(F.col("perf_rank"), breaks))
+
+
 def quantile_bins(df: DataFrame, x: str, n: int = 5) -> DataFrame:
-    """Right-closed quantile bins; equal edges merge, ties stay together."""
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("e")).collect()[0]["e"] or []
-    bin_ = sum([(F.col(x) > e).cast("int") for e in dict.fromkeys(edges)], F.lit(0))
-    return df.withColumn("bin", F.when(F.col(x).isNotNull(), bin_ + 1))
+    """bin (from 1): right-closed intervals between the quantiles, the least value in the first;
+    equal edges merge, the outer ones too, so ties stay together and there may be fewer bins."""
+    edges = list(dict.fromkeys(e for e in exact_quantiles(df, [x], [i / n for i in range(n + 1)])[x] if e is not None))
+    value = F.when(~F.isnan(F.col(x).cast("double")), F.col(x))
+    bin_ = sum([(value > e).cast("int") for e in edges[1:-1]], F.lit(1))
+    # one value alone makes no interval
+    return df.withColumn("bin", F.when(value.isNotNull(), bin_) if len(edges) > 1 else F.lit(None).cast("int"))
+
+
+def _disclosed(df: DataFrame) -> DataFrame:
+    return df.where(F.coalesce("gross_legs_disclosed", F.lit(False))) if "gross_legs_disclosed" in df.columns else df
+
+
+def quantile_table(df: DataFrame, performance: str, n: int = 5) -> DataFrame:
+    """Mean flow rates in percent by bin of past performance, over complete and disclosed rows."""
+    sample = _disclosed(df.dropna(subset=[performance, *FLOWS]))
+    return quantile_bins(sample, performance, n).where("bin is not null").groupBy("bin").agg(*[F.round(F.avg(c) * 100, 4).alias(f"{c}_pct") for c in FLOWS], F.count("*").alias("n"))
 
 
 def demean(df: DataFrame, columns: list[str], by: str = "fund_code") -> DataFrame:
@@ -66,17 +167,21 @@ def demean(df: DataFrame, columns: list[str], by: str = "fund_code") -> DataFram
 
 
 def netting_loss(df: DataFrame, quiet: float = 0.001) -> DataFrame:
-    """What netting the legs hides, over disclosed rows, in one aggregation."""
-    s, r, n = (F.col(c) for c in ("gross_subscription_rate", "gross_redemption_rate", "net_flow_rate"))
-    gross, calm = s + r, F.abs(n) < quiet
-    return df.where(F.coalesce("gross_legs_disclosed", F.lit(False)) & s.isNotNull() & r.isNotNull() & n.isNotNull()).agg(
-        F.count("*").alias("n"), F.avg(F.abs(n)).alias("mean_abs_net"), F.avg(gross).alias("mean_gross"), F.stddev_samp(n).alias("sd_net"), F.stddev_samp(gross).alias("sd_gross"),
-        F.corr(s, r).alias("corr_legs"), F.avg(calm.cast("double")).alias("quiet_share"), F.avg(F.when(calm, gross)).alias("quiet_gross"), F.max(F.when(calm, gross)).alias("quiet_max_gross"), F.avg((F.abs(n) < gross).cast("double")).alias("netted_share"),
+    """What netting the legs hides, over disclosed rows, in one aggregation; no row without such rows."""
+    s, r, n, churn = (F.col(c) for c in (*LEGS, "net_flow_rate", "churn_rate"))
+    calm = F.abs(n) < quiet
+    got = _disclosed(df.dropna(subset=["net_flow_rate", "churn_rate"])).agg(
+        F.count("*").alias("n_obs"), F.lit(quiet).alias("quiet_threshold"), F.count_if(calm).alias("n_quiet_periods"), F.avg(calm.cast("double")).alias("share_quiet"),
+        F.avg(F.when(calm, churn)).alias("mean_churn_when_quiet"), F.max(F.when(calm, churn)).alias("max_churn_when_quiet"), F.corr(n, churn).alias("corr_net_churn"),
+        F.avg(s).alias("mean_gross_subscription_rate"), F.avg(r).alias("mean_gross_redemption_rate"), F.try_divide(F.stddev_samp(s), F.stddev_samp(r)).alias("sd_ratio_subs_over_reds"),
     )
+    return got.where("n_obs > 0")
 
 
 @dataclass
 class Fit:
+    """One specification. Standard errors are clustered, or robust to heteroskedasticity."""
+
     dependent: str
     terms: list[str]
     coef: np.ndarray
@@ -84,19 +189,46 @@ class Fit:
     r2: float
     n_obs: int
     n_clusters: int
+    n_funds: int = 0
+    name: str = ""
+
+    def t_stats(self) -> list[float | None]:
+        return [float(b / s) if s > 0 else None for b, s in zip(self.coef, self.std_err)]
 
     def rows(self) -> list[tuple]:
-        return [(self.dependent, t, float(b), float(s), float(b / s) if s > 0 else None, self.n_obs) for t, b, s in zip(self.terms, self.coef, self.std_err)]
+        """dependent, term, coef, std_err, t, n of each term."""
+        return [(self.dependent, t, float(b), float(s), v, self.n_obs) for t, b, s, v in zip(self.terms, self.coef, self.std_err, self.t_stats())]
+
+    def summary(self) -> str:
+        head = f"{self.name or self.dependent}: n={self.n_obs}, funds={self.n_funds}, clusters={self.n_clusters}, R2={self.r2:.4f}"
+        lines = [f"  {t:<24} {b: .6f}  se {s:.6f}  t {'-' if v is None else f'{v:.2f}'}" for (_, t, b, s, v, _) in self.rows()]
+        return "\n".join([head, *lines])
+
+
+ROWS = "dependent string, term string, coef double, std_err double, t double, n bigint"
+
+
+def frame(spark: SparkSession, fits: list[Fit]) -> DataFrame:
+    """The estimates of some fits, one row per term."""
+    return spark.createDataFrame([r for f in fits for r in f.rows()], ROWS)
+
 
+def compare(spark: SparkSession, fits: list[Fit], term: str) -> DataFrame:
+    """One term across specifications."""
+    return frame(spark, fits).where(F.col("term") == term).drop("term")
 
-def least_squares(df: DataFrame, dependents: list[str], terms: list[str], cluster: str | None = None, absorb: str | None = None, correct: bool = True) -> list[Fit]:
-    """Fits of all dependents on one complete sample. X'X is summed once; two passes in all.
+
+def least_squares(df: DataFrame, dependents: list[str], terms: list[str], cluster: str | None = None, absorb: str | None = None, correct: bool = True, funds: str = "fund_code") -> list[Fit]:
+    """Fits of all dependents on one complete sample, in two passes however many they are: X'X and
+    all X'y in the first, the scores of all dependents in the second.
 
     absorb: demeaned away, no constant; else a constant is added. cluster: sums of scores per
-    cluster, whose outer products are summed again on the executors.
+    cluster, whose outer products are summed again on the executors; without one the errors are
+    robust (HC1, HC0 if not correct).
     """
     need = [*dependents, *terms, *([cluster] if cluster else []), *([absorb] if absorb else [])]
-    df = df.select(*dict.fromkeys(need)).dropna()
+    count = F.countDistinct(funds) if funds in df.columns else F.lit(0)
+    df = df.select(*dict.fromkeys([*need, *([funds] if funds in df.columns else [])])).dropna(subset=need)
     names = list(terms)
     if absorb:
         df = demean(df, [*dependents, *terms], absorb)
@@ -104,7 +236,7 @@ def least_squares(df: DataFrame, dependents: list[str], terms: list[str], cluste
         df, names = df.withColumn("const", F.lit(1.0)), ["const", *terms]
     k = len(names)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = df.agg(F.count("*").alias("n"), *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"x{i}_{j}") for i, j in pairs], *[F.sum(F.col(names[i]) * F.col(y)).alias(f"y{d}_{i}") for d, y in enumerate(dependents) for i in range(k)], *[f(y).alias(f"{n}{d}") for d, y in enumerate(dependents) for n, f in (("a", F.sum), ("q", lambda y: F.sum(F.col(y) * F.col(y))))]).collect()[0]
+    row = df.agg(F.count("*").alias("n"), count.alias("funds"), *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"x{i}_{j}") for i, j in pairs], *[F.sum(F.col(names[i]) * F.col(y)).alias(f"y{d}_{i}") for d, y in enumerate(dependents) for i in range(k)], *[f(y).alias(f"{n}{d}") for d, y in enumerate(dependents) for n, f in (("a", F.sum), ("q", lambda y: F.sum(F.col(y) * F.col(y))))]).collect()[0]
     n = row["n"]
     if n <= k:
         raise ValueError(f"{n} rows for {k} terms")
@@ -112,22 +244,46 @@ def least_squares(df: DataFrame, dependents: list[str], terms: list[str], cluste
     for i, j in pairs:
         xx[i, j] = xx[j, i] = row[f"x{i}_{j}"]
     inverse = np.linalg.pinv(xx)
-    betas = [inverse @ np.array([row[f"y{d}_{i}"] for i in range(k)]) for d in range(len(dependents))]
+    many = range(len(dependents))
+    betas = [inverse @ np.array([row[f"y{d}_{i}"] for i in range(k)]) for d in many]
+    left = [F.col(y) - sum([F.lit(float(b)) * F.col(x) for b, x in zip(betas[d], names)], F.lit(0.0)) for d, y in enumerate(dependents)]
+    score = df.select(*([cluster] if cluster else []), *[(u * u).alias(f"uu{d}") for d, u in enumerate(left)], *[(F.col(x) * u).alias(f"s{d}_{i}") for d, u in enumerate(left) for i, x in enumerate(names)])
+    if cluster:
+        score = score.groupBy(cluster).agg(*[F.sum(c).alias(c) for c in score.columns if c != cluster])
+    m = score.agg(F.count("*").alias("g"), *[F.sum(f"uu{d}").alias(f"uu{d}") for d in many], *[F.sum(F.col(f"s{d}_{i}") * F.col(f"s{d}_{j}")).alias(f"m{d}_{i}_{j}") for d in many for i, j in pairs]).collect()[0]
+    g = m["g"]
+    scale = 1.0 if not correct else (g / (g - 1) * (n - 1) / (n - k) if cluster and g > 1 else n / (n - k))
     out = []
     for d, y in enumerate(dependents):
-        left = F.col(y) - sum([F.lit(float(b)) * F.col(x) for b, x in zip(betas[d], names)], F.lit(0.0))
-        score = df.select(*([cluster] if cluster else []), left.alias("u"), *[(F.col(x) * left).alias(f"s{i}") for i, x in enumerate(names)])
-        if cluster:
-            score = score.groupBy(cluster).agg(F.sum(F.col("u") * F.col("u")).alias("uu"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)])
-        else:
-            score = score.withColumn("uu", F.col("u") * F.col("u"))
-        m = score.agg(F.count("*").alias("g"), F.sum("uu").alias("uu"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i, j in pairs]).collect()[0]
         meat = np.zeros((k, k))
         for i, j in pairs:
-            meat[i, j] = meat[j, i] = m[f"m{i}_{j}"]
-        g = m["g"]
-        scale = 1.0 if not correct else (g / (g - 1) * (n - 1) / (n - k) if cluster and g > 1 else n / (n - k))
+            meat[i, j] = meat[j, i] = m[f"m{d}_{i}_{j}"]
         error = np.sqrt(np.clip(np.diag(inverse @ meat @ inverse) * scale, 0, None))
         spread = row[f"q{d}"] - row[f"a{d}"] ** 2 / n
-        out.append(Fit(y, names, betas[d], error, 1 - m["uu"] / spread if spread else float("nan"), n, g if cluster else n))
+        out.append(Fit(y, names, betas[d], error, 1 - m[f"uu{d}"] / spread if spread else float("nan"), n, g if cluster else n, row["funds"]))
     return out
+
+
+def _with_cluster(df: DataFrame, cluster: str | None, time: str) -> DataFrame:
+    return df.withColumn("month", F.date_format(time, "yyyy-MM")) if cluster == "month" and "month" not in df.columns else df
+
+
+def flow_performance(df: DataFrame, dependent: str, regressors: list[str], fund_effects: bool = True, cluster: str | None = "month", name: str = "", time: str = "period_end") -> Fit:
+    """One specification on its complete rows, fund effects absorbed, errors clustered by month."""
+    (fit,) = least_squares(_with_cluster(df, cluster, time), [dependent], regressors, cluster, "fund_code" if fund_effects else None)
+    fit.name = name or f"{dependent} ~ {' + '.join(regressors)}"
+    return fit
+
+
+#: Regressors beside past performance, as far as the panel has them.
+CONTROLS = ("market_return", "log_nav_begin", "period_days")
+
+
+def paired_specifications(df: DataFrame, performance: str = "ret_lag1_4", controls: tuple[str, ...] = CONTROLS, fund_effects: bool = True, cluster: str | None = "month", gross_only: bool = True, time: str = "period_end") -> list[Fit]:
+    """The same equation on net, subscriptions and redemptions, on one sample, from one pair of passes."""
+    sample = _disclosed(df) if gross_only else df
+    regressors = [performance, *[c for c in controls if c in df.columns]]
+    fits = least_squares(_with_cluster(sample, cluster, time), list(FLOWS), regressors, cluster, "fund_code" if fund_effects else None)
+    for f in fits:
+        f.name = f"{f.dependent} on {performance}"
+    return fits

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import gates, panel
+from ..sources.readers import FIELDS
 
 
 class PanelResult(NamedTuple):
@@ -18,25 +19,33 @@ class PanelResult(NamedTuple):
     diagnostics: DataFrame
 
 
-VALUES = ["nav_begin", "nav_end", "chg_investment", "subscriptions", "redemptions", "chg_flows_net"]
+#: The values by which republished filings are compared.
+VALUES = list(FIELDS.values())
+
+
+def filing_rows(parsed: DataFrame) -> DataFrame:
+    """Parsed filings with the net flow, units, return, days and foreign share."""
+    return gates.with_unit_measures(gates.with_net_flow(parsed))
 
 
 def build(filings: DataFrame, funds: DataFrame | None = None) -> PanelResult:
     """Dedupe, overlaps, gate, measures, metadata; breaks are sought among accepted rows only."""
-    kept, gone = panel.dedupe(filings, VALUES)
+    kept, gone = panel.dedupe(filings, [v for v in VALUES if v in filings.columns])
     kept, longer = panel.overlaps(kept)
     gated = gates.gate(gates.with_net_flow(kept))
+    if "nav_per_unit_begin" in gated.columns:
+        gated = gates.with_unit_measures(gated)
     accepted = gates.with_flow_measures(gated.where("quarantine_reason = ''").drop("quarantine_reason"))
     if funds is not None:
         accepted = panel.with_metadata(accepted, funds)
     checks = gates.continuity(accepted)
-    diagnostics = accepted
-    if "nav_per_unit_begin" in accepted.columns:
-        diagnostics = gates.with_proxies(gates.with_unit_measures(accepted))
+    # every filing that stands is diagnosed, also those in quarantine
+    diagnostics = gates.with_proxies(gated) if "nav_per_unit_begin" in gated.columns else gated
     return PanelResult(accepted, gone.unionByName(longer, allowMissingColumns=True), gated.where("quarantine_reason <> ''"), checks.where("not passed"), diagnostics)
 
 
-def audit(result: PanelResult) -> DataFrame:
-    """Row counts of the disjoint results."""
+def audit(result: PanelResult, failures: DataFrame | None = None) -> DataFrame:
+    """Row counts of the disjoint results, and of the documents that did not parse."""
     one = lambda name, df: df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
-    return one("panel", result.panel).unionByName(one("quarantine", result.quarantine)).unionByName(one("superseded", result.superseded))
+    got = one("panel", result.panel).unionByName(one("quarantine", result.quarantine)).unionByName(one("superseded", result.superseded))
+    return got if failures is None else got.unionByName(one("failures", failures))

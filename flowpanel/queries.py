@@ -1,57 +1,66 @@
 """Queries over the driver's tables and their SQL.
 
 The ledger projects the domain on lineitem and supplier: fund = supplier nation, period =
-month of shipping, N, R and A lines = subscriptions, redemptions and investment result in
-cents, and each period opens where the one before closed.
+month (or week) of shipping, N, R and A lines = subscriptions, redemptions and investment result
+in cents, and each period opens where the one before closed. Documents, listings, tables and
+payloads are printed from these tables and read again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import parsing
 from .operators import gates, panel, stats
 from .plans import build
-from .sources import readers
+from .sources import catalog, geometry, rates, readers
 
-START = 100_000_000_000_000
+START = 1_000_000_000_000
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def ledger(spark: SparkSession, d: str) -> DataFrame:
+def ledger(spark: SparkSession, d: str, unit: str = "month") -> DataFrame:
+    """One row per nation and month or week; weeks also pay distributions."""
     lines = _table(spark, d, "lineitem").select("l_suppkey", "l_returnflag", "l_extendedprice", "l_shipdate")
     funds = _table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     leg = lambda flag: F.sum(F.when(F.col("l_returnflag") == flag, cents))
-    got = lines.join(funds, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("fund_code"), F.trunc("l_shipdate", "MM").alias("period_start")).agg(leg("N").alias("subscriptions"), (-leg("R")).alias("redemptions"), leg("A").alias("chg_investment"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    change = zero("subscriptions") + zero("redemptions") + zero("chg_investment")
+    got = lines.join(funds, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("fund_code"), F.trunc("l_shipdate", unit).alias("period_start")).agg(leg("N").alias("subscriptions"), (-leg("R")).alias("redemptions"), leg("A").alias("chg_investment"))
+    paid = F.lit(None) if unit == "month" else F.when((F.col("fund_code") + F.dayofmonth("period_start")) % 6 == 0, -1000)
+    got = got.withColumn("chg_distribution", paid.cast("bigint"))
+    change = sum([F.coalesce(c, F.lit(0)) for c in ("subscriptions", "redemptions", "chg_investment", "chg_distribution")], F.lit(0))
     before = Window.partitionBy("fund_code").orderBy("period_start")
     got = got.withColumn("nav_end", START + F.sum(change).over(before)).withColumn("nav_begin", F.col("nav_end") - change)
-    return got.withColumns({"period_end": F.last_day("period_start"), "chg_flows_net": F.lit(None).cast("bigint"), "chg_distribution": F.lit(None).cast("bigint")})
+    return got.withColumns({"period_end": F.last_day("period_start") if unit == "month" else F.date_add("period_start", 6), "chg_flows_net": F.lit(None).cast("bigint")})
 
 
-LEDGER = f"""
+def _ledger_sql(unit: str = "month") -> str:
+    paid = "CAST(NULL AS BIGINT)" if unit == "month" else "CASE WHEN (fund_code + day(period_start)) % 6 = 0 THEN -1000 END"
+    return f"""
 raw AS (
-  SELECT s_nationkey AS fund_code, CAST(date_trunc('month', l_shipdate) AS DATE) AS period_start,
+  SELECT s_nationkey AS fund_code, CAST(date_trunc('{unit}', l_shipdate) AS DATE) AS period_start,
     CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END) AS BIGINT) AS subscriptions,
     CAST(-sum(CASE WHEN l_returnflag = 'R' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END) AS BIGINT) AS redemptions,
     CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT) END) AS BIGINT) AS chg_investment
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL
+), dist AS (SELECT *, CAST({paid} AS BIGINT) AS chg_distribution FROM raw
 ), led AS (
-  SELECT *, coalesce(subscriptions, 0) + coalesce(redemptions, 0) + coalesce(chg_investment, 0) AS change FROM raw
+  SELECT *, coalesce(subscriptions, 0) + coalesce(redemptions, 0) + coalesce(chg_investment, 0) + coalesce(chg_distribution, 0) AS change FROM dist
 ), ledger AS (
-  SELECT fund_code, period_start, last_day(period_start) AS period_end, subscriptions, redemptions, chg_investment,
+  SELECT fund_code, period_start, {"last_day(period_start)" if unit == "month" else "CAST(period_start + 6 AS DATE)"} AS period_end, subscriptions, redemptions, chg_investment, chg_distribution,
     CAST({START} + sum(change) OVER (PARTITION BY fund_code ORDER BY period_start) AS BIGINT) AS nav_end,
     CAST({START} + sum(change) OVER (PARTITION BY fund_code ORDER BY period_start) - change AS BIGINT) AS nav_begin,
     CASE WHEN subscriptions IS NULL AND redemptions IS NULL THEN NULL ELSE coalesce(subscriptions, 0) + coalesce(redemptions, 0) END AS net_flow
   FROM led
 )"""
+
+
+LEDGER, WEEKS = _ledger_sql(), _ledger_sql("week")
 MEASURED = LEDGER + """, m AS (
   SELECT *, abs(coalesce(subscriptions, 0)) / CAST(nav_begin AS DOUBLE) AS sr, abs(coalesce(redemptions, 0)) / CAST(nav_begin AS DOUBLE) AS rr,
     net_flow / CAST(nav_begin AS DOUBLE) AS nr, nav_end / CAST(nav_begin AS DOUBLE) - 1 AS ret FROM ledger
@@ -76,14 +85,28 @@ def measured(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corrupted(spark: SparkSession, d: str) -> DataFrame:
-    """Every 17th period closes wrong, every 23rd lasts too long."""
+    """Faults of every kind: closings off by far more than the tolerance, net lines that differ from
+    their legs, periods without an end or too long, openings of zero."""
     k = F.col("fund_code") * 100 + F.month("period_start")
-    return ledger(spark, d).withColumns({"nav_end": F.when(k % 17 == 0, F.col("nav_end") + 777).otherwise(F.col("nav_end")), "period_end": F.when(k % 23 == 0, F.date_add("period_end", 60)).otherwise(F.col("period_end"))})
-
-
-CORRUPTED = LEDGER + """, c AS (
-  SELECT * REPLACE (CASE WHEN (fund_code * 100 + month(period_start)) % 17 = 0 THEN nav_end + 777 ELSE nav_end END AS nav_end,
-    CASE WHEN (fund_code * 100 + month(period_start)) % 23 = 0 THEN CAST(period_end + 60 AS DATE) ELSE period_end END AS period_end) FROM ledger
+    legs = F.coalesce("subscriptions", F.lit(0)) + F.coalesce("redemptions", F.lit(0))
+    return ledger(spark, d).withColumns({
+        "nav_end": F.when(k % 17 == 0, F.col("nav_end") + 777_777).otherwise(F.col("nav_end")),
+        "nav_begin": F.when(k % 31 == 0, 0).otherwise(F.col("nav_begin")),
+        "chg_flows_net": F.when(k % 3 == 0, legs + F.when(k % 19 == 0, 55_555).otherwise(0)),
+        "period_end": F.when(k % 29 == 0, None).when(k % 23 == 0, F.date_add("period_end", 60)).otherwise(F.col("period_end")),
+    })
+
+
+CORRUPTED = LEDGER + """, k AS (SELECT *, fund_code * 100 + month(period_start) AS k, coalesce(subscriptions, 0) + coalesce(redemptions, 0) AS legs, subscriptions IS NOT NULL OR redemptions IS NOT NULL AS has FROM ledger
+), c AS (
+  SELECT * REPLACE (CASE WHEN k % 17 = 0 THEN nav_end + 777777 ELSE nav_end END AS nav_end, CASE WHEN k % 31 = 0 THEN 0 ELSE nav_begin END AS nav_begin,
+    CASE WHEN k % 29 = 0 THEN NULL WHEN k % 23 = 0 THEN CAST(period_end + 60 AS DATE) ELSE period_end END AS period_end),
+    CASE WHEN k % 3 = 0 THEN legs + CASE WHEN k % 19 = 0 THEN 55555 ELSE 0 END END AS net FROM k
+), r AS (
+  SELECT *, nav_end - (nav_begin + coalesce(chg_investment, 0) + CASE WHEN has THEN legs ELSE coalesce(net, 0) END) AS residual, CASE WHEN has AND net IS NOT NULL THEN net - legs ELSE 0 END AS net_residual FROM c
+), g AS (
+  SELECT *, concat_ws(',', CASE WHEN abs(residual) > greatest(5.0, 1e-9 * abs(nav_end)) THEN 'identity' END, CASE WHEN abs(net_residual) > greatest(5.0, 1e-9 * abs(coalesce(net, 0))) THEN 'net_flow' END,
+    CASE WHEN nav_begin = 0 THEN 'nav_begin' END, CASE WHEN period_end IS NULL THEN 'period_end' END, CASE WHEN datediff('day', period_start, period_end) > 35 THEN 'period_days' END) AS reason FROM r
 )"""
 
 
@@ -94,18 +117,26 @@ def ledger_panel(spark, d):
     return measured(spark, d).select("fund_code", "period_start", "nav_begin", "nav_end", "net_flow", r("gross_subscription_rate").alias("sub_rate"), r("gross_redemption_rate").alias("red_rate"), r("net_flow_rate").alias("net_rate"), r("churn_rate").alias("churn"), F.datediff("period_end", "period_start").cast("bigint").alias("period_days"))
 
 
-@_query("WITH " + CORRUPTED + """SELECT fund_code, period_start, nav_end - (nav_begin + coalesce(chg_investment, 0) + coalesce(subscriptions, 0) + coalesce(redemptions, 0)) AS residual,
-  concat_ws('; ', CASE WHEN (fund_code * 100 + month(period_start)) % 17 = 0 THEN 'identity' END, CASE WHEN datediff('day', period_start, period_end) > 35 THEN 'period_days' END) AS reason FROM c""")
+@_query("WITH " + CORRUPTED + "SELECT fund_code, period_start, CAST(residual AS BIGINT) AS residual, CAST(net_residual AS BIGINT) AS net_residual, reason FROM g")
 def identity_gate(spark, d):
-    # cents stay well within the tolerance of 1e-9 of the value, so the gate is told to be exact here
+    """The gate's own residuals and reasons, row by row."""
     got = gates.gate(gates.with_net_flow(corrupted(spark, d)))
-    exact = F.concat_ws("; ", F.when(F.abs("identity_residual") > 5, "identity"), F.when(F.col("period_days") > 35, "period_days"))
-    return got.select("fund_code", "period_start", F.col("identity_residual").alias("residual"), exact.alias("reason"))
+    return got.select("fund_code", "period_start", F.col("identity_residual").alias("residual"), F.col("net_residual").cast("bigint").alias("net_residual"), gates.reasons(F.col("quarantine_reason")).alias("reason"))
 
 
-@_query("WITH " + CORRUPTED + "SELECT count(*) FILTER (WHERE datediff('day', period_start, period_end) > 35) AS quarantined, count(*) FILTER (WHERE datediff('day', period_start, period_end) <= 35) AS accepted FROM c")
+@_query("WITH " + CORRUPTED + "SELECT reason, count(*) AS n FROM g GROUP BY reason")
 def quarantine_counts(spark, d):
-    return gates.gate(gates.with_net_flow(corrupted(spark, d))).agg(F.count_if(F.col("quarantine_reason") != "").alias("quarantined"), F.count_if(F.col("quarantine_reason") == "").alias("accepted"))
+    got = gates.gate(gates.with_net_flow(corrupted(spark, d)))
+    return got.groupBy(gates.reasons(F.col("quarantine_reason")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@_query("WITH " + CORRUPTED + r"""SELECT fund_code, period_start, CASE WHEN reason LIKE '%net_flow%' THEN 'net_flow: net line ' || format('{:,}', net) || ', legs ' || format('{:,}', legs) || ', residual ' || format('{:,}', net_residual) || '.00' END AS told,
+  CASE WHEN reason LIKE '%period_days%' THEN 'period_days: ' || datediff('day', period_start, period_end) || ' outside [0, 35]' END AS days FROM g WHERE reason <> ''""")
+def quarantine_reasons(spark, d):
+    """What the quarantine says in words about net lines and long periods."""
+    got = build.build(corrupted(spark, d).withColumn("source", F.concat_ws("-", "fund_code", "period_start"))).quarantine
+    said = lambda word: F.nullif(F.regexp_extract("quarantine_reason", rf"(?:^|; )({word}: [^;]*)", 1), F.lit(""))
+    return got.select("fund_code", "period_start", said("net_flow").alias("told"), said("period_days").alias("days"))
 
 
 @_query("WITH " + LEDGER + """SELECT fund_code, period_start, fund_code % 3 <> 0 OR coalesce(net_flow, 0) = 0 AS disclosed,
@@ -118,11 +149,12 @@ def undisclosed_legs(spark, d):
 
 
 @_query("WITH " + LEDGER + """, u AS (SELECT *, 10000.0::DOUBLE AS b, 10000.0 * (1 + coalesce(chg_investment, 0) / CAST(nav_begin AS DOUBLE)) AS e FROM ledger)
-SELECT fund_code, period_start, round(nav_begin / b, 4) AS units_begin, round(((nav_end / e - nav_begin / b) * e - net_flow) / abs(net_flow) * 100, 4) AS end_error_pct FROM u""")
+SELECT fund_code, period_start, round(nav_begin / b, 4) AS units_begin, round(((nav_end / e - nav_begin / b) * e - net_flow) / abs(net_flow) * 100, 4) AS end_error_pct,
+  round(((nav_end / e - nav_begin / b) * (b + e) / 2 - net_flow) / abs(net_flow) * 100, 4) AS mid_error_pct FROM u""")
 def proxy_diagnostics(spark, d):
     df = gates.with_net_flow(ledger(spark, d)).withColumns({"nav_per_unit_begin": F.lit(10000.0), "nav_per_unit_end": 10000.0 * (1 + F.coalesce("chg_investment", F.lit(0)) / F.col("nav_begin").cast("double"))})
     got = gates.with_proxies(gates.with_unit_measures(df))
-    return got.select("fund_code", "period_start", F.round("units_begin", 4).alias("units_begin"), F.round("proxy_end_error_pct", 4).alias("end_error_pct"))
+    return got.select("fund_code", "period_start", F.round("units_begin", 4).alias("units_begin"), F.round("proxy_end_error_pct", 4).alias("end_error_pct"), F.round("proxy_mid_error_pct", 4).alias("mid_error_pct"))
 
 
 def _restated(spark, d):
@@ -134,7 +166,8 @@ def _restated(spark, d):
 @_query("WITH " + LEDGER + """SELECT fund_code, period_start, 'f_1' AS source, 'f_3' AS superseded_by, CASE WHEN fund_code % 2 = 0 AND chg_investment IS NOT NULL THEN 'restatement' ELSE 'identical' END AS reason
 FROM ledger WHERE (fund_code + month(period_start)) % 5 = 0""")
 def dedupe_restatement(spark, d):
-    _, gone = panel.dedupe(_restated(spark, d), build.VALUES)
+    df = _restated(spark, d)
+    _, gone = panel.dedupe(df, [v for v in build.VALUES if v in df.columns])
     return gone.select("fund_code", "period_start", "source", "superseded_by", "reason")
 
 
@@ -154,17 +187,21 @@ def _gaps(spark, d):
     return ledger(spark, d).where((F.col("fund_code") + F.month("period_start")) % 7 != 0)
 
 
-@_query("WITH " + GAPS + """, w AS (SELECT *, lag(nav_end) OVER f AS was, lag(period_end) OVER f AS was_end, row_number() OVER f AS n FROM g WINDOW f AS (PARTITION BY fund_code ORDER BY period_end))
-SELECT fund_code, period_end, nav_begin - was AS residual, CASE WHEN datediff('day', was_end, period_start) > 1 THEN 'missed filing' ELSE 'adjacent' END AS detail FROM w WHERE n > 1""")
+WALKED = GAPS + """, w AS (SELECT *, lag(nav_end) OVER f AS was, lag(period_end) OVER f AS was_end, row_number() OVER f AS n FROM g WINDOW f AS (PARTITION BY fund_code ORDER BY period_end)),
+x AS (SELECT fund_code, period_end, nav_begin - was AS residual, abs(nav_begin - was) <= greatest(5.0, 1e-9 * abs(was)) AS passed, 'opening ' || format('{:,}', nav_begin) || ', closing before ' || format('{:,}', was)
+  || CASE WHEN abs(nav_begin - was) <= greatest(5.0, 1e-9 * abs(was)) THEN '' ELSE ', gap ' || format('{:,}', nav_begin - was) || '; likely a missed filing between ' || was_end || ' and ' || period_start END AS detail FROM w WHERE n > 1)"""
+
+
+@_query("WITH " + WALKED + "SELECT * FROM x")
 def chain_continuity(spark, d):
-    return gates.continuity(_gaps(spark, d)).select("fund_code", "period_end", "residual", "detail")
+    return gates.continuity(_gaps(spark, d)).select("fund_code", "period_end", "residual", "passed", "detail")
 
 
-@_query("WITH " + GAPS + """, w AS (SELECT *, lag(nav_end) OVER f AS was, row_number() OVER f AS n FROM g WINDOW f AS (PARTITION BY fund_code ORDER BY period_end)),
-x AS (SELECT abs(nav_begin - was) AS r, abs(nav_begin - was) <= greatest(5.0, 1e-9 * abs(was)) AS ok FROM w WHERE n > 1)
-SELECT 'continuity' AS "check", count(*) AS total, count(*) FILTER (WHERE ok) AS n_passed, max(r) AS max_residual FROM x""")
+@_query("WITH " + WALKED + """, f AS (SELECT *, row_number() OVER (ORDER BY CAST(fund_code AS VARCHAR), period_end) AS k, count(*) OVER () AS n FROM x WHERE NOT passed)
+SELECT 'continuity' AS "check", count(*) AS total, count(*) FILTER (WHERE passed) AS n_passed, max(abs(residual))::DOUBLE AS max_residual,
+  (SELECT string_agg(fund_code || ' ' || period_end || ' ' || detail, chr(10) ORDER BY k) || CASE WHEN max(n) > 10 THEN chr(10) || 'and ' || (max(n) - 10) || ' more' ELSE '' END FROM f WHERE k <= 10) AS failures FROM x""")
 def check_summary(spark, d):
-    return gates.check_summary(gates.continuity(_gaps(spark, d))).select("check", "total", "n_passed", "max_residual")
+    return gates.check_summary(gates.continuity(_gaps(spark, d)))
 
 
 @_query("WITH " + LEDGER + "SELECT fund_code, period_start, n_name, r_name FROM ledger LEFT JOIN nation ON fund_code = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -173,14 +210,57 @@ def fund_meta_join(spark, d):
     return panel.with_metadata(ledger(spark, d), funds).select("fund_code", "period_start", "n_name", "r_name")
 
 
-@_query("WITH " + LEDGER + """, i AS (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS close FROM orders WHERE isodow(o_orderdate) < 6 GROUP BY ALL)
-SELECT fund_code, period_start, period_end, b.close AS index_begin, e.close AS index_end, round(e.close / b.close - 1, 8) AS market_return
-FROM ledger ASOF LEFT JOIN i b ON period_start >= b.day ASOF LEFT JOIN i e ON period_end >= e.day""")
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders").where(F.weekday("o_orderdate") < 5).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("close"))
+
+
+INDEXED = """, i AS (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS close FROM orders WHERE isodow(o_orderdate) < 6 GROUP BY ALL),
+z AS (SELECT l.*, b.close AS index_begin, e.close AS index_end, e.close / b.close - 1 AS market_return, nav_end / CAST(nav_begin AS DOUBLE) - 1 AS gross_return FROM ledger l ASOF LEFT JOIN i b ON period_start >= b.day ASOF LEFT JOIN i e ON period_end >= e.day)"""
+
+
+def _returns(df: DataFrame) -> DataFrame:
+    """Unit values that follow the fund's value, so the return is that of the value."""
+    return gates.with_unit_measures(gates.with_net_flow(df).withColumns({"nav_per_unit_begin": F.col("nav_begin") / 1000.0, "nav_per_unit_end": F.col("nav_end") / 1000.0}))
+
+
+@_query("WITH " + LEDGER + INDEXED + "SELECT fund_code, period_start, period_end, index_begin, index_end, round(market_return, 8) AS market_return, round(gross_return - market_return, 8) AS excess_return FROM z")
 def asof_index_return(spark, d):
-    series = _table(spark, d, "orders").where(F.weekday("o_orderdate") < 5).groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("close"))
-    got = panel.asof_days(ledger(spark, d), series, "period_start", "close", "index_begin")
-    got = panel.asof_days(got, series, "period_end", "close", "index_end")
-    return got.select("fund_code", "period_start", "period_end", "index_begin", "index_end", F.round(F.col("index_end") / F.col("index_begin") - 1, 8).alias("market_return"))
+    got = panel.with_market_return(_returns(ledger(spark, d)), _index(spark, d))
+    return got.select("fund_code", "period_start", "period_end", "index_begin", "index_end", F.round("market_return", 8).alias("market_return"), F.round("excess_return", 8).alias("excess_return"))
+
+
+def _rates(spark: SparkSession, d: str) -> DataFrame:
+    """A rate for four months of five."""
+    o = _table(spark, d, "orders").groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg((F.count("*") % 9 + 1).cast("double").alias("rate_pct")).where(F.month("month") % 5 != 0)
+    return o.withColumns({"provenance": F.concat(F.lit("orders of "), F.date_format("month", "yyyy-MM")), "bank": F.lit("all")})
+
+
+RATED = """, o AS (SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS month, CAST(count(*) % 9 + 1 AS DOUBLE) AS rate_pct, 'orders of ' || strftime(date_trunc('month', o_orderdate), '%Y-%m') AS provenance FROM orders WHERE month(o_orderdate) % 5 <> 0 GROUP BY ALL)"""
+
+
+@_query("WITH " + WEEKS + RATED + "SELECT fund_code, period_end, strftime(period_end, '%Y-%m') AS month, rate_pct AS deposit_rate_pct, provenance AS deposit_rate_provenance, CASE WHEN rate_pct IS NOT NULL THEN 'all' END AS deposit_rate_bank FROM ledger LEFT JOIN o ON o.month = strftime(period_end, '%Y-%m')")
+def rate_month_join(spark, d):
+    return panel.with_deposit_rate(ledger(spark, d, "week"), _rates(spark, d)).select("fund_code", "period_end", "month", "deposit_rate_pct", "deposit_rate_provenance", "deposit_rate_bank")
+
+
+@_query("WITH " + WEEKS + """SELECT fund_code, strftime(period_end, '%Y-%m') AS month, min(period_start) AS period_start, max(period_end) AS period_end, count(*) AS n_periods, CAST(6 * count(*) AS BIGINT) AS period_days, min_by(nav_begin, period_end) AS nav_begin, max_by(nav_end, period_end) AS nav_end,
+  round(min_by(nav_begin, period_end) / 1000.0, 3) AS nav_per_unit_begin, round(max_by(nav_end, period_end) / 1000.0, 3) AS nav_per_unit_end, CAST(sum(subscriptions) AS BIGINT) AS subscriptions, CAST(sum(redemptions) AS BIGINT) AS redemptions, CAST(sum(net_flow) AS BIGINT) AS net_flow,
+  CAST(sum(chg_investment) AS BIGINT) AS chg_investment, CAST(sum(chg_distribution) AS BIGINT) AS chg_distribution,
+  CAST(max_by(nav_end, period_end) - min_by(nav_begin, period_end) - coalesce(sum(net_flow), 0) - coalesce(sum(chg_investment), 0) - coalesce(sum(chg_distribution), 0) AS BIGINT) AS residual,
+  round((coalesce(sum(subscriptions), 0) - coalesce(sum(redemptions), 0)) / CAST(min_by(nav_begin, period_end) AS DOUBLE), 8) AS churn_rate FROM ledger WHERE (fund_code + day(period_start)) % 11 <> 0 GROUP BY 1, 2""")
+def monthly_rollup(spark, d):
+    """Weeks by month, every eleventh missing, so that residuals show the gaps."""
+    df = _returns(ledger(spark, d, "week").where((F.col("fund_code") + F.dayofmonth("period_start")) % 11 != 0))
+    got = panel.to_monthly(df)
+    unit = [F.round(c, 3).alias(c) for c in ("nav_per_unit_begin", "nav_per_unit_end")]
+    return got.select("fund_code", "month", "period_start", "period_end", "n_periods", F.col("period_days").cast("bigint").alias("period_days"), "nav_begin", "nav_end", *unit, "subscriptions", "redemptions", "net_flow", "chg_investment", "chg_distribution", "residual", F.round("churn_rate", 8).alias("churn_rate"))
+
+
+@_query("WITH " + WEEKS + INDEXED + RATED + """SELECT fund_code, strftime(period_end, '%Y-%m') AS month, round(product(1 + gross_return) - 1, 8) AS gross_return, round(product(1 + market_return) - 1, 8) AS market_return,
+  round(product(1 + gross_return) - product(1 + market_return), 8) AS excess_return, max_by(rate_pct, period_end) AS deposit_rate_pct, max_by(provenance, period_end) AS deposit_rate_provenance FROM z LEFT JOIN o ON o.month = strftime(period_end, '%Y-%m') GROUP BY 1, 2""")
+def monthly_compound(spark, d):
+    df = panel.with_macro(_returns(ledger(spark, d, "week")), _index(spark, d), _rates(spark, d))
+    return panel.to_monthly(df).select("fund_code", "month", *[F.round(c, 8).alias(c) for c in ("gross_return", "market_return", "excess_return")], "deposit_rate_pct", "deposit_rate_provenance")
 
 
 @_query("""WITH v AS (SELECT user_id, ts, max_by(value, event_id) AS value FROM events WHERE event_type = 'view' GROUP BY ALL)
@@ -196,11 +276,13 @@ s AS (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', I
 j AS (SELECT s.month, o.rate FROM s LEFT JOIN o USING (month)),
 k AS (SELECT month, rate, (SELECT max(month) FROM o WHERE o.month < j.month) AS pm, (SELECT min(month) FROM o WHERE o.month > j.month) AS nm FROM j),
 w AS (SELECT k.*, p.rate AS pr, n.rate AS nr FROM k LEFT JOIN o p ON p.month = pm LEFT JOIN o n ON n.month = nm),
-t AS (SELECT *, CASE WHEN rate IS NOT NULL THEN 'observed' WHEN pm IS NULL THEN 'no earlier rate' WHEN nm IS NULL THEN 'no later rate' WHEN pr <> nr THEN 'rate changed' WHEN datediff('month', pm, nm) > 6 THEN 'too far apart' ELSE 'bridged' END AS provenance FROM w)
-SELECT month, CASE WHEN provenance = 'bridged' THEN pr ELSE rate END AS rate, rate IS NOT NULL AS observed, provenance FROM t""")
+t AS (SELECT *, strftime(pm, '%Y-%m') AS ps, strftime(nm, '%Y-%m') AS ns, pr = nr AND datediff('month', pm, nm) <= 6 AS ok FROM w)
+SELECT month, CASE WHEN rate IS NULL AND ok THEN pr ELSE rate END AS rate, rate IS NOT NULL AS observed, CASE WHEN rate IS NOT NULL THEN 'seen' WHEN ok THEN 'seen' END AS bank,
+  CASE WHEN rate IS NOT NULL THEN 'observed' WHEN pm IS NULL THEN 'no earlier rate' WHEN nm IS NULL THEN 'no later rate than ' || ps WHEN pr <> nr THEN 'rate changed between ' || ps || ' and ' || ns
+  WHEN datediff('month', pm, nm) > 6 THEN ps || ' and ' || ns || ' agree but are more than 6 months apart' ELSE 'bridged between ' || ps || ' and ' || ns END AS provenance FROM t""")
 def rate_bridge(spark, d):
-    rates = _table(spark, d, "orders").where(F.month("o_orderdate").isin(1, 2, 6, 7, 12)).groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg((F.count("*") % 2).cast("double").alias("rate"))
-    return panel.bridge(rates, "1995-01-01", "2001-12-01")
+    seen = _table(spark, d, "orders").where(F.month("o_orderdate").isin(1, 2, 6, 7, 12)).groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg((F.count("*") % 2).cast("double").alias("rate"), F.lit("seen").alias("bank"))
+    return panel.bridge(seen, "1995-01-01", "2001-12-01")
 
 
 @_query("""WITH a AS (SELECT month(o_orderdate) AS month, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND month(o_orderdate) % 2 = 0 GROUP BY 1), b AS (SELECT month(o_orderdate) AS month, -count(*) AS n FROM orders GROUP BY 1)
@@ -211,11 +293,13 @@ def priority_merge(spark, d):
 
 
 @_query("WITH " + LEDGER + """, f AS (SELECT fund_code, CAST(period_end + 1 AS DATE) AS day, nav_end + CASE WHEN fund_code % 4 = 0 THEN nav_end // 100 ELSE 0 END AS seen FROM ledger WHERE month(period_start) % 2 = 0)
-SELECT l.fund_code, l.period_end, f.seen, abs(l.nav_end - f.seen) / CAST(abs(f.seen) AS DOUBLE) * 100 <= 0.1 AS agrees FROM ledger l LEFT JOIN f ON f.fund_code = l.fund_code AND f.day = CAST(l.period_end + 1 AS DATE)""")
+SELECT l.fund_code, l.period_end, f.seen, round((l.nav_end - f.seen) / CAST(f.seen AS DOUBLE) * 100, 8) AS diff_pct, abs(l.nav_end - f.seen) / CAST(abs(f.seen) AS DOUBLE) * 100 <= 0.1 AS agrees FROM ledger l LEFT JOIN f ON f.fund_code = l.fund_code AND f.day = CAST(l.period_end + 1 AS DATE)""")
 def lagged_exact_crosscheck(spark, d):
+    """A feed that lists every day twice, wrong first: only the revision counts."""
     df = ledger(spark, d)
-    feed = df.where(F.month("period_start") % 2 == 0).select("fund_code", F.date_add("period_end", 1).alias("day"), (F.col("nav_end") + F.when(F.col("fund_code") % 4 == 0, F.expr("nav_end div 100")).otherwise(F.lit(0))).alias("seen"))
-    return panel.exact_crosscheck(df, feed, "nav_end", "seen").select("fund_code", "period_end", "seen", "agrees")
+    right = df.where(F.month("period_start") % 2 == 0).select("fund_code", F.date_add("period_end", 1).alias("day"), (F.col("nav_end") + F.when(F.col("fund_code") % 4 == 0, F.expr("nav_end div 100")).otherwise(F.lit(0))).alias("seen"), F.lit(1).alias("pos"))
+    feed = right.unionByName(right.withColumns({"seen": F.col("seen") * 2, "pos": F.lit(0)}))
+    return panel.exact_crosscheck(df, feed, "nav_end", "seen", order="pos").select("fund_code", "period_end", "seen", F.round("diff_pct", 8).alias("diff_pct"), "agrees")
 
 
 @_query("WITH " + MEASURED + """SELECT fund_code, year(period_start) AS year, min(period_start) AS period_start, max(period_end) AS period_end, count(*) AS n_periods, min_by(nav_begin, period_end) AS nav_begin, max_by(nav_end, period_end) AS nav_end,
@@ -250,18 +334,50 @@ def rank_splines(spark, d):
     return got.select("fund_code", "period_start", F.round("pr", 8).alias("pct_rank"), *[F.round(c, 8).alias(k) for k, c in stats.splines(F.col("pr")).items()])
 
 
-@_query("WITH " + MEASURED + """, e AS (SELECT quantile_cont(ret, 0.2) AS a, quantile_cont(ret, 0.4) AS b, quantile_cont(ret, 0.6) AS c, quantile_cont(ret, 0.8) AS d FROM m),
-x AS (SELECT 1 + (ret > a)::INT + (ret > b)::INT + (ret > c)::INT + (ret > d)::INT AS bin, sr FROM m, e) SELECT bin, count(*) AS n, round(avg(sr) * 100, 6) AS mean_pct FROM x GROUP BY bin""")
+SAMPLE = MEASURED + """, n AS (SELECT *, row_number() OVER (PARTITION BY fund_code ORDER BY period_end) AS k FROM m), s AS (SELECT *, sr + rr AS churn FROM n WHERE k > 4),
+q AS (SELECT [quantile_cont(nr, 0.01), quantile_cont(nr, 0.99)] AS n, [quantile_cont(sr, 0.01), quantile_cont(sr, 0.99)] AS s, [quantile_cont(rr, 0.01), quantile_cont(rr, 0.99)] AS r, [quantile_cont(churn, 0.01), quantile_cont(churn, 0.99)] AS c FROM s)"""
+
+
+@_query("WITH " + SAMPLE + """SELECT (SELECT count(*) FROM n) AS n_input, (SELECT count(*) FROM n WHERE k <= 4) AS n_dropped_inception, (SELECT count(DISTINCT fund_code) FROM n WHERE k <= 4) AS funds_affected,
+  CAST(sum((coalesce(nr < q.n[1] OR nr > q.n[2], false))::INT + (sr < q.s[1] OR sr > q.s[2])::INT + (rr < q.r[1] OR rr > q.r[2])::INT + (churn < q.c[1] OR churn > q.c[2])::INT) AS BIGINT) AS n_values_winsorised, count(*) AS n_net_rebuilt_from_legs, count(*) AS n_output FROM s, q""")
+def sample_record(spark, d):
+    """What preparing the sample left out and changed."""
+    _, record = stats.prepare_sample(measured(spark, d))
+    keys = ["n_input", "n_dropped_inception", "funds_affected", "n_values_winsorised", "n_net_rebuilt_from_legs", "n_output"]
+    return spark.createDataFrame([tuple(record[k] for k in keys)], ", ".join(f"{k} bigint" for k in keys))
+
+
+@_query("WITH " + LEDGER + INDEXED + """, e AS (SELECT *, gross_return - market_return AS exc FROM z)
+SELECT fund_code, period_start, round(lag(gross_return) OVER f, 8) AS ret_lag1_1, CASE WHEN count(gross_return) OVER w = 12 THEN round(sum(gross_return) OVER w, 8) END AS ret_lag1_12,
+  round(lag(exc) OVER f, 8) AS exc_lag1_1, CASE WHEN count(exc) OVER v = 4 THEN round(sum(exc) OVER v, 8) END AS exc_lag1_4 FROM e
+WINDOW f AS (PARTITION BY fund_code ORDER BY period_end), w AS (PARTITION BY fund_code ORDER BY period_end ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), v AS (PARTITION BY fund_code ORDER BY period_end ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
+def lagged_performance(spark, d):
+    got = stats.add_lagged_performance(panel.with_market_return(_returns(ledger(spark, d)), _index(spark, d)))
+    return got.select("fund_code", "period_start", *[F.round(c, 8).alias(c) for c in ("ret_lag1_1", "ret_lag1_12", "exc_lag1_1", "exc_lag1_4")])
+
+
+@_query("WITH " + MEASURED + """, d AS (SELECT * FROM m WHERE nr IS NOT NULL), e AS (SELECT quantile_cont(ret, 0.2) AS a, quantile_cont(ret, 0.4) AS b, quantile_cont(ret, 0.6) AS c, quantile_cont(ret, 0.8) AS d FROM d),
+x AS (SELECT 1 + (ret > a)::INT + (ret > b)::INT + (ret > c)::INT + (ret > d)::INT AS bin, sr, rr, nr FROM d, e) SELECT bin, count(*) AS n, round(avg(nr) * 100, 4) AS net_flow_rate_pct, round(avg(sr) * 100, 4) AS gross_subscription_rate_pct, round(avg(rr) * 100, 4) AS gross_redemption_rate_pct FROM x GROUP BY bin""")
 def quantile_table(spark, d):
-    return stats.quantile_bins(measured(spark, d), "gross_return").groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("gross_subscription_rate") * 100, 6).alias("mean_pct"))
+    return stats.quantile_table(measured(spark, d), "gross_return")
+
 
+@_query("""WITH x AS (SELECT l_orderkey, l_linenumber, greatest(l_quantity - 20, 0) AS v FROM lineitem), q AS (SELECT list_sort(list_distinct([quantile_cont(v, 0.0), quantile_cont(v, 0.2), quantile_cont(v, 0.4), quantile_cont(v, 0.6), quantile_cont(v, 0.8), quantile_cont(v, 1.0)])) AS e FROM x)
+SELECT 1 + len(list_filter(e[2:-2], lambda y: v > y)) AS bin, count(*) AS n, min(v) AS lo, max(v) AS hi FROM x, q GROUP BY 1""")
+def quantile_bins_ties(spark, d):
+    """Two fifths of the values are zero, so two edges fall together."""
+    v = F.greatest(F.col("l_quantity") - 20, F.lit(0.0))
+    got = stats.quantile_bins(_table(spark, d, "lineitem").select(v.alias("v")), "v")
+    return got.groupBy(F.col("bin").cast("bigint").alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
-@_query("WITH " + MEASURED + """SELECT count(*) AS n, round(avg(abs(nr)), 8) AS mean_abs_net, round(avg(sr + rr), 8) AS mean_gross, round(stddev_samp(nr), 8) AS sd_net, round(corr(sr, rr), 6) AS corr_legs,
-  round(avg((abs(nr) < 0.001)::INT), 8) AS quiet_share, round(max(sr + rr) FILTER (WHERE abs(nr) < 0.001), 8) AS quiet_max_gross FROM m WHERE nr IS NOT NULL""")
+
+@_query("WITH " + MEASURED + """, d AS (SELECT *, sr + rr AS churn, abs(nr) < 0.001 AS calm FROM m WHERE nr IS NOT NULL)
+SELECT count(*) AS n_obs, 0.001::DOUBLE AS quiet_threshold, count(*) FILTER (WHERE calm) AS n_quiet_periods, round(avg(calm::INT), 8) AS share_quiet, round(avg(churn) FILTER (WHERE calm), 8) AS mean_churn_when_quiet, round(max(churn) FILTER (WHERE calm), 8) AS max_churn_when_quiet,
+  round(corr(nr, churn), 6) AS corr_net_churn, round(avg(sr), 8) AS mean_gross_subscription_rate, round(avg(rr), 8) AS mean_gross_redemption_rate, round(stddev_samp(sr) / stddev_samp(rr), 6) AS sd_ratio_subs_over_reds FROM d""")
 def netting_loss(spark, d):
     got = stats.netting_loss(measured(spark, d))
-    r = lambda c, k=8: F.round(c, k).alias(c)
-    return got.select("n", r("mean_abs_net"), r("mean_gross"), r("sd_net"), r("corr_legs", 6), r("quiet_share"), r("quiet_max_gross"))
+    digits = {"corr_net_churn": 6, "sd_ratio_subs_over_reds": 6}
+    return got.select(*[c if t != "double" or c == "quiet_threshold" else F.round(c, digits.get(c, 8)).alias(c) for c, t in got.dtypes])
 
 
 def _paired(spark, d, absorb):
@@ -288,12 +404,33 @@ def paired_slopes_fund_effects(spark, d):
     return _paired(spark, d, "fund_code")
 
 
+@_query(PAIRED.format("x, nr AS y, period_start").split("SELECT 'net_flow_rate'")[0] + """, t AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(x) AS mx, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx, regr_r2(y, x) AS r2 FROM d),
+u AS (SELECT (x - mx) * (y - a - b * x) AS s, (sxx / n - (x - mx) * mx) * (y - a - b * x) AS c FROM d, t)
+SELECT 'lagged' AS term, round(b, 6) AS coef, round(sqrt((SELECT sum(s * s) FROM u) * n / (n - 2)) / sxx, 6) AS std_err, round(r2, 6) AS r2, n FROM t
+UNION ALL SELECT 'const', round(a, 6), round(sqrt((SELECT sum(c * c) FROM u) * n / (n - 2)) / sxx, 6), round(r2, 6), n FROM t""")
+def ols_simple(spark, d):
+    """One regressor and a constant, errors robust to heteroskedasticity."""
+    df = measured(spark, d).withColumn("lagged", stats.lagged_sum("gross_return", 1, 4))
+    (f,) = stats.least_squares(df, ["net_flow_rate"], ["lagged"])
+    return spark.createDataFrame([(t, round(b, 6), round(e, 6), round(f.r2, 6), n) for _, t, b, e, _, n in f.rows()], "term string, coef double, std_err double, r2 double, n bigint")
+
+
+@_query(PAIRED.format(f"{_C('x')} AS x, {_C('nr')} AS n, {_C('sr')} AS s, {_C('rr')} AS r, period_start").split("SELECT 'net_flow_rate'")[0] + """, y AS (SELECT period_start, x, unnest([n, s, r]) AS y, unnest(['net_flow_rate', 'gross_subscription_rate', 'gross_redemption_rate']) AS dependent FROM d),
+t AS (SELECT dependent, count(*) AS n, count(DISTINCT period_start) AS g, sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx FROM y GROUP BY ALL),
+c AS (SELECT dependent, period_start, sum(x * (y - b * x)) AS s FROM y JOIN t USING (dependent) GROUP BY ALL)
+SELECT dependent, round(b, 6) AS coef, round(sqrt((SELECT sum(s * s) FROM c WHERE c.dependent = t.dependent) * g / (g - 1)) / sxx, 6) AS std_err, n FROM t""")
+def cluster_se_1d(spark, d):
+    """Fund effects absorbed, errors clustered by month, from the paired specifications."""
+    df = measured(spark, d).withColumn("lagged", stats.lagged_sum("gross_return", 1, 4))
+    fits = stats.paired_specifications(df, "lagged", controls=(), cluster="period_start")
+    return stats.compare(spark, fits, "lagged").select("dependent", F.round("coef", 6).alias("coef"), F.round("std_err", 6).alias("std_err"), "n")
+
+
 @_query()
 def flow_performance(spark, d):
-    """Several regressors with fund effects and errors clustered by month: rows only."""
-    df = measured(spark, d).withColumns({"lagged": stats.lagged_sum("gross_return", 1, 4), "log_nav": F.log("nav_begin"), "days": F.datediff("period_end", "period_start").cast("double")})
-    fits = stats.least_squares(df, ["net_flow_rate", "gross_subscription_rate", "gross_redemption_rate"], ["lagged", "log_nav", "days"], cluster="period_start", absorb="fund_code")
-    return spark.createDataFrame([r for f in fits for r in f.rows()], "dependent string, term string, coef double, std_err double, t double, n bigint")
+    """Several regressors with fund effects and errors clustered by month: rows only, tested against numpy."""
+    df = stats.add_lagged_performance(panel.with_market_return(_returns(ledger(spark, d)), _index(spark, d)))
+    return stats.frame(spark, stats.paired_specifications(gates.with_flow_measures(df)))
 
 
 @_query("""SELECT l_orderkey, l_linenumber, l_quantity AS q, round(CASE WHEN l_linenumber % 2 = 0 THEN -l_extendedprice ELSE l_extendedprice END, 2) AS price FROM lineitem""")
@@ -326,10 +463,108 @@ def header_dates(spark, d):
     return o.select("o_orderkey", F.col("v.start").alias("vn_start"), F.col("v.end").alias("vn_end"), F.col("e.start").alias("en_start"), F.col("e.end").alias("en_end"))
 
 
-@_query("""SELECT page_id, CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS BIGINT) AS n_links, sha256(url)[1:16] AS key FROM pages""")
+@_query("WITH " + LEDGER + """SELECT fund_code, period_start, CASE WHEN fund_code % 2 = 0 THEN 'alt' ELSE 'standard' END AS variant, nav_end, CASE WHEN fund_code % 2 = 1 THEN 20000000 END AS subscriptions, CASE WHEN fund_code % 2 = 1 THEN -net_flow END AS redemptions,
+  CASE WHEN fund_code % 2 = 0 THEN -net_flow END AS chg_flows_net, CASE WHEN fund_code % 2 = 0 THEN 20000000 END AS chg_distribution, 'ParseError: no line of section 3: a point-in-time report' AS daily_error FROM ledger WHERE net_flow IS NOT NULL""")
+def parse_alternate_template(spark, d):
+    """The same two lines 3.2.1 and 3.2.2 in both variants of the template, told apart by lines 1.2 and 1.3; and a report without them."""
+    df = gates.with_net_flow(ledger(spark, d)).where("net_flow is not null")
+    figure = lambda c: F.when(c < 0, F.concat(F.lit("("), F.format_number(-c, 0), F.lit(")"))).otherwise(F.format_number(c, 0))
+    top = F.concat(F.lit("1.1 Giá trị 1,000 1,000\n2.1 "), F.format_number("nav_end", 0), F.lit(" 1,000\n"))
+    text = F.concat(top, F.when(F.col("fund_code") % 2 == 0, "1.2 10,000.00 9.5\n2.2 10,100 9").otherwise("1.2\n1.3 10,000.00 9.5"), F.lit("\n3.2.1 20,000,000 (5)\n3.2.2 "), figure(-F.col("net_flow")), F.lit(" 7"))
+    of = df.select(F.concat_ws("-", "fund_code", "period_start").alias("doc_id"), F.col("fund_code").cast("string").alias("fund_code"), text.alias("text"), top.alias("daily"))
+    got = readers.parse_texts(of.drop("daily"))
+    daily = readers.split_failures(readers.parse_texts(of.select("doc_id", "fund_code", F.col("daily").alias("text"))))[1].select("doc_id", F.col("error").alias("daily_error"))
+    return got.join(daily, "doc_id", "left").select(F.col("fund_code").cast("int").alias("fund_code"), _start(), F.col("template_variant").alias("variant"), *_whole("nav_end", "subscriptions", "redemptions", "chg_flows_net", "chg_distribution"), "daily_error")
+
+
+def _start() -> Column:
+    """The period's start, which the printed documents have in their id."""
+    return F.to_date(F.substring_index("doc_id", "-", -3)).alias("period_start")
+
+
+def _whole(*columns: str) -> list[Column]:
+    return [F.col(c).cast("bigint").alias(c) for c in columns]
+
+
+@_query("WITH " + LEDGER + """SELECT fund_code, period_start, nav_begin, nav_end, subscriptions, redemptions, 20.54::DOUBLE AS pct, CAST(period_end + 2 AS DATE) AS report_date FROM ledger WHERE subscriptions IS NOT NULL OR redemptions IS NOT NULL OR chg_investment IS NOT NULL""")
+def grid_filings(spark, d):
+    """The ledger as sheets: codes in column C as text or numbers, a sheet of notes before, a percent cell, a date cell."""
+    df = ledger(spark, d).withColumn("path", F.concat_ws("-", "fund_code", "period_start"))
+    none = F.lit(None)
+    cell = lambda sheet, row, col, text=None, number=none, percent=False, day=none: F.struct(F.lit(sheet).alias("sheet"), F.lit(row).alias("row"), F.lit(col).alias("col"), F.lit(text).cast("string").alias("value_str"), number.cast("double").alias("value_num"), F.lit(percent).alias("percent"), day.cast("date").alias("day"))
+    value = lambda row, c: [cell(2, row, 4, number=F.col(c)), cell(2, row, 5, number=F.lit(1))]
+    cells = F.array(
+        cell(1, 1, 1, "notes"), cell(2, 1, 1, "Reporting Date"), cell(2, 1, 3, day=F.date_add("period_end", 2)), cell(2, 2, 3, number=F.lit(1)), cell(2, 2, 4, number=F.lit(77)),
+        cell(2, 3, 3, number=F.lit(1.1)), *value(3, "nav_begin"), cell(2, 4, 3, number=F.lit(2.1)), *value(4, "nav_end"), cell(2, 5, 3, number=F.lit(3.1)), *value(5, "chg_investment"),
+        cell(2, 6, 3, " 3.2.1 "), *value(6, "subscriptions"), cell(2, 7, 3, "3.2.2"), *value(7, "redemptions"), cell(2, 8, 3, number=F.lit(6.3)), cell(2, 8, 4, number=F.lit(0.2054), percent=True), cell(2, 9, 3, "3.2.1"), cell(2, 9, 4, number=F.lit(5)),
+    )
+    grid = df.select("path", F.explode(cells).alias("c")).select("path", "c.*", F.lit(None).cast("string").alias("error")).where("value_str is not null or value_num is not null or day is not null")
+    got = readers.split_failures(readers.parse_grids(grid, df.select(F.col("path").alias("doc_id"), F.col("fund_code").cast("string").alias("fund_code"))))[0]
+    return got.select(F.col("fund_code").cast("int").alias("fund_code"), _start(), *_whole("nav_begin", "nav_end", "subscriptions", "redemptions"), F.round("foreign_ownership_pct", 8).alias("pct"), "report_date")
+
+
+@_query("WITH " + LEDGER + """SELECT fund_code, period_start, nav_begin, nav_end, subscriptions, redemptions, chg_investment, CAST(nav_begin - 1 AS BIGINT) AS prior_nav_end FROM ledger WHERE chg_investment IS NOT NULL""")
+def glyph_filings(spark, d):
+    """The ledger as glyphs at their places: two columns flush right, a label that runs through the
+    digits of line 3.2.1, the figures of line 3.1 on a line of their own below, a first digit that
+    stands apart, a header line that begins with a code."""
+    df = ledger(spark, d).where("chg_investment is not null").withColumn("doc_id", F.concat_ws("-", "fund_code", "period_start"))
+    shown = lambda c: F.when(c < 0, F.concat(F.lit("("), F.format_number(-c, 0), F.lit(")"))).otherwise(F.format_number(c, 0))
+    glyph = lambda top, x0, c: F.struct(F.lit(top).alias("top"), x0.cast("double").alias("x0"), (x0 + 5.0).cast("double").alias("x1"), c.alias("text"))
+    chars = lambda text, top, left: F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: glyph(top, left + 5.0 * i, c))
+    nothing = F.array().cast("array<struct<top:double,x0:double,x1:double,text:string>>")
+    right = lambda c, top, edge: F.coalesce(chars(shown(c), top, edge - 5.0 * F.length(shown(c))), nothing)
+    left = lambda text, top, x=40.0: chars(F.lit(text), top, F.lit(x))
+    apart = lambda c, top, edge: F.transform(right(c, top, edge), lambda g, i: glyph(top, g["x0"] - F.when(i == 0, 4.0).otherwise(0.0), g["text"]))
+    parts = F.concat(
+        left("4", 80.0), left("Reporting", 80.0, 60.0), left("period", 80.0, 120.0), left("2022", 80.0, 160.0),
+        left("1.1", 100.0), right(F.col("nav_begin"), 100.0, 400.0), right(F.lit(5), 100.0, 500.0),
+        left("2.1", 118.0), apart(F.col("nav_end"), 118.0, 400.0), right(F.col("nav_begin") - 1, 118.0, 500.0),
+        left("3.1", 136.0), left("Net", 136.0, 70.0), right(F.col("chg_investment"), 142.0, 400.0), right(F.lit(7_000_000), 142.0, 500.0),
+        left("3.2.1", 160.0), left("abcdefghijklmnopqrstuvwxyz", 160.0, 262.5), right(F.col("subscriptions"), 160.0, 400.0), right(F.lit(3), 160.0, 500.0),
+        left("3.2.2", 178.0), right(F.col("redemptions"), 178.0, 400.0), right(F.lit(4), 178.0, 500.0),
+        left("6.2", 196.0), right(F.lit(1_234_567), 196.0, 400.0), right(F.lit(6), 196.0, 500.0),
+    )
+    glyphs = df.select("doc_id", F.lit(1).alias("page"), F.explode(parts).alias("g")).select("doc_id", "page", "g.*")
+    got = readers.split_failures(geometry.parse_glyphs(glyphs))[0]
+    return got.select(F.substring_index("doc_id", "-", 1).cast("int").alias("fund_code"), _start(), *_whole("nav_begin", "nav_end", "subscriptions", "redemptions", "chg_investment", "prior_nav_end"))
+
+
+@_query("SELECT conv_id, CASE role WHEN 'user' THEN '1.1' WHEN 'assistant' THEN '2.1' ELSE '6.1' END AS code, CAST(min(turn) + 1 AS DOUBLE) AS this, CAST(min_by(len(text), turn) AS DOUBLE) AS last FROM conversations GROUP BY 1, 2")
+def first_code_wins(spark, d):
+    """Conversations as documents whose turns repeat three line codes: the first line of each counts."""
+    code = F.when(F.col("role") == "user", "1.1").when(F.col("role") == "assistant", "2.1").otherwise("6.1")
+    line = F.concat_ws(" ", code, F.lit("text 9 of"), (F.col("turn") + 1).cast("string"), F.length("text").cast("string"))
+    lines = _table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_no"), line.alias("line"))
+    return readers.text_cells(lines).select(F.col("doc_id").alias("conv_id"), "code", "this", "last")
+
+
+@_query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'xlsx' WHEN 2 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'xlsx' ELSE 'text' END END AS kind FROM orders""")
+def container_sniff(spark, d):
+    """Kinds by the first bytes, whatever the name says, and by the name where the bytes say nothing."""
+    k = F.col("o_orderkey")
+    head = F.when(k % 4 == 0, "%PDF-1.7").when(k % 4 == 1, "PK\x03\x04..").otherwise("text")
+    name = F.when(k % 4 < 2, "a.txt").when(k % 4 == 3, "a.bin").otherwise(F.when(k % 3 == 0, "a.XLSM").otherwise("a.txt"))
+    return _table(spark, d, "orders").select("o_orderkey", readers.container(F.encode(head, "UTF-8"), name).alias("kind"))
+
+
+@_query("""SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS BIGINT) AS n_links, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/x/' || page_id || '.pdf' AS file FROM pages""")
 def page_links(spark, d):
+    """Links of real pages, and a document's link added to each, made absolute."""
     p = _table(spark, d, "pages")
-    return p.select("page_id", F.size(parsing.links(F.col("html"))).cast("bigint").alias("n_links"), F.substring(F.sha2(F.encode("url", "UTF-8"), 256), 1, 16).alias("key"))
+    body = F.concat("html", F.lit("<A HREF='/x/"), "page_id", F.lit(".pdf'>"))
+    return p.select("page_id", F.size(F.array_distinct(parsing.links(F.col("html")))).cast("bigint").alias("n_links"), parsing.absolute_url(F.col("url"), F.element_at(parsing.file_links(body), -1)).alias("file"))
+
+
+@_query(r"""WITH p AS (SELECT page_id, page_id % 3 AS k, regexp_replace(url, '[?#].*$', '') AS path, url FROM pages),
+u AS (SELECT page_id, k, CASE WHEN k = 1 THEN url ELSE path || CASE WHEN path LIKE '%/' THEN 'download' ELSE '' END || CASE WHEN k = 0 THEN '.PDF' ELSE '.xlsm' END END AS full_url, regexp_extract(path, '([^/]*)$', 1) AS stem FROM p)
+SELECT page_id, left(CASE WHEN stem = '' THEN 'download' ELSE regexp_replace(stem, '[^A-Za-z0-9._-]', '_', 'g') END, 80) || '-' || sha256(full_url)[1:16] || CASE k WHEN 0 THEN '.pdf' WHEN 1 THEN '' ELSE '.xlsm' END AS cached FROM u""")
+def url_hash_key(spark, d):
+    """Names under which documents are cached: stem, hash of the URL, ending."""
+    path = F.regexp_replace("url", r"[?#].*$", "")
+    k = F.col("page_id") % 3
+    url = F.when(k == 1, F.col("url")).otherwise(F.concat(F.when(path.endswith("/"), F.concat(path, F.lit("download"))).otherwise(path), F.when(k == 0, ".PDF").otherwise(".xlsm")))
+    return _table(spark, d, "pages").select("page_id", parsing.cache_name(url).alias("cached"))
 
 
 @_query(r"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS text_sha FROM pages""")
@@ -337,32 +572,173 @@ def html_clean(spark, d):
     return _table(spark, d, "pages").select("page_id", F.sha2(F.encode(parsing.clean_html(F.col("html")), "UTF-8"), 256).alias("text_sha"))
 
 
-@_query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+@_query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS ends, CASE WHEN o_orderkey % 3 = 2 THEN CAST(o_orderdate AS DATE) ELSE CAST(CAST(o_orderdate AS DATE) + 3 AS DATE) END AS published, CAST(o_orderdate AS DATE) AS any_date,
+  CASE o_orderkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' ELSE 'other' END AS word, CASE o_orderkey % 3 WHEN 0 THEN 'other' WHEN 1 THEN 'weekly' ELSE 'period' END AS code FROM orders""")
+def link_classify(spark, d):
+    """File names in three styles: the period's end, the day of publication, the kinds."""
+    day = F.to_date("o_orderdate")
+    pub, end = F.date_format(F.date_add(day, 3), "yyyyMMdd"), F.date_format(day, "yyyyMMdd")
+    k = F.col("o_orderkey") % 3
+    name = (
+        F.when(k == 0, F.concat(pub, F.lit("-VL-NAV-NGÀY-TU-01.02.1990-den-"), F.date_format(day, "dd.MM.yyyy"), F.lit(".xlsx")))
+        .when(k == 1, F.concat(pub, F.lit("_VE_BC_Tuan_Ky-so_"), end, F.lit("-2.PDF")))
+        .otherwise(F.concat(F.lit("DC_BC_KY_"), end, F.lit(".xls")))
+    )
+    other = F.concat(F.lit("BCThayDoi 99999999 "), F.date_format(day, "dd_MM_yyyy"), F.lit("_merged.pdf"))
+    o = _table(spark, d, "orders").withColumn("name", name)
+    n = F.col("name")
+    return o.select("o_orderkey", parsing.period_date(n).alias("ends"), parsing.flat_date(n).alias("published"), parsing.any_date(other).alias("any_date"), parsing.report_kind(n, "period_word").alias("word"), parsing.report_kind(n, "bc_code").alias("code"))
+
+
+def _managers() -> dict:
+    """A registry over the test data: priorities as funds."""
+    return {"m": {"crawler": "listing", "status": "verified", "base_url": "https://m.test/vi", "funds": {"low": {"code": "M-LOW", "aliases": ["LO", "LOW"]}, "medium": {"code": "M-MED", "aliases": ["ME"]}, "high": {"aliases": ["HI"]}, "highest": {}}}}
+
+
+@_query("""SELECT o_orderkey, CASE WHEN p = 'LOW' THEN 'low' WHEN p = 'MEDIUM' THEN 'medium' WHEN p = 'HIGH' THEN 'high' END AS by_prefix, CASE WHEN p = 'LOW' THEN 'low' WHEN p = 'MEDIUM' THEN 'medium' WHEN p = 'HIGH' THEN 'high' END AS by_token,
+  CASE WHEN p = 'LOW' THEN 'low' WHEN p = 'HIGH' THEN 'high' END AS by_alias, CASE WHEN p = 'LOW' THEN 'M-LOW' WHEN p = 'MEDIUM' THEN 'M-MED' WHEN p = 'HIGH' THEN 'HIGH' END AS code FROM (SELECT o_orderkey, o_orderpriority[3:] AS p FROM orders)""")
+def prefix_registry_join(spark, d):
+    """Funds by the beginning of a file name, a token of a slug and an alias in a title."""
+    p = F.substring("o_orderpriority", 3, 99)
+    rows = _table(spark, d, "orders").select("o_orderkey", F.lit("m").alias("manager_id"), p.alias("p"))
+    rows = catalog.with_funds(rows, catalog.registry(spark, _managers()))
+    funds = F.col("funds")
+    title = F.concat(F.lit("Báo cáo QUỸ "), F.when(F.col("p") == "MEDIUM", "MEDI").otherwise(F.substring("p", 1, 2)), F.lit(" - Tuần"))
+    return rows.select("o_orderkey", catalog.key_by_prefix(F.concat("p", F.lit("est.pdf")), funds).alias("by_prefix"), catalog.key_by_token(F.concat(F.lit("r-"), "p", F.lit("-2024")), funds).alias("by_token"), catalog.key_by_alias(title, funds).alias("by_alias"), catalog.code_of(catalog.key_by_prefix(F.col("p"), funds), funds).alias("code"))
+
+
+LISTED = """WITH o AS (SELECT o_orderkey, 1 + o_orderkey // 500 AS page_no, o_orderpriority[3:] AS p, CAST(o_orderdate AS DATE) AS day, o_orderkey % 40 = 0 AS gone FROM orders),
+k AS (SELECT *, CASE WHEN p IN ('LOW', 'MEDIUM', 'HIGH') THEN lower(p) END AS key, 'https://m.test/vi/tai-lieu/' || lower(p) || '_' || o_orderkey || '_' || strftime(day, '%Y%m%d') || '.xlsx?a=1&b=2' AS url FROM o WHERE page_no < 12)"""
+
+
+def _listing(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as listing pages of 500 entries, dead links among them, some entries twice; page 12 failed."""
+    o, p = _table(spark, d, "orders"), F.substring("o_orderpriority", 3, 99)
+    gone = F.col("o_orderkey") % 40 == 0
+    day = F.date_format("o_orderdate", "'Ngày' dd 'tháng' MM 'năm' yyyy")
+    href = F.when(gone, "javascript:void(0)").otherwise(F.concat(F.lit("/tai-lieu/"), F.lower(p), F.lit("_"), "o_orderkey", F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".xlsx?a=1&amp;b=2")))
+    item = F.concat(F.lit('<div class="list-download"><p>B&amp;C <b>Quỹ</b> '), F.when(p == "LOW", "LO").otherwise("??"), F.lit(" - Tuần 7/2024</p>\n<span class=\"date-time\">"), day, F.lit('</span><a href="'), href, F.lit('">x</a></div>'))
+    twice = F.when(F.col("o_orderkey") % 100 == 1, F.concat(item, item)).otherwise(item)
+    pages = o.groupBy((1 + F.floor(F.col("o_orderkey") / 500)).cast("int").alias("page_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", twice.alias("item")))), lambda x: x["item"]), "\n").alias("body"))
+    return pages.select(F.lit("m").alias("manager_id"), "page_no", F.when(F.col("page_no") == 12, 503).otherwise(200).alias("status"), F.concat("body", F.lit('<a href="?p=9999">9999</a>')).alias("body"))
+
+
+@_query(LISTED + """SELECT key AS fund_key, CASE key WHEN 'low' THEN 'M-LOW' WHEN 'medium' THEN 'M-MED' ELSE 'HIGH' END AS fund_code, url, day AS published, 'B&C Quỹ ' || CASE WHEN p = 'LOW' THEN 'LO' ELSE '??' END || ' - Tuần 7/2024' AS title, 'Tuần 7/2024' AS label, day AS filename_date FROM k WHERE key IS NOT NULL AND NOT gone""")
+def listing_refs(spark, d):
+    refs, _ = catalog.discover(_managers(), {"m": _listing(spark, d)}, catalog.registry(spark, _managers()))
+    return refs.drop("manager_id")
+
+
+@_query(LISTED + """SELECT CASE WHEN gone AND p = 'LOW' THEN 'low' END AS fund_key, day AS published, CASE WHEN gone THEN 'no file is published: links to ''javascript:void(0)''' ELSE 'no registered fund: ' || url END AS reason FROM k WHERE gone OR key IS NULL""")
+def listing_dead(spark, d):
+    _, dead = catalog.discover(_managers(), {"m": _listing(spark, d)}, catalog.registry(spark, _managers()))
+    return dead.select("fund_key", "published", "reason")
+
+
+@_query("""SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, count(DISTINCT url) AS n, min(url) AS first FROM pages GROUP BY 1""")
+def sitemap_pages(spark, d):
+    """The pages' URLs as sitemaps with a namespace, each child naming some of its neighbour's, and read again."""
+    loc = F.concat(F.lit("<s:url><s:loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("\n</s:loc></s:url>"))
+    p = _table(spark, d, "pages").withColumn("k", F.explode(F.array(F.col("page_id") % 9, F.col("page_id") % 4)))
+    children = p.groupBy(F.concat(F.lit("https://x.test/report-sitemap"), "k", F.lit(".xml")).alias("sitemap_url")).agg(F.array_join(F.collect_list(loc), "").alias("body"), F.lit(200).alias("status"))
+    index = children.agg(F.lit("https://x.test/sitemap.xml").alias("sitemap_url"), F.concat(F.lit("<loc>https://x.test/post-sitemap.xml</loc>"), F.array_join(F.collect_list(F.concat(F.lit("<loc>"), "sitemap_url", F.lit("</loc>"))), "")).alias("body"))
+    named, _ = catalog.child_sitemaps(index)
+    got = catalog.sitemap_pages(children.join(named, "sitemap_url"))
+    return got.groupBy(F.regexp_extract("url", "^https?://([^/]*)", 1).alias("host")).agg(F.count("*").alias("n"), F.min("url").alias("first"))
+
+
+@_query("""WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderkey % 7 AS s, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS key FROM orders),
+e AS (SELECT CASE WHEN s > 1 AND k = 2 THEN NULL WHEN s > 1 AND k = 1 THEN 'high' ELSE key END AS fund_key, CASE WHEN s > 1 AND k < 2 THEN day END AS filename_date,
+  CASE WHEN s = 0 THEN 'the report page could not be fetched' WHEN s = 1 THEN 'the report page returned HTTP 404' WHEN k < 2 THEN NULL WHEN k = 2 THEN 'the file name begins with no registered fund' WHEN k = 3 THEN 'a report''s file name of no known kind' ELSE 'the report page has no file link' END AS reason FROM o
+  UNION ALL SELECT 'high', NULL, 'the page names ' || key || ', the file name high; the file name counts' FROM o WHERE s > 1 AND k = 1 AND key <> 'high')
+SELECT fund_key, filename_date, reason, count(*) AS n FROM e GROUP BY ALL""")
+def report_page_refs(spark, d):
+    """Orders as report pages: failed, without a link, with daily files, odd names, names of another fund."""
+    o = _table(spark, d, "orders")
+    k, s = F.col("o_orderkey") % 5, F.col("o_orderkey") % 7
+    key = F.when(F.col("o_orderkey") % 3 == 0, "low").when(F.col("o_orderkey") % 3 == 1, "medium").otherwise("high")
+    stem = F.when(k == 0, F.concat(F.upper(key), F.lit("_BC_TUAN_"))).when(k == 1, "HIGH_BC_TUAN_").when(k == 2, "ZZZ_bc_tuan_").when(k == 3, "LOW_BC_THANG_")
+    file = F.concat(F.lit("<a href='"), stem, F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".xlsx?v="), "o_orderkey", F.lit("'><a href='LOW_BC_NGAY_20200101.pdf'>"))
+    bodies = o.select(F.lit("m").alias("manager_id"), F.concat(F.lit("https://m.test/r/"), "o_orderkey", F.lit("/")).alias("page_url"), key.alias("fund_key"), F.when(s == 1, 404).otherwise(200).alias("status"), F.when(s == 0, None).otherwise(F.coalesce(file, F.lit("nothing here"))).alias("body"))
+    got = catalog.report_page_entries(bodies, catalog.registry(spark, _managers()))
+    return got.groupBy("fund_key", F.when(F.col("reason").isNull(), F.col("filename_date")).alias("filename_date"), "reason").agg(F.count("*").alias("n"))
+
+
+@_query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS key, o_orderkey % 4 AS k, 1 + (o_orderkey // 4) % 6 AS page_no FROM orders)
+SELECT key AS fund_key, CASE WHEN k < 3 THEN 'https://m.test/f/' || strftime(CAST(day + 1 AS DATE), '%Y%m%d') || '_' || o_orderkey || '_Weekly_' || strftime(day, '%Y%m%d') || '.xlsx' END AS url, CAST(day + 1 AS DATE) AS published, CASE WHEN k < 3 THEN day ELSE day END AS filename_date,
+  CASE WHEN k = 3 THEN 'the file name is neither weekly nor daily' END AS reason FROM o WHERE page_no <= 4""")
+def form_refs(spark, d):
+    """Orders as a form's answers per fund, of which the first counts four pages; daily files beside each."""
+    o = _table(spark, d, "orders")
+    k = F.col("o_orderkey") % 4
+    key = F.when(k == 0, "low").when(k == 1, "high").otherwise("medium")
+    stamp = lambda c: F.date_format(c, "yyyyMMdd")
+    name = lambda word: F.concat(stamp(F.date_add(F.to_date("o_orderdate"), 1)), F.lit("_"), "o_orderkey", F.lit(word), stamp("o_orderdate"), F.lit(".xlsx"))
+    link = F.concat(F.lit('<a href="/f/'), F.when(k < 3, name("_Weekly_")).otherwise(name("_Monthly_")), F.lit('"><a href="/f/'), name("_Daily_"), F.lit('">'))
+    bodies = o.groupBy(key.alias("fund_key"), (1 + F.floor(F.col("o_orderkey") / 4) % 6).cast("int").alias("page_no")).agg(F.concat(F.lit('<i data-total="4">'), F.array_join(F.collect_list(link), "")).alias("body"))
+    bodies = bodies.select(F.lit("m").alias("manager_id"), "fund_key", "page_no", F.lit("https://m.test/list").alias("page_url"), F.lit(200).alias("status"), "body")
+    got = catalog.form_entries(bodies, catalog.registry(spark, _managers()))
+    return got.select("fund_key", F.when(F.col("reason").isNull(), F.col("url")).alias("url"), "published", "filename_date", "reason")
+
+
+@_query("""SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'low' ELSE 'high' END AS fund_key, 'https://m.test/q/BC thay doi ' || o_orderkey || ' ' || strftime(o_orderdate, '%Y-%m-%d') || '.pdf' AS url, 'BC thay doi ' || o_orderkey || ' ' || strftime(o_orderdate, '%Y-%m-%d') || '.pdf' AS title, CAST(o_orderdate AS DATE) AS filename_date, NULL AS reason FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT 'medium', NULL, 'https://m.test/medium', NULL, 'the fund''s page returned HTTP 500'""")
+def fund_page_refs(spark, d):
+    """Orders as links of one page per fund, a third of them daily reports; one fund's page failed."""
+    o = _table(spark, d, "orders")
+    word = F.when(F.col("o_orderkey") % 3 != 0, "BC%20thay%20doi%20").otherwise("Giatritaisan%20")
+    link = F.concat(F.lit('<a href="/q/'), word, "o_orderkey", F.lit("%20"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('.pdf">'))
+    bodies = o.groupBy(F.when(F.col("o_orderkey") % 2 == 0, "low").otherwise("high").alias("fund_key")).agg(F.array_join(F.collect_list(link), "").alias("body"), F.lit(200).alias("status"))
+    bodies = bodies.unionByName(spark.range(1).select(F.lit("medium").alias("fund_key"), F.lit("").alias("body"), F.lit(500).alias("status")))
+    bodies = bodies.select(F.lit("m").alias("manager_id"), "fund_key", F.concat(F.lit("https://m.test/"), "fund_key").alias("page_url"), "status", "body")
+    got = catalog.fund_page_entries(bodies, catalog.registry(spark, _managers()))
+    return got.select("fund_key", F.replace("url", F.lit("%20"), F.lit(" ")).alias("url"), "title", "filename_date", "reason")
+
+
+@_query("""WITH o AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, day(o_orderdate) AS day, count(*) AS n FROM orders GROUP BY ALL)
+SELECT month, max_by(n % 90 / 10.0, day)::DOUBLE AS rate, strftime(month, '%Y%m') || lpad(CAST(max(day) AS VARCHAR), 2, '0') AS snapshot FROM o WHERE day % 3 > 0 GROUP BY month""")
+def rate_tables(spark, d):
+    """Daily snapshots of a page with two schedules; every third has no table: the latest readable one of a month counts."""
+    o = _table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    rate = F.replace(F.format_string("%.1f", (F.col("n") % 90) / 10.0), F.lit("."), F.lit(","))
+    table = lambda rate: F.concat(F.lit("<table><tr><th>Kỳ hạn</th><th>VND</th></tr>\n<tr class='a'><td>6 tháng</td><td>1%</td></tr><tr><td> 12 <b>Tháng</b></td><td>"), rate, F.lit(" %</td><td>3%</td></tr></table>"))
+    html = F.when(F.dayofmonth("day") % 3 == 0, "<p>12 tháng 5%</p>").otherwise(F.concat(F.lit("<h2>Doanh nghiệp</h2>"), table(F.lit("99,9")), F.lit("<p>" + "x " * 300 + "</p><h3>Cá  nhân</h3>"), table(rate)))
+    got = rates.snapshot_rates(o.select(F.date_format("day", "yyyyMMdd").alias("timestamp"), F.lit("u").alias("original"), html.alias("html")))
+    return got.select("month", "rate", "snapshot")
+
+
+@_query("""WITH o AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(o_orderpriority[1:1] AS INT) AS k, count(*) % 7 AS v FROM orders GROUP BY ALL)
+SELECT month, round(avg(v) FILTER (WHERE k < 5), 4) AS rate, 4 AS n_banks FROM o GROUP BY month HAVING count(*) FILTER (WHERE k < 5 AND v > 0) = 4""")
 def json_rates(spark, d):
-    return _table(spark, d, "events").select(F.from_json("props", "k bigint")["k"].alias("k"), "value").groupBy("k").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    """Nested payloads by month: the mean of four banks' twelve-month rates where all four give one."""
+    bank = F.element_at(F.array(*[F.lit(b) for b in (*rates.BANKS, "Other")]), F.substring("o_orderpriority", 1, 1).cast("int"))
+    o = _table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyyMM").alias("ym"), bank.alias("name")).agg((F.count("*") % 7).alias("v"))
+    row = F.struct("name", F.array(F.struct(F.lit("6T").alias("time"), F.lit(9.0).alias("value")), F.struct(F.lit("12T").alias("time"), F.col("v").cast("double").alias("value"))).alias("interestRates"))
+    payloads = o.groupBy("ym").agg(F.to_json(F.struct(F.collect_list(row).alias("Data"))).alias("json")).select(F.concat("ym", F.lit("15120000")).alias("timestamp"), "json")
+    return rates.bank_mean_rates(payloads).select("month", "rate", "n_banks")
 
 
-@_query("SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY ALL")
-def first_code_wins(spark, d):
-    w = Window.partitionBy("conv_id", "role").orderBy("turn")
-    return _table(spark, d, "conversations").withColumn("_r", F.row_number().over(w)).where("_r = 1").select("conv_id", "role", "turn")
+@_query("""SELECT o_custkey AS fund_code, CAST(o_orderdate AS DATE) AS day, max_by(o_totalprice, o_orderkey) AS nav_per_unit FROM orders GROUP BY ALL""")
+def unit_values(spark, d):
+    """A feed's answers per customer, days under either name, repeated days revised by the later row."""
+    k = F.col("o_custkey") % 2 == 0
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    row = F.struct("o_orderkey", F.struct(F.when(k, day).alias("navDate"), F.when(~k, F.unix_millis("o_orderdate").cast("string")).alias("createAt"), F.when(k, F.col("o_totalprice")).alias("nav"), F.when(~k, F.col("o_totalprice")).alias("navValue")).alias("r"))
+    rows = F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"])
+    payloads = _table(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).groupBy(F.col("o_custkey").alias("fund_code")).agg(F.to_json(F.struct(rows.alias("data"))).alias("json"))
+    return rates.last_by_day(rates.unit_value_history(payloads))
 
 
 @_query("""WITH g AS (SELECT user_id, value, CASE WHEN value - lag(value) OVER w > 6 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value)),
 c AS (SELECT user_id, value, sum(new) OVER (PARTITION BY user_id ORDER BY value) AS cluster FROM g) SELECT user_id, CAST(cluster AS BIGINT) AS cluster, count(*) AS n, min(value) AS lo, max(value) AS hi FROM c GROUP BY 1, 2""")
 def edge_clusters(spark, d):
-    return readers.edge_clusters(_table(spark, d, "events").select("user_id", "value"), "user_id", "value")
+    return geometry.edge_clusters(_table(spark, d, "events").select("user_id", "value"), "user_id", "value").drop("centre")
 
 
-@_query("WITH " + LEDGER + """, a AS (SELECT count(*) AS n, count(*) FILTER (WHERE (fund_code + month(period_start)) % 5 = 0) AS s FROM ledger)
-SELECT 'panel' AS part, n FROM a UNION ALL SELECT 'quarantine', 0 FROM a UNION ALL SELECT 'superseded', s FROM a""")
+@_query("WITH " + CORRUPTED + """, f AS (SELECT count(*) FILTER (WHERE reason = '') AS p, count(*) FILTER (WHERE reason <> '') + count(*) FILTER (WHERE period_end IS NULL AND k % 5 = 0) AS q, count(*) FILTER (WHERE period_end IS NOT NULL AND k % 5 = 0) AS s FROM g)
+SELECT 'panel' AS part, p AS n FROM f UNION ALL SELECT 'quarantine', q FROM f UNION ALL SELECT 'superseded', s FROM f""")
 def exclusion_partition(spark, d):
-    return build.audit(build.build(_restated(spark, d)))
-
-
-@_query("""SELECT p_partkey, min(r.k) AS k FROM part JOIN (SELECT column0 AS prefix, column1 AS k FROM (VALUES ('ECONOMY', 1), ('STANDARD', 2), ('STANDARD ANODIZED', 3), ('PROMO', 4))) r ON starts_with(p_type, r.prefix) GROUP BY 1""".replace("(SELECT column0 AS prefix, column1 AS k FROM (VALUES ('ECONOMY', 1), ('STANDARD', 2), ('STANDARD ANODIZED', 3), ('PROMO', 4)))", "(VALUES ('ECONOMY', 1), ('STANDARD', 2), ('STANDARD ANODIZED', 3), ('PROMO', 4))").replace(") r ON", ") r(prefix, k) ON"))
-def prefix_registry_join(spark, d):
-    """The first registry entry that begins the name, as one conditional over the small registry."""
-    registry = (("ECONOMY", 1), ("STANDARD", 2), ("STANDARD ANODIZED", 3), ("PROMO", 4))
-    k = F.coalesce(*[F.when(F.col("p_type").startswith(p), F.lit(i)) for p, i in registry])
-    return _table(spark, d, "part").select("p_partkey", k.alias("k")).where("k is not null")
+    """Faulty and republished filings: each is in exactly one part; undated copies are no copies."""
+    df = corrupted(spark, d)
+    again = df.where((F.col("fund_code") * 100 + F.month("period_start")) % 5 == 0).withColumn("source", F.lit("f_3"))
+    return build.audit(build.build(df.withColumn("source", F.lit("f_1")).unionByName(again)))

@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.parsing import fund_code, header_period, normalise_code, parse_number, report_date
+from ..functions.parsing import NBSP, fund_code, header_period, normalise_code, number_code, parse_number, report_date
 
-#: The fixed template: line code, field, by variant.
+#: The fixed template and its older variant: line code, field.
 FIELDS = {
     "1.1": "nav_begin", "1.3": "nav_per_unit_begin", "2.1": "nav_end", "2.3": "nav_per_unit_end",
     "3.1": "chg_investment", "3.2": "chg_flows_net", "3.2.1": "subscriptions", "3.2.2": "redemptions", "3.3": "chg_distribution",
     "4": "chg_nav_per_unit", "5.1": "nav_52w_high", "5.2": "nav_52w_low", "6.1": "foreign_units", "6.2": "foreign_value", "6.3": "foreign_ownership_pct",
 }
-ALTERNATE = {"1.2": "nav_per_unit_begin", "2.2": "nav_per_unit_end"}
+ALTERNATE = {
+    "1.1": "nav_begin", "1.2": "nav_per_unit_begin", "2.1": "nav_end", "2.2": "nav_per_unit_end",
+    "3.1": "chg_investment", "3.2.1": "chg_distribution", "3.2.2": "chg_flows_net",
+    "4": "chg_nav_per_unit", "6.1": "foreign_units", "6.2": "foreign_value", "6.3": "foreign_ownership_pct",
+}
+#: Headings, which never carry values; fields in percent; the lines of which a report of changes has one at least.
+SECTIONS = ("1", "2", "3", "5", "6")
+PERCENT = ("6.3",)
 CHANGES = ("chg_investment", "chg_flows_net", "subscriptions", "redemptions", "chg_distribution")
-ROW = r"^\s*(\d(?:\.\d+){0,2})\s+(.*)$"
+CODE = r"^\d+(?:\.\d+){0,2}$"
+ROW = r"^\s*(\d+(?:\.\d+){0,2})\s+(\S.*?)\s*$"
 FIGURE = r"\(?-?\d[\d,]*(?:\.\d+)?\)?%?"
 TRAILING = rf"(?:^|\s)({FIGURE})(?:\s+({FIGURE}))?\s*$"
 
@@ -32,78 +40,113 @@ METADATA = r"(?iu)Kỳ báo cáo|Ngày lập báo cáo|Reporting period|Reportin
 
 
 def container(content: Column, path: Column) -> Column:
-    head = F.hex(F.substring(content, 1, 4))
-    return F.when(head == "25504446", "pdf").when(head == "504B0304", "xlsx").when(F.lower(path).endswith(".txt"), "text").otherwise("unknown")
+    """pdf, xlsx or text by the first bytes, then by the name; NULL if it is none of them."""
+    head, name = F.hex(F.substring(content, 1, 4)), F.lower(path)
+    return F.when(head == "25504446", "pdf").when(head == "504B0304", "xlsx").when(name.endswith(".pdf"), "pdf").when(name.rlike(r"\.(xlsx|xlsm)$"), "xlsx").when(name.endswith(".txt"), "text")
 
 
 def text_cells(lines: DataFrame) -> DataFrame:
     """doc_id, code, this, last: the first line of each code, its trailing one or two figures; header lines are none."""
-    line = F.replace("line", F.lit(" "), F.lit(" "))
-    rows = lines.withColumn("line", line).where(F.col("line").rlike(ROW))
-    rest = F.regexp_extract("line", ROW, 2)
-    rows = rows.where(~rest.rlike(METADATA))
-    cells = rows.select("doc_id", "line_no", F.regexp_extract("line", ROW, 1).alias("code"), F.nullif(F.regexp_extract(rest, TRAILING, 1), F.lit("")).alias("a"), F.nullif(F.regexp_extract(rest, TRAILING, 2), F.lit("")).alias("b"))
-    w = Window.partitionBy("doc_id", "code").orderBy("line_no")
-    cells = cells.where("a is not null").withColumn("r", F.row_number().over(w)).where("r = 1")
-    return cells.select("doc_id", "code", parse_number(F.col("a")).alias("this"), parse_number(F.col("b")).alias("last"))
+    rows = lines.withColumn("line", F.replace("line", F.lit(NBSP), F.lit(" ")))
+    rows = rows.select("doc_id", "line_no", F.regexp_extract("line", ROW, 1).alias("code"), F.regexp_extract("line", ROW, 2).alias("rest"))
+    rows = rows.where((F.col("code") != "") & ~F.col("code").isin(*SECTIONS) & ~F.col("rest").rlike(METADATA))
+    cells = rows.select("doc_id", "line_no", "code", F.nullif(F.regexp_extract("rest", TRAILING, 1), F.lit("")).alias("a"), F.nullif(F.regexp_extract("rest", TRAILING, 2), F.lit("")).alias("b"))
+    # of a code's lines the first with a figure: a partial minimum, no window
+    first = cells.where("a is not null").groupBy("doc_id", "code").agg(F.min_by(F.struct("a", "b"), "line_no").alias("f"))
+    return first.select("doc_id", "code", parse_number(F.col("f.a")).alias("this"), parse_number(F.col("f.b")).alias("last"))
 
 
 def filings(cells: DataFrame) -> DataFrame:
-    """One wide row per document: variant, fields, prior_ fields, and error where it is no filing."""
-    pairs = [(c, f, "standard") for c, f in FIELDS.items()] + [(c, f, "standard") for c, f in FIELDS.items() if f.startswith(("nav_per_unit_b",))][:0]
+    """One wide row per document: variant, fields, prior_ fields, and error where it is no filing.
+
+    The older variant has a value at 1.2 and none at 1.3; its lines 3.2.1 and 3.2.2 are the
+    distribution and the net flow, and it has no gross legs.
+    """
+    codes = list(dict.fromkeys([*FIELDS, *ALTERNATE]))
     at = lambda code, col: F.max(F.when(F.col("code") == code, F.col(col)))
-    got = cells.groupBy("doc_id").agg(*[at(c, "this").alias(f) for c, f, _ in pairs], *[at(c, "last").alias(f"prior_{f}") for c, f, _ in pairs], *[at(c, s).alias(f"{p}_{f}") for c, f in ALTERNATE.items() for s, p in (("this", "_alt"), ("last", "_altprior"))])
-    alternate = F.col("_alt_nav_per_unit_begin").isNotNull() & F.col("nav_per_unit_begin").isNull()
-    got = got.withColumn("template_variant", F.when(alternate, "alternate").otherwise("standard"))
-    for f in ALTERNATE.values():
-        got = got.withColumns({f: F.when(alternate, F.col(f"_alt_{f}")).otherwise(F.col(f)), f"prior_{f}": F.when(alternate, F.col(f"_altprior_{f}")).otherwise(F.col(f"prior_{f}"))})
+    got = cells.groupBy("doc_id").agg(*[at(c, col).alias(f"{col}:{c}") for c in codes for col in ("this", "last")])
+    cell = lambda col, code: F.col(f"`{col}:{code}`") if code else F.lit(None).cast("double")
+    alternate = cell("this", "1.2").isNotNull() & cell("this", "1.3").isNull()
+    of = {f: c for c, f in FIELDS.items()}, {f: c for c, f in ALTERNATE.items()}
+    field = lambda col, f: F.when(alternate, cell(col, of[1].get(f))).otherwise(cell(col, of[0][f]))
+    got = got.select("doc_id", F.when(alternate, "alt").otherwise("standard").alias("template_variant"), *[field("this", f).alias(f) for f in FIELDS.values()], *[field("last", f).alias(f"prior_{f}") for f in FIELDS.values()])
     error = F.when(F.col("nav_end").isNull(), "line 2.1 is missing").when(F.coalesce(*CHANGES).isNull(), "no line of section 3: a point-in-time report")
-    got = got.withColumn("foreign_share_of_nav", F.col("foreign_value").cast("double") / F.nullif(F.col("nav_end").cast("double"), F.lit(0.0)) * 100)
-    return got.drop(*[f"{p}_{f}" for f in ALTERNATE.values() for p in ("_alt", "_altprior")]).withColumn("error", error)
+    return got.withColumn("error", error)
+
+
+def headed(docs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Filings from the header texts (doc_id, text; fund_code, source and report_cell where
+    there are any) and the cells of the same documents. A given fund code precedes the printed one."""
+    flat = F.regexp_replace(F.replace("text", F.lit(NBSP), F.lit(" ")), r"\s+", " ")
+    printed = fund_code(flat)
+    given = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
+    cell = F.col("report_cell") if "report_cell" in docs.columns else F.lit(None).cast("date")
+    head = docs.select("doc_id", header_period(flat).alias("h"), F.coalesce(given("fund_code"), printed).alias("fund_code"), given("source").alias("source"), F.coalesce(report_date(flat), cell).alias("report_date"), (F.coalesce(F.trim("text"), F.lit("")) == "").alias("blank"))
+    head = head.select("doc_id", "fund_code", "source", "report_date", F.col("h.start").alias("period_start"), F.col("h.end").alias("period_end"), F.col("h.conflict").alias("date_conflict"), "blank")
+    got = head.join(filings(cells), "doc_id", "left")
+    error = F.when(F.col("blank"), "no text").when(F.col("template_variant").isNull(), "line 2.1 is missing").otherwise(F.col("error"))
+    return got.withColumn("error", F.when(error.isNotNull(), F.concat(F.lit("ParseError: "), error))).drop("blank")
 
 
 def parse_texts(docs: DataFrame) -> DataFrame:
-    """Filings with header dates, report date and fund code from doc_id, text."""
+    """Filings of text layers: doc_id, text and, where known, fund_code and source."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
-    flat = F.regexp_replace("text", r"\s+", " ")
-    head = docs.select("doc_id", header_period(flat).alias("h"), fund_code(flat).alias("fund_code"), report_date(flat).alias("report_date"))
-    head = head.select("doc_id", "fund_code", "report_date", F.col("h.start").alias("period_start"), F.col("h.end").alias("period_end"), F.col("h.conflict").alias("date_conflict"))
-    return head.join(filings(text_cells(lines)), "doc_id", "left").withColumn("error", F.when(F.col("template_variant").isNull(), "line 2.1 is missing").otherwise(F.col("error")))
+    return headed(docs, text_cells(lines))
 
 
-GRID = "path string, sheet int, row int, col int, value_str string, value_num double, percent boolean, error string"
+def split_failures(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(filings, failures): a document that can't be read ends no run, its reason is kept."""
+    return parsed.where("error is null").drop("error"), parsed.where("error is not null").select("doc_id", "fund_code", "source", "error")
+
+
+GRID = "path string, sheet int, row int, col int, value_str string, value_num double, percent boolean, day date, error string"
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
+_DAYS = {14, 15, 16, 17, 22}
+
+
 def _grid(content: bytes) -> list[tuple]:
-    """Cells of the first sheet by the standard library alone."""
+    """Cells of all sheets by the standard library alone: sheet, row, col, text, number, percent, day."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
-        percents: list[bool] = []
+        styles: list[tuple[bool, bool]] = []  # of each cell format: percent, day
         if "xl/styles.xml" in names:
-            styles = ElementTree.fromstring(z.read("xl/styles.xml"))
-            own = {x.get("numFmtId"): x.get("formatCode", "") for x in styles.iter(f"{_NS}numFmt")}
-            formats = styles.find(f"{_NS}cellXfs")
-            percents = [x.get("numFmtId") in ("9", "10") or "%" in own.get(x.get("numFmtId"), "") for x in (formats if formats is not None else [])]
+            root = ElementTree.fromstring(z.read("xl/styles.xml"))
+            own = {x.get("numFmtId"): re.sub(r'"[^"]*"|\[[^]]*\]', "", x.get("formatCode", "")) for x in root.iter(f"{_NS}numFmt")}
+            formats = root.find(f"{_NS}cellXfs")
+            for x in formats if formats is not None else []:
+                k = x.get("numFmtId") or "0"
+                styles.append((k in ("9", "10") or "%" in own.get(k, ""), int(k) in _DAYS or bool(re.search("[yd]", own.get(k, ""), re.I))))
         out = []
-        for k, name in enumerate(sorted(n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml$", n)), 1):
+        sheets = sorted((n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml$", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        for k, name in enumerate(sheets, 1):
             for c in ElementTree.fromstring(z.read(name)).iter(f"{_NS}c"):
                 v, kind, style = c.find(f"{_NS}v"), c.get("t"), int(c.get("s") or 0)
                 letters, row = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
                 col = 0
                 for x in letters:
                     col = col * 26 + ord(x) - 64
+                text = number = day = None
+                percent = False
                 if kind == "inlineStr":
-                    out.append((k, int(row), col, "".join(t.text or "" for t in c.iter(f"{_NS}t")), None, False))
-                elif v is not None and kind == "s":
-                    out.append((k, int(row), col, shared[int(v.text)], None, False))
-                elif v is not None and kind in (None, "n"):
-                    out.append((k, int(row), col, None, float(v.text), style < len(percents) and percents[style]))
-                elif v is not None:
-                    out.append((k, int(row), col, v.text, None, False))
+                    text = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
+                elif v is None or kind == "b":
+                    continue
+                elif kind == "s":
+                    text = shared[int(v.text)]
+                elif kind == "d":
+                    day = datetime.date.fromisoformat(v.text[:10])
+                elif kind in (None, "n"):
+                    number, (percent, dated) = float(v.text), styles[style] if style < len(styles) else (False, False)
+                    if dated:
+                        day, number = datetime.date(1899, 12, 30) + datetime.timedelta(days=int(number)), None
+                else:
+                    text = v.text
+                out.append((k, int(row), col, text, number, percent, day))
         return out
 
 
@@ -112,78 +155,111 @@ def read_xlsx(files: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
             for path, content in zip(part["path"], part["content"]):
                 try:
-                    rows += [(path, *c, None) for c in _grid(bytes(content))]
+                    rows = [(path, *c, None) for c in _grid(bytes(content))] or [(path, *[None] * 7, "ParseError: no cells")]
                 except Exception as e:  # noqa: BLE001 - any fault of one file is a row of the failures
-                    rows.append((path, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "value_str", "value_num", "percent", "error"])
+                    rows = [(path, *[None] * 7, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "value_str", "value_num", "percent", "day", "error"])
 
     return files.select("path", "content").mapInPandas(run, GRID)
 
 
-def grid_cells(grid: DataFrame, searched: int = 6) -> DataFrame:
-    """doc_id (path), code, this, last. The code column is the one of the first few with most
-    codes that holds 2.1; the value columns are the first two with figures in its row 2.1."""
-    text = F.coalesce("value_str", F.col("value_num").cast("string"))
-    code = normalise_code(text)
-    cells = grid.where("error is null").withColumn("code", F.when(code.rlike(r"^\d(\.\d+){0,2}$"), code))
+def _chosen(grid: DataFrame, searched: int) -> DataFrame:
+    """path, sheet, code_col, cols: of each file the first sheet whose code column holds 2.1 with
+    a number beside it. The code column is the one of the first few with most codes."""
+    code = F.coalesce(normalise_code(F.col("value_str")), number_code(F.col("value_num")))
+    cells = grid.where("error is null").withColumn("code", F.when(code.rlike(CODE), code))
     key = ["path", "sheet"]
-    best = cells.where((F.col("col") <= searched) & F.col("code").isNotNull()).groupBy(*key, "col").agg(F.count("*").alias("n"), F.max((F.col("code") == "2.1").cast("int")).alias("has")).where("has = 1")
-    best = best.groupBy(*key).agg(F.max_by("col", F.struct("n", -F.col("col"))).alias("code_col"))
-    value = F.coalesce(F.col("value_num") * F.when(F.col("percent"), 100).otherwise(1), parse_number(F.col("value_str")))
-    placed = cells.withColumn("value", value).join(best, key)
-    lines = placed.where("col = code_col and code is not null").select(*key, "row", F.col("code").alias("line"))
-    values = placed.where("col > code_col and value is not null").select(*key, "row", "col", "value").join(lines, [*key, "row"])
-    columns = values.where("line = '2.1'").groupBy(*key).agg(F.slice(F.array_sort(F.collect_set("col")), 1, 2).alias("cols"))
-    first = Window.partitionBy(*key, "line").orderBy("row")
-    values = values.withColumn("r", F.dense_rank().over(first)).where("r = 1").join(columns, key)
-    pick = lambda i: F.max(F.when(F.col("col") == F.get("cols", F.lit(i)), F.col("value")))
-    return values.groupBy(F.col("path").alias("doc_id"), F.col("line").alias("code")).agg(pick(0).alias("this"), pick(1).alias("last"))
-
-
-def edge_clusters(values: DataFrame, by: str, x: str, gap: float = 6.0) -> DataFrame:
-    """Clusters of sorted values whose neighbours lie within gap: by, cluster, n, centre."""
-    w = Window.partitionBy(by).orderBy(x)
-    new = (F.col(x) - F.lag(x).over(w) > gap).cast("int")
-    ids = values.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("cluster", F.sum("_new").over(w))
-    return ids.groupBy(by, "cluster").agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-
-
-def glyph_rows(glyphs: DataFrame, band: float = 3.0) -> DataFrame:
-    """Glyphs (doc_id, page, top, x0, x1, text) put together as lines, left to right."""
-    w = Window.partitionBy("doc_id", "page").orderBy("top")
-    new = F.coalesce((F.col("top") - F.lag("top").over(w) > band).cast("int"), F.lit(1))
-    lines = glyphs.withColumn("_new", new).withColumn("line_no", F.sum("_new").over(w))
-    parts = F.array_sort(F.collect_list(F.struct("x0", "x1", "text")))
-    return lines.groupBy("doc_id", "page", "line_no").agg(F.min("top").alias("top"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("line"))
-
-
-def attach_detached(codes: DataFrame, values: DataFrame, reach: float = 12.0) -> DataFrame:
-    """Each detached value line goes to the nearest code line above it, within reach, on its page.
-
-    Lines are matched by page and by bands of the reach, so the join is on equal keys."""
-    near = codes.withColumn("band", F.explode(F.array(F.floor(F.col("top") / reach), F.floor(F.col("top") / reach) + 1))).withColumnRenamed("top", "code_top")
-    got = values.withColumn("band", F.floor(F.col("top") / reach)).join(near, ["doc_id", "page", "band"])
-    dy = F.col("top") - F.col("code_top")
-    return got.where((dy > 0) & (dy <= reach)).groupBy("doc_id", "page", "top", "value").agg(F.max_by("code", "code_top").alias("code"))
+    best = cells.where((F.col("col") <= searched) & F.col("code").isNotNull()).groupBy(*key, "col").agg(F.countDistinct("code").alias("n"), F.min(F.when(F.col("code") == "2.1", F.col("row"))).alias("anchor")).where("anchor is not null")
+    best = best.groupBy(*key).agg(F.max_by(F.struct(F.col("col").alias("code_col"), "anchor"), F.struct("n", -F.col("col"))).alias("b")).select(*key, "b.*")
+    numbers = grid.where("value_num is not null").join(best, key).where("row = anchor and col > code_col")
+    ready = numbers.groupBy(*key, "code_col").agg(F.slice(F.array_sort(F.collect_set("col")), 1, 2).alias("cols"))
+    return ready.groupBy("path").agg(F.min_by(F.struct(*key[1:], "code_col", "cols"), "sheet").alias("s")).select("path", "s.*")
+
+
+def grid_cells(grid: DataFrame, searched: int = 6) -> DataFrame:
+    """doc_id (path), code, this, last: of each code's first row the numbers in the two value
+    columns, those of the first two numbers of row 2.1. Text cells are no values."""
+    chosen = _chosen(grid, searched)
+    placed = grid.where("error is null").join(chosen, ["path", "sheet"])
+    code = F.coalesce(normalise_code(F.col("value_str")), number_code(F.col("value_num")))
+    lines = placed.where("col = code_col").withColumn("code", code).where(F.col("code").rlike(CODE) & ~F.col("code").isin(*SECTIONS))
+    lines = lines.groupBy("path", "code").agg(F.min("row").alias("row"))
+    values = placed.where("value_num is not null").join(lines, ["path", "row"])
+    value = F.col("value_num") * F.when(F.col("percent") & F.col("code").isin(*PERCENT), 100).otherwise(1)
+    pick = lambda i: F.max(F.when(F.col("col") == F.get("cols", F.lit(i)), value))
+    got = values.groupBy(F.col("path").alias("doc_id"), "code").agg(pick(0).alias("this"), pick(1).alias("last"))
+    return got.where("this is not null or last is not null")
+
+
+def grid_heads(grid: DataFrame, searched: int = 6) -> DataFrame:
+    """doc_id (path), text (of the chosen sheet, cell by cell) and report_cell: the first date
+    right of a cell that says "reporting date"."""
+    cells = grid.where("error is null").join(_chosen(grid, searched).select("path", "sheet"), ["path", "sheet"])
+    said = F.lower("value_str").contains("reporting date")
+    right = cells.where(said).select("path", F.col("row").alias("r"), F.col("col").alias("c"))
+    days = cells.where("day is not null").join(right, "path").where("row = r and col > c").groupBy("path").agg(F.max_by("day", F.struct("r", "c", -F.col("col"))).alias("report_cell"))
+    texts = F.array_sort(F.collect_list(F.when(F.col("value_str").isNotNull(), F.struct("row", "col", "value_str"))))
+    heads = cells.groupBy("path").agg(F.array_join(F.transform(texts, lambda x: x["value_str"]), "\n").alias("text"))
+    return heads.join(days, "path", "left").withColumnRenamed("path", "doc_id")
+
+
+def parse_grids(grid: DataFrame, funds: DataFrame | None = None) -> DataFrame:
+    """Filings of spreadsheets; funds (doc_id, fund_code, source) if the caller knows them."""
+    every = grid.groupBy(F.col("path").alias("doc_id")).agg(F.max("error").alias("broken"))
+    if funds is not None:
+        every = every.join(funds, "doc_id", "left")
+    heads = every.join(grid_heads(grid), "doc_id", "left")
+    got = headed(heads, grid_cells(grid)).join(every.select("doc_id", "broken"), "doc_id")
+    none = F.when(F.col("error") == "ParseError: no text", "ParseError: no sheet has a line 2.1").otherwise(F.col("error"))
+    return got.withColumn("error", F.coalesce("broken", none)).drop("broken")
+
+
+def parse_files(files: DataFrame, glyphs: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Filings of files of any kind: path, content and, where known, fund_code and source.
+
+    glyphs reads PDF files (path, content) as glyphs; without it they are failures. A file of
+    no known kind is one, too. Files are told apart by their bytes, not by their names.
+    """
+    from . import geometry
+
+    given = [c for c in ("fund_code", "source") if c in files.columns]
+    kind = files.withColumn("kind", container(F.col("content"), F.col("path"))).withColumnRenamed("path", "doc_id")
+    known = kind.select("doc_id", *given)
+    texts = kind.where("kind = 'text'").select("doc_id", F.expr("decode(content, 'UTF-8')").alias("text"), *given)
+    books = kind.where("kind = 'xlsx'").select(F.col("doc_id").alias("path"), "content")
+    out = parse_texts(texts).unionByName(parse_grids(read_xlsx(books), known if given else None))
+    printed = kind.where("kind = 'pdf'")
+    if glyphs is not None:
+        out = out.unionByName(geometry.parse_glyphs(glyphs(printed.select(F.col("doc_id").alias("path"), "content")), printed.select("doc_id", *given)))
+        printed = printed.limit(0)
+    why = F.when(F.col("kind") == "pdf", "ParseError: no reader of PDF files is given").otherwise("ParseError: unknown container")
+    rest = printed.unionByName(kind.where("kind is null")).select("doc_id", *given, why.alias("error"))
+    return out.unionByName(rest, allowMissingColumns=True)
 
 
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
-    """The curated monthly series; raises if a row lacks provenance or a month stands twice."""
+    """The curated monthly series, all its columns; raises if a column or a provenance is missing
+    or a month stands twice."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    df = df.select(F.to_date(F.concat(F.substring("month", 1, 7), F.lit("-01"))).alias("month"), F.col("rate_pct").try_cast("double").alias("rate"), "provenance")
+    if missing := {"month", "rate_pct", "provenance"} - set(df.columns):
+        raise ValueError(f"columns are missing: {sorted(missing)}")
+    df = df.withColumns({"month": F.to_date(F.concat(F.substring("month", 1, 7), F.lit("-01"))), "rate_pct": F.col("rate_pct").try_cast("double")})
     bad = df.agg(F.count_if(F.coalesce(F.trim("provenance"), F.lit("")) == "").alias("blank"), (F.count("month") - F.countDistinct("month")).alias("twice")).collect()[0]
     if bad["blank"] or bad["twice"]:
         raise ValueError(f"{bad['blank']} rows without provenance, {bad['twice']} months that repeat")
     return df.orderBy("month")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path)
+def read_panel(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A published panel again, from CSV (with a header) or Parquet."""
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path)
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def sitemap_links(pages: DataFrame, body: str = "body") -> DataFrame:
-    """The <loc> values of sitemap bodies, whatever the namespace."""
-    return pages.select(F.explode(F.regexp_extract_all(body, F.lit(r"<(?:\w+:)?loc>\s*([^<]+?)\s*</(?:\w+:)?loc>"), F.lit(1))).alias("url")).distinct()
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all fetches, from folders of JSON lines."""
+    return spark.read.json(path)
