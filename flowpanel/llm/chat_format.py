@@ -11,7 +11,9 @@ a backslash, ``###`` and ``</turn>`` get a backslash before them, so that neithe
 nor ``\n</turn>`` can occur there; roles are URL-encoded. ``read_back`` undoes both exactly.
 
 Null texts and roles are empty; a null conv_id is a conversation of its own; null turns sort
-first; repeated rows stay, as turns of their own. An empty table gives an empty result.
+first; repeated rows stay, as turns of their own. An empty table gives an empty result. Very long
+texts are formatted whole, and the spans are found in time that grows with the text and the
+number of turns. Other columns, whatever their names, are not read.
 A conversation is one output value, as the format asks for, so its rows meet in one row of
 one task; conversations are otherwise spread by their id.
 """
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hex_sha256, table
+from .common import Cuts, hex_sha256, running, table
 
 HEAD, COLON, END = "\n### ", ":\n", "\n</turn>"
 
@@ -63,17 +65,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
     merged = opened.select(
         "conv_id",
         F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate(
-            "parts",
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("spans")),
-            lambda acc, p: F.struct(
-                (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + len(END)).alias("at"),
-                F.when(
-                    p["loss"],
-                    F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("len")))),
-                ).otherwise(acc["spans"]).alias("spans"),
+        F.transform(
+            F.filter(
+                F.zip_with("parts", running(F.col("parts"), F.lit(0), lambda at, p: at + F.length(p["head"]) + F.length(p["body"]) + len(END)), lambda p, at: F.struct(p["loss"].alias("loss"), (at + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("len"))),
+                lambda x: x["loss"],
             ),
-        )["spans"].alias("loss_spans"),
+            lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len")),
+        ).alias("loss_spans"),
     )
     return merged
 
@@ -91,8 +89,9 @@ def read_back(chats: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", s["start"] + 1, s["len"])))
-    return chats.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_texts"))
+    cut = chats.select("conv_id", "formatted", "loss_spans", Cuts(F.col("formatted")).blocks.alias("_blocks"))
+    loss = F.transform("loss_spans", lambda s: unescape(Cuts(F.col("formatted")).part(s["start"], s["start"] + s["len"], F.col("_blocks"))))
+    return cut.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_texts"))
 
 
 #: A conversation whose texts hold the template's own control strings.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,32 +28,53 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names, or the one set on the context. In local
+    mode alone one of our own is set where there is none; a cluster without one is an error,
+    since its executors share no other folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowpanel-"))
     return jsc.getCheckpointDir().get()
 
 
+#: Tables that ``written`` made and ``clean`` has not removed yet.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and outlives a lost executor."""
+    """df as a table in the shared folder: cuts the lineage and outlives a lost executor. It stays
+    until ``clean``, as the results that are built on it read it."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/flowpanel/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Removes the tables written so far and says how many: for a caller whose results are stored."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def sampled_ids(ids: DataFrame, n: int) -> DataFrame:
-    """At most n ids of the column doc_id, those of least hash: the same ids on every run.
+    """At most n distinct ids of the column doc_id, those of least hash: the same ids on every
+    run, and each once, so that a join back multiplies no row.
 
     A threshold on the hash leaves about twice as many before they are sorted, so that what
     one task reads does not grow with the input.
     """
-    total = ids.count()
+    ids = ids.select("doc_id").where("doc_id is not null")
+    total = ids.agg(F.approx_count_distinct("doc_id", 0.02)).collect()[0][0]
     h = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 40))
-    some = ids.select("doc_id").where(h < min(1.0, (2 * n + 200) / max(1, total)) * float(1 << 40))
+    some = ids.where(h < min(1.0, (2 * n + 200) / max(1, total)) * float(1 << 40)).distinct()
     return some.orderBy(h, "doc_id").limit(n)
 
 
@@ -62,6 +84,41 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
 
 
+#: Length of the blocks into which ``running`` and ``Cuts`` part long arrays and texts.
+RUN, PIECE = 256, 4096
+
+
+def running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each element the fold of start and all elements before it, as an array of start's type.
+
+    Spark has no scan over an array, and appending to one copies it. So the array is cut into
+    blocks, the blocks are folded, and appending goes on inside a block only.
+    """
+    n = F.size(values)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / RUN).cast("int") - 1, F.lit(0))), lambda b: F.slice(values, b * RUN + 1, F.lit(RUN)))
+
+    def inside(block: Column, first: Column, op) -> Column:
+        empty = F.slice(F.array(first), 1, 0)
+        return F.aggregate(block, F.struct(first.alias("at"), empty.alias("out")), lambda acc, v: F.struct(op(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    # a block's own fold joins the folds of the blocks before as one more element
+    firsts = inside(blocks, start, lambda at, block: F.aggregate(block, at, step))
+    return F.flatten(F.zip_with(blocks, firsts, lambda block, first: inside(block, first, step)))
+
+
+class Cuts:
+    """Parts of a text by code points, without counting from its beginning for each of them."""
+
+    def __init__(self, text: Column) -> None:
+        self.blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def part(self, start: Column, end: Column, blocks: Column | None = None) -> Column:
+        blocks = self.blocks if blocks is None else blocks
+        first = F.floor(start / PIECE).cast("int")
+        n = F.floor(end / PIECE).cast("int") - first + 1
+        return F.substr(F.array_join(F.slice(blocks, first + 1, n), ""), start - first * PIECE + 1, F.greatest(end - start, F.lit(0)))
+
+
 def hex_sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 

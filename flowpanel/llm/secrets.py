@@ -8,9 +8,14 @@ random letters and digits in the usual alphabets made by rule from digests (labe
 and words of the corpus and identifiers composed from them (label ordinary), the latter from
 a bounded sample of ``train_docs`` documents with the least hash of their id.
 
+Candidates of the models are runs of 20 or more of the characters that keys use; shorter ones
+are left to the base patterns, as a ratio over a few characters tells little.
+
 Spans are in code points, the end exclusive. Null and empty texts have none; texts are
-scanned whole; repeated rows give repeated results; an empty table gives an empty result.
-Other columns are kept by ``redact`` and not read otherwise.
+scanned whole, in time that grows with their length and their number of spans; repeated rows
+give repeated results; an empty table gives an empty result. Without training texts the
+ordinary model knows no pair and the random one decides alone. Other columns, whatever their
+names, are kept by ``scan`` and ``redact`` and not read.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, hex_sha256, sampled_ids, table
+from .common import SPACE, Cuts, hex_sha256, running, sampled_ids, table
 
 #: The fixed base patterns; matches whose group is shorter than the number are dropped.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -52,34 +57,27 @@ def _spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0
         F.filter(F.arrays_zip(between.alias("gap"), whole.alias("m"), value.alias("value")), lambda z: z["m"].isNotNull()),
         lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["m"]).alias("len"), z["value"].alias("value")),
     )
-    ended = F.aggregate(
+    begins = running(parts, F.lit(0), lambda at, p: at + p["gap"] + p["len"])
+    ended = F.zip_with(
         parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["len"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + p["gap"]).alias("start"),
-                        (acc["at"] + p["gap"] + p["len"]).alias("end"),
-                        F.lit(kind).alias("kind"),
-                        p["value"].alias("value"),
-                    )
-                ),
-            ).cast(SPAN).alias("out"),
-        ),
-    )["out"]
+        begins,
+        lambda p, at: F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["len"]).alias("end"), F.lit(kind).alias("kind"), p["value"].alias("value")),
+    )
     found = F.filter(ended, lambda s: F.length(s["value"]) >= least) if least and group else ended
     return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(SPAN))
 
 
+def _steps(token: Column) -> Column:
+    """The code of each pair of neighbouring characters (a * 128 + b) of an ASCII token, in one
+    pass however long it is."""
+    codes = F.transform(F.slice(F.split(token, ""), 1, F.length(token)), F.ascii)
+    after = F.slice(codes, 2, F.greatest(F.length(token) - 1, F.lit(0)))
+    return F.zip_with(F.slice(codes, 1, F.greatest(F.length(token) - 1, F.lit(0))), after, lambda a, b: a * 128 + b)
+
+
 def _pairs(tokens: DataFrame) -> DataFrame:
     """Counts of neighbouring characters of the column token: code (a * 128 + b), n."""
-    steps = F.transform(
-        F.sequence(F.lit(1), F.length("token") - 1),
-        lambda i: F.ascii(F.substring("token", i, 1)) * 128 + F.ascii(F.substring("token", i + 1, 1)),
-    )
+    steps = _steps(F.col("token"))
     return tokens.where(F.length("token") > 1).select(F.explode(steps).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
@@ -128,28 +126,35 @@ def log_ratios(spark: SparkSession, docs: DataFrame, train_docs: int = TRAIN_DOC
 
 def _ratio(token: Column, table_: Column) -> Column:
     """Mean log-likelihood ratio per step of an ASCII token."""
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1),
-        F.lit(0.0),
-        lambda acc, i: acc + F.get(table_, F.ascii(F.substring(token, i, F.lit(1))) * 128 + F.ascii(F.substring(token, i + 1, F.lit(1)))),
-    )
+    total = F.aggregate(_steps(token), F.lit(0.0), lambda acc, code: acc + F.get(table_, code))
     return total / (F.length(token) - 1)
 
 
 def scan(docs: DataFrame, ratios: list[float], ratio: float = RATIO) -> DataFrame:
-    """docs' columns (id, text first) plus base (spans of the base patterns) and spans (all)."""
+    """docs' columns (text among them) and after them base (spans of the base patterns) and
+    spans (all), two arrays of structs. docs may have columns of these names: then there are two
+    of each, the caller's first; ``found`` gives the two arrays under names of the caller's choice."""
+    return found(docs, ratios, ("base", "spans"), ratio)
+
+
+def found(docs: DataFrame, ratios: list[float], names: tuple[str, str], ratio: float = RATIO) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     model = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to one literal
-    found = docs.select(
-        "*",
-        F.concat(*[_spans(text, kind, pattern, group, least) for kind, pattern, group, least in BASE]).alias("_base"),
-        F.filter(_spans(text, "markov", TOKEN), lambda s: _ratio(s["value"], model) >= ratio).alias("_more"),
-    )
+    base = F.concat(*[_spans(text, kind, pattern, group, least) for kind, pattern, group, least in BASE])
+    more = F.filter(_spans(text, "markov", TOKEN), lambda s: _ratio(s["value"], model) >= ratio)
     rank = lambda s: F.when(s["kind"] == "assign", 0).when(s["kind"] == "access", 1).when(s["kind"] == "hex", 2).otherwise(3)
     order = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    # a token that a base span already covers is no new finding
-    fresh = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    return found.withColumns({"base": order(F.col("_base")), "spans": order(F.concat("_base", fresh))}).drop("_base", "_more")
+    # all that was there goes along in one struct, so no name of the caller can be meant by mistake
+    kept = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    seen = docs.select(kept.alias("row"), base.alias("base"), more.alias("more")).select("row", order(F.col("base")).alias("base"), order(F.col("more")).alias("more"))
+    # a token that a base span already covers is no new finding: sorted by start, the base spans
+    # that reach furthest among those that begin no later decide
+    both = F.array_sort(F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("k"), s["end"].alias("end"))), F.transform("more", lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("k"), s["end"].alias("end")))))
+    reach = F.zip_with(both, running(both, F.lit(0), lambda at, s: F.when(s["k"] == 0, F.greatest(at, s["end"])).otherwise(at)), lambda s, at: F.struct(s["k"].alias("k"), at.alias("at")))
+    fresh = F.zip_with("more", F.filter(reach, lambda r: r["k"] == 1), lambda s, r: F.struct(s.alias("s"), r["at"].alias("at")))
+    fresh = F.transform(F.filter(fresh, lambda x: x["s"]["end"] > x["at"]), lambda x: x["s"])
+    spans = F.when((F.size("base") > 0) & (F.size("more") > 0), order(F.concat("base", fresh))).when(F.size("more") > 0, F.col("more")).otherwise(F.col("base"))
+    return seen.select("row.*", F.col("base").alias(names[0]), spans.alias(names[1]))
 
 
 def joined(spans: Column) -> Column:
@@ -157,24 +162,24 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, ratios: list[float], mark: str = "[SECRET]") -> DataFrame:
-    """docs with each stretch of text that spans cover replaced by mark, and n_chars set anew."""
+    """docs with each stretch of text that spans cover replaced by mark, and n_chars, if it is a
+    number, set anew. All other columns stay, whatever their names."""
     columns = docs.columns
-    found = scan(docs, ratios)
-    # spans by start; overlapping ones merge as the text is put together
+    own = tuple(next(n for k in range(len(columns) + 1) if (n := f"_{x}{k}") not in columns) for x in ("base", "spans", "text"))
+    marked = found(docs, ratios, own[:2])
+    spans = F.col(own[1])
     text = F.coalesce(F.col("text"), F.lit(""))
-    done = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    clean = F.concat(done["out"], F.substr(text, done["at"] + 1))
-    found = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return found.select(*columns)
+    # spans by start; one that begins inside those before lengthens their stretch
+    until = running(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+    opens = F.filter(F.zip_with(spans, until, lambda s, at: F.struct(s["start"].alias("start"), at.alias("at"))), lambda x: x["start"] >= x["at"])
+    cuts = Cuts(text)
+    parts = F.transform(opens, lambda x: F.concat(cuts.part(x["at"], x["start"]), F.lit(mark)))
+    clean = F.concat(F.array_join(parts, ""), cuts.part(F.aggregate(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"])), F.length(text)))
+    marked = marked.withColumn(own[2], F.when(F.size(spans) > 0, clean))
+    out = {"text": F.coalesce(own[2], "text")}
+    if "n_chars" in columns and docs.schema["n_chars"].dataType.typeName() in ("long", "integer"):
+        out["n_chars"] = F.when(F.size(spans) > 0, F.length(own[2]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return marked.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in columns])
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

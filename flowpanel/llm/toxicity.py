@@ -14,9 +14,12 @@ Only labels of rows whose crc32(doc_id) mod 3 is not 1 are read. The fit takes a
 sample: the ``MOST_POSITIVE`` and ``MOST_UNLABELLED`` training documents with the least hash.
 Scoring is one pass over whole texts; label, language, source and id are no inputs.
 
-Null and empty texts get the score of a text without any known word. Without a toxic label
-every score is 0. Repeated rows give repeated results; repeated labels count once. An empty
-table gives an empty result.
+Null and empty texts get the score of a text without any known word; very long ones are read
+whole. Without a toxic label every score is 0. Repeated rows give repeated results; repeated
+labels count once, as toxic if one of them says so. Of documents that share a sampled id one is
+learnt from, the least by a hash of its text, so the sample holds a text for each id at most.
+Rows without an id are scored and not learnt from. An empty table gives an empty result. Other
+columns, whatever their names, are kept by ``keep_clean`` and not read.
 """
 
 from __future__ import annotations
@@ -150,6 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     p_ids = sampled_ids(seen.where("toxic = 1"), MOST_POSITIVE).withColumn("kind", F.lit(1))
     u_ids = sampled_ids(docs.where(fold(F.col("doc_id")) != 1), MOST_UNLABELLED).withColumn("kind", F.lit(0))
     picked = docs.select("doc_id", "text").join(F.broadcast(p_ids.unionByName(u_ids)), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    picked = picked.groupBy("kind", "doc_id").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
     got = picked.select("kind", F.coalesce("text", F.lit("")).alias("text"), "doc_id").toArrow().sort_by([("kind", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
     kinds, texts = got.column("kind").to_pylist(), got.column("text").to_pylist()
     return train([t for k, t in zip(kinds, texts) if k], [t for k, t in zip(kinds, texts) if not k], prior)

@@ -90,24 +90,60 @@ def test_token_counts_at_every_prefix(docs, empty):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def shared(sizes, weights=(5, 2, 1), passes=3):
+    """The targets by plain repetition: full ones stop, the rest is shared again."""
+    out, open_, rest = [0.0] * len(sizes), list(range(len(sizes))), float(sum(sizes))
+    while open_:
+        total = sum(weights[i % 3] for i in open_)
+        full = [i for i in open_ if rest * weights[i % 3] / total > passes * sizes[i]]
+        if not full:
+            for i in open_:
+                out[i] = rest * weights[i % 3] / total
+            break
+        for i in full:
+            out[i] = float(passes * sizes[i])
+        open_ = [i for i in open_ if i not in full]
+        rest = float(sum(sizes)) - sum(out[i] for i in range(len(sizes)) if i not in open_)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 1000, 1000], [0, 0], [], [7], [0, 5, 1, 900, 3, 2, 2, 0, 40, 1]])
+def test_mix_targets(spark, sizes):
+    names = ["A", "a", "b", "é", "中", "中a", "\U0001d4b3", "\U0001d4b3a", "\U0001d4b4"][: max(0, len(sizes) - 1)] + [None]
+    df = spark.createDataFrame(list(zip(names, sizes)), "source string, size bigint").orderBy(F.desc("size"))
+    got = {r["source"]: (r["place"], r["target"]) for r in mixing.targets(df).collect()}
+    assert got == {s: (i, pytest.approx(t)) for i, (s, t) in enumerate(zip(names, shared(sizes)))}
+
+
 def test_mix(spark, docs, empty):
-    assert mixing.targets([100, 100, 100]) == pytest.approx([187.5, 75.0, 37.5])
-    assert mixing.targets([10, 1000, 1000]) == pytest.approx([30.0, 1320.0, 660.0])
-    assert mixing.targets([0, 0]) == [0.0, 0.0] and mixing.targets([]) == []
-    rows = [(i, " ".join(["w"] * (i % 90)), "en", f"s{i % 5}", None, "x") for i in range(1500)] + [(3, "same", "en", "s3", None, "x")] * 2
-    df = spark.createDataFrame(rows, DOCS).drop("size")
+    rows = [(i, " ".join(["w"] * (i % 90)), "en", f"s{i % 5}", None, "999") for i in range(1500)] + [(3, "same", "en", "s3", None, "x")] * 2
+    rows += [(None, "x " * 9, "en", None, None, "x"), (9000, "long " * 20_000, "en", "s4", None, "x"), (9001, "tiny one", "en", "z", None, "x")]
+    df = spark.createDataFrame(rows, DOCS)
     got = mixing.mix(df).collect()
-    assert len(got) == len(rows) and mixing.mix(df).count() == len(rows)
-    assert all(r["taken"] <= 3 * r["size"] for r in got)
-    taken, goal = collections.Counter(), {}
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORDS(r[1]))
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    goal = dict(zip(names, shared([sizes[s] for s in names])))
+    taken = collections.Counter()
     for r in got:
-        taken[r["target"]] += r["taken"]
-    assert sum(r["size"] for r in got) == sum(len(WORDS(r[1])) for r in rows)
-    per = {s: sum(r["taken"] for r in got if r["source_size"] == s) for s in {r["source_size"] for r in got}}
-    assert sum(per.values()) == pytest.approx(sum(r["size"] for r in got), rel=0.02)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df.repartition(3)).collect()))
-    assert mixing.mix(empty.drop("size")).count() == 0
-    assert mixing.mix(docs.drop("size")).count() == len(TEXTS)
+        taken[r["source"]] += r["taken"]
+        assert (r["source_size"], r["target"]) == (sizes[r["source"]], pytest.approx(goal[r["source"]]))
+    # each source near its target: a block or two, or two hundredths
+    assert all(abs(taken[s] - goal[s]) <= max(2 * mixing.BLOCK, 0.02 * goal[s]) for s in names)
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df.repartition(3)).collect()))
+    named = mixing.mix(df.withColumn("n", F.lit(5)), size_col="n").collect()
+    assert {r["size"] for r in named} == {5}
+    assert mixing.mix(empty).count() == 0 and mixing.mix(docs).count() == len(TEXTS)
+
+
+def test_mix_with_many_sources(spark):
+    """More sources than cells of the circle, most of them tiny, one with a third of all words."""
+    rows = [(i, "w " * (1 + i % 7), f"h{i % 3000}") for i in range(6000)] + [(i, "big " * 30, "big") for i in range(6000, 6400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    assert sum(r["taken"] for r in got) == pytest.approx(sum(r["size"] for r in got), rel=0.02)
 
 
 def test_pipeline_decides_by_row(spark):
