@@ -1,25 +1,30 @@
 r"""Operator 1: embedding near-dedup on a robust-pruned flat graph.
 
 Vectors are compared only within one label (and one number of dimensions). Equal vectors
-collapse first. Each label has pivots, about one for SHARD vectors; a vector's home is the
-pivot with the greatest dot product, and it also joins every cell whose bisecting hyperplane
-lies within half the linking distance. Two linked vectors are nearer to their midpoint than
-that, so both stand in the midpoint's cell: the overlap loses no link. Cells that outgrow
-SHARD split into blocks, and each pair of blocks is a shard, so that a shard stays bounded.
+collapse first. Cells of more than twice SHARD vectors are split by pivots drawn from them,
+level by level: a vector's home is the pivot with the greatest dot product, and it also joins
+every cell whose bisecting hyperplane lies within half the linking distance. Two linked vectors
+are nearer to their midpoint than that, so both stand in the midpoint's cell: the overlap
+loses no link. A cell that no split makes smaller (a large group of near copies) is dealt to
+blocks, and each pair of blocks is a shard, so that a shard stays bounded.
 
 In every shard each vector's nearest candidates are pruned robustly (a candidate is dropped
 if a kept one is nearer to it by the factor ALPHA); the adjacency lists of all shards are
 united by vector. Then each shard's vectors are searched for in its part of the united
-graph: a best-first search from the shard's medoids, followed by expansion of everything
-within the range plus a slack. What it finds is verified in double precision. The audit
-compares the finds with all pairs of the shard, block by block: the recall is a column of
-``search`` and what the graph missed is added, so links are whole at any recall.
+graph: a best-first search from medoids, those of consecutive parts of the shard and that of
+the vector's own connected part of the graph, followed by expansion of everything within the
+range plus a slack. What it finds is verified in double precision, and nothing else is a link.
+
+A pair that stands in several shards counts in the first of them. A shard gives for each
+vector the number of its links and a tree edge of its group, never the pairs themselves. The
+audit compares, for every AUDIT-th vector by hash, the finds with all products in the shard;
+below LEAST_RECALL of these the operator fails rather than give an incomplete result.
 
 Links: cosine >= LINK in double precision. Vectors that are null, of zero length or hold
 null or non-finite components, and those without a label, link with nothing and are kept.
 Vectors without an id link with nothing. Rows that repeat an id with the same vector link
 with each other as any two equal vectors do and share the component. An empty table gives an
-empty result. Other columns are not read.
+empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -38,9 +43,12 @@ from .common import components, small_batches, table, written
 LINK = 0.98
 #: Vectors of a shard; candidates, degree and factor of the pruning; width and slack of the search.
 SHARD, CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 4000, 48, 20, 1.2, 24, 0.02
-#: Pivots over all labels, which every task holds, at most.
-MOST_PIVOTS = 4096
+#: Pivots that split one cell, at most; a split counts if it multiplies the rows by no more than
+#: SPREAD and leaves no cell with more than SHRUNK of them; levels.
+FAN, SPREAD, SHRUNK, LEVELS = 64, 2.5, 0.95, 12
 MEDOIDS = 4
+#: One vector of so many is audited; the share of its links that the search must find.
+AUDIT, LEAST_RECALL = 16, 0.9
 _NEAR = 1e-9
 
 
@@ -67,6 +75,20 @@ def _cells(units: np.ndarray, pivots: np.ndarray) -> list[np.ndarray]:
     return [np.concatenate([[h], np.setdiff1d(np.flatnonzero(n), [h])]) for h, n in zip(home, near)]
 
 
+def thinned(pivots: np.ndarray) -> np.ndarray:
+    """Those of the pivots that stand apart by four linking distances, else by two: so a group of
+    near copies, however many pivots were drawn from it, is cut by few planes."""
+    far = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    for apart in (4, 2):
+        kept: list[int] = []
+        for k in range(len(pivots)):
+            if not kept or far[k, kept].min() > apart * np.sqrt(2 - 2 * LINK):
+                kept.append(k)
+        if len(kept) > 1:
+            break
+    return pivots[kept]
+
+
 def prune(units: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Robust pruning: for each vector up to degree neighbours, -1 where there are fewer."""
     n = len(units)
@@ -98,18 +120,23 @@ def prune(units: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE,
     return out
 
 
-def find(units: np.ndarray, neighbours: list[np.ndarray], link: float = LINK, beam: int = BEAM, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
-    """Range search of every vector from the medoids: pairs (query, hit), verified in double."""
+def find(units: np.ndarray, neighbours: list[np.ndarray], link: float = LINK, beam: int = BEAM, slack: float = SLACK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Range search of every vector from the medoids: queries and hits, verified in double, part by part."""
     n = len(units)
     width = max([len(x) for x in neighbours] + [1])
     graph = np.full((n, width), -1, dtype=np.int64)
     for i, x in enumerate(neighbours):
         graph[i, : len(x)] = x
     x = units.astype(np.float32)
-    # medoids: the vectors nearest to the means of consecutive parts
-    parts = np.array_split(np.arange(n), min(MEDOIDS, n))
-    starts = np.unique([p[(x[p] @ x[p].mean(axis=0)).argmax()] for p in parts])
-    out_q, out_h = [], []
+    # medoids: the vectors nearest to the means of consecutive parts, and of each connected part
+    nearest = lambda p: p[(x[p] @ x[p].mean(axis=0)).argmax()]
+    starts = np.unique([nearest(p) for p in np.array_split(np.arange(n), min(MEDOIDS, n))])
+    tail, slot = np.nonzero(graph >= 0)
+    part = connected(n, tail, graph[tail, slot])
+    order = np.argsort(part, kind="stable")
+    entry = np.empty(n, dtype=np.int64)
+    for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        entry[p] = nearest(p)
     for lo in range(0, n, 512):
         own = np.arange(lo, min(n, lo + 512))
         m, rows = len(own), np.arange(min(512, n - lo))
@@ -124,6 +151,12 @@ def find(units: np.ndarray, neighbours: list[np.ndarray], link: float = LINK, be
         done[:, : len(starts)] = False
         seen[:, starts] = True
         inside[:, starts] = sims[:, : len(starts)] >= link - slack
+        at, k = entry[own], len(starts)
+        more = rows[~seen[rows, at]]
+        ids[more, k], done[more, k] = at[more], False
+        sims[more, k] = np.einsum("nd,nd->n", x[own[more]], x[at[more]])
+        seen[more, at[more]] = True
+        inside[more, at[more]] = sims[more, k] >= link - slack
         active = rows
         while len(active):
             score = np.where(done[active], -99, sims[active])
@@ -167,70 +200,120 @@ def find(units: np.ndarray, neighbours: list[np.ndarray], link: float = LINK, be
                 hit = np.einsum("nd,nd->n", x[own[qq]], x[near]) >= link - slack
                 inside[qq[hit], near[hit]] = True
         q, h = np.nonzero(inside)
-        exact = np.einsum("nd,nd->n", units[own[q]], units[h]) >= link
-        out_q.append(own[q[exact]])
-        out_h.append(h[exact])
-    return np.concatenate(out_q), np.concatenate(out_h)
-
-
-def every_link(units: np.ndarray, link: float = LINK) -> tuple[np.ndarray, np.ndarray]:
-    """The audit's pairs: all products, block by block, the near ones again in full precision."""
+        exact = (np.einsum("nd,nd->n", units[own[q]], units[h]) >= link) & (own[q] != h)
+        yield own[q[exact]], h[exact]
+
+
+def connected(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """The least number connected with each of n, by hooking and jumping; label continues a former result."""
+    label = np.arange(n) if label is None else label
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        least = np.minimum(x, y)
+        np.minimum.at(label, x, least)
+        np.minimum.at(label, y, least)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def every_link(units: np.ndarray, some: np.ndarray, link: float = LINK) -> tuple[np.ndarray, np.ndarray]:
+    """The audit's pairs: all products of some vectors, the near ones again in full precision."""
     q, h = [], []
-    for lo in range(0, len(units), 512):
-        a, b = np.nonzero(units[lo : lo + 512] @ units.T >= link - 1e-6)
-        exact = np.einsum("nd,nd->n", units[lo + a], units[b]) >= link
-        q.append(lo + a[exact])
+    for lo in range(0, len(some), 512):
+        own = some[lo : lo + 512]
+        a, b = np.nonzero(units[own] @ units.T >= link - 1e-6)
+        exact = (np.einsum("nd,nd->n", units[own[a]], units[b]) >= link) & (own[a] != b)
+        q.append(own[a[exact]])
         h.append(b[exact])
-    return np.concatenate(q), np.concatenate(h)
+    none = np.empty(0, dtype=np.int64)
+    return np.concatenate([none, *q]), np.concatenate([none, *h])
+
 
+PLACED = "space string, cell string, node bigint, copies bigint, unit binary"
+KEYS = ["space", "cell", "i", "j"]
 
-def _sharded(vectors: DataFrame) -> DataFrame:
-    """space, cell, i, j, own (block), node, unit: the vectors' places in all their shards.
 
-    vectors: space (label and dimensions), node (id), x (array<double>).
+def _split(rows: DataFrame, sizes: DataFrame, shard: int, level: int) -> DataFrame:
+    """rows of oversize cells (sizes: space, cell, n) with cells: the numbers of their new cells, home first."""
+    h = F.pmod(F.xxhash64("node", F.lit(11 + level)), F.lit(1 << 30))
+    want = F.least(F.lit(FAN), F.ceil(F.col("n") / shard)).cast("int")
+    sized = sizes.withColumn("want", want).withColumn("parts", F.ceil(F.col("n") / (4 * shard)).cast("int"))
+    # about twice as many as wanted by a threshold on a hash, then the least hashes: no sort of all rows
+    drawn = rows.join(sized, ["space", "cell"]).where(h < (F.col("want") * 3 + 20) * F.lit(float(1 << 30)) / F.col("n"))
+    order = Window.partitionBy("space", "cell").orderBy(F.xxhash64("node", F.lit(11 + level)), "node")
+    drawn = drawn.withColumn("k", F.row_number().over(order)).where("k <= want")
+    # a cell's rows are dealt to parts, and its pivots go to each of them
+    pivots = written(drawn.select("space", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "k", "unit"))
+    dealt = rows.join(sized.select("space", "cell", "parts"), ["space", "cell"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")).drop("parts")
+
+    def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+        one = lambda t: np.frombuffer(b"".join(t.column("unit").to_pylist()), dtype=np.float64).reshape(t.num_rows, -1)
+        cells = pa.array([], pa.list_(pa.int32()))
+        if left.num_rows and not right.num_rows:
+            cells = pa.array([[0]] * left.num_rows, pa.list_(pa.int32()))
+        elif left.num_rows:
+            cells = pa.array(_cells(one(left), thinned(one(right.sort_by("k")))), pa.list_(pa.int32()))
+        return left.drop_columns(["part"]).append_column("cells", cells)
+
+    key = ["space", "cell", "part"]
+    return dealt.select(*key, "node", "copies", "unit").groupBy(*key).cogroup(pivots.groupBy(*key)).applyInArrow(assign, "space string, cell string, node bigint, copies bigint, unit binary, cells array<int>")
+
+
+def _sharded(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
+    """space, cell, i, j, own (block), node, copies, unit, earlier: the vectors' places in all
+    their shards. earlier: the vector's cells that come before this one.
+
+    vectors: space (label and dimensions), node (id), copies, x (array<double>).
     """
-    spark = vectors.sparkSession
-    counts = vectors.groupBy("space").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    # with very many vectors the cells grow instead of the number of pivots; they split below
-    want = F.greatest(F.lit(1), F.least(F.ceil(F.col("n") / SHARD), F.floor(F.col("n") * MOST_PIVOTS / total))).cast("int")
-    wants = counts.select("space", want.alias("want"), "n")
-    # about twice as many by a threshold on a hash, then the least hashes: no sort of all rows
-    h = F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 30))
-    # only labels of several cells need pivots: at most MOST_PIVOTS / 2 of them
-    drawn = vectors.join(F.broadcast(wants.where("want > 1")), "space").where(h < (F.col("want") * 3 + 20) * F.lit(float(1 << 30)) / F.col("n"))
-    order = Window.partitionBy("space").orderBy(F.xxhash64("node", F.lit(11)), "node")
-    drawn = drawn.withColumn("k", F.row_number().over(order)).where("k <= want").select("space", "k", "x")
-    pivots: dict[str, list] = {}
-    for r in drawn.orderBy("space", "k").collect():
-        pivots.setdefault(r["space"], []).append(r["x"])
-    sent = spark.sparkContext.broadcast({s: _unit(v) for s, v in pivots.items()})
-    schema = pa.schema([("space", pa.string()), ("node", pa.int64()), ("unit", pa.binary()), ("cells", pa.list_(pa.int32()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("space", pa.string()), ("cell", pa.string()), ("node", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary())])
+
+    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spaces = np.array(batch.column("space").to_pylist(), dtype=object)
             for s in dict.fromkeys(spaces):
                 part = batch.filter(pa.array(spaces == s))
                 units = _unit(part.column("x").to_pylist())
-                cells = _cells(units, sent.value[s]) if s in sent.value else [np.zeros(1, int)] * len(units)
-                yield pa.RecordBatch.from_arrays([part.column("space"), part.column("node"), pa.array([u.tobytes() for u in units], pa.binary()), pa.array(cells, pa.list_(pa.int32()))], schema=schema)
-
-    placed = written(vectors.select("space", "node", "x").mapInArrow(run, "space string, node bigint, unit binary, cells array<int>"))
-    spread = placed.withColumn("cell", F.explode("cells")).drop("cells")
-    sizes = spread.groupBy("space", "cell").agg(F.ceil(F.count("*") / (2 * SHARD)).cast("int").alias("blocks"))
-    spread = spread.join(sizes, ["space", "cell"]).withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+                yield pa.RecordBatch.from_arrays([part.column("space"), pa.array(["0"] * len(units), pa.string()), part.column("node"), part.column("copies"), pa.array([u.tobytes() for u in units], pa.binary())], schema=schema)
+
+    rows = written(vectors.select("space", "node", "copies", "x").mapInArrow(unit, PLACED))
+    settled, open_ = [], rows
+    for level in range(LEVELS):
+        sizes = written(open_.groupBy("space", "cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard))
+        if sizes.isEmpty():
+            break
+        cells = written(_split(open_.join(sizes.select("space", "cell"), ["space", "cell"]), sizes, shard, level))
+        split = cells.withColumn("to", F.explode("cells"))
+        grown = split.groupBy("space", "cell", "to").agg(F.count("*").alias("n")).groupBy("space", "cell").agg(F.sum("n").alias("rows"), F.max("n").alias("most"))
+        grown = grown.join(sizes, ["space", "cell"]).where((F.col("rows") <= SPREAD * F.col("n")) & (F.col("most") <= SHRUNK * F.col("n")))
+        better = written(grown.select("space", "cell"))
+        settled.append(open_.join(better, ["space", "cell"], "left_anti"))
+        split = split.join(better, ["space", "cell"])
+        open_ = written(split.select("space", F.concat_ws("/", "cell", "to").alias("cell"), "node", "copies", "unit"))
+    for part in settled:
+        open_ = open_.unionByName(part)
+    placed = written(open_) if settled else open_
+    sizes = placed.groupBy("space", "cell").agg(F.ceil(F.count("*") / (2 * shard)).cast("int").alias("blocks"))
+    every = placed.groupBy("node").agg(F.array_sort(F.collect_list("cell")).alias("mine"))
+    spread = placed.join(sizes, ["space", "cell"]).join(every, "node").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     # a block meets every other block once; in a cell of several blocks, itself in one shard
     spread = spread.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    return spread.select("space", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "unit")
+    earlier = F.filter("mine", lambda c: c < F.col("cell"))
+    return spread.select("space", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "unit", earlier.alias("earlier"))
 
 
-KEYS = ["space", "cell", "i", "j"]
+FOUND = "node bigint, links bigint, root bigint, audited bigint, audited_found bigint"
 
 
-def search(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a < b, found: by the graph) and the audit (one row per shard: links, found)."""
-    sharded = written(_sharded(vectors))
+def search(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
+    """node, links (others, copies counted), root (another vector of its group or itself), audited
+    and audited_found (links of the audit, and those of them that the search found): one row per
+    vector and shard."""
+    sharded = written(_sharded(vectors, shard))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
@@ -239,39 +322,65 @@ def search(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
         node = rows["node"].to_numpy()
         return pd.DataFrame({"node": node, "near": [node[x[x >= 0]] for x in near]})
 
-    lists = sharded.groupBy(*KEYS).applyInPandas(build, "node bigint, near array<bigint>")
+    lists = sharded.select(*KEYS, "node", "unit").groupBy(*KEYS).applyInPandas(build, "node bigint, near array<bigint>")
     # the union of a vector's lists: at most DEGREE for each of its shards
     united = written(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node", ignore_index=True)
-        node = rows["node"].to_numpy()
-        units = np.frombuffer(b"".join(rows["unit"]), dtype=np.float64).reshape(len(rows), -1)
+        node, n = rows["node"].to_numpy(), len(rows)
+        units = np.frombuffer(b"".join(rows["unit"]), dtype=np.float64).reshape(n, -1)
         # edges both ways, as far as both ends stand in this shard
         sizes = [0 if x is None else len(x) for x in rows["near"]]
-        tail = np.repeat(np.arange(len(node)), sizes)
-        head = np.concatenate([np.asarray(x, dtype=np.int64) for x in rows["near"] if x is not None] or [np.empty(0, np.int64)])
-        at = np.minimum(np.searchsorted(node, head), len(node) - 1)
+        tail = np.repeat(np.arange(n), sizes)
+        head = np.concatenate([np.empty(0, np.int64), *[np.asarray(x, dtype=np.int64) for x in rows["near"] if x is not None]])
+        at = np.minimum(np.searchsorted(node, head), n - 1)
         here = node[at] == head
         tail, at = tail[here], at[here]
-        edges = np.unique(np.concatenate([tail * len(node) + at, at * len(node) + tail])) if len(at) else np.empty(0, np.int64)
-        starts = np.searchsorted(edges, np.arange(len(node) + 1) * len(node))
-        neighbours = [edges[starts[k] : starts[k + 1]] % len(node) for k in range(len(node))]
-        q, h = find(units, neighbours)
-        got = set((q[q < h] * len(node) + h[q < h]).tolist()) | set((h[q > h] * len(node) + q[q > h]).tolist())
-        q, h = every_link(units)
-        both = q < h
-        all_ = np.unique(np.concatenate([q[both] * len(node) + h[both], np.fromiter(got, np.int64, len(got))]).astype(np.int64))
-        return pd.DataFrame({"a": node[all_ // len(node)], "b": node[all_ % len(node)], "found": [x in got for x in all_.tolist()]})
-
-    shards = sharded.join(united, "node", "left")
-    links = shards.groupBy(*KEYS).applyInPandas(walk, "a bigint, b bigint, found boolean")
-    links = written(links.groupBy("a", "b").agg(F.max("found").alias("found")))
-    audit = links.agg(F.count("*").alias("links"), F.sum(F.col("found").cast("int")).alias("found"))
-    return links, audit
-
-
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:
+        edges = np.unique(np.concatenate([tail * n + at, at * n + tail]))
+        starts = np.searchsorted(edges, np.arange(n + 1) * n)
+        neighbours = [edges[starts[k] : starts[k + 1]] % n for k in range(n)]
+        # a pair counts here unless a former shard holds it: a common cell that comes before, or, in
+        # a shard of two blocks, one block for both
+        own, copies = rows["own"].to_numpy(), rows["copies"].to_numpy()
+        two = rows["i"].iloc[0] != rows["j"].iloc[0]
+        names = sorted({c for x in rows["earlier"] for c in x})
+        before = np.zeros((n, len(names)), dtype=bool)
+        for k, x in enumerate(rows["earlier"]):
+            before[k, np.searchsorted(names, list(x))] = True
+        some = before.any(axis=1)
+
+        def counted(q: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keep = own[q] != own[h] if two else np.ones(len(q), dtype=bool)
+            both = np.flatnonzero(some[q] & some[h])
+            for lo in range(0, len(both), 1 << 16):
+                k = both[lo : lo + (1 << 16)]
+                keep[k] &= ~(before[q[k]] & before[h[k]]).any(axis=1)
+            return q[keep], h[keep]
+
+        links, found = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        group = None
+        for q, h in find(units, neighbours):
+            group = connected(n, q, h, group)
+            q, h = counted(q, h)
+            links += np.bincount(q, weights=copies[h], minlength=n).astype(np.int64)
+            found += np.bincount(q, minlength=n)
+        audit = np.flatnonzero((node * 0x9E3779B1 >> 7) % AUDIT == 0)
+        truth = np.bincount(counted(*every_link(units, audit))[0], minlength=n)
+        seen = np.zeros(n, dtype=np.int64)
+        seen[audit] = found[audit]
+        return pd.DataFrame({"node": node, "links": links, "root": node[group if group is not None else np.arange(n)], "audited": truth, "audited_found": seen})
+
+    return written(sharded.join(united, "node", "left").groupBy(*KEYS).applyInPandas(walk, FOUND))
+
+
+def recall(found: DataFrame) -> tuple[int, int]:
+    """Links of the audited vectors, and those of them that the search found."""
+    row = found.agg(F.sum("audited").alias("links"), F.sum("audited_found").alias("found")).collect()[0]
+    return row["links"] or 0, row["found"] or 0
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", shard: int = SHARD) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (id, embedding, label)."""
     small_batches(vectors.sparkSession)
     rows = vectors.select(
@@ -281,14 +390,19 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id") -> DataFrame:
     )
     keyed = rows.withColumn("print", F.when(F.col("space").isNotNull(), F.sha2(F.to_json(F.struct("space", "x")).cast("binary"), 256)))
     keyed = written(keyed)
-    nodes = written(keyed.where("print is not null").groupBy("print").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("x").alias("x")))
-    links, _ = search(nodes.select("space", "node", "x"))
-    weight = nodes.select("node", "copies")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(weight.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    group = components(links)
-    of = nodes.select("print", "node", "copies").join(others, "node", "left").join(group, "node", "left")
-    of = of.select("print", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
+    nodes = keyed.where("print is not null").groupBy("print").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("x").alias("x"))
+    # a node is a number of its own: one id may stand with several vectors
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
+    found = search(nodes.select("space", "node", "copies", "x"), shard)
+    links, seen = recall(found)
+    if seen < LEAST_RECALL * links:
+        raise RuntimeError(f"the search found {seen} of {links} audited links")
+    others = found.groupBy("node").agg(F.sum("links").alias("others"))
+    edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
+    group = components(edges)
+    firsts = group.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("first"))
+    of = nodes.select("print", "node", "least", "copies").join(others, "node", "left").join(group, "node", "left").join(firsts, "component", "left")
+    of = of.select("print", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("component"))
     out = keyed.select("vec_id", "print").join(of, "print", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

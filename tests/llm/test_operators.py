@@ -361,29 +361,81 @@ def test_markov_models_tell_random_strings(spark):
     assert len(got[1]["spans"]) == 1 and got[2]["spans"] == []
 
 
-def test_vectors_brute_force(spark):
-    r = np.random.default_rng(3)
-    base = r.normal(size=(30, 16))
-    near = [base[i % 5] + r.normal(size=16) * 0.03 for i in range(40)]
-    rows = [(i, [float(np.float32(v)) for v in x], i % 2) for i, x in enumerate([*base, *near])]
-    rows += [(100, rows[0][1], 0), (101, None, 0), (102, [0.0] * 16, 0), (103, [float("nan")] * 16, 0), (104, [None] * 16, 0), (105, rows[0][1], None), (106, [1.0, 2.0], 0)]
-    df = spark.createDataFrame([(*x, "x") for x in rows], "vec_id bigint, embedding array<float>, label int, n_links string")
-    got = by_id(vector_dup.near_vectors(df), "vec_id")
-    ok = [(i, np.array(x), l) for i, x, l in rows if x and l is not None and len(x) == 16 and None not in x and np.isfinite(x).all() and any(x)]
+def vector_groups(rows):
+    """n_links, component_id, kept of each row (id, vector, label) by comparing all with all."""
+    ok = [k for k, (i, x, l) in enumerate(rows) if i is not None and x and l is not None and None not in x and np.isfinite(x).all() and any(x)]
     links = collections.defaultdict(set)
-    for (i, x, l), (j, y, m) in itertools.combinations(ok, 2):
-        if l == m and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
-            links[i].add(j)
-            links[j].add(i)
-    assert len(got) == len(rows)
-    for i, *_ in rows:
-        seen, todo = {i}, [i]
+    for a, b in itertools.combinations(ok, 2):
+        (_, x, l), (_, y, m) = rows[a], rows[b]
+        x, y = np.array(x), np.array(y)
+        if l == m and len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.98:
+            links[a].add(b)
+            links[b].add(a)
+    out = []
+    for k, (i, *_) in enumerate(rows):
+        seen, todo = {k}, [k]
         while todo:
             new = links[todo.pop()] - seen
             seen |= new
             todo += new
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (len(links[i]), min(seen), min(seen) == i)
+        first = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
+        out.append((i, len(links[k]), first, first == i))
+    return sorted(out, key=repr)
+
+
+VECTORS = "vec_id bigint, embedding array<float>, label int, n_links string, node string"
+
+
+def vectors_found(df, **more):
+    return sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_dup.near_vectors(df, **more).collect()), key=repr)
+
+
+def test_vectors_brute_force(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(30, 16))
+    near = [base[i % 5] + r.normal(size=16) * 0.03 for i in range(40)]
+    rows = [(i, [float(np.float32(v)) for v in x], i % 2) for i, x in enumerate([*base, *near])]
+    rows += [(100, rows[0][1], 0), (101, None, 0), (102, [0.0] * 16, 0), (103, [float("nan")] * 16, 0), (104, [None] * 16, 0), (105, rows[0][1], None), (106, [1.0, 2.0], 0), (107, [], 0)]
+    rows += [(0, rows[0][1], 0), (0, rows[0][1], 0), (2, rows[4][1], 0)]  # an id again with its vector, and with another
+    df = spark.createDataFrame([(*x, "x", "x") for x in rows], VECTORS)
+    assert vectors_found(df) == vector_groups(rows)
     assert vector_dup.near_vectors(df.limit(0)).count() == 0
+    lost = vector_dup.near_vectors(spark.createDataFrame([(None, rows[0][1], 0, "x", "x")], VECTORS)).collect()
+    assert [(x["n_links"], x["component_id"], x["kept"]) for x in lost] == [(0, None, True)]
+
+
+def test_vectors_of_many_shards(spark):
+    """Cells that split twice, links across their borders, and a group of near copies larger than a shard."""
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 24))
+    points = [c + r.normal(size=24) * 0.09 for c in centres for _ in range(14)]
+    points += [centres[0] + 0.02 * r.normal(size=24) for _ in range(90)]
+    points += [(a + b) / 2 + 0.04 * r.normal(size=24) for a, b in zip(centres, centres[1:]) for _ in range(4)]
+    rows = [(1000 - i, [float(np.float32(v)) for v in x], 0) for i, x in enumerate(points)]
+    df = spark.createDataFrame([(*x, "x", "x") for x in rows], VECTORS)
+    want = vector_groups(rows)
+    assert max(x[1] for x in want) > 89
+    assert vectors_found(df, shard=10) == want
+    unit = df.select(F.lit("0:24").alias("space"), F.col("vec_id").alias("node"), F.lit(1).cast("bigint").alias("copies"), F.col("embedding").cast("array<double>").alias("x"))
+    shards = vector_dup._sharded(unit, 10).groupBy("space", "cell", "i", "j").count().collect()
+    assert len(shards) > 12 and {x["cell"].count("/") for x in shards} >= {1, 2} and any(x["i"] != x["j"] for x in shards)
+    found = vector_dup.search(unit, 10)
+    links, seen = vector_dup.recall(found)
+    assert links > 200 and seen == links and found.count() <= 40 * len(rows)
+
+
+def test_vectors_fail_below_the_recall(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [1.0, i / 1000], 0, "x", "x") for i in range(60)], VECTORS)
+    monkeypatch.setattr(vector_dup, "recall", lambda found: (100, 89))
+    with pytest.raises(RuntimeError):
+        vector_dup.near_vectors(df)
+
+
+def test_connected_parts():
+    a, b = np.array([5, 3, 7, 1]), np.array([4, 4, 8, 1])
+    label = vector_dup.connected(10, a, b)
+    assert label.tolist() == [0, 1, 2, 3, 3, 3, 6, 7, 7, 9]
+    assert vector_dup.connected(10, np.array([5]), np.array([8]), label).tolist() == [0, 1, 2, 3, 3, 3, 6, 3, 3, 9]
 
 
 def test_components(spark):
