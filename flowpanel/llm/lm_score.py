@@ -1,9 +1,14 @@
 """Operator 5: language-model scoring by cross-entropy difference.
 
 Two bigram models, one of a target (documents labelled of high quality) and one of the
-background (all documents), share one vocabulary and one smoothing. A document's score is
-the mean over its tokens of the background's loss less the target's: high for texts that
-are more like the target than the corpus at large.
+background (all documents), share one vocabulary and one smoothing; the target's counts are
+scaled to the background's number of tokens, so that both are smoothed alike at any size. A
+document's score is the mean over its tokens of the background's loss less the target's: high
+for texts that are more like the target than the corpus at large.
+
+No document is scored by a model that saw it: its own counts are taken out of both models
+before its tokens are looked up. So a target document gains nothing from its label, and a
+text whose copy stands elsewhere is told from one that stands once.
 
 Words and pairs are counted exactly, under keys of 64 bits, so the models grow with the
 corpus: no cap, no shared cells. Documents are dealt to blocks of about ``BLOCK`` tokens,
@@ -12,15 +17,12 @@ into buckets whose number follows the input; a bucket adds up the lists of all b
 answers each of them with the corpus counts in the order asked; a block then scores its
 documents. A pair that stands in every document stands once in a block's list, as any other.
 
-``models`` and ``score`` hold the same model in a fixed number of hashed cells; no query
-uses them.
-
 Tokens are the white-space separated words in ASCII lower case. Null and empty texts have no
-tokens and score 0. Repeated rows count as often as they stand; an empty table gives an
-empty result; other columns are not read. The target counts every row whose id is labelled
-good, and its words are scaled to the background's number of tokens, so that both models
-are smoothed alike at any size; without any such row, target and background agree and
-scores are 0. Tasks look ids up in a sorted array of the labelled ones, 8 bytes each.
+tokens and score 0; a very long text is a block of its own. Repeated rows count as often as they
+stand, and each row is taken out of the models once when it is scored; an empty table gives an
+empty result; other columns, whatever their names, are not read. The target counts every row
+whose id is labelled good; where no other such row is left, target and background agree and the
+score is 0. Tasks look ids up in a sorted array of the labelled ones, 8 bytes each.
 """
 
 from __future__ import annotations
@@ -37,8 +39,9 @@ from .common import small_batches, table, written
 #: Tokens of one block, and bytes of text for each bucket of keys.
 BLOCK = 2_250_000
 BUCKET_BYTES = 16 << 20
-WORDS, CELLS = 1 << 16, 1 << 20
 LAMBDA, ALPHA = 0.6, 0.5
+#: Tokens that are scored at a time.
+CHUNK = 1 << 18
 
 
 class _Keys(dict):
@@ -62,92 +65,6 @@ def keys(text: str | None) -> np.ndarray:
     return np.fromiter(map(_KEYS.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
 
 
-def numbers(text: str | None) -> np.ndarray:
-    """The numbers of the tokens among hashed cells."""
-    return (keys(text) % np.uint64(WORDS)).astype(np.int64)
-
-
-def cells(ids: np.ndarray) -> np.ndarray:
-    """The cell of each token and the one before it; the first follows number 0."""
-    before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-    return ((before * WORDS + ids) * 0x9E3779B1 >> 13) % CELLS
-
-
-def _counted(docs: DataFrame, target: frozenset[int]) -> DataFrame:
-    schema = pa.schema([("cell", pa.int32()), ("background", pa.int64()), ("target", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, 2 * WORDS + CELLS), dtype=np.int64)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for kind in (0, 1):
-                own = [numbers(t) for i, t in zip(ids, texts) if kind == 0 or i in target]
-                if not own:
-                    continue
-                every = np.concatenate(own)
-                counts[kind, :WORDS] += np.bincount(every, minlength=WORDS)
-                # contexts: all tokens but the last, and the start of each text
-                before = np.concatenate([np.concatenate([[0], x[:-1]]) for x in own if len(x)] or [every])
-                counts[kind, WORDS : 2 * WORDS] += np.bincount(before, minlength=WORDS)
-                pairs = np.concatenate([cells(x) for x in own])
-                counts[kind, 2 * WORDS :] += np.bincount(pairs, minlength=CELLS)
-        there = np.flatnonzero(counts[0])
-        for lo in range(0, len(there), 65536):
-            at = there[lo : lo + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[0, at]), pa.array(counts[1, at])], schema=schema)
-
-    part = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    part = part.mapInArrow(run, "cell int, background bigint, target bigint")
-    return part.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class Bigrams:
-    """Interpolated bigram losses from counts of words, contexts and pairs."""
-
-    def __init__(self, counts: np.ndarray) -> None:
-        total = float(counts[:WORDS].sum())
-        self.single = (((1 - LAMBDA) * (counts[:WORDS] + ALPHA)) / (total + ALPHA * WORDS)).astype(np.float64)
-        self.context = np.maximum(counts[WORDS : 2 * WORDS], 1).astype(np.float64)
-        self.pair = counts[2 * WORDS :].astype(np.float64)
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-        # cells are shared, so a pair counts no more than its context
-        seen = np.minimum(self.pair[cells(ids)], self.context[before])
-        return -np.log(self.single[ids] + LAMBDA * seen / self.context[before])
-
-
-def models(docs: DataFrame, target_ids: list[int]) -> np.ndarray:
-    """Two rows of counts, background and target; at most 2**20 + 2**17 cells reach the driver."""
-    small_batches(docs.sparkSession)
-    got = _counted(docs, frozenset(target_ids)).toArrow()
-    counts = np.zeros((2, 2 * WORDS + CELLS), dtype=np.int64)
-    at = got.column("cell").to_numpy()
-    counts[0, at], counts[1, at] = got.column("background").to_numpy(), got.column("target").to_numpy()
-    return counts
-
-
-def score(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score."""
-    small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int64))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *[(k, pa.float64()) for k in ("target_loss", "background_loss", "score")]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = (Bigrams(x) for x in sent.value)
-        for batch in batches:
-            n, t, b = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = numbers(text)
-                n.append(len(ids))
-                t.append(float(target.losses(ids).mean()) if len(ids) else 0.0)
-                b.append(float(background.losses(ids).mean()) if len(ids) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array([y - x for x, y in zip(t, b)])], schema=schema)
-
-    part = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return part.mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
-
-
 def _pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     x = before * np.uint64(0x9E3779B97F4A7C15) + after
     x ^= x >> np.uint64(32)
@@ -282,15 +199,39 @@ def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
     count, count_t, context, context_t = np.concatenate([_unpack(r["word_counts"]).reshape(4, -1) for r in answers], axis=1)
     both, both_t = np.concatenate([_unpack(r["pair_counts"]).reshape(2, -1) for r in answers], axis=1)
     v, n, n_t = (sum(r[k] for r in answers) for k in ("n_words", "n_background", "n_target"))
-    text = np.repeat(np.arange(len(lengths)), lengths)
-
-    def mean_loss(count: np.ndarray, context: np.ndarray, both: np.ndarray) -> np.ndarray:
-        single = (1 - LAMBDA) * (count + ALPHA) / (n + ALPHA * v)
-        losses = -np.log(single[after] + LAMBDA * both[place] / np.maximum(context, 1)[before])
-        return np.bincount(text, weights=losses, minlength=len(lengths)) / np.maximum(lengths, 1)
-
-    b = mean_loss(count, context, both)
-    t = mean_loss(count_t * (n / n_t), context_t, both_t) if n_t else b
+    good, ends = _unpack(row["good"]), np.cumsum(lengths)
+    sums = np.zeros((2, len(lengths)))
+
+    def own(text: np.ndarray, x: np.ndarray, kinds: int) -> np.ndarray:
+        """How often each x stands in its own text."""
+        _, place, n = np.unique(text * kinds + x, return_inverse=True, return_counts=True)
+        return n[place]
+
+    # whole texts, about CHUNK tokens at a time
+    first = 0
+    while first < len(lengths):
+        begin = ends[first] - lengths[first]
+        until = max(first + 1, int(np.searchsorted(ends, begin + CHUNK, "right")))
+        cut = slice(begin, ends[until - 1])
+        w, c, p = after[cut], before[cut], place[cut]
+        text = np.repeat(np.arange(until - first), lengths[first:until])
+        own_w, own_c, own_p = own(text, w, len(words)), own(text, c, len(words)), own(text, p, both.size)
+        size = lengths[first:until]
+
+        def losses(count: np.ndarray, context: np.ndarray, pairs: np.ndarray, mine: np.ndarray, scale: np.ndarray) -> np.ndarray:
+            m = mine[text]
+            single = (1 - LAMBDA) * ((count[w] - m * own_w) * scale[text] + ALPHA) / (n - size + ALPHA * v)[text]
+            return -np.log(single + LAMBDA * (pairs[p] - m * own_p) / np.maximum(context[c] - m * own_c, 1))
+
+        every = losses(count, context, both, np.ones_like(size), np.ones(len(size)))
+        mine = good[first:until]
+        rest = n_t - mine * size
+        other = losses(count_t, context_t, both_t, mine, (n - size) / np.maximum(rest, 1))
+        other = np.where((rest > 0)[text], other, every)
+        for k, x in enumerate((every, other)):
+            sums[k, first:until] = np.bincount(text, weights=x, minlength=until - first)
+        first = until
+    b, t = sums / np.maximum(lengths, 1)
     return pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array(t), pa.array(b), pa.array(b - t)], schema=schema)
 
 
@@ -301,7 +242,7 @@ def exact_score(docs: DataFrame, target_ids: np.ndarray) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = written(_blocks(docs, target_ids))
     answers = _answers(_lists(blocks, 1 + size // BUCKET_BYTES))
-    texts = blocks.select("block", "ids", "lengths", "words", "at")
+    texts = blocks.select("block", "ids", "lengths", "good", "words", "at")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
 
 

@@ -193,39 +193,32 @@ def test_toxicity_held_out(spark, empty):
     assert by_id(toxicity.score(df, toxicity.fit(df, lab.where("toxic = 0"))))[0]["score"] < 1e-6
 
 
-def test_lm_score_brute_force(docs, empty):
-    ids = [5, 6]
-    counts = lm_score.models(docs, ids)
-    single, ctx, pair = (collections.Counter() for _ in range(3))
-    for t in TEXTS:
-        n = lm_score.numbers(t).tolist()
-        for a, b, c in zip([0, *n], n, lm_score.cells(np.array(n, dtype=np.int64)).tolist()):
-            single[b] += 1
-            ctx[a] += 1
-            pair[c] += 1
-    w, total = lm_score.WORDS, sum(single.values())
-    assert counts[0, :w].sum() == total and all(counts[0, k] == v for k, v in single.items())
-    assert all(counts[0, w + k] == v for k, v in ctx.items()) and all(counts[0, 2 * w + k] == v for k, v in pair.items())
-    got = by_id(lm_score.score(docs, counts))
-    n = lm_score.numbers(TEXTS[5]).tolist()
-    loss = -np.mean([np.log((1 - lm_score.LAMBDA) * (single[b] + lm_score.ALPHA) / (total + lm_score.ALPHA * w) + lm_score.LAMBDA * min(pair[c], ctx[a]) / ctx[a]) for a, b, c in zip([0, *n], n, lm_score.cells(np.array(n)).tolist())])
-    assert got[5]["background_loss"] == pytest.approx(loss)
-    assert got[5]["score"] > got[8]["score"] and got[0]["score"] == got[1]["score"] == 0
-    assert lm_score.score(empty, lm_score.models(empty, [])).count() == 0
-
-
-def exact_losses(texts, chosen, v, scale=1.0):
-    """The mean loss of each text under exact counts of the chosen texts, by plain counting."""
+def exact_losses(texts, good, v):
+    """The mean losses of each text (background, target) under plain counts of the other texts."""
     tokens = [(t or "").encode().lower().split() for t in texts]
-    single, ctx, pair = (collections.Counter() for _ in range(3))
-    for i in chosen:
-        for a, b in zip([None, *tokens[i]], tokens[i]):
-            single[b] += scale
-            ctx[a] += 1
-            pair[a, b] += 1
-    n = sum(single.values())
-    loss = lambda a, b: -np.log((1 - lm_score.LAMBDA) * (single[b] + lm_score.ALPHA) / (n + lm_score.ALPHA * v) + lm_score.LAMBDA * pair[a, b] / max(1, ctx[a]))
-    return [np.mean([loss(a, b) for a, b in zip([None, *x], x)]) if x else 0.0 for x in tokens]
+
+    def counts(chosen):
+        single, ctx, pair = (collections.Counter() for _ in range(3))
+        for i in chosen:
+            for a, b in zip([None, *tokens[i]], tokens[i]):
+                single[b] += 1
+                ctx[a] += 1
+                pair[a, b] += 1
+        return single, ctx, pair, sum(single.values())
+
+    every, target = counts(range(len(texts))), counts(good)
+    out = []
+    for i, x in enumerate(tokens):
+        mine = counts([i])
+        n = every[3] - mine[3]
+        both = []
+        for k, model in enumerate((every, target)):
+            m = 1 if k == 0 or i in good else 0
+            scale = 1.0 if k == 0 else n / max(1, model[3] - m * mine[3])
+            loss = lambda a, b: -np.log((1 - lm_score.LAMBDA) * ((model[0][b] - m * mine[0][b]) * scale + lm_score.ALPHA) / (n + lm_score.ALPHA * v) + lm_score.LAMBDA * (model[2][a, b] - m * mine[2][a, b]) / max(1, model[1][a] - m * mine[1][a]))  # noqa: B023, E731
+            both.append(np.mean([loss(a, b) for a, b in zip([None, *x], x)]) if x else 0.0)
+        out.append((both[0], both[1] if target[3] > (mine[3] if i in good else 0) else both[0]))
+    return out
 
 
 def put_lm_tables(spark, folder, texts, good):
@@ -236,16 +229,35 @@ def put_lm_tables(spark, folder, texts, good):
 
 def test_lm_score_counts_more_words_than_cells_exactly(spark, tmp_path, monkeypatch):
     texts = [None, " ", *[" ".join(f"w{i % 7}x{j * j % 997}y{i * j}" for j in range(1100)) for i in range(90)]]
-    texts += [texts[5], texts[6] + " the end", "the the the"]
+    # more tokens than are scored at a time, and one text longer than that
+    texts += [texts[5], texts[6] + " the end", "the the the", "long text " * (lm_score.CHUNK // 2 + 9), *texts[40:60]]
     v = len({w for t in texts for w in (t or "").split()})
     assert v > 1 << 16
     put_lm_tables(spark, tmp_path, texts, set(range(len(texts))))
     monkeypatch.setattr(lm_score, "BUCKET_BYTES", 200_000)
     got = by_id(lm_score.op5_lm_score(spark, str(tmp_path)))
-    want = exact_losses(texts, range(len(texts)), v)
+    want = exact_losses(texts, set(range(len(texts))), v)
     assert len(got) == len(texts) and got[0]["n_tokens"] == got[1]["n_tokens"] == 0
-    assert [got[i]["background_loss"] for i in range(len(texts))] == pytest.approx(want)
-    assert [got[i]["target_loss"] for i in range(len(texts))] == pytest.approx(want)
+    assert [(got[i]["background_loss"], got[i]["target_loss"]) for i in range(len(texts))] == [pytest.approx(w) for w in want]
+
+
+def test_lm_score_leaves_each_document_out(spark, tmp_path):
+    """Half of the texts are the target; a text that stands twice, a text alone with its words."""
+    texts = [" ".join(f"w{(i * j) % 17}" for j in range(1 + i % 40)) for i in range(120)] + ["", None, "once only here", "stands twice", "stands twice"]
+    good = set(range(0, 125, 2))
+    put_lm_tables(spark, tmp_path, texts, good)
+    v = len({w for t in texts for w in (t or "").split()})
+    got = by_id(lm_score.op5_lm_score(spark, str(tmp_path)))
+    want = exact_losses(texts, good, v)
+    assert [(got[i]["background_loss"], got[i]["target_loss"]) for i in range(len(texts))] == [pytest.approx(w) for w in want]
+    assert got[123]["background_loss"] < got[122]["background_loss"] and got[120]["score"] == got[121]["score"] == 0
+    put_lm_tables(spark, tmp_path / "none", texts[:9], {99})
+    assert {r["score"] for r in lm_score.op5_lm_score(spark, str(tmp_path / "none")).collect()} == {0.0}
+    put_lm_tables(spark, tmp_path / "alone", texts[:9], {3})
+    assert by_id(lm_score.op5_lm_score(spark, str(tmp_path / "alone")))[3]["score"] == 0.0
+    assert lm_score.exact_score(spark.createDataFrame([], "doc_id bigint, text string"), np.array([1])).count() == 0
+    clash = spark.createDataFrame([(1, "a b", "x", 2), (None, "b c", "y", 3), (1, "a b", "z", 4)], "doc_id bigint, text string, score string, block int")
+    assert lm_score.exact_score(clash, np.array([1])).count() == 3
 
 
 def test_lm_score_target_takes_every_good_document(spark, tmp_path):
@@ -253,12 +265,23 @@ def test_lm_score_target_takes_every_good_document(spark, tmp_path):
     good = set(range(0, 20_500)) | {21_000}
     put_lm_tables(spark, tmp_path, texts, good)
     got = by_id(lm_score.op5_lm_score(spark, str(tmp_path)))
-    v = len({w for t in texts for w in (t or "").split()})
-    n, n_t = 3 * 21_000, 3 * 20_500
-    want = exact_losses(texts, sorted(good), v, n / n_t)
-    assert [got[i]["target_loss"] for i in range(len(texts))] == pytest.approx(want)
-    put_lm_tables(spark, tmp_path / "none", texts[:9], {99})
-    assert {r["score"] for r in lm_score.op5_lm_score(spark, str(tmp_path / "none")).collect()} == {0.0}
+    want = exact_losses(texts, good, len({w for t in texts for w in (t or "").split()}))
+    assert [got[i]["target_loss"] for i in range(len(texts))] == pytest.approx([t for _, t in want])
+
+
+def test_lm_score_tells_unseen_target_texts(spark):
+    """Texts labelled good of one kind, others of another: a good text that no model saw scores higher."""
+    import tempfile
+
+    r = random.Random(4)
+    kind = lambda words: " ".join(r.choice(words) for _ in range(60))
+    fine, poor = [f"f{i}" for i in range(60)], [f"p{i}" for i in range(60)]
+    texts = [kind(fine if i % 2 else poor) for i in range(200)]
+    folder = tempfile.mkdtemp()
+    put_lm_tables(spark, folder, texts, {i for i in range(200) if i % 2 and i < 150})
+    got = by_id(lm_score.op5_lm_score(spark, folder))
+    seen, unseen, other = ([got[i]["score"] for i in range(a, 200) if i % 2 == k and i < z] for a, z, k in ((0, 150, 1), (150, 200, 1), (0, 200, 0)))
+    assert min(unseen) > max(other) and abs(np.mean(seen) - np.mean(unseen)) < 0.1 * (np.mean(unseen) - np.mean(other))
 
 
 def test_chat_round_trip(spark):
