@@ -17,8 +17,9 @@ coordinates are passed over, which at the threshold happens with probability bel
 
 Words are maximal runs without ASCII white space, A-Z in lower case. A text with fewer than five words
 is one shingle; null texts and texts without words have none, link with nothing and are
-kept. Rows without an id link with nothing. Rows that repeat an id share its group. An empty
-table gives an empty result. Other columns are not read.
+kept. Very long texts are sketched and compared whole. Rows without an id link with nothing.
+Rows that repeat an id share its group. An empty table gives an empty result. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

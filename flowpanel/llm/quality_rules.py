@@ -7,10 +7,13 @@ as the other part's precision does not fall. The list becomes one Spark conditio
 expression. Each growing step is one aggregation over binned statistics, so at most
 features * bins rows of counts reach the driver.
 
+Windows are told apart by 64-bit hashes of their words: two that differ agree by chance once in
+2^64 pairs, so a text of a million words counts a false repeat with odds below 1 to 30 million.
+
 Null and empty texts have no words: all counts are zero, base_failed is true. Texts are
-measured whole. Repeated rows give repeated results; labelled rows that repeat count as
+measured whole, very long ones, too. Rows without an id are measured and not learnt from. Repeated rows give repeated results; labelled rows that repeat count as
 often as they stand. Without labelled rows of both kinds the list is empty and base_failed
-alone decides. An empty table gives an empty result. Other columns are not read.
+alone decides. An empty table gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -144,7 +147,7 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
 def learn(labelled: DataFrame, features=RATIOS, bins: int = BINS) -> list[tuple[Test, ...]]:
     """Rules for low quality, in order. labelled: the counts of measured and bad (0 or 1).
 
-    Rows whose hash is even grow the rules, the others prune them.
+    Two thirds of the rows, by a hash of the id, grow the rules, the others prune them.
     """
     ratios = _ratios()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2

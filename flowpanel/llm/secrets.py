@@ -144,17 +144,24 @@ def found(docs: DataFrame, ratios: list[float], names: tuple[str, str], ratio: f
     more = F.filter(_spans(text, "markov", TOKEN), lambda s: _ratio(s["value"], model) >= ratio)
     rank = lambda s: F.when(s["kind"] == "assign", 0).when(s["kind"] == "access", 1).when(s["kind"] == "hex", 2).otherwise(3)
     order = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    # all that was there goes along in one struct, so no name of the caller can be meant by mistake
+    # all that was there goes along in one struct, and names that the caller uses are not ours
     kept = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
-    seen = docs.select(kept.alias("row"), base.alias("base"), more.alias("more")).select("row", order(F.col("base")).alias("base"), order(F.col("more")).alias("more"))
+    row, b, m = _free(docs.columns, "row", "base", "more")
+    seen = docs.select(kept.alias(row), base.alias(b), more.alias(m)).select(row, order(F.col(b)).alias(b), order(F.col(m)).alias(m))
     # a token that a base span already covers is no new finding: sorted by start, the base spans
     # that reach furthest among those that begin no later decide
-    both = F.array_sort(F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("k"), s["end"].alias("end"))), F.transform("more", lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("k"), s["end"].alias("end")))))
+    both = F.array_sort(F.concat(F.transform(b, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("k"), s["end"].alias("end"))), F.transform(m, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("k"), s["end"].alias("end")))))
     reach = F.zip_with(both, running(both, F.lit(0), lambda at, s: F.when(s["k"] == 0, F.greatest(at, s["end"])).otherwise(at)), lambda s, at: F.struct(s["k"].alias("k"), at.alias("at")))
-    fresh = F.zip_with("more", F.filter(reach, lambda r: r["k"] == 1), lambda s, r: F.struct(s.alias("s"), r["at"].alias("at")))
+    fresh = F.zip_with(m, F.filter(reach, lambda r: r["k"] == 1), lambda s, r: F.struct(s.alias("s"), r["at"].alias("at")))
     fresh = F.transform(F.filter(fresh, lambda x: x["s"]["end"] > x["at"]), lambda x: x["s"])
-    spans = F.when((F.size("base") > 0) & (F.size("more") > 0), order(F.concat("base", fresh))).when(F.size("more") > 0, F.col("more")).otherwise(F.col("base"))
-    return seen.select("row.*", F.col("base").alias(names[0]), spans.alias(names[1]))
+    spans = F.when((F.size(b) > 0) & (F.size(m) > 0), order(F.concat(b, fresh))).when(F.size(m) > 0, F.col(m)).otherwise(F.col(b))
+    done = seen.select(row, b, spans.alias(m))
+    return done.select(f"{row}.*", done[b].alias(names[0]), done[m].alias(names[1]))
+
+
+def _free(columns: list[str], *names: str) -> tuple[str, ...]:
+    """The names, each with the first number that makes it none of the columns."""
+    return tuple(next(n for k in range(len(columns) + 1) if (n := f"_{x}{k}") not in columns) for x in names)
 
 
 def joined(spans: Column) -> Column:
@@ -165,7 +172,7 @@ def redact(docs: DataFrame, ratios: list[float], mark: str = "[SECRET]") -> Data
     """docs with each stretch of text that spans cover replaced by mark, and n_chars, if it is a
     number, set anew. All other columns stay, whatever their names."""
     columns = docs.columns
-    own = tuple(next(n for k in range(len(columns) + 1) if (n := f"_{x}{k}") not in columns) for x in ("base", "spans", "text"))
+    own = _free([*columns, *_free(columns, "base")], "base", "spans", "text")
     marked = found(docs, ratios, own[:2])
     spans = F.col(own[1])
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -1,0 +1,21 @@
+"""The queries that have SQL against their SQL."""
+
+import pytest
+
+from flowpanel.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_matches_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations", "labels"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    cur = con.execute(queries.ORACLE_SQL[name])
+    names = [x[0] for x in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    got = sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr)
+    assert got and got == sorted((tuple(r) for r in cur.fetchall()), key=repr)
