@@ -4,11 +4,17 @@ toxic documents go; one document of each near-duplicate group stays; secrets are
 the texts; sources are mixed to their target weights, documents repeated or left out as the
 mix takes them; and the texts are encoded. All stages but the last keep the columns of
 documents.
+
+Every row is a document of its own, also where ids, texts or whole rows repeat or are null.
+Null and empty texts are clean, are copies of nothing, hold no secrets, weigh nothing in the mix
+(which keeps them once) and have no tokens. Very long texts are treated whole. Further columns,
+whatever their names, go along unread up to the last stage, which has columns of its own. An
+empty table passes through as an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,11 +30,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model)
 
 
+def _packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """The rows as one struct each, beside columns of our own: no name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *[v.alias(k) for k, v in more.items()])
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row is a document of its own, also where ids repeat or are null; the first by id stays."""
-    numbered = written(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns)).withColumn("_row", F.monotonically_increasing_id()))
-    gone = near_dup.near_groups(numbered.select(F.col("_row").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    """Of each group the first by id stays; of equal ids the first by a hash of the row."""
+    every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    ordered = _packed(docs, id=F.col("doc_id"), hash=every, text=F.col("text")).orderBy(F.col("id").asc_nulls_last(), "hash")
+    numbered = written(ordered.select("doc", "text", F.monotonically_increasing_id().alias("place")))
+    gone = near_dup.near_groups(numbered.select(F.col("place").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("place"))
+    return numbered.join(gone, "place", "left_anti").select("doc.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +49,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it.
+    """Each row as often as the mix takes it; a row without words, which weighs nothing, once.
 
     What is left beside whole copies is drawn by systematic sampling within the source: of a
     running sum of these parts, from a start that depends on the source, every whole number
@@ -44,9 +57,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sizes.
     """
     same = ["doc_id", "source", "size"]
-    times = written(mixing.mix(docs.select("doc_id", "source", "text")).where("size > 0").select(*same, "row", "taken"))
+    times = written(mixing.mix(docs.select("doc_id", "source", "text")).select(*same, "row", "taken"))
     buckets = 1 + times.count() // BUCKET
-    times = times.withColumn("part", F.floor(F.col("taken") % F.col("size") * UNIT / F.col("size")))
+    times = times.withColumn("part", F.when(F.col("size") > 0, F.floor(F.col("taken") % F.greatest("size", F.lit(1)) * UNIT / F.greatest("size", F.lit(1)))).otherwise(0))
     times = times.withColumn("hash", F.xxhash64(*same, "row")).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
     sums = times.groupBy("source", "bucket").agg(F.sum("part").alias("sum"))
     start = F.pmod(F.xxhash64("source", F.lit(29)), F.lit(UNIT))
@@ -54,13 +67,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     inside = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size", "row")
     times = times.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
     times = times.withColumn("to", F.col("base") + F.sum("part").over(inside))
-    whole = F.floor(F.col("taken") / F.col("size")) + F.floor(F.col("to") / UNIT) - F.floor((F.col("to") - F.col("part")) / UNIT)
-    times = times.select(*[F.col(c).alias(f"_{c}") for c in [*same, "row"]], whole.cast("int").alias("_times")).where("_times > 0")
+    whole = F.floor(F.col("taken") / F.greatest("size", F.lit(1))) + F.floor(F.col("to") / UNIT) - F.floor((F.col("to") - F.col("part")) / UNIT)
+    times = times.select(*same, "row", F.when(F.col("size") > 0, whole).otherwise(1).cast("int").alias("times")).where("times > 0")
     # rows alike in id, source and size are told apart by number, in the order of a hash of all columns
-    own = docs.withColumns({"_a": F.col("doc_id").cast("bigint"), "_b": F.col("source").cast("string"), "_c": mixing.word_count(F.col("text")), "_h": F.xxhash64(*docs.columns)})
-    own = own.withColumn("_d", F.row_number().over(Window.partitionBy("_a", "_b", "_c").orderBy("_h")))
-    on = F.col("_a").eqNullSafe(F.col("_doc_id")) & F.col("_b").eqNullSafe(F.col("_source")) & (F.col("_c") == F.col("_size")) & (F.col("_d") == F.col("_row"))
-    return own.join(times, on).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    own = _packed(docs, a=F.col("doc_id").cast("bigint"), b=F.col("source").cast("string"), c=mixing.word_count(F.col("text")), h=every)
+    own = own.withColumn("d", F.row_number().over(Window.partitionBy("a", "b", "c").orderBy("h")))
+    on = F.col("a").eqNullSafe(F.col("doc_id")) & F.col("b").eqNullSafe(F.col("source")) & (F.col("c") == F.col("size")) & (F.col("d") == F.col("row"))
+    return own.join(times, on).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
