@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table, written
 
 #: Tokens of one block, and bytes of text for each bucket of keys.
-BLOCK = 2_250_000
+BLOCK = 1_750_000
 BUCKET_BYTES = 16 << 20
 LAMBDA, ALPHA = 0.6, 0.5
 #: Tokens that are scored at a time.
