@@ -23,8 +23,9 @@ below LEAST_RECALL of these the operator fails rather than give an incomplete re
 Links: cosine >= LINK in double precision. Vectors that are null, of zero length or hold
 null or non-finite components, and those without a label, link with nothing and are kept.
 Vectors without an id link with nothing. Rows that repeat an id with the same vector link
-with each other as any two equal vectors do and share the component. An empty table gives an
-empty result. Other columns, whatever their names, are not read.
+with each other as any two equal vectors do and share the component; an id that stands with
+several vectors has the links of each in the row of each, and one component. An empty table
+gives an empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -234,7 +235,7 @@ def every_link(units: np.ndarray, some: np.ndarray, link: float = LINK) -> tuple
     return np.concatenate([none, *q]), np.concatenate([none, *h])
 
 
-PLACED = "space string, cell string, node bigint, copies bigint, unit binary"
+PLACED = "space string, cell string, node bigint, least bigint, copies bigint, unit binary"
 KEYS = ["space", "cell", "i", "j"]
 
 
@@ -261,16 +262,17 @@ def _split(rows: DataFrame, sizes: DataFrame, shard: int, level: int) -> DataFra
         return left.drop_columns(["part"]).append_column("cells", cells)
 
     key = ["space", "cell", "part"]
-    return dealt.select(*key, "node", "copies", "unit").groupBy(*key).cogroup(pivots.groupBy(*key)).applyInArrow(assign, "space string, cell string, node bigint, copies bigint, unit binary, cells array<int>")
+    return dealt.select(*key, "node", "least", "copies", "unit").groupBy(*key).cogroup(pivots.groupBy(*key)).applyInArrow(assign, f"{PLACED}, cells array<int>")
 
 
 def _sharded(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
-    """space, cell, i, j, own (block), node, copies, unit, earlier: the vectors' places in all
-    their shards. earlier: the vector's cells that come before this one.
+    """space, cell, i, j, own (block), node, least, copies, unit, earlier: the vectors' places in
+    all their shards. earlier: the vector's cells that come before this one.
 
-    vectors: space (label and dimensions), node (id), copies, x (array<double>).
+    vectors: space (label and dimensions), node (a number of its own), least (the smallest id
+    that has the vector), copies, x (array<double>).
     """
-    schema = pa.schema([("space", pa.string()), ("cell", pa.string()), ("node", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary())])
+    schema = pa.schema([("space", pa.string()), ("cell", pa.string()), ("node", pa.int64()), ("least", pa.int64()), ("copies", pa.int64()), ("unit", pa.binary())])
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,9 +280,9 @@ def _sharded(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
             for s in dict.fromkeys(spaces):
                 part = batch.filter(pa.array(spaces == s))
                 units = _unit(part.column("x").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("space"), pa.array(["0"] * len(units), pa.string()), part.column("node"), part.column("copies"), pa.array([u.tobytes() for u in units], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("space"), pa.array(["0"] * len(units), pa.string()), part.column("node"), part.column("least"), part.column("copies"), pa.array([u.tobytes() for u in units], pa.binary())], schema=schema)
 
-    rows = written(vectors.select("space", "node", "copies", "x").mapInArrow(unit, PLACED))
+    rows = written(vectors.select("space", "node", "least", "copies", "x").mapInArrow(unit, PLACED))
     settled, open_ = [], rows
     for level in range(LEVELS):
         sizes = written(open_.groupBy("space", "cell").agg(F.count("*").alias("n")).where(F.col("n") > 2 * shard))
@@ -293,7 +295,7 @@ def _sharded(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
         better = written(grown.select("space", "cell"))
         settled.append(open_.join(better, ["space", "cell"], "left_anti"))
         split = split.join(better, ["space", "cell"])
-        open_ = written(split.select("space", F.concat_ws("/", "cell", "to").alias("cell"), "node", "copies", "unit"))
+        open_ = written(split.select("space", F.concat_ws("/", "cell", "to").alias("cell"), "node", "least", "copies", "unit"))
     for part in settled:
         open_ = open_.unionByName(part)
     placed = written(open_) if settled else open_
@@ -303,15 +305,15 @@ def _sharded(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     # a block meets every other block once; in a cell of several blocks, itself in one shard
     spread = spread.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     earlier = F.filter("mine", lambda c: c < F.col("cell"))
-    return spread.select("space", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "copies", "unit", earlier.alias("earlier"))
+    return spread.select("space", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "least", "copies", "unit", earlier.alias("earlier"))
 
 
-FOUND = "node bigint, links bigint, root bigint, audited bigint, audited_found bigint"
+FOUND = "node bigint, links bigint, least bigint, root bigint, audited bigint, audited_found bigint"
 
 
 def search(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
-    """node, links (others, copies counted), root (another vector of its group or itself), audited
-    and audited_found (links of the audit, and those of them that the search found): one row per
+    """node, links (others, copies counted), least and root (the smallest id of the vector and that
+    of its group, as far as the shard knows it), audited and audited_found (links of the audit, and those of them that the search found): one row per
     vector and shard."""
     sharded = written(_sharded(vectors, shard))
 
@@ -359,7 +361,7 @@ def search(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
             return q[keep], h[keep]
 
         links, found = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        group = None
+        group = np.arange(n)
         for q, h in find(units, neighbours):
             group = connected(n, q, h, group)
             q, h = counted(q, h)
@@ -369,7 +371,10 @@ def search(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
         truth = np.bincount(counted(*every_link(units, audit))[0], minlength=n)
         seen = np.zeros(n, dtype=np.int64)
         seen[audit] = found[audit]
-        return pd.DataFrame({"node": node, "links": links, "root": node[group if group is not None else np.arange(n)], "audited": truth, "audited_found": seen})
+        least = rows["least"].to_numpy()
+        root = np.full(n, np.iinfo(np.int64).max)
+        np.minimum.at(root, group, least)
+        return pd.DataFrame({"node": node, "links": links, "least": least, "root": root[group], "audited": truth, "audited_found": seen})
 
     return written(sharded.join(united, "node", "left").groupBy(*KEYS).applyInPandas(walk, FOUND))
 
@@ -393,16 +398,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", shard: int = SHARD)
     nodes = keyed.where("print is not null").groupBy("print").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("x").alias("x"))
     # a node is a number of its own: one id may stand with several vectors
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
-    found = search(nodes.select("space", "node", "copies", "x"), shard)
+    found = search(nodes.select("space", "node", "least", "copies", "x"), shard)
     links, seen = recall(found)
     if seen < LEAST_RECALL * links:
         raise RuntimeError(f"the search found {seen} of {links} audited links")
     others = found.groupBy("node").agg(F.sum("links").alias("others"))
-    edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
-    group = components(edges)
-    firsts = group.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("first"))
-    of = nodes.select("print", "node", "least", "copies").join(others, "node", "left").join(group, "node", "left").join(firsts, "component", "left")
-    of = of.select("print", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("component"))
+    # groups are joined by ids, which stand in the shards already: no vector is looked up by its group
+    group = components(found.where("least <> root").select(F.col("least").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("node", "least")
+    of = nodes.select("print", "node", "least", "copies").join(others, "node", "left").join(group, "least", "left")
+    of = of.select("print", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "least").alias("component"))
     out = keyed.select("vec_id", "print").join(of, "print", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -442,7 +442,9 @@ def vector_groups(rows):
     for k, (i, *_) in enumerate(rows):
         seen, todo = {k}, [k]
         while todo:
-            new = links[todo.pop()] - seen
+            j = todo.pop()
+            # rows of one id, as far as they can link, share a group
+            new = (links[j] | {m for m in ok if j in ok and rows[m][0] == rows[j][0]}) - seen
             seen |= new
             todo += new
         first = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
@@ -483,7 +485,7 @@ def test_vectors_of_many_shards(spark):
     want = vector_groups(rows)
     assert max(x[1] for x in want) > 89
     assert vectors_found(df, shard=10) == want
-    unit = df.select(F.lit("0:24").alias("space"), F.col("vec_id").alias("node"), F.lit(1).cast("bigint").alias("copies"), F.col("embedding").cast("array<double>").alias("x"))
+    unit = df.select(F.lit("0:24").alias("space"), F.col("vec_id").alias("node"), F.col("vec_id").alias("least"), F.lit(1).cast("bigint").alias("copies"), F.col("embedding").cast("array<double>").alias("x"))
     shards = vector_dup._sharded(unit, 10).groupBy("space", "cell", "i", "j").count().collect()
     assert len(shards) > 12 and {x["cell"].count("/") for x in shards} >= {1, 2} and any(x["i"] != x["j"] for x in shards)
     found = vector_dup.search(unit, 10)
