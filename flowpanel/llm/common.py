@@ -55,12 +55,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> int:
-    """Removes the tables written so far and says how many: for a caller whose results are stored."""
+def mark() -> int:
+    """How many tables are written and not removed: where a later ``clean`` may begin."""
+    return len(_WRITTEN)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Removes the tables written after the first ``since``, but for the last ``keep``, and says
+    how many: for a caller whose results are stored."""
+    end = max(since, len(_WRITTEN) - keep)
     n = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in _WRITTEN[since:end]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _WRITTEN[since:end]
     return n
 
 
