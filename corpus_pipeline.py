@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowpanel.llm import bpe, mixing, near_dup, secrets, toxicity
-from flowpanel.llm.common import table, written
+from flowpanel.llm.common import clean, mark, table, written
 
 #: Documents of a bucket, about, and the parts of a whole copy that are drawn by.
 BUCKET, UNIT = 2000, 1 << 20
@@ -38,9 +38,9 @@ def _packed(docs: DataFrame, **more: Column) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the first by id stays; of equal ids the first by a hash of the row."""
     every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    ordered = _packed(docs, id=F.col("doc_id"), hash=every, text=F.col("text")).orderBy(F.col("id").asc_nulls_last(), "hash")
-    numbered = written(ordered.select("doc", "text", F.monotonically_increasing_id().alias("place")))
-    gone = near_dup.near_groups(numbered.select(F.col("place").alias("doc_id"), "text")).where("not kept").select(F.col("doc_id").alias("place"))
+    ordered = _packed(docs, id=F.col("doc_id"), hash=every).orderBy(F.col("id").asc_nulls_last(), "hash")
+    numbered = written(ordered.select("doc", F.monotonically_increasing_id().alias("place")))
+    gone = near_dup.near_groups(numbered.select(F.col("place").alias("doc_id"), F.col("doc.text").alias("text"))).where("not kept").select(F.col("doc_id").alias("place"))
     return numbered.join(gone, "place", "left_anti").select("doc.*")
 
 
@@ -56,25 +56,34 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that is passed adds a copy. So a source keeps its expected words, whatever its documents'
     sizes.
     """
-    same = ["doc_id", "source", "size"]
-    times = written(mixing.mix(docs.select("doc_id", "source", "text")).select(*same, "row", "taken"))
-    buckets = 1 + times.count() // BUCKET
-    times = times.withColumn("part", F.when(F.col("size") > 0, F.floor(F.col("taken") % F.greatest("size", F.lit(1)) * UNIT / F.greatest("size", F.lit(1)))).otherwise(0))
-    times = times.withColumn("hash", F.xxhash64(*same, "row")).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
-    sums = times.groupBy("source", "bucket").agg(F.sum("part").alias("sum"))
-    start = F.pmod(F.xxhash64("source", F.lit(29)), F.lit(UNIT))
-    sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("in"), (start + F.sum("sum").over(Window.partitionBy("source").orderBy("bucket")) - F.col("sum")).alias("base"))
-    inside = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size", "row")
-    times = times.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
-    times = times.withColumn("to", F.col("base") + F.sum("part").over(inside))
-    whole = F.floor(F.col("taken") / F.greatest("size", F.lit(1))) + F.floor(F.col("to") / UNIT) - F.floor((F.col("to") - F.col("part")) / UNIT)
-    times = times.select(*same, "row", F.when(F.col("size") > 0, whole).otherwise(1).cast("int").alias("times")).where("times > 0")
-    # rows alike in id, source and size are told apart by number, in the order of a hash of all columns
+    # a row's key: id, source, size and a hash of all columns; nulls are told by columns of their
+    # own, so that the join and the window below share one partitioning, and texts move once
     every = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    own = _packed(docs, a=F.col("doc_id").cast("bigint"), b=F.col("source").cast("string"), c=mixing.word_count(F.col("text")), h=every)
-    own = own.withColumn("d", F.row_number().over(Window.partitionBy("a", "b", "c").orderBy("h")))
-    on = F.col("a").eqNullSafe(F.col("doc_id")) & F.col("b").eqNullSafe(F.col("source")) & (F.col("c") == F.col("size")) & (F.col("d") == F.col("row"))
-    return own.join(times, on).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
+    key = {"a": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "no_a": F.col("doc_id").isNull(), "b": F.coalesce(F.col("source").cast("string"), F.lit("")), "no_b": F.col("source").isNull(), "size": mixing.word_count(F.col("text")), "hash": every}
+    own = _packed(docs, **key)
+    narrow = written(own.drop("doc"))
+    same = ["a", "no_a", "b", "no_b", "size"]
+    ids = narrow.select(F.when(~F.col("no_a"), F.col("a")).alias("doc_id"), F.when(~F.col("no_b"), F.col("b")).alias("source"), "size")
+    times = written(mixing.mix(ids, size_col="size").select(*[x.alias(k) for k, x in (key | {"size": F.col("size")}).items() if k != "hash"], "row", "taken"))
+    buckets = 1 + times.count() // BUCKET
+    full = F.greatest("size", F.lit(1))
+    times = times.withColumn("part", F.when(F.col("size") > 0, F.floor(F.col("taken") % full * UNIT / full)).otherwise(0))
+    times = times.withColumn("order", F.xxhash64(*same, "row")).withColumn("bucket", F.pmod("order", F.lit(buckets)))
+    sums = times.groupBy("b", "no_b", "bucket").agg(F.sum("part").alias("sum"))
+    start = F.pmod(F.xxhash64("b", "no_b", F.lit(29)), F.lit(UNIT))
+    sums = sums.select("b", "no_b", "bucket", (start + F.sum("sum").over(Window.partitionBy("b", "no_b").orderBy("bucket")) - F.col("sum")).alias("base"))
+    inside = Window.partitionBy("b", "no_b", "bucket").orderBy("order", *same, "row")
+    times = times.join(sums, ["b", "no_b", "bucket"]).withColumn("to", F.col("base") + F.sum("part").over(inside))
+    whole = F.floor(F.col("taken") / full) + F.floor(F.col("to") / UNIT) - F.floor((F.col("to") - F.col("part")) / UNIT)
+    times = times.select(*same, "row", F.when(F.col("size") > 0, whole).otherwise(1).cast("bigint").alias("times"))
+    # rows alike in id, source and size are told apart by number, in the order of the hash; rows
+    # alike in all columns share what they are taken
+    numbered = narrow.withColumn("row", F.row_number().over(Window.partitionBy(*same).orderBy("hash")))
+    shares = numbered.join(times, [*same, "row"]).groupBy(*same, "hash").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    taken = own.join(shares.where("times > 0"), [*same, "hash"])
+    taken = taken.withColumn("place", F.row_number().over(Window.partitionBy(*same, "hash").orderBy("times")))
+    n = F.expr("times div rows") + (F.col("place") <= F.col("times") % F.col("rows")).cast("bigint")
+    return taken.withColumn("n", n).where("n > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,7 +103,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other. Tables that a stage wrote for itself go when its result stands."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        before = mark()
         docs = written(stage(spark, docs, sf_dir))
+        clean(spark, before, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
