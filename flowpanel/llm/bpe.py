@@ -31,10 +31,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
+from .common import only, small_batches, table
 
 #: Entries of each of the two generations of a worker's memo of pre-tokens. It saves work only.
-MEMO = 250_000
+MEMO = 200_000
 #: Longer pre-tokens are not remembered, so that the memo stays small in bytes.
 MEMO_CHARS = 48
 #: Characters of the texts whose pre-tokens are held at once, if there are several.
@@ -227,6 +227,9 @@ class BytePairEncoder:
         ids = ids[ids >= 0].tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def forget(self) -> None:
+        self.young, self.old = {}, {}
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -293,6 +296,12 @@ def encoder(ranks_name: str) -> BytePairEncoder:
     return BytePairEncoder(path, public_tokenizers.PATTERN)
 
 
+def _begin(ranks_name: str) -> BytePairEncoder:
+    enc = encoder(ranks_name)
+    only("bpe", enc.forget)
+    return enc
+
+
 def encode(docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>).
 
@@ -303,21 +312,23 @@ def encode(docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", id_col:
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks)
+        enc = _begin(ranks)
         gc.disable()  # nothing here makes cycles, and the many short lists would start it often
-        for batch in batches:
-            decimals, digests, decoded = [], [], []
-            for text, back in enc.encode_texts(batch.column(1).to_pylist()):
+        try:
+            for batch in batches:
+                decimals, digests, decoded = [], [], []
+                for text, back in enc.encode_texts(batch.column(1).to_pylist()):
+                    if with_ids:
+                        decimals.append(text)
+                    digests.append((text.count(",") + 1 if text else 0, hashlib.sha256(text.encode()).hexdigest()))
+                    decoded.append(hashlib.sha256(back).hexdigest())
+                columns = [batch.column(0), pa.array([n for n, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.string()), pa.array(decoded, pa.string())]
                 if with_ids:
-                    decimals.append(text)
-                digests.append((text.count(",") + 1 if text else 0, hashlib.sha256(text.encode()).hexdigest()))
-                decoded.append(hashlib.sha256(back).hexdigest())
-            columns = [batch.column(0), pa.array([n for n, _ in digests], pa.int64()), pa.array([x for _, x in digests], pa.string()), pa.array(decoded, pa.string())]
-            if with_ids:
-                ids = pc.split_pattern(pa.array([x for x in decimals if x], pa.string()), ",").flatten().cast(pa.int32())
-                columns.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(n for n, _ in digests)], pa.int32()), ids))
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
-        gc.enable()
+                    ids = pc.split_pattern(pa.array([x for x in decimals if x], pa.string()), ",").flatten().cast(pa.int32())
+                    columns.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(n for n, _ in digests)], pa.int32()), ids))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        finally:
+            gc.enable()
 
     spark_schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     picked = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 
+#: Caches of this worker's process, by operator, each with what empties it.
+_IN_USE: dict[str, Callable[[], None]] = {}
+
+
+def only(operator: str, clear: Callable[[], None]) -> None:
+    """Empties the caches of the other operators: a worker runs the stages of several, one after
+    the other, and holds the cache of one of them."""
+    for other in [k for k in _IN_USE if k != operator]:
+        _IN_USE.pop(other)()
+    _IN_USE[operator] = clear
+
+
 #: The white space that separates words, as a regular expression's character class.
 SPACE = r"\x20\x09-\x0D"
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import only, small_batches, table, written
 
 #: Tokens of one block, and bytes of text for each bucket of keys.
 BLOCK = 1_750_000
@@ -59,6 +59,10 @@ class _Keys(dict):
 _KEYS = _Keys()
 
 
+def _begin() -> None:
+    only("lm_score", _KEYS.clear)
+
+
 def keys(text: str | None) -> np.ndarray:
     """The keys of the tokens."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -124,6 +128,7 @@ def _blocks(docs: DataFrame, target: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        _begin()
         block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, table, written
+from .common import components, only, small_batches, table, written
 
 WIDTH = 5
 SIMILAR, OF = 75, 100
@@ -55,7 +55,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -64,6 +64,10 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _begin() -> None:
+    only("near_dup", _HASHES.clear)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
@@ -118,6 +122,7 @@ def sketched(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("print", pa.string()), ("bands", pa.list_(pa.int64())), ("brief", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             sketch = sketches(sets)
@@ -164,6 +169,7 @@ def _sets(docs: DataFrame, ids: DataFrame, fine: bool = False) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("fine", pa.binary())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             briefs = [b.tobytes() for b in (sketches(sets, FINE) & np.uint64(0xFF)).astype(np.uint8)] if fine else [None] * len(sets)

@@ -23,7 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
+from .common import only, small_batches, table
 
 MARK = "▁"  # the word mark that replaces a space
 MEMO, MEMO_CHARS, PAIRS = 700_000, 48, 1_000_000
@@ -172,13 +172,19 @@ def counter(model: str) -> PrefixCounter:
     return PrefixCounter(model if "/" in model else public_tokenizers.path(model))
 
 
+def _begin(model: str) -> PrefixCounter:
+    c = counter(model)
+    only("token_counts", c.totals.clear)
+    return c
+
+
 def count_tokens(docs: DataFrame, model: str = "piece_bpe_32k.model", limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit. One pass without a shuffle."""
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(model).count
+        count = _begin(model).count
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = [count(t) for t in texts]
@@ -195,7 +201,7 @@ def truncate(docs: DataFrame, budget: int, model: str = "piece_bpe_32k.model", i
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars_kept", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(model)
+        c = _begin(model)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             cut = [c.fit(c.prefixes(t), budget) for t in texts]
