@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,44 +51,65 @@ EN_FULL = r"(?iu)from\s+(\d{1,2}\s+[\p{L}\d_]{3,}\s+\d{4})\s+to\s+(\d{1,2}\s+[\p
 EN_SHORT = r"(?iu)from\s+(\d{1,2}\s+[\p{L}\d_]{3,})\s+to\s+(\d{1,2}\s+[\p{L}\d_]{3,}\s+\d{4})"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over value, which is worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _both(start: Column, end: Column) -> Column:
     """struct(s, e) if both dates exist."""
-    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("s"), end.alias("e")))
+    return _let(F.struct(start.alias("s"), end.alias("e")), lambda p: F.when(p["s"].isNotNull() & p["e"].isNotNull(), p))
 
 
 def _groups(text: Column, pattern: str, n: int) -> list[Column]:
     return [F.regexp_extract(text, pattern, k) for k in range(1, n + 1)]
 
 
+def _matched(text: Column, pattern: str, n: int) -> Column:
+    """The groups of the first match as an array, NULL without one: one search of the text."""
+    parts = lambda whole: F.split(F.regexp_replace(whole, pattern, "|".join(f"${k}" for k in range(1, n + 1))), r"\|")
+    return _let(F.regexp_extract(text, pattern, 0), lambda whole: F.when(whole != "", parts(whole)))
+
+
 def vietnamese_period(text: Column) -> Column:
     """struct(s, e) of the first shape that matches; NULL if one of its dates does not exist."""
-    full, slash = _groups(text, VN_FULL, 6), _groups(text, VN_SLASH, 6)
-    d1, m1, d2, m2, y2 = _groups(text, VN_SHORT, 5)
-    # a start month after the end month lies in the year before
-    year = (y2.try_cast("int") - (m1.try_cast("int") > m2.try_cast("int")).cast("int")).cast("string")
-    return (
-        F.when(full[0] != "", _both(_dmy(*full[:3]), _dmy(*full[3:])))
-        .when(d1 != "", _both(_dmy(d1, m1, year), _dmy(d2, m2, y2)))
-        .when(slash[0] != "", _both(_dmy(*slash[:3]), _dmy(*slash[3:])))
-    )
+    day = lambda m, k: _dmy(*[F.get(m, F.lit(k + i)) for i in range(3)])
+
+    def short(m: Column) -> Column:
+        d1, m1, d2, m2, y2 = (F.get(m, F.lit(k)) for k in range(5))
+        # a start month after the end month lies in the year before
+        year = (y2.try_cast("int") - (m1.try_cast("int") > m2.try_cast("int")).cast("int")).cast("string")
+        return _both(_dmy(d1, m1, year), _dmy(d2, m2, y2))
+
+    whole = lambda m: _both(day(m, 0), day(m, 3))
+    slash = _let(_matched(text, VN_SLASH, 6), lambda m: F.when(m.isNotNull(), whole(m)))
+    rest = _let(_matched(text, VN_SHORT, 5), lambda m: F.when(m.isNotNull(), short(m)).otherwise(slash))
+    return _let(_matched(text, VN_FULL, 6), lambda m: F.when(m.isNotNull(), whole(m)).otherwise(rest))
 
 
 def english_period(text: Column) -> Column:
-    a, b = _groups(text, EN_FULL, 2)
-    c, d = _groups(text, EN_SHORT, 2)
-    end = english_date(d)
-    same = english_date(F.concat_ws(" ", c, F.year(end).cast("string")))
-    # a month after the end's month belongs to the year before
-    start = F.when(F.month(same) > F.month(end), F.add_months(same, -12)).otherwise(same)
-    return F.when(a != "", _both(english_date(a), english_date(b))).when(c != "", _both(start, end))
+    def short(m: Column) -> Column:
+        def within(end: Column) -> Column:
+            same = english_date(F.concat_ws(" ", F.get(m, F.lit(0)), F.year(end).cast("string")))
+            # a month after the end's month belongs to the year before
+            return _both(_let(same, lambda d: F.when(F.month(d) > F.month(end), F.add_months(d, -12)).otherwise(d)), end)
+
+        return _let(english_date(F.get(m, F.lit(1))), within)
+
+    rest = _let(_matched(text, EN_SHORT, 2), lambda m: F.when(m.isNotNull(), short(m)))
+    return _let(_matched(text, EN_FULL, 2), lambda m: F.when(m.isNotNull(), _both(english_date(F.get(m, F.lit(0))), english_date(F.get(m, F.lit(1))))).otherwise(rest))
 
 
 def header_period(text: Column) -> Column:
     """struct(start, end, conflict): Vietnamese first, endpoint by endpoint; both are named if they differ."""
-    vn, en = vietnamese_period(text), english_period(text)
-    said = lambda what, k: F.when(vn[k] != en[k], F.concat(F.lit(f"{what} VN "), vn[k].cast("string"), F.lit(" vs EN "), en[k].cast("string")))
-    conflict = F.nullif(F.concat_ws("; ", said("period_start", "s"), said("period_end", "e")), F.lit(""))
-    return F.struct(F.coalesce(vn["s"], en["s"]).alias("start"), F.coalesce(vn["e"], en["e"]).alias("end"), conflict.alias("conflict"))
+
+    def resolved(p: Column) -> Column:
+        vn, en = p["vn"], p["en"]
+        said = lambda what, k: F.when(vn[k] != en[k], F.concat(F.lit(f"{what} VN "), vn[k].cast("string"), F.lit(" vs EN "), en[k].cast("string")))
+        conflict = F.nullif(F.concat_ws("; ", said("period_start", "s"), said("period_end", "e")), F.lit(""))
+        return F.struct(F.coalesce(vn["s"], en["s"]).alias("start"), F.coalesce(vn["e"], en["e"]).alias("end"), conflict.alias("conflict"))
+
+    return _let(F.struct(vietnamese_period(text).alias("vn"), english_period(text).alias("en")), resolved)
 
 
 #: The filing's own date, Vietnamese first.
@@ -95,8 +118,8 @@ EN_REPORT = r"(?iu)Reporting\s+Date\s*:?\s*(\d{1,2}\s+[\p{L}\d_]{3,}\s+\d{4})"
 
 
 def report_date(text: Column) -> Column:
-    g = lambda p, k: F.regexp_extract(text, p, k)
-    return F.coalesce(_dmy(g(VN_REPORT, 1), g(VN_REPORT, 2), g(VN_REPORT, 3)), english_date(g(EN_REPORT, 1)))
+    vn = _let(_matched(text, VN_REPORT, 3), lambda m: F.when(m.isNotNull(), _dmy(*[F.get(m, F.lit(k)) for k in range(3)])))
+    return F.coalesce(vn, _let(F.regexp_extract(text, EN_REPORT, 1), english_date))
 
 
 def clean_html(html: Column) -> Column:

@@ -78,9 +78,12 @@ def headed(docs: DataFrame, cells: DataFrame) -> DataFrame:
     """Filings from the header texts (doc_id, text; fund_code, source and report_cell where
     there are any) and the cells of the same documents. A given fund code precedes the printed one."""
     flat = F.regexp_replace(F.replace("text", F.lit(NBSP), F.lit(" ")), r"\s+", " ")
-    printed = fund_code(flat)
     given = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
     cell = F.col("report_cell") if "report_cell" in docs.columns else F.lit(None).cast("date")
+    # the text is flattened once, and the period's parts are taken from a column that stands
+    docs = docs.withColumn("flat", flat)
+    flat = F.col("flat")
+    printed = fund_code(flat)
     head = docs.select("doc_id", header_period(flat).alias("h"), F.coalesce(given("fund_code"), printed).alias("fund_code"), given("source").alias("source"), F.coalesce(report_date(flat), cell).alias("report_date"), (F.coalesce(F.trim("text"), F.lit("")) == "").alias("blank"))
     head = head.select("doc_id", "fund_code", "source", "report_date", F.col("h.start").alias("period_start"), F.col("h.end").alias("period_end"), F.col("h.conflict").alias("date_conflict"), "blank")
     got = head.join(filings(cells), "doc_id", "left")
