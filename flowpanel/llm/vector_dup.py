@@ -11,9 +11,8 @@ blocks, and each pair of blocks is a shard, so that a shard stays bounded.
 In every shard each vector's nearest candidates are pruned robustly (a candidate is dropped
 if a kept one is nearer to it by the factor ALPHA); the adjacency lists of all shards are
 united by vector. Then each shard's vectors are searched for in its part of the united
-graph: a best-first search from medoids, those of consecutive parts of the shard and that of
-the vector's own connected part of the graph, followed by expansion of everything within the
-range plus a slack. What it finds is verified in double precision, and nothing else is a link.
+graph: a best-first search from the medoids of the shard's parts and from the vector's own
+node, followed by expansion of everything within the range plus a slack. What it finds is verified in double precision, and nothing else is a link.
 
 A pair that stands in several shards counts in the first of them. A shard gives for each
 vector the number of its links and a tree edge of its group, never the pairs themselves. The
@@ -129,15 +128,9 @@ def find(units: np.ndarray, neighbours: list[np.ndarray], link: float = LINK, be
     for i, x in enumerate(neighbours):
         graph[i, : len(x)] = x
     x = units.astype(np.float32)
-    # medoids: the vectors nearest to the means of consecutive parts, and of each connected part
-    nearest = lambda p: p[(x[p] @ x[p].mean(axis=0)).argmax()]
-    starts = np.unique([nearest(p) for p in np.array_split(np.arange(n), min(MEDOIDS, n))])
-    tail, slot = np.nonzero(graph >= 0)
-    part = connected(n, tail, graph[tail, slot])
-    order = np.argsort(part, kind="stable")
-    entry = np.empty(n, dtype=np.int64)
-    for p in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-        entry[p] = nearest(p)
+    # medoids: the vectors nearest to the means of consecutive parts
+    parts = np.array_split(np.arange(n), min(MEDOIDS, n))
+    starts = np.unique([p[(x[p] @ x[p].mean(axis=0)).argmax()] for p in parts])
     for lo in range(0, n, 512):
         own = np.arange(lo, min(n, lo + 512))
         m, rows = len(own), np.arange(min(512, n - lo))
@@ -152,12 +145,11 @@ def find(units: np.ndarray, neighbours: list[np.ndarray], link: float = LINK, be
         done[:, : len(starts)] = False
         seen[:, starts] = True
         inside[:, starts] = sims[:, : len(starts)] >= link - slack
-        at, k = entry[own], len(starts)
-        more = rows[~seen[rows, at]]
-        ids[more, k], done[more, k] = at[more], False
-        sims[more, k] = np.einsum("nd,nd->n", x[own[more]], x[at[more]])
-        seen[more, at[more]] = True
-        inside[more, at[more]] = sims[more, k] >= link - slack
+        # a query is a node of the graph itself: its own lists are opened, too
+        more, k = rows[~seen[rows, own]], len(starts)
+        ids[more, k], sims[more, k], done[more, k] = own[more], 1.0, False
+        seen[more, own[more]] = True
+        inside[more, own[more]] = True
         active = rows
         while len(active):
             score = np.where(done[active], -99, sims[active])
