@@ -463,8 +463,8 @@ def header_dates(spark, d):
     return o.select("o_orderkey", F.col("v.start").alias("vn_start"), F.col("v.end").alias("vn_end"), F.col("e.start").alias("en_start"), F.col("e.end").alias("en_end"))
 
 
-@_query("WITH " + LEDGER + """SELECT fund_code, period_start, CASE WHEN fund_code % 2 = 0 THEN 'alt' ELSE 'standard' END AS variant, nav_end, CASE WHEN fund_code % 2 = 1 THEN 20000000 END AS subscriptions, CASE WHEN fund_code % 2 = 1 THEN -net_flow END AS redemptions,
-  CASE WHEN fund_code % 2 = 0 THEN -net_flow END AS chg_flows_net, CASE WHEN fund_code % 2 = 0 THEN 20000000 END AS chg_distribution, 'ParseError: no line of section 3: a point-in-time report' AS daily_error FROM ledger WHERE net_flow IS NOT NULL""")
+@_query("WITH " + LEDGER + """SELECT fund_code, period_start, CASE WHEN fund_code % 2 = 0 THEN 'alt' ELSE 'standard' END AS variant, nav_end, CASE WHEN fund_code % 2 = 1 THEN 20000000::BIGINT END AS subscriptions, CASE WHEN fund_code % 2 = 1 THEN -net_flow END AS redemptions,
+  CASE WHEN fund_code % 2 = 0 THEN -net_flow END AS chg_flows_net, CASE WHEN fund_code % 2 = 0 THEN 20000000::BIGINT END AS chg_distribution, 'ParseError: no line of section 3: a point-in-time report' AS daily_error FROM ledger WHERE net_flow IS NOT NULL""")
 def parse_alternate_template(spark, d):
     """The same two lines 3.2.1 and 3.2.2 in both variants of the template, told apart by lines 1.2 and 1.3; and a report without them."""
     df = gates.with_net_flow(ledger(spark, d)).where("net_flow is not null")
