@@ -13,9 +13,10 @@ text whose copy stands elsewhere is told from one that stands once.
 Words and pairs are counted exactly, under keys of 64 bits, so the models grow with the
 corpus: no cap, no shared cells. Documents are dealt to blocks of about ``BLOCK`` tokens,
 written once. A block lists each of its words and pairs once with its own counts, cut by key
-into buckets whose number follows the input; a bucket adds up the lists of all blocks and
-answers each of them with the corpus counts in the order asked; a block then scores its
-documents. A pair that stands in every document stands once in a block's list, as any other.
+into buckets whose number follows the input, and sends a list to those buckets alone that hold
+a key of its own, so lists are never more than keys; a bucket adds up the lists of all blocks
+and answers each of them with the corpus counts in the order asked; a block then scores its
+documents. The size of the vocabulary is counted by the same buckets before. A pair that stands in every document stands once in a block's list, as any other.
 
 Tokens are the white-space separated words in ASCII lower case. Null and empty texts have no
 tokens and score 0; a very long text is a block of its own. Repeated rows count as often as they
@@ -114,7 +115,7 @@ def _pairs(words: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.n
 def _blocks(docs: DataFrame, target: np.ndarray) -> DataFrame:
     """Blocks of documents: ids, numbers of tokens, which are of the target, distinct words and the place of each token."""
     sent = docs.sparkSession.sparkContext.broadcast(np.unique(target))
-    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), *[(k, pa.binary()) for k in ("lengths", "good", "words", "at")]])
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n", pa.int64()), ("n_good", pa.int64()), *[(k, pa.binary()) for k in ("lengths", "good", "words", "at")]])
 
     def packed(block: int, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
         own = np.array([0 if i is None else i for i in ids], dtype=np.int64)
@@ -122,7 +123,8 @@ def _blocks(docs: DataFrame, target: np.ndarray) -> DataFrame:
         good &= np.array([i is not None for i in ids])
         start = np.zeros(1, dtype=np.uint64)
         words, at = np.unique(np.concatenate([start[:0], *[y for x in texts if len(x) for y in (start, x)]]), return_inverse=True)
-        row = {"block": block, "ids": ids, "lengths": _pack(np.array([len(x) for x in texts], dtype=np.int64)), "good": _pack(good.astype(np.int64))}
+        lengths = np.array([len(x) for x in texts], dtype=np.int64)
+        row = {"block": block, "ids": ids, "n": int(lengths.sum()), "n_good": int(lengths[good].sum()), "lengths": _pack(lengths), "good": _pack(good.astype(np.int64))}
         return pa.RecordBatch.from_pylist([row | {"words": _pack_keys(words), "at": _pack(at.astype(np.int64))}], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,13 +143,39 @@ def _blocks(docs: DataFrame, target: np.ndarray) -> DataFrame:
         if ids:
             yield packed(block, ids, texts)
 
-    return docs.mapInArrow(run, "block bigint, ids array<bigint>, lengths binary, good binary, words binary, at binary")
+    return docs.mapInArrow(run, "block bigint, ids array<bigint>, n bigint, n_good bigint, lengths binary, good binary, words binary, at binary")
+
+
+def _cut(x: np.ndarray, buckets: int) -> dict[int, slice]:
+    """The buckets that hold any of the sorted keys, and where their keys stand."""
+    of = ((x >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    there, first = np.unique(of, return_index=True)
+    return {k: slice(a, b) for k, a, b in zip(there.tolist(), first.tolist(), [*first.tolist()[1:], len(x)])}
+
+
+def _vocabulary(blocks: DataFrame, buckets: int) -> int:
+    """The number of distinct words of all blocks; counts alone reach the driver."""
+    schema = pa.schema([("bucket", pa.int64()), ("words", pa.binary())])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in batch.column(0).to_pylist():
+                words = _unpack_keys(words)
+                words = words[words > 0]  # not the start of a text
+                rows = [{"bucket": k, "words": _pack_keys(words[a])} for k, a in _cut(words, buckets).items()]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    def distinct(rows: pa.Table) -> pa.Table:
+        n = len(np.unique(np.concatenate([_unpack_keys(x) for x in rows.column("words").to_pylist()])))
+        return pa.table({"n": pa.array([n], pa.int64())})
+
+    lists = blocks.select("words").mapInArrow(listed, "bucket bigint, words binary")
+    return lists.groupBy("bucket").applyInArrow(distinct, "n bigint").agg(F.sum("n")).collect()[0][0] or 0
 
 
 def _lists(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Each block's keys and counts of each bucket."""
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(k, pa.binary()) for k in ("words", "word_counts", "pairs", "pair_counts")]])
-    cuts = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
+    """Each block's keys and counts of each bucket that holds any of them."""
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), *[(k, pa.binary()) for k in ("words", "word_counts", "pairs", "pair_counts")]])
 
     def listed(block: int, lengths: bytes, good: bytes, words: bytes, at: bytes) -> pa.RecordBatch:
         lengths, words = _unpack(lengths), _unpack_keys(words)
@@ -157,9 +185,9 @@ def _lists(blocks: DataFrame, buckets: int) -> DataFrame:
         del before, after
         pairs, place = np.unique(pair, return_inverse=True)
         both = [np.bincount(x, minlength=len(pairs)) for x in (place, place[of_good])]
-        rows, (w, p) = [], ([0, *np.searchsorted(x, cuts).tolist(), len(x)] for x in (words, pairs))
-        for k in range(buckets):
-            a, b = slice(w[k], w[k + 1]), slice(p[k], p[k + 1])
+        rows, none, w, p = [], slice(0, 0), _cut(words, buckets), _cut(pairs, buckets)
+        for k in sorted({*w, *p}):
+            a, b = w.get(k, none), p.get(k, none)
             rows.append({"block": block, "bucket": k, "words": _pack_keys(words[a]), "word_counts": _pack(np.concatenate([x[a] for x in each])), "pairs": _pack_keys(pairs[b]), "pair_counts": _pack(np.concatenate([x[b] for x in both]))})
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -169,41 +197,39 @@ def _lists(blocks: DataFrame, buckets: int) -> DataFrame:
                 yield listed(**row)
 
     part = blocks.select("block", "lengths", "good", "words", "at")
-    return part.mapInArrow(run, "block bigint, bucket int, words binary, word_counts binary, pairs binary, pair_counts binary")
+    return part.mapInArrow(run, "block bigint, bucket bigint, words binary, word_counts binary, pairs binary, pair_counts binary")
 
 
 def _answers(lists: DataFrame) -> DataFrame:
-    """For each list of a bucket, the corpus counts of its keys, and the bucket's own totals."""
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("word_counts", pa.binary()), ("pair_counts", pa.binary()), ("n_words", pa.int64()), ("n_background", pa.int64()), ("n_target", pa.int64())])
+    """For each list of a bucket, the corpus counts of its keys."""
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("word_counts", pa.binary()), ("pair_counts", pa.binary())])
 
-    def summed(listed: list[np.ndarray], counts: list[np.ndarray], kinds: int) -> tuple[np.ndarray, list[bytes]]:
+    def summed(listed: list[np.ndarray], counts: list[np.ndarray], kinds: int) -> list[bytes]:
         every, place = np.unique(np.concatenate(listed), return_inverse=True)
         own = np.concatenate([x.reshape(kinds, -1) for x in counts], axis=1)
         # doubles hold whole numbers to 2**53
         total = np.stack([np.bincount(place, weights=x, minlength=len(every)) for x in own]).astype(np.int64)
         ends = np.cumsum([0, *map(len, listed)])
-        return total, [_pack(total[:, place[a:b]].reshape(-1)) for a, b in zip(ends, ends[1:])]
+        return [_pack(total[:, place[a:b]].reshape(-1)) for a, b in zip(ends, ends[1:])]
 
     def run(rows: pa.Table) -> pa.Table:
         got = {k: rows.column(k).to_pylist() for k in ("words", "word_counts", "pairs", "pair_counts")}
-        total, words = summed([_unpack_keys(x) for x in got["words"]], [_unpack(x) for x in got["word_counts"]], 4)
-        _, pairs = summed([_unpack_keys(x) for x in got["pairs"]], [_unpack(x) for x in got["pair_counts"]], 2)
-        n = rows.num_rows
-        sizes = [pa.array([int(x)] * n, pa.int64()) for x in ((total[0] > 0).sum(), total[0].sum(), total[1].sum())]
-        return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"), pa.array(words, pa.binary()), pa.array(pairs, pa.binary()), *sizes], schema=schema)
+        words = summed([_unpack_keys(x) for x in got["words"]], [_unpack(x) for x in got["word_counts"]], 4)
+        pairs = summed([_unpack_keys(x) for x in got["pairs"]], [_unpack(x) for x in got["pair_counts"]], 2)
+        return pa.Table.from_arrays([rows.column("block"), rows.column("bucket"), pa.array(words, pa.binary()), pa.array(pairs, pa.binary())], schema=schema)
 
-    return lists.groupBy("bucket").applyInArrow(run, "block bigint, bucket int, word_counts binary, pair_counts binary, n_words bigint, n_background bigint, n_target bigint")
+    return lists.groupBy("bucket").applyInArrow(run, "block bigint, bucket bigint, word_counts binary, pair_counts binary")
 
 
-def _scored(left: pa.Table, right: pa.Table) -> pa.Table:
+def _scored(left: pa.Table, right: pa.Table, v: int, n: int, n_t: int) -> pa.Table:
+    """The scores of a block; v, n, n_t: the vocabulary, and the tokens of background and target."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), *[(k, pa.float64()) for k in ("target_loss", "background_loss", "score")]])
     (row,), answers = left.to_pylist(), sorted(right.to_pylist(), key=lambda r: r["bucket"])
     words, lengths, at = _unpack_keys(row["words"]), _unpack(row["lengths"]), _unpack(row["at"])
     before, after, pair = _pairs(words, at, lengths)
     place = np.unique(pair, return_inverse=True)[1]
-    count, count_t, context, context_t = np.concatenate([_unpack(r["word_counts"]).reshape(4, -1) for r in answers], axis=1)
-    both, both_t = np.concatenate([_unpack(r["pair_counts"]).reshape(2, -1) for r in answers], axis=1)
-    v, n, n_t = (sum(r[k] for r in answers) for k in ("n_words", "n_background", "n_target"))
+    count, count_t, context, context_t = np.concatenate([np.zeros((4, 0), np.int64), *[_unpack(r["word_counts"]).reshape(4, -1) for r in answers]], axis=1)
+    both, both_t = np.concatenate([np.zeros((2, 0), np.int64), *[_unpack(r["pair_counts"]).reshape(2, -1) for r in answers]], axis=1)
     good, ends = _unpack(row["good"]), np.cumsum(lengths)
     sums = np.zeros((2, len(lengths)))
 
@@ -246,9 +272,12 @@ def exact_score(docs: DataFrame, target_ids: np.ndarray) -> DataFrame:
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     blocks = written(_blocks(docs, target_ids))
-    answers = _answers(_lists(blocks, 1 + size // BUCKET_BYTES))
+    buckets = 1 + size // BUCKET_BYTES
+    v = _vocabulary(blocks, buckets)
+    n, n_t = (x or 0 for x in blocks.agg(F.sum("n"), F.sum("n_good")).collect()[0])
+    answers = _answers(_lists(blocks, buckets))
     texts = blocks.select("block", "ids", "lengths", "good", "words", "at")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: _scored(left, right, v, n, n_t), "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
