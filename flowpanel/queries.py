@@ -149,8 +149,8 @@ def undisclosed_legs(spark, d):
 
 
 @_query("WITH " + LEDGER + """, u AS (SELECT *, 10000.0::DOUBLE AS b, 10000.0 * (1 + coalesce(chg_investment, 0) / CAST(nav_begin AS DOUBLE)) AS e FROM ledger)
-SELECT fund_code, period_start, round(nav_begin / b, 4) AS units_begin, round(((nav_end / e - nav_begin / b) * e - net_flow) / abs(net_flow) * 100, 4) AS end_error_pct,
-  round(((nav_end / e - nav_begin / b) * (b + e) / 2 - net_flow) / abs(net_flow) * 100, 4) AS mid_error_pct FROM u""")
+SELECT fund_code, period_start, round(nav_begin / b, 4) AS units_begin, round(((nav_end / e - nav_begin / b) * e - net_flow) / abs(net_flow) * 100, 4) + 0.0 AS end_error_pct,
+  round(((nav_end / e - nav_begin / b) * (b + e) / 2 - net_flow) / abs(net_flow) * 100, 4) + 0.0 AS mid_error_pct FROM u""")
 def proxy_diagnostics(spark, d):
     df = gates.with_net_flow(ledger(spark, d)).withColumns({"nav_per_unit_begin": F.lit(10000.0), "nav_per_unit_end": 10000.0 * (1 + F.coalesce("chg_investment", F.lit(0)) / F.col("nav_begin").cast("double"))})
     got = gates.with_proxies(gates.with_unit_measures(df))
