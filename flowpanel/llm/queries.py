@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, lm_score, mixing, near_dup, quality_rules, secrets, token_counts, toxicity, vector_dup
+from . import align, bpe, chat_format, collocations, lm_score, mixing, near_dup, packing, quality_rules, secrets, token_counts, toxicity, vector_dup
 
 QUERIES = {
     "op1_embedding_near_dup": vector_dup.op1_embedding_near_dup,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_minhash_near_dup": near_dup.op8_minhash_near_dup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_pack": packing.op11_pack,
+    "op12_token_alignment": align.op12_token_alignment,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLE_SQL = {
     "op1_embedding_near_dup": vector_dup.OP1_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op8_minhash_near_dup": near_dup.OP8_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
