@@ -123,8 +123,8 @@ def report_date(text: Column) -> Column:
 
 
 def clean_html(html: Column) -> Column:
-    """Text without tags, white space collapsed, the five basic entities resolved."""
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]*>", " ")), r"\s+", " "))
+    """Text without tags, character references resolved, white space (also of other scripts) collapsed."""
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]+>", " ")), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 #: Document links carry one of these endings.
@@ -141,11 +141,72 @@ def file_links(html: Column) -> Column:
     return F.array_distinct(F.transform(found, unescape))
 
 
+def _named() -> dict[str, str]:
+    """Character references by name, as the standard library lists them; a name ends with a
+    semicolon, a few old ones also stand without it."""
+    from html.entities import html5
+
+    return html5
+
+
+def _old_bytes() -> dict[str, str]:
+    """Numbers that stand for something else than their code point: those of the one-byte table
+    that old pages took them from, the null and the carriage return."""
+    old = {n: bytes([n]).decode("cp1252", "replace").replace("\ufffd", chr(n)) for n in range(0x80, 0xA0)}
+    return {str(n): c for n, c in (old | {0x00: "\ufffd", 0x0D: "\r"}).items()}
+
+
+def _as_map(pairs: dict[str, str]) -> Column:
+    """A constant map, built once for a query."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x03{v}" for k, v in pairs.items())), F.lit("\x02"), F.lit("\x03"))
+
+
+def _numbered(digits: Column) -> Column:
+    """The character of a decimal number; what is no character is U+FFFD or nothing."""
+    n = digits.try_cast("bigint")
+    known = F.element_at(_as_map(_old_bytes()), n.cast("string"))
+    none = n.between(0x1, 0x8) | (n == 0xB) | n.between(0xE, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(known.isNotNull(), known).when(n.isNull() | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(none, "").otherwise(char)
+
+
+def _reference(part: Column) -> Column:
+    """What follows an ampersand, up to the next one, with the reference it begins with resolved."""
+    old = sorted((k for k in _named() if not k.endswith(";")), key=len, reverse=True)
+    rest = lambda token: F.substr(part, F.length(token) + 1)
+    resolved = lambda token, char: F.concat(char, rest(token))
+
+    def number(token: Column) -> Column:
+        digits = F.regexp_replace(token, "[#;xX]", "")
+        return resolved(token, _numbered(F.when(token.rlike("^#[xX]"), F.conv(_short(F.ltrim(digits, F.lit("0"))), 16, 10)).otherwise(digits)))
+
+    def name(token: Column) -> Column:
+        # the whole name, else the longest old name that it begins with
+        begun = F.regexp_extract(token, "^(?:" + "|".join(old) + ")", 0)
+        whole = lambda found: F.when(found.isNotNull(), resolved(token, found)).when(begun != "", resolved(begun, F.element_at(_as_map(_named()), begun))).otherwise(F.concat(F.lit("&"), part))
+        return _let(F.element_at(_as_map(_named()), token), whole)
+
+    plain = F.concat(F.lit("&"), part)
+    is_number = part.rlike("^#(?:[0-9]|[xX][0-9a-fA-F])")
+    found = F.when(is_number, _let(F.regexp_extract(part, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0), number))
+    for basic, char in (("amp;", "&"), ("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("nbsp;", NBSP)):  # most are these
+        found = found.when(part.startswith(basic), F.concat(F.lit(char), F.substr(part, F.lit(len(basic) + 1))))
+    return found.when(part.rlike(r"^[^\t\n\f <&#;]"), _let(F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0), name)).otherwise(plain)
+
+
+def _short(digits: Column) -> Column:
+    """Hexadecimal digits, without leading zeros; so many that they are no character become such a number."""
+    return F.when(digits == "", "0").when(F.length(digits) > 8, "FFFFFFFF").otherwise(digits)
+
+
 def unescape(text: Column) -> Column:
-    """The five basic entities and the no-break space resolved."""
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references resolved, in one pass: decimal, hexadecimal and named ones. What a
+    reference gives is not read again: "&amp;#39;" is "&#39;"."""
+
+    def parted(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _reference), ""))
+
+    return F.when(F.contains(text, F.lit("&")), _let(F.split(text, "&"), parted)).otherwise(text)
 
 
 def absolute_url(base: Column, link: Column) -> Column:
@@ -215,6 +276,7 @@ KINDS = {
     "bc_code": (("daily", r"(?i)_BC_NGAY_"), ("period", r"(?i)_BC_KY_"), ("weekly", r"(?i)_BC_TUAN_"), ("unknown", r"(?i)_BC_")),
     "change_word": (("weekly", r"(?i)thay[\s_-]?doi"),),
 }
+#: The fixed word of a weekly report's page.
 WEEKLY_PAGE = r"(?i)(?:^|[-_])(?:tuan|week)(?:[-_]|$)"
 
 

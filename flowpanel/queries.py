@@ -567,11 +567,30 @@ def url_hash_key(spark, d):
     return _table(spark, d, "pages").select("page_id", parsing.cache_name(url).alias("cached"))
 
 
-@_query(r"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS text_sha FROM pages""")
+@_query(r"""SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&middot;', chr(183)), '&copy;', chr(169)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS text_sha FROM pages""")
 def html_clean(spark, d):
     return _table(spark, d, "pages").select("page_id", F.sha2(F.encode(parsing.clean_html(F.col("html")), "UTF-8"), 256).alias("text_sha"))
 
 
+@_query(r"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)
+SELECT page_id, title, replace(replace(replace(replace(title, '&quot;', '"'), '&middot;', chr(183)), '&copy;', chr(169)), '&amp;', '&') AS text FROM t""")
+def html_entities(spark, d):
+    """Pages' titles with a reference in place of each character but letters and digits of English:
+    in turn decimal, hexadecimal and by name, some names without a semicolon. Read once they are
+    the titles as they stand, whose own references are still to be read; read twice they are texts."""
+    names = F.create_map(*[F.lit(x) for pair in (("&", "amp;"), ("%", "percnt;"), ("*", "ast;"), ("#", "num;"), ("$", "dollar;"), ("é", "eacute"), ("ü", "uuml"), ("ñ", "ntilde;")) for x in pair])
+
+    def printed(c: Column, i: Column) -> Column:
+        n = F.ascii(c)
+        style = F.when(i % 4 == 0, F.concat(F.lit("#"), n.cast("string"), F.lit(";"))).when(i % 4 == 1, F.concat(F.lit("#x0"), F.lower(F.hex(n)), F.lit(";")))
+        style = style.otherwise(F.coalesce(names[c], F.concat(F.lit("#X"), F.hex(n), F.lit(";"))))
+        return F.when(c.rlike("[A-Za-z0-9]"), c).otherwise(F.concat(F.lit("&"), style))
+
+    title = _table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    got = title.select("page_id", parsing.unescape(F.array_join(F.transform(F.split("title", ""), printed), "")).alias("title"))
+    return got.select("page_id", "title", parsing.unescape(F.col("title")).alias("text"))
+
+
 @_query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS ends, CASE WHEN o_orderkey % 3 = 2 THEN CAST(o_orderdate AS DATE) ELSE CAST(CAST(o_orderdate AS DATE) + 3 AS DATE) END AS published, CAST(o_orderdate AS DATE) AS any_date,
   CASE o_orderkey % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' ELSE 'other' END AS word, CASE o_orderkey % 3 WHEN 0 THEN 'other' WHEN 1 THEN 'weekly' ELSE 'period' END AS code FROM orders""")
 def link_classify(spark, d):
@@ -591,8 +610,8 @@ def link_classify(spark, d):
 
 
 def _managers() -> dict:
-    """A registry over the test data: priorities as funds."""
-    return {"m": {"crawler": "listing", "status": "verified", "base_url": "https://m.test/vi", "funds": {"low": {"code": "M-LOW", "aliases": ["LO", "LOW"]}, "medium": {"code": "M-MED", "aliases": ["ME"]}, "high": {"aliases": ["HI"]}, "highest": {}}}}
+    """A registry over the test data: priorities as funds, of two managers."""
+    return {"n": {"crawler": "listing", "base_url": "https://n.test/", "funds": {"medium": {"code": "N-MED", "aliases": ["ME"]}}}, "m": {"crawler": "listing", "status": "verified", "base_url": "https://m.test/vi", "funds": {"low": {"code": "M-LOW", "aliases": ["LO", "LOW"]}, "medium": {"code": "M-MED", "aliases": ["ME"]}, "high": {"aliases": ["HI"]}, "highest": {}}}}
 
 
 @_query("""SELECT o_orderkey, CASE WHEN p = 'LOW' THEN 'low' WHEN p = 'MEDIUM' THEN 'medium' WHEN p = 'HIGH' THEN 'high' END AS by_prefix, CASE WHEN p = 'LOW' THEN 'low' WHEN p = 'MEDIUM' THEN 'medium' WHEN p = 'HIGH' THEN 'high' END AS by_token,
@@ -601,48 +620,56 @@ def prefix_registry_join(spark, d):
     """Funds by the beginning of a file name, a token of a slug and an alias in a title."""
     p = F.substring("o_orderpriority", 3, 99)
     rows = _table(spark, d, "orders").select("o_orderkey", F.lit("m").alias("manager_id"), p.alias("p"))
-    rows = catalog.with_funds(rows, catalog.registry(spark, _managers()))
-    funds = F.col("funds")
+    funds = catalog.registry(spark, _managers())
     title = F.concat(F.lit("Báo cáo QUỸ "), F.when(F.col("p") == "MEDIUM", "MEDI").otherwise(F.substring("p", 1, 2)), F.lit(" - Tuần"))
-    return rows.select("o_orderkey", catalog.key_by_prefix(F.concat("p", F.lit("est.pdf")), funds).alias("by_prefix"), catalog.key_by_token(F.concat(F.lit("r-"), "p", F.lit("-2024")), funds).alias("by_token"), catalog.key_by_alias(title, funds).alias("by_alias"), catalog.code_of(catalog.key_by_prefix(F.col("p"), funds), funds).alias("code"))
+    rows = catalog.matched(rows, funds, F.concat("p", F.lit("est.pdf")), "prefix", "by_prefix")
+    rows = catalog.matched(rows, funds, F.concat(F.lit("r-"), "p", F.lit("-2024")), "token", "by_token")
+    rows = catalog.matched(rows, funds, title, "alias", "by_alias")
+    return catalog.coded(catalog.matched(rows, funds, F.col("p"), "prefix", "key"), funds, "key", "code").select("o_orderkey", "by_prefix", "by_token", "by_alias", "code")
 
 
-LISTED = """WITH o AS (SELECT o_orderkey, 1 + o_orderkey // 500 AS page_no, o_orderpriority[3:] AS p, CAST(o_orderdate AS DATE) AS day, o_orderkey % 40 = 0 AS gone FROM orders),
-k AS (SELECT *, CASE WHEN p IN ('LOW', 'MEDIUM', 'HIGH') THEN lower(p) END AS key, 'https://m.test/vi/tai-lieu/' || lower(p) || '_' || o_orderkey || '_' || strftime(day, '%Y%m%d') || '.xlsx?a=1&b=2' AS url FROM o WHERE page_no < 12)"""
+LISTED = """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 4 THEN 'n' ELSE 'm' END AS manager_id, 1 + o_orderkey // 500 AS page_no, o_orderpriority[3:] AS p, CAST(o_orderdate AS DATE) AS day, o_orderkey % 40 = 0 AS gone FROM orders),
+k AS (SELECT *, CASE WHEN p = 'MEDIUM' OR manager_id = 'm' AND p IN ('LOW', 'HIGH') THEN lower(p) END AS key, CASE manager_id WHEN 'm' THEN 'https://m.test/vi' ELSE 'https://n.test' END || '/tai-lieu/' || lower(p) || '_' || o_orderkey || '_' || strftime(day, '%Y%m%d') || '.xlsx?a=1&b=2' AS url FROM o WHERE manager_id = 'm' OR page_no < 12)"""
 
 
-def _listing(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as listing pages of 500 entries, dead links among them, some entries twice; page 12 failed."""
+def _listing(spark: SparkSession, d: str, manager: str) -> DataFrame:
+    """Orders as listing pages of 500 keys, dead links among them, some entries twice. Manager m's
+    listing is read to its end; page 12 of n's failed."""
     o, p = _table(spark, d, "orders"), F.substring("o_orderpriority", 3, 99)
+    o = o.where((F.col("o_orderkey") % 9 == 4) == F.lit(manager == "n"))
     gone = F.col("o_orderkey") % 40 == 0
     day = F.date_format("o_orderdate", "'Ngày' dd 'tháng' MM 'năm' yyyy")
     href = F.when(gone, "javascript:void(0)").otherwise(F.concat(F.lit("/tai-lieu/"), F.lower(p), F.lit("_"), "o_orderkey", F.lit("_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".xlsx?a=1&amp;b=2")))
-    item = F.concat(F.lit('<div class="list-download"><p>B&amp;C <b>Quỹ</b> '), F.when(p == "LOW", "LO").otherwise("??"), F.lit(" - Tuần 7/2024</p>\n<span class=\"date-time\">"), day, F.lit('</span><a href="'), href, F.lit('">x</a></div>'))
+    item = F.concat(F.lit('<div class="list-download"><p>B&amp;C <b>Qu&#7929;</b> '), F.when(p == "LOW", "LO").otherwise("??"), F.lit(" - Tu&#x1EA7;n 7/2024</p>\n<span class=\"date-time\">"), day, F.lit('</span><a href="'), href, F.lit('">x</a></div>'))
     twice = F.when(F.col("o_orderkey") % 100 == 1, F.concat(item, item)).otherwise(item)
     pages = o.groupBy((1 + F.floor(F.col("o_orderkey") / 500)).cast("int").alias("page_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", twice.alias("item")))), lambda x: x["item"]), "\n").alias("body"))
-    return pages.select(F.lit("m").alias("manager_id"), "page_no", F.when(F.col("page_no") == 12, 503).otherwise(200).alias("status"), F.concat("body", F.lit('<a href="?p=9999">9999</a>')).alias("body"))
+    failed = (F.col("page_no") == 12) & F.lit(manager == "n")
+    return pages.select(F.lit(manager).alias("manager_id"), "page_no", F.when(failed, 503).otherwise(200).alias("status"), F.concat("body", F.lit('<a href="?p=99999999">99999999</a>')).alias("body"))
+
+
+def _listed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return catalog.discover(_managers(), {m: _listing(spark, d, m) for m in ("m", "n")}, catalog.registry(spark, _managers()), max_pages=1 << 30)
 
 
-@_query(LISTED + """SELECT key AS fund_key, CASE key WHEN 'low' THEN 'M-LOW' WHEN 'medium' THEN 'M-MED' ELSE 'HIGH' END AS fund_code, url, day AS published, 'B&C Quỹ ' || CASE WHEN p = 'LOW' THEN 'LO' ELSE '??' END || ' - Tuần 7/2024' AS title, 'Tuần 7/2024' AS label, day AS filename_date FROM k WHERE key IS NOT NULL AND NOT gone""")
+@_query(LISTED + """SELECT manager_id, key AS fund_key, CASE WHEN manager_id = 'n' THEN 'N-MED' ELSE CASE key WHEN 'low' THEN 'M-LOW' WHEN 'medium' THEN 'M-MED' ELSE 'HIGH' END END AS fund_code, url, day AS published, 'B&C Quỹ ' || CASE WHEN p = 'LOW' THEN 'LO' ELSE '??' END || ' - Tuần 7/2024' AS title, 'Tuần 7/2024' AS label, day AS filename_date FROM k WHERE key IS NOT NULL AND NOT gone""")
 def listing_refs(spark, d):
-    refs, _ = catalog.discover(_managers(), {"m": _listing(spark, d)}, catalog.registry(spark, _managers()))
-    return refs.drop("manager_id")
+    """Two listings, one of them read to its end; titles are printed with character references."""
+    return _listed(spark, d)[0]
 
 
-@_query(LISTED + """SELECT CASE WHEN gone AND p = 'LOW' THEN 'low' END AS fund_key, day AS published, CASE WHEN gone THEN 'no file is published: links to ''javascript:void(0)''' ELSE 'no registered fund: ' || url END AS reason FROM k WHERE gone OR key IS NULL""")
+@_query(LISTED + """SELECT manager_id, CASE WHEN gone AND p = 'LOW' AND manager_id = 'm' THEN 'low' END AS fund_key, day AS published, CASE WHEN gone THEN 'no file is published: links to ''javascript:void(0)''' ELSE 'no registered fund: ' || url END AS reason FROM k WHERE gone OR key IS NULL""")
 def listing_dead(spark, d):
-    _, dead = catalog.discover(_managers(), {"m": _listing(spark, d)}, catalog.registry(spark, _managers()))
-    return dead.select("fund_key", "published", "reason")
+    return _listed(spark, d)[1].select("manager_id", "fund_key", "published", "reason")
 
 
 @_query("""SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, count(DISTINCT url) AS n, min(url) AS first FROM pages GROUP BY 1""")
 def sitemap_pages(spark, d):
     """The pages' URLs as sitemaps with a namespace, each child naming some of its neighbour's, and read again."""
     loc = F.concat(F.lit("<s:url><s:loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("\n</s:loc></s:url>"))
-    p = _table(spark, d, "pages").withColumn("k", F.explode(F.array(F.col("page_id") % 9, F.col("page_id") % 4)))
+    p = _table(spark, d, "pages").withColumn("k", F.explode(F.array(F.floor(F.col("page_id") / 40), F.floor(F.col("page_id") / 90))))
     children = p.groupBy(F.concat(F.lit("https://x.test/report-sitemap"), "k", F.lit(".xml")).alias("sitemap_url")).agg(F.array_join(F.collect_list(loc), "").alias("body"), F.lit(200).alias("status"))
     index = children.agg(F.lit("https://x.test/sitemap.xml").alias("sitemap_url"), F.concat(F.lit("<loc>https://x.test/post-sitemap.xml</loc>"), F.array_join(F.collect_list(F.concat(F.lit("<loc>"), "sitemap_url", F.lit("</loc>"))), "")).alias("body"))
-    named, _ = catalog.child_sitemaps(index)
+    named, _ = catalog.child_sitemaps(index, 1 << 30)
     got = catalog.sitemap_pages(children.join(named, "sitemap_url"))
     return got.groupBy(F.regexp_extract("url", "^https?://([^/]*)", 1).alias("host")).agg(F.count("*").alias("n"), F.min("url").alias("first"))
 
@@ -664,35 +691,36 @@ def report_page_refs(spark, d):
     return got.groupBy("fund_key", F.when(F.col("reason").isNull(), F.col("filename_date")).alias("filename_date"), "reason").agg(F.count("*").alias("n"))
 
 
-@_query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS key, o_orderkey % 4 AS k, 1 + (o_orderkey // 4) % 6 AS page_no FROM orders)
+@_query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS key, o_orderkey % 4 AS k, 1 + o_orderkey // 500 AS page_no FROM orders)
 SELECT key AS fund_key, CASE WHEN k < 3 THEN 'https://m.test/f/' || strftime(CAST(day + 1 AS DATE), '%Y%m%d') || '_' || o_orderkey || '_Weekly_' || strftime(day, '%Y%m%d') || '.xlsx' END AS url, CAST(day + 1 AS DATE) AS published, CASE WHEN k < 3 THEN day ELSE day END AS filename_date,
-  CASE WHEN k = 3 THEN 'the file name is neither weekly nor daily' END AS reason FROM o WHERE page_no <= 4""")
+  CASE WHEN k = 3 THEN 'the file name is neither weekly nor daily' END AS reason FROM o WHERE page_no <= CASE WHEN key = 'high' THEN 4 ELSE 1000000000 END""")
 def form_refs(spark, d):
-    """Orders as a form's answers per fund, of which the first counts four pages; daily files beside each."""
+    """Orders as a form's answers per fund, 500 keys a page, daily files beside each; one fund's first answer counts four pages."""
     o = _table(spark, d, "orders")
     k = F.col("o_orderkey") % 4
     key = F.when(k == 0, "low").when(k == 1, "high").otherwise("medium")
     stamp = lambda c: F.date_format(c, "yyyyMMdd")
     name = lambda word: F.concat(stamp(F.date_add(F.to_date("o_orderdate"), 1)), F.lit("_"), "o_orderkey", F.lit(word), stamp("o_orderdate"), F.lit(".xlsx"))
     link = F.concat(F.lit('<a href="/f/'), F.when(k < 3, name("_Weekly_")).otherwise(name("_Monthly_")), F.lit('"><a href="/f/'), name("_Daily_"), F.lit('">'))
-    bodies = o.groupBy(key.alias("fund_key"), (1 + F.floor(F.col("o_orderkey") / 4) % 6).cast("int").alias("page_no")).agg(F.concat(F.lit('<i data-total="4">'), F.array_join(F.collect_list(link), "")).alias("body"))
+    bodies = o.groupBy(key.alias("fund_key"), (1 + F.floor(F.col("o_orderkey") / 500)).cast("int").alias("page_no")).agg(F.concat(F.lit('<i data-total="'), F.when(F.first(key) == "high", "4").otherwise("1000000000"), F.lit('">'), F.array_join(F.collect_list(link), "")).alias("body"))
     bodies = bodies.select(F.lit("m").alias("manager_id"), "fund_key", "page_no", F.lit("https://m.test/list").alias("page_url"), F.lit(200).alias("status"), "body")
-    got = catalog.form_entries(bodies, catalog.registry(spark, _managers()))
+    got = catalog.form_entries(bodies, catalog.registry(spark, _managers()), 1 << 30)
     return got.select("fund_key", F.when(F.col("reason").isNull(), F.col("url")).alias("url"), "published", "filename_date", "reason")
 
 
-@_query("""SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'low' ELSE 'high' END AS fund_key, 'https://m.test/q/BC thay doi ' || o_orderkey || ' ' || strftime(o_orderdate, '%Y-%m-%d') || '.pdf' AS url, 'BC thay doi ' || o_orderkey || ' ' || strftime(o_orderdate, '%Y-%m-%d') || '.pdf' AS title, CAST(o_orderdate AS DATE) AS filename_date, NULL AS reason FROM orders WHERE o_orderkey % 3 <> 0
-UNION ALL SELECT 'medium', NULL, 'https://m.test/medium', NULL, 'the fund''s page returned HTTP 500'""")
+@_query("""WITH o AS (SELECT 'c' || o_custkey AS key, o_custkey % 50 = 1 AS failed, o_orderkey % 3 <> 0 AS change, 'BC thay doi ' || o_orderkey || ' ' || strftime(o_orderdate, '%Y-%m-%d') || '.pdf' AS title, CAST(o_orderdate AS DATE) AS day FROM orders)
+SELECT key AS fund_key, upper(key) AS fund_code, 'https://m.test/q/' || title AS url, title, day AS filename_date, NULL AS reason FROM o WHERE change AND NOT failed
+UNION ALL SELECT DISTINCT key, NULL, NULL, 'https://m.test/' || key, NULL::DATE, 'the fund''s page returned HTTP 500' FROM o WHERE failed""")
 def fund_page_refs(spark, d):
-    """Orders as links of one page per fund, a third of them daily reports; one fund's page failed."""
+    """Orders as links of one page per fund: customers as funds, a third of the links daily reports; some funds' pages failed."""
     o = _table(spark, d, "orders")
     word = F.when(F.col("o_orderkey") % 3 != 0, "BC%20thay%20doi%20").otherwise("Giatritaisan%20")
     link = F.concat(F.lit('<a href="/q/'), word, "o_orderkey", F.lit("%20"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('.pdf">'))
-    bodies = o.groupBy(F.when(F.col("o_orderkey") % 2 == 0, "low").otherwise("high").alias("fund_key")).agg(F.array_join(F.collect_list(link), "").alias("body"), F.lit(200).alias("status"))
-    bodies = bodies.unionByName(spark.range(1).select(F.lit("medium").alias("fund_key"), F.lit("").alias("body"), F.lit(500).alias("status")))
-    bodies = bodies.select(F.lit("m").alias("manager_id"), "fund_key", F.concat(F.lit("https://m.test/"), "fund_key").alias("page_url"), "status", "body")
+    bodies = o.groupBy("o_custkey").agg(F.array_join(F.collect_list(link), "").alias("body"))
+    key = F.concat(F.lit("c"), "o_custkey")
+    bodies = bodies.select(F.lit("m").alias("manager_id"), key.alias("fund_key"), F.concat(F.lit("https://m.test/"), key).alias("page_url"), F.when(F.col("o_custkey") % 50 == 1, 500).otherwise(200).alias("status"), "body")
     got = catalog.fund_page_entries(bodies, catalog.registry(spark, _managers()))
-    return got.select("fund_key", F.replace("url", F.lit("%20"), F.lit(" ")).alias("url"), "title", "filename_date", "reason")
+    return got.select("fund_key", "fund_code", F.replace("url", F.lit("%20"), F.lit(" ")).alias("url"), "title", "filename_date", "reason")
 
 
 @_query("""WITH o AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, day(o_orderdate) AS day, count(*) AS n FROM orders GROUP BY ALL)

@@ -57,37 +57,57 @@ def verified(managers: dict) -> list[str]:
     return [m for m, cfg in managers.items() if cfg.get("status") == "verified"]
 
 
-def with_funds(rows: DataFrame, funds: DataFrame) -> DataFrame:
-    """rows with the array funds of their manager, in the registry's order. One registry row per
-    manager, so no row of rows is multiplied; the planner broadcasts it while it is small."""
-    listed = F.array_sort(F.collect_list(F.struct("ord", "fund_key", "fund_code", "aliases")))
-    return rows.join(funds.groupBy("manager_id").agg(listed.alias("funds"), F.first("base_url").alias("base_url")), "manager_id", "left")
+#: What a registered key may stand in, and a character after which it can't end.
+_SHAPES = {
+    # the beginning of a file name
+    "prefix": (lambda name: F.array(F.lower(name)), None),
+    # a slug, between other characters than letters and digits
+    "token": (lambda slug: F.regexp_extract_all(F.concat(F.lit("-"), F.lower(slug)), F.lit("(?s)[^a-z0-9](?=(.*))"), F.lit(1)), "[a-z0-9]"),
+    # a title, after the word for fund
+    "alias": (lambda title: F.regexp_extract_all(F.upper(title), F.lit(r"(?sU)\bQU[YỸ]\s+(?=(.*))"), F.lit(1)), r"(?U)\w"),
+}
 
 
-def _first(funds: Column, test) -> Column:
-    return F.get(F.filter(funds, test), F.lit(0))["fund_key"]
+def _keys(funds: DataFrame, how: str) -> DataFrame:
+    """manager_id, _key, fund_key: what is looked for, each with the first fund that it means."""
+    named = funds.select("manager_id", "ord", "fund_key", F.explode("aliases").alias("_key")) if how == "alias" else funds.select("manager_id", "ord", "fund_key", F.lower("fund_key").alias("_key"))
+    return named.where("_key <> ''").groupBy("manager_id", "_key").agg(F.min(F.struct("ord", "fund_key")).alias("_fund"))
 
 
-def key_by_prefix(name: Column, funds: Column) -> Column:
-    """The first fund whose key begins the file name."""
-    return _first(funds, lambda f: F.startswith(F.lower(name), F.lower(f["fund_key"])))
+def matched(rows: DataFrame, funds: DataFrame, name: Column, how: str, out: str) -> DataFrame:
+    """rows with the column out: the first fund (in the registry's order) of the row's manager whose
+    key begins the file name ("prefix"), stands in the slug ("token"), or one of whose short names
+    follows the word for fund in the title ("alias"); NULL if there is none.
 
+    The distinct names are cut to the lengths that keys have (a constant, no longer than the
+    longest key), and the cuts are joined to the keys by equality: no pattern is made from the
+    registry, and no name meets a fund whose key it doesn't hold.
+    """
+    begins, inner = _SHAPES[how]
+    keys = _keys(funds, how)
+    lengths = F.array(*[F.lit(r[0]) for r in keys.select(F.length("_key")).distinct().sort(F.length("_key")).collect()] or [F.lit(0)])
+    named = rows.withColumn("_name", name)
+    probes = named.where(F.col("_name").isNotNull()).select("manager_id", "_name").distinct()
 
-def key_by_token(slug: Column, funds: Column) -> Column:
-    """The first fund whose key stands in the slug between other characters than letters and digits."""
-    return _first(funds, lambda f: F.regexp_like(F.lower(slug), F.concat(F.lit(r"(?:^|[^a-z0-9])\Q"), F.lower(f["fund_key"]), F.lit(r"\E(?:[^a-z0-9]|$)"))))
+    def cuts(rest: Column) -> Column:
+        """The rest's beginnings of these lengths that end where a key may end."""
+        fits = lambda n: F.length(rest) >= n if inner is None else (F.length(rest) >= n) & ~F.rlike(F.substr(rest, n + 1, F.lit(1)), F.lit(inner))
+        return F.transform(F.filter(lengths, fits), lambda n: F.substr(rest, F.lit(1), n))
 
+    probes = probes.select("manager_id", "_name", F.explode(F.array_distinct(F.flatten(F.transform(begins(F.col("_name")), cuts)))).alias("_key"))
+    hits = probes.join(keys, ["manager_id", "_key"]).groupBy("manager_id", "_name").agg(F.min("_fund")["fund_key"].alias(out))
+    return named.join(hits, ["manager_id", "_name"], "left").drop("_name")
 
-def key_by_alias(title: Column, funds: Column) -> Column:
-    """The first fund one of whose short names follows the word for fund in the title."""
-    named = lambda a: F.regexp_like(F.upper(title), F.concat(F.lit(r"(?U)\bQU[YỸ]\s+\Q"), a, F.lit(r"\E\b")))
-    return _first(funds, lambda f: F.exists(f["aliases"], named))
 
+def coded(rows: DataFrame, funds: DataFrame, key: str = "fund_key", out: str = "fund_code") -> DataFrame:
+    """rows with the registry's code of their fund; a key that is not registered is its own code, in capitals."""
+    codes = funds.select("manager_id", F.col("fund_key").alias(key), F.col("fund_code").alias("_code")).dropDuplicates(["manager_id", key])
+    return rows.join(codes, ["manager_id", key], "left").withColumn(out, F.coalesce("_code", F.upper(key))).drop("_code")
 
-def code_of(key: Column, funds: Column) -> Column:
-    """The registry's code of a fund key; a key that is not registered is its own code, in capitals."""
-    found = F.get(F.filter(funds, lambda f: f["fund_key"] == key), F.lit(0))["fund_code"]
-    return F.coalesce(found, F.upper(key))
+
+def based(rows: DataFrame, funds: DataFrame) -> DataFrame:
+    """rows with the base_url of their manager."""
+    return rows.join(funds.groupBy("manager_id").agg(F.first("base_url", True).alias("base_url")), "manager_id", "left")
 
 
 def split_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,20 +147,21 @@ def listing_entries(bodies: DataFrame, funds: DataFrame, max_pages: int = MAX_PA
     pages = F.array_max(F.transform(F.regexp_extract_all("body", F.lit(r"[?&]p=(\d+)"), F.lit(1)), lambda p: p.try_cast("int")))
     reached = walked(bodies, ["manager_id"], F.coalesce(pages, F.lit(0)), F.regexp_like("body", F.lit(ITEM)), max_pages)
     zipped = F.arrays_zip(*[x.alias(k) for x, k in zip(items, ("title", "date", "href"))])
-    rows = with_funds(reached, funds).select("manager_id", "page_no", "funds", "base_url", F.posexplode(zipped).alias("pos", "i"))
+    rows = based(reached, funds).select("manager_id", "page_no", "base_url", F.posexplode(zipped).alias("pos", "i"))
     title, when = parsing.clean_html(F.col("i.title")), parsing.clean_html(F.col("i.date"))
-    href = F.trim(parsing.unescape(F.col("i.href")))
+    href = parsing.unescape(F.trim(F.col("i.href")))
     d, m, y = (F.regexp_extract(when, PUBLISHED, k) for k in (1, 2, 3))
-    rows = rows.select("manager_id", "page_no", "pos", "funds", "base_url", title.alias("title"), parsing._dmy(d, m, y).alias("published"), href.alias("href"))
+    rows = rows.select("manager_id", "page_no", "pos", "base_url", title.alias("title"), parsing._dmy(d, m, y).alias("published"), href.alias("href"))
     dead = (F.col("href") == "") | F.lower("href").startswith("javascript")
     root = F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/"))
     url = F.when(~dead, parsing.absolute_url(root, F.regexp_replace("href", "^/+", "")))
     rows = rows.withColumns({"url": url, "name": F.lower(F.element_at(F.split(url, "/"), -1))})
-    key = F.coalesce(key_by_prefix(F.col("name"), F.col("funds")), key_by_alias(F.col("title"), F.col("funds")))
-    rows = _once(rows, ["manager_id"], [F.col("page_no"), F.col("pos")]).withColumn("fund_key", key)
+    rows = _once(rows, ["manager_id"], [F.col("page_no"), F.col("pos")])
+    rows = matched(matched(rows, funds, F.col("name"), "prefix", "_by_name"), funds, F.col("title"), "alias", "_by_title")
+    rows = coded(rows.withColumn("fund_key", F.coalesce("_by_name", "_by_title")), funds)
     reason = F.when(dead, F.concat(F.lit("no file is published: links to '"), "href", F.lit("'"))).when(F.col("fund_key").isNull(), F.concat(F.lit("no registered fund: "), "url"))
     label = F.nullif(F.regexp_extract("title", LABEL, 0), F.lit(""))
-    return rows.select("manager_id", "fund_key", code_of(F.col("fund_key"), F.col("funds")).alias("fund_code"), "url", "published", "title", label.alias("label"), parsing.flat_date(F.col("name")).alias("filename_date"), reason.alias("reason"))
+    return rows.select("manager_id", "fund_key", "fund_code", "url", "published", "title", label.alias("label"), parsing.flat_date(F.col("name")).alias("filename_date"), reason.alias("reason"))
 
 
 def form_token(body: Column) -> Column:
@@ -148,12 +169,6 @@ def form_token(body: Column) -> Column:
     return F.nullif(F.regexp_extract(body, r'id="field_csrf_ft"[^>]*value="([^"]+)"', 1), F.lit(""))
 
 
-def _kind_entries(rows: DataFrame, name: Column, kind: Column, when: Column) -> DataFrame:
-    rows = rows.withColumns({"title": name, "kind": kind}).where("kind not in ('daily')")
-    reason = F.when(F.col("kind") != "weekly", "the file name is neither weekly nor daily")
-    return rows.select("manager_id", "fund_key", code_of(F.col("fund_key"), F.col("funds")).alias("fund_code"), "url", parsing.flat_date(F.col("title")).alias("published"), "title", F.lit(None).cast("string").alias("label"), when.alias("filename_date"), reason.alias("reason"))
-
-
 def form_entries(bodies: DataFrame, funds: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """Entries of a form's answers: bodies manager_id, fund_key, page_no, status, body, page_url.
     The first answer says how many pages there are. Daily reports are passed over."""
@@ -161,25 +176,31 @@ def form_entries(bodies: DataFrame, funds: DataFrame, max_pages: int = MAX_PAGES
     totals = F.array_max(F.transform(F.regexp_extract_all("body", F.lit(r'data-total="(\d+)"'), F.lit(1)), lambda p: p.try_cast("int")))
     sized = bodies.withColumn("_total", F.coalesce(F.first(totals).over(first), F.lit(1)))
     reached = walked(sized, ["manager_id", "fund_key"], F.col("_total"), F.lit(True), max_pages)
-    rows = with_funds(reached, funds).select("manager_id", "fund_key", "page_no", "page_url", "funds", F.posexplode(parsing.file_links(F.col("body"))).alias("pos", "href"))
+    rows = reached.select("manager_id", "fund_key", "page_no", "page_url", F.posexplode(parsing.file_links(F.col("body"))).alias("pos", "href"))
     rows = rows.withColumn("url", parsing.absolute_url(F.col("page_url"), F.col("href")))
-    rows = _once(rows, ["manager_id"], [F.col("funds.ord")[0], F.col("fund_key"), F.col("page_no"), F.col("pos")])
+    # a file that several funds list is the first one's, in the registry's order
+    order = funds.select("manager_id", "fund_key", "ord").dropDuplicates(["manager_id", "fund_key"])
+    rows = _once(rows.join(order, ["manager_id", "fund_key"], "left"), ["manager_id"], [F.asc_nulls_last("ord"), F.col("fund_key"), F.col("page_no"), F.col("pos")])
     name = F.element_at(F.split("url", "/"), -1)
-    return _kind_entries(rows, name, parsing.report_kind(name, "period_word"), parsing.period_date(name))
+    rows = rows.withColumns({"title": name, "kind": parsing.report_kind(name, "period_word")}).where("kind <> 'daily'")
+    reason = F.when(F.col("kind") != "weekly", "the file name is neither weekly nor daily")
+    return coded(rows, funds).select("manager_id", "fund_key", "fund_code", "url", parsing.flat_date(F.col("title")).alias("published"), "title", F.lit(None).cast("string").alias("label"), parsing.period_date(F.col("title")).alias("filename_date"), reason.alias("reason"))
 
 
 def fund_page_entries(bodies: DataFrame, funds: DataFrame) -> DataFrame:
     """Entries of one page per fund: bodies manager_id, fund_key, page_url, status, body. Only
     reports of changes count; a page that failed is a dead entry."""
-    rows = with_funds(bodies, funds).withColumn("ok", F.col("status") == 200)
-    failed = rows.where("not ok").select("manager_id", "fund_key", F.lit(None).cast("string").alias("fund_code"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("date").alias("published"), F.col("page_url").alias("title"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("date").alias("filename_date"), F.concat(F.lit("the fund's page returned HTTP "), F.col("status").cast("string")).alias("reason"))
-    found = rows.where("ok").select("manager_id", "fund_key", "page_url", "funds", F.posexplode(parsing.file_links(F.col("body"))).alias("pos", "href"))
-    found = found.withColumn("url", parsing.absolute_url(F.col("page_url"), F.col("href")))
+    # one pass: a failed page is one entry with its reason, any other gives its links
+    failed = F.when(F.coalesce(F.col("status") != 200, F.lit(True)), F.concat(F.lit("the fund's page returned HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("no status"))))
+    links = F.when(failed.isNull(), parsing.file_links(F.col("body"))).otherwise(F.array(F.lit(None).cast("string")))
+    found = bodies.select("manager_id", "fund_key", "page_url", failed.alias("reason"), F.posexplode(links).alias("pos", "href"))
+    found = found.withColumn("url", F.when(F.col("reason").isNull(), parsing.absolute_url(F.col("page_url"), F.col("href"))))
     found = _once(found, ["manager_id"], [F.col("fund_key"), F.col("pos")])
     name = parsing.base_name(F.col("url"))
-    found = found.withColumn("title", name).where(parsing.report_kind(F.col("title"), "change_word") == "weekly")
-    refs = found.select("manager_id", "fund_key", code_of(F.col("fund_key"), F.col("funds")).alias("fund_code"), "url", F.lit(None).cast("date").alias("published"), "title", F.lit(None).cast("string").alias("label"), parsing.any_date(F.col("title")).alias("filename_date"), F.lit(None).cast("string").alias("reason"))
-    return refs.unionByName(failed)
+    found = found.withColumn("title", F.coalesce(name, "page_url")).where(F.col("reason").isNotNull() | (parsing.report_kind(F.col("title"), "change_word") == "weekly"))
+    code = F.when(F.col("reason").isNull(), F.col("fund_code"))
+    when = F.when(F.col("reason").isNull(), parsing.any_date(F.col("title")))
+    return coded(found, funds).select("manager_id", "fund_key", code.alias("fund_code"), "url", F.lit(None).cast("date").alias("published"), "title", F.lit(None).cast("string").alias("label"), when.alias("filename_date"), "reason")
 
 
 def locations(bodies: DataFrame) -> DataFrame:
@@ -226,48 +247,62 @@ def current_pages(saved: DataFrame, sitemap_url: str, now: Column, max_pages: in
 
 def candidate_pages(pages: DataFrame, manager: str, funds: DataFrame) -> DataFrame:
     """manager_id, page_url, fund_key: the pages whose slug names a fund and a weekly report; no other need be fetched."""
-    rows = with_funds(pages.select(F.lit(manager).alias("manager_id"), F.col("url").alias("page_url")), funds)
-    slug = parsing.page_slug(F.col("page_url"))
-    got = rows.select("manager_id", "page_url", key_by_token(slug, F.col("funds")).alias("fund_key"), slug.alias("slug"))
-    return got.where(F.col("fund_key").isNotNull() & F.col("slug").rlike(parsing.WEEKLY_PAGE)).drop("slug")
+    slug = parsing.page_slug(F.col("url"))
+    weekly = pages.select(F.lit(manager).alias("manager_id"), F.col("url").alias("page_url"), slug.alias("slug")).where(F.col("slug").rlike(parsing.WEEKLY_PAGE))
+    return matched(weekly, funds, F.col("slug"), "token", "fund_key").where("fund_key is not null").drop("slug")
 
 
 def report_page_entries(bodies: DataFrame, funds: DataFrame) -> DataFrame:
     """Entries of report pages: bodies manager_id, page_url, fund_key, status, body (NULL if the
-    page could not be fetched). The file's own name says which fund and which kind it is."""
-    rows = with_funds(bodies, funds)
-    files = F.when((F.col("status") == 200) & F.col("body").isNotNull(), parsing.file_links(F.col("body")))
-    rows = rows.withColumn("files", files)
-    nothing = lambda why: [F.lit(None).cast("string").alias("fund_code"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("date").alias("published"), F.col("page_url").alias("title"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("date").alias("filename_date"), why.alias("reason")]
-    why = F.when(F.col("body").isNull(), "the report page could not be fetched").when(F.col("status") != 200, F.concat(F.lit("the report page returned HTTP "), F.col("status").cast("string"))).otherwise("the report page has no file link")
-    empty = rows.where("files is null or size(files) = 0").select("manager_id", "fund_key", *nothing(why))
-    found = rows.select("manager_id", "page_url", F.col("fund_key").alias("page_key"), "funds", F.explode("files").alias("href"))
-    found = found.withColumn("url", parsing.absolute_url(F.col("page_url"), F.col("href"))).dropDuplicates(["manager_id", "page_url", "url"])
+    page could not be fetched). The file's own name says which fund and which kind it is.
+
+    One pass over the bodies: each becomes its files, or one entry with the reason why it has
+    none; each file gets the kinds of entry that it stands for ("ref" and "mixed" for a
+    weekly report of another fund than its page's).
+    """
+    why = (
+        F.when(F.col("body").isNull(), "the report page could not be fetched")
+        .when(F.coalesce(F.col("status") != 200, F.lit(True)), F.concat(F.lit("the report page returned HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("no status"))))
+    )
+    files = F.when(why.isNull(), parsing.file_links(F.col("body")))
+    found = bodies.select("manager_id", "page_url", F.col("fund_key").alias("page_key"), why.alias("why"), F.explode_outer(files).alias("href"))
+    found = found.withColumn("url", parsing.absolute_url(F.col("page_url"), F.col("href")))
+    found = found.withColumn("why", F.when(F.col("url").isNull(), F.coalesce("why", F.lit("the report page has no file link"))))
+    # the first page of each file, and each page's file once
+    found = found.groupBy("manager_id", "page_url", "page_key", "url", "why").agg(F.lit(1).alias("_n")).drop("_n")
     name = parsing.base_name(F.col("url"))
-    found = found.withColumns({"title": name, "kind": parsing.report_kind(name, "bc_code")}).where("kind in ('weekly', 'unknown')")
-    found = found.withColumn("own_key", F.when(F.col("kind") == "weekly", key_by_prefix(F.col("title"), F.col("funds"))))
-    common = lambda key, url, reason: ["manager_id", key.alias("fund_key"), code_of(key, F.col("funds")).alias("fund_code"), url.alias("url"), F.lit(None).cast("date").alias("published"), "title", F.lit(None).cast("string").alias("label"), parsing.flat_date(F.col("title")).alias("filename_date"), reason.alias("reason")]
-    no_url = F.lit(None).cast("string")
-    odd = found.where("kind = 'unknown'").select(*common(F.col("page_key"), no_url, F.lit("a report's file name of no known kind")))
-    unnamed = found.where("kind = 'weekly' and own_key is null").select(*common(F.lit(None).cast("string"), no_url, F.lit("the file name begins with no registered fund")))
-    named = found.where("own_key is not null")
-    mixed = named.where("own_key <> page_key").select(*common(F.col("own_key"), no_url, F.concat(F.lit("the page names "), "page_key", F.lit(", the file name "), "own_key", F.lit("; the file name counts"))))
-    refs = _once(named, ["manager_id"], [F.col("page_url")]).select(*common(F.col("own_key"), F.col("url"), F.lit(None).cast("string")))
-    return refs.unionByName(mixed).unionByName(odd).unionByName(unnamed).unionByName(empty)
+    found = found.withColumns({"title": F.coalesce(name, "page_url"), "kind": F.when(F.col("url").isNotNull(), parsing.report_kind(name, "bc_code"))}).where("kind is null or kind in ('weekly', 'unknown')")
+    found = matched(found, funds, F.when(F.col("kind") == "weekly", F.col("title")), "prefix", "own_key")
+    first = F.row_number().over(Window.partitionBy("manager_id", "url", F.col("own_key").isNotNull()).orderBy("page_url"))
+    kept = F.col("own_key").isNotNull() & F.col("url").isNotNull()
+    found = found.withColumn("_first", F.when(kept, first == 1).otherwise(False))
+    entry = lambda key, url, reason: F.struct(key.alias("fund_key"), url.alias("url"), reason.alias("reason"))
+    no_text, own, page = F.lit(None).cast("string"), F.col("own_key"), F.col("page_key")
+    entries = F.array(
+        F.when(F.col("why").isNotNull(), entry(page, no_text, F.col("why"))),
+        F.when(F.col("kind") == "unknown", entry(page, no_text, F.lit("a report's file name of no known kind"))),
+        F.when((F.col("kind") == "weekly") & own.isNull(), entry(no_text, no_text, F.lit("the file name begins with no registered fund"))),
+        F.when(own != page, entry(own, no_text, F.concat(F.lit("the page names "), page, F.lit(", the file name "), own, F.lit("; the file name counts")))),
+        F.when(F.col("_first"), entry(own, F.col("url"), no_text)),
+    )
+    rows = found.select("manager_id", "title", "why", F.explode(F.array_compact(entries)).alias("e")).select("manager_id", "title", "why", "e.*")
+    of_file = lambda c: F.when(F.col("why").isNull(), c)
+    return coded(rows, funds).select("manager_id", "fund_key", of_file(F.col("fund_code")).alias("fund_code"), "url", F.lit(None).cast("date").alias("published"), "title", F.lit(None).cast("string").alias("label"), of_file(parsing.flat_date(F.col("title"))).alias("filename_date"), "reason")
 
 
 #: How a manager's bodies are read, by the name in the registry.
 CRAWLERS = {"listing": listing_entries, "form": form_entries, "fund_pages": fund_page_entries, "report_pages": report_page_entries}
 
 
-def discover(managers: dict, bodies: dict[str, DataFrame], funds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(refs, dead) of several managers: bodies by manager, each as its crawler reads it."""
+def discover(managers: dict, bodies: dict[str, DataFrame], funds: DataFrame, max_pages: int = MAX_PAGES) -> tuple[DataFrame, DataFrame]:
+    """(refs, dead) of several managers: bodies by manager, each as its crawler reads it, pages up to the limit."""
     every = None
     for manager, rows in bodies.items():
         crawler = manager_config(managers, manager).get("crawler")
         if crawler not in CRAWLERS:
             raise NotImplementedError(f"manager {manager!r} has no crawler ({crawler!r}); its status is {managers[manager].get('status', 'unknown')}")
-        got = CRAWLERS[crawler](rows, funds.where(F.col("manager_id") == manager))
+        paged = {"max_pages": max_pages} if crawler in ("listing", "form") else {}
+        got = CRAWLERS[crawler](rows, funds.where(F.col("manager_id") == manager), **paged)
         every = got if every is None else every.unionByName(got)
     if every is None:
         raise ValueError("no bodies are given")
