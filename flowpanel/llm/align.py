@@ -70,7 +70,7 @@ def end_events(docs: DataFrame, a: str = A, b: str = B, id_col: str = "doc_id",
             encoded = [s.memo.ids(split) for s in both]
             rows = []
             for k, (at, doc) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if not texts[k] or not all(s.whole(e[k], texts[k]) for s, e in zip(both, encoded)):
+                if not texts[k] or not all(s.whole(split[k], e[k], texts[k]) for s, e in zip(both, encoded)):
                     rows.append((at, doc, 0, 0, b""))
                     continue
                 for i, (s, e) in enumerate(zip(both, encoded)):
@@ -106,9 +106,13 @@ class Sweep:
         if not (len(a) and len(b)):
             return None
         # a group ends where both do; tokens of no bytes belong to the group before the next end
-        common = np.intersect1d(a, b)
+        low = min(int(a[0]), int(b[0]))
+        mark = np.zeros(max(int(a[-1]), int(b[-1])) - low + 1, bool)
+        mark[a - low] = True
+        common = b[mark[b - low]]
         if not len(common):
             return None
+        common = common[np.append(True, common[1:] > common[:-1])]
         out = []
         for k in (0, 1):
             n = int(np.searchsorted(self.ends[k], common[-1], "right"))
