@@ -11,8 +11,9 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -39,37 +40,32 @@ def load_json(name: str, plain: bool):
 
 
 class Memo(dict):
-    """Part to its ids as bytes (little-endian, of the given type).
+    """Part (a string, or bytes) to its ids as bytes (little-endian, of the given type).
 
     loose: characters that the tokenizer never joins with a letter before them; a new part that
     ends in one is made of the ids of what stands before it, which repeats more often.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], kind: np.dtype, loose: str = "", entries: int = ENTRIES) -> None:
+    def __init__(self, encode: Callable[..., list[int]], kind: np.dtype, loose: str | bytes = "", entries: int = ENTRIES) -> None:
         super().__init__()
-        self.encode, self.kind, self.loose, self.entries = encode, kind, loose, entries
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Holds what a batch of texts needs; returned: ids of parts too long to hold."""
-        if len(self) > self.entries:
-            self.clear()
-        new = words.difference(self)
-        ended = {w for w in new if w[-1:] in self.loose and w[-2:-1].isalpha()} if self.loose else set()
-        roots = {w[:-1] for w in ended} | {w[-1] for w in ended}
-        plain = list((new - ended) | roots.difference(self))
-        long = {}
-        for w, ids in zip(plain, self.encode(plain)):
-            (self if len(w) <= LONGEST else long)[w] = np.array(ids, self.kind).tobytes()
-        for w in ended:
-            root = w[:-1]
-            (self if len(w) <= LONGEST else long)[w] = (self[root] if root in self else long[root]) + self[w[-1]]
-        return long
-
-    def ids(self, texts: list[list[str]]) -> list[bytes]:
+        self.encode, self.loose, self.entries = encode, loose, entries
+        self.code = {2: "H", 4: "I"}[kind.itemsize]
+
+    def __missing__(self, part) -> bytes:
+        if self.loose and len(part) > 1 and part[-1:] in self.loose and part[-2:-1].isalpha():
+            ids = self[part[:-1]] + self[part[-1:]]
+        else:
+            ids = self.encode(part)
+            ids = pack(f"<{len(ids)}{self.code}", *ids)
+        if len(part) <= LONGEST:
+            if len(self) >= self.entries:
+                self.clear()
+            self[part] = ids
+        return ids
+
+    def ids(self, texts: list[list]) -> list[bytes]:
         """The ids of each text, given as its parts."""
-        long = self.learn(set().union(*texts))
-        get = self.__getitem__ if not long else lambda w: self[w] if w in self else long[w]
-        return [b"".join(map(get, t)) for t in texts]
+        return [b"".join(map(self.__getitem__, t)) for t in texts]
 
 
 def byte_of() -> dict[str, int]:
@@ -117,29 +113,26 @@ class Side:
             for i in range(model.get_piece_size()):
                 piece = model.id_to_piece(i)
                 self.bytes.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) else piece.replace("▁", " ").encode())
-            encode = lambda words: model.encode(words, num_threads=1)
+            encode = model.encode
         else:
             model, byte = load_json(name, True), byte_of()
             names = {i: piece for piece, i in model.get_vocab().items()}
             special = {t.content for t in model.get_added_tokens_decoder().values()}
             self.bytes = [b"" if names.get(i) is None else names[i].encode() if names[i] in special else bytes(map(byte.__getitem__, names[i])) for i in range(max(names) + 1)]
             fast = _by_rank(place(name), byte)
-            if fast:
-                encode = lambda words: (fast.encode_ordinary(" " + w) for w in words)
-            else:
-                encode = lambda words: (e.ids for e in model.encode_batch([" " + w for w in words], add_special_tokens=False))
+            encode = (lambda w: fast.encode_ordinary(" " + w)) if fast else (lambda w: model.encode(" " + w, add_special_tokens=False).ids)
         self.size = len(self.bytes)
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.length = np.array([len(b) for b in self.bytes], np.int64)
         #: parts whose ids do not give space + part
         self.odd: set[str] = set()
-        self.memo = Memo(lambda words: self._noted(words, encode(words)), self.kind, entries=ENTRIES * 3 // 2)
+        def noted(part: str) -> list[int]:
+            ids = encode(part)
+            if b"".join([self.bytes[i] for i in ids]) != b" " + part.encode("utf-8", "surrogatepass"):
+                self.odd.add(part)
+            return ids
 
-    def _noted(self, words: list[str], encoded: Iterable[list[int]]) -> Iterator[list[int]]:
-        for w, ids in zip(words, encoded):
-            if b"".join([self.bytes[i] for i in ids]) != b" " + w.encode("utf-8", "surrogatepass"):
-                self.odd.add(w)
-            yield ids
+        self.memo = Memo(noted, self.kind, entries=ENTRIES * 3 // 2)
 
     def whole(self, split: list[str], ids: bytes, text: str) -> bool:
         """Whether the bytes of the ids of a text, given with its parts, are space + text: they are
