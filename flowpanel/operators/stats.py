@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .tables import placed, settled
+
 INCEPTION, WINSOR = 4, 0.01
 BREAKS = (0.2, 0.8)
 
@@ -22,44 +25,73 @@ def clip(x: Column, low: Column, high: Column) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
 
 
-#: Rows of a bracket that one exact percentile may still hold, and the precision of the narrowing.
-BRACKET, ACCURACY = 1_000_000, 10_000
+#: Size of a quantile sketch, and how many times its error a bracket reaches to either side.
+SKETCH, MARGIN = 4096, 3.0
+
+
+def _brackets(df: DataFrame, xs: dict[str, Column], shares: list[float]) -> tuple[dict, dict]:
+    """One pass: values of each column, and between which values each share's quantile must lie
+    by a mergeable sketch (its error is a small share of the rows, but not certain)."""
+    error = MARGIN * 2.296 / SKETCH**0.9021  # the sketch's published bound for one quantile
+    near = sorted({min(1.0, max(0.0, q + d)) for q in shares for d in (-error, error)})
+    sketch = {c: F.kll_sketch_agg_double(x, F.lit(SKETCH)) for c, x in xs.items()}
+    got = df.agg(*[e.alias(f"{c}:{k}") for c, x in xs.items() for k, e in (("n", F.count(x)), ("lo", F.min(x)), ("hi", F.max(x)), ("s", sketch[c]))])
+    got = got.select("*", *[F.when(F.col(f"`{c}:n`") > 0, F.kll_sketch_get_quantile_double(f"`{c}:s`", F.array(*map(F.lit, near)))).alias(f"{c}:q") for c in xs]).drop(*[f"{c}:s" for c in xs])
+    row = got.collect()[0]
+    sides = {}
+    for c in xs:
+        if row[f"{c}:n"]:
+            at = dict(zip(near, row[f"{c}:q"]))
+            for q in shares:
+                low, high = q - error, q + error
+                sides[c, q] = (at[low] if low > 0 else row[f"{c}:lo"], at[high] if high < 1 else row[f"{c}:hi"])
+    return {c: (row[f"{c}:n"], row[f"{c}:lo"], row[f"{c}:hi"]) for c in xs}, sides
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
-    """Interpolated quantiles of each column, exact at any size.
+    """Interpolated quantiles of each column, exact at any size, in two passes over df for all
+    columns and shares.
 
-    The order statistics wanted are first narrowed to brackets by approximate quantiles, checked
-    by counting, again and again until a bracket holds few rows (or one value); only these reach
-    the exact percentile, whose position is moved by the rows below. All columns and shares are
-    done at once.
+    The first pass brackets the order statistics by sketches. The second counts the values
+    inside each bracket, and the rows on its farther side, which say where the bracket
+    stands; the values are then placed over ranges. If a bracket missed (a sketch may err),
+    it alone is looked for again, between the least and the greatest value.
     """
     xs = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    row = df.agg(*[F.count(x).alias(f"{c}:n") for c, x in xs.items()], *[f(x).alias(f"{c}:{k}") for c, x in xs.items() for k, f in (("lo", F.min), ("hi", F.max))]).collect()[0]
-    keys = [(c, q) for c in columns for q in shares if row[f"{c}:n"]]
-    spot = {(c, q): (row[f"{c}:n"] - 1) * q for c, q in keys}
-    at = {(c, q): (row[f"{c}:lo"], row[f"{c}:hi"], 0, row[f"{c}:n"]) for c, q in keys}  # low, high, rows below, rows inside
-    within = lambda k: F.when(xs[k[0]].between(at[k][0], at[k][1]), xs[k[0]])
-    open_ = [k for k in keys if at[k][3] > BRACKET and at[k][0] < at[k][1]]
+    size, sides = _brackets(df, xs, shares)
+    out: dict[tuple[str, float], float] = {}
+    open_ = list(sides)
     while open_:
-        place = {k: (spot[k] - at[k][2]) / at[k][3] for k in open_}
-        near = {k: [min(1.0, max(0.0, place[k] + d / ACCURACY)) for d in (-2, 2)] for k in open_}
-        got = df.agg(*[F.percentile_approx(within(k), near[k], ACCURACY).alias(f"b{i}") for i, k in enumerate(open_)]).collect()[0]
-        sides = {k: got[f"b{i}"] for i, k in enumerate(open_)}
-        counted = df.agg(*[e.alias(f"{n}{i}") for i, k in enumerate(open_) for n, e in (("u", F.count_if(within(k) < sides[k][0])), ("i", F.count_if(within(k).between(*sides[k]))))]).collect()[0]
-        for i, k in enumerate(list(open_)):
-            low, high, below, inside = (*sides[k], at[k][2] + counted[f"u{i}"], counted[f"i{i}"])
-            # a bracket that misses its spot, or narrows nothing, is left as it was
-            ok = below <= np.floor(spot[k]) and np.ceil(spot[k]) < below + inside and inside < at[k][3]
-            if ok:
-                at[k] = (low, high, below, inside)
-            if not ok or inside <= BRACKET or low == high:
-                open_.remove(k)
-    if not keys:
-        return {c: [None] * len(shares) for c in columns}
-    inner = {k: min(1.0, max(0.0, (spot[k] - at[k][2]) / (at[k][3] - 1))) if at[k][3] > 1 else 0.0 for k in keys}
-    got = df.agg(*[F.percentile(within(k), F.lit(inner[k])).alias(f"q{i}") for i, k in enumerate(keys)]).collect()[0]
-    out = {k: got[f"q{i}"] for i, k in enumerate(keys)}
+        entries = []
+        for k, (c, q) in enumerate(open_):
+            low, high = sides[c, q]
+            beside = xs[c] < low if q < 0.5 else xs[c] > high
+            entries.append(F.when(xs[c].between(low, high), F.struct(F.lit(k).alias("k"), xs[c].alias("v"))).when(beside, F.struct(F.lit(k).alias("k"), F.lit(None).cast("double").alias("v"))))
+        counts = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("e.k", "e.v").agg(F.count("*").alias("n"))
+        counts = settled(counts)
+        beside = {r["k"]: r["n"] for r in counts.where("v is null").collect()}
+        inside = {r["k"]: r["n"] for r in counts.where("v is not null").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+        below, wanted = {}, F.lit(False)
+        for k, (c, q) in enumerate(open_):
+            n = size[c][0]
+            below[k] = beside.get(k, 0) if q < 0.5 else n - beside.get(k, 0) - inside.get(k, 0)
+            spot = (n - 1) * q
+            for at in {math.floor(spot), math.ceil(spot)}:
+                here = F.col("_below") + below[k]
+                wanted = wanted | ((F.col("k") == k) & (here <= at) & (here + F.col("n") > at))
+        found: dict[int, list] = {}
+        for r in placed(counts.where("v is not null"), ["k"], "v").where(wanted).collect():
+            found.setdefault(r["k"], []).append((r["_below"] + below[r["k"]], r["n"], r["v"]))
+        missed = []
+        for k, (c, q) in enumerate(open_):
+            spot = (size[c][0] - 1) * q
+            at = [next((v for b, n, v in found.get(k, []) if b <= p < b + n), None) for p in (math.floor(spot), math.ceil(spot))]
+            if None in at:
+                sides[c, q] = size[c][1:]
+                missed.append((c, q))
+            else:
+                out[c, q] = at[0] + (at[1] - at[0]) * (spot - math.floor(spot))
+        open_ = missed
     return {c: [out.get((c, q)) for q in shares] for c in columns}
 
 
@@ -121,12 +153,12 @@ def lagged_sum(x: str, lag: int, width: int, by: str = "fund_code", order: str =
     return F.when(F.count(x).over(w) == width, F.sum(x).over(w))
 
 
-def average_rank(x: str, by: str) -> Column:
-    """Share rank with ties averaged; NULLs have none and do not count."""
-    w = Window.partitionBy(by)
-    rank = F.rank().over(w.orderBy(F.asc_nulls_last(x)))
-    ties = F.count("*").over(Window.partitionBy(by, x))
-    return F.when(F.col(x).isNotNull(), (rank + (ties - 1) / 2) / F.count(x).over(w))
+def with_average_rank(df: DataFrame, x: str, by: str, out: str) -> DataFrame:
+    """df with the column out: the share rank of x in its group, ties averaged; NULLs have none and
+    do not count. Values are counted before they are placed, and no task reads a whole group."""
+    counts = df.where(F.col(x).isNotNull()).groupBy(by, x).agg(F.count("*").alias("n"))
+    at = placed(counts, [by], x).select(F.col(by).alias("_by"), F.col(x).alias("_x"), ((F.col("_below") + (F.col("n") + 1) / 2) / F.col("_total")).alias(out))
+    return df.join(at, F.col(by).eqNullSafe(F.col("_by")) & (F.col(x) == F.col("_x")), "left").drop("_by", "_x")
 
 
 def splines(rank: Column, breaks=BREAKS) -> dict[str, Column]:
@@ -137,7 +169,7 @@ def splines(rank: Column, breaks=BREAKS) -> dict[str, Column]:
 
 def performance_rank_splines(df: DataFrame, performance: str, by: str = "period_end", breaks=BREAKS) -> DataFrame:
     """perf_rank within each period and its three parts."""
-    out = df.withColumn("perf_rank", average_rank(performance, by))
+    out = with_average_rank(df, performance, by, "perf_rank")
     return out.withColumns(splines(F.col("perf_rank"), breaks))
 
 

@@ -330,10 +330,30 @@ def lagged_returns(spark, d):
 @_query("WITH " + MEASURED + """, r AS (SELECT fund_code, period_start, (rank() OVER (PARTITION BY period_start ORDER BY ret) + (count(*) OVER (PARTITION BY period_start, ret) - 1) / 2.0::DOUBLE) / count(ret) OVER (PARTITION BY period_start) AS pr FROM m)
 SELECT fund_code, period_start, round(pr, 8) AS pct_rank, round(least(pr, 0.2), 8) AS rank_low, round(least(greatest(pr - 0.2, 0), 0.6), 8) AS rank_mid, round(greatest(pr - 0.8, 0), 8) AS rank_high FROM r""")
 def rank_splines(spark, d):
-    got = measured(spark, d).withColumn("pr", stats.average_rank("gross_return", "period_start"))
+    got = stats.with_average_rank(measured(spark, d), "gross_return", "period_start", "pr")
     return got.select("fund_code", "period_start", F.round("pr", 8).alias("pct_rank"), *[F.round(c, 8).alias(k) for k, c in stats.splines(F.col("pr")).items()])
 
 
+@_query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 8 THEN NULL ELSE CAST(date_trunc('year', o_orderdate) AS DATE) END AS period, CASE WHEN o_custkey % 20 > 0 THEN floor(o_totalprice / 50) * 50 END AS x FROM orders)
+SELECT o_orderkey, CASE WHEN x IS NOT NULL THEN round((rank() OVER (PARTITION BY period ORDER BY x NULLS LAST) + (count(*) OVER (PARTITION BY period, x) - 1) / 2.0::DOUBLE) / count(x) OVER (PARTITION BY period), 10) END AS pct_rank FROM o""")
+def rank_hot_period(spark, d):
+    """Most rows in one period (the one without a date), many ties, some values missing."""
+    o, key = _table(spark, d, "orders"), F.col("o_orderkey")
+    period = F.when(key % 10 >= 8, F.trunc("o_orderdate", "year"))
+    x = F.when(F.col("o_custkey") % 20 > 0, F.floor(F.col("o_totalprice") / 50) * 50.0)
+    got = stats.with_average_rank(o.select("o_orderkey", period.alias("period"), x.alias("x")), "x", "period", "pr")
+    return got.select("o_orderkey", F.round("pr", 10).alias("pct_rank"))
+
+
+@_query("""SELECT c AS column, q AS share, round(v, 6) AS value FROM (
+  SELECT unnest([1, 2, 3, 1, 2, 3]) AS c, unnest([0.01, 0.01, 0.01, 0.9, 0.9, 0.9]::DOUBLE[]) AS q, unnest([quantile_cont(l_extendedprice, 0.01), quantile_cont(l_quantity, 0.01), quantile_cont(l_discount, 0.01), quantile_cont(l_extendedprice, 0.9), quantile_cont(l_quantity, 0.9), quantile_cont(l_discount, 0.9)]::DOUBLE[]) AS v FROM lineitem)""")
+def exact_quantiles(spark, d):
+    """Quantiles of three columns at once, two of few values."""
+    columns, shares = ["l_extendedprice", "l_quantity", "l_discount"], [0.01, 0.9]
+    got = stats.exact_quantiles(_table(spark, d, "lineitem"), columns, shares)
+    return spark.createDataFrame([(i, q, round(v, 6)) for i, c in enumerate(columns, 1) for q, v in zip(shares, got[c])], "column int, share double, value double")
+
+
 SAMPLE = MEASURED + """, n AS (SELECT *, row_number() OVER (PARTITION BY fund_code ORDER BY period_end) AS k FROM m), s AS (SELECT *, sr + rr AS churn FROM n WHERE k > 4),
 q AS (SELECT [quantile_cont(nr, 0.01), quantile_cont(nr, 0.99)] AS n, [quantile_cont(sr, 0.01), quantile_cont(sr, 0.99)] AS s, [quantile_cont(rr, 0.01), quantile_cont(rr, 0.99)] AS r, [quantile_cont(churn, 0.01), quantile_cont(churn, 0.99)] AS c FROM s)"""
 

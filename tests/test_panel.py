@@ -376,8 +376,8 @@ def test_exact_quantiles_narrow_to_brackets(spark, monkeypatch):
     want = stats.exact_quantiles(df, ["x", "y", "z"], [0.01, 0.5, 0.99])
     values = [r["x"] for r in df.select("x").collect()]
     assert want["x"] == pytest.approx(list(np.quantile(values, [0.01, 0.5, 0.99]))) and want["y"] == [0.0, 1.0, 2.0] and want["z"] == [None] * 3
-    monkeypatch.setattr(stats, "BRACKET", 50)
-    monkeypatch.setattr(stats, "ACCURACY", 200)
+    monkeypatch.setattr(stats, "SKETCH", 8)
+    monkeypatch.setattr(stats, "MARGIN", 1e-4)  # brackets that miss are looked for again
     assert stats.exact_quantiles(df, ["x", "y", "z"], [0.01, 0.5, 0.99]) == want
 
 
