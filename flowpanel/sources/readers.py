@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -35,7 +37,7 @@ ROW = r"^\s*(\d+(?:\.\d+){0,2})\s+(\S.*?)\s*$"
 FIGURE = r"\(?-?\d[\d,]*(?:\.\d+)?\)?%?"
 TRAILING = rf"(?:^|\s)({FIGURE})(?:\s+({FIGURE}))?\s*$"
 
-#: Labels of the bilingual header; "4 Kỳ báo cáo: ... năm 2022" is no line 4.
+#: Fixed labels of the bilingual header; "4 Kỳ báo cáo: ... năm 2022" is no line 4.
 METADATA = r"(?iu)Kỳ báo cáo|Ngày lập báo cáo|Reporting period|Reporting Date|Tên Quỹ|Fund name|Tên Công ty|Fund Management Company|Tên Ngân hàng|Supervisory bank|Đơn vị tính|Currency"
 
 
@@ -56,27 +58,34 @@ def text_cells(lines: DataFrame) -> DataFrame:
     return first.select("doc_id", "code", parse_number(F.col("f.a")).alias("this"), parse_number(F.col("f.b")).alias("last"))
 
 
+#: All line codes of both variants.
+CODES = list(dict.fromkeys([*FIELDS, *ALTERNATE]))
+
+
 def filings(cells: DataFrame) -> DataFrame:
-    """One wide row per document: variant, fields, prior_ fields, and error where it is no filing.
+    """One wide row per document: variant, fields, prior_ fields, and error where it is no filing."""
+    at = lambda code, col: F.max(F.when(F.col("code") == code, F.col(col)))
+    got = cells.groupBy("doc_id").agg(*[at(c, col).alias(f"{col}:{c}") for c in CODES for col in ("this", "last")])
+    return _fields(got, ["doc_id"])
+
+
+def _fields(got: DataFrame, keep: list[str]) -> DataFrame:
+    """The fields from one column for each code and value.
 
     The older variant has a value at 1.2 and none at 1.3; its lines 3.2.1 and 3.2.2 are the
     distribution and the net flow, and it has no gross legs.
     """
-    codes = list(dict.fromkeys([*FIELDS, *ALTERNATE]))
-    at = lambda code, col: F.max(F.when(F.col("code") == code, F.col(col)))
-    got = cells.groupBy("doc_id").agg(*[at(c, col).alias(f"{col}:{c}") for c in codes for col in ("this", "last")])
     cell = lambda col, code: F.col(f"`{col}:{code}`") if code else F.lit(None).cast("double")
     alternate = cell("this", "1.2").isNotNull() & cell("this", "1.3").isNull()
     of = {f: c for c, f in FIELDS.items()}, {f: c for c, f in ALTERNATE.items()}
     field = lambda col, f: F.when(alternate, cell(col, of[1].get(f))).otherwise(cell(col, of[0][f]))
-    got = got.select("doc_id", F.when(alternate, "alt").otherwise("standard").alias("template_variant"), *[field("this", f).alias(f) for f in FIELDS.values()], *[field("last", f).alias(f"prior_{f}") for f in FIELDS.values()])
+    got = got.select(*keep, F.when(alternate, "alt").otherwise("standard").alias("template_variant"), *[field("this", f).alias(f) for f in FIELDS.values()], *[field("last", f).alias(f"prior_{f}") for f in FIELDS.values()])
     error = F.when(F.col("nav_end").isNull(), "line 2.1 is missing").when(F.coalesce(*CHANGES).isNull(), "no line of section 3: a point-in-time report")
     return got.withColumn("error", error)
 
 
-def headed(docs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Filings from the header texts (doc_id, text; fund_code, source and report_cell where
-    there are any) and the cells of the same documents. A given fund code precedes the printed one."""
+def _heads(docs: DataFrame, more: list[str]) -> DataFrame:
+    """What header texts say: fund, source, dates, and whether there is no text."""
     flat = F.regexp_replace(F.replace("text", F.lit(NBSP), F.lit(" ")), r"\s+", " ")
     given = lambda c: F.col(c) if c in docs.columns else F.lit(None).cast("string")
     cell = F.col("report_cell") if "report_cell" in docs.columns else F.lit(None).cast("date")
@@ -84,13 +93,39 @@ def headed(docs: DataFrame, cells: DataFrame) -> DataFrame:
     docs = docs.withColumn("flat", flat)
     flat = F.col("flat")
     printed = fund_code(flat)
-    head = docs.select("doc_id", header_period(flat).alias("h"), F.coalesce(given("fund_code"), printed).alias("fund_code"), given("source").alias("source"), F.coalesce(report_date(flat), cell).alias("report_date"), (F.coalesce(F.trim("text"), F.lit("")) == "").alias("blank"))
-    head = head.select("doc_id", "fund_code", "source", "report_date", F.col("h.start").alias("period_start"), F.col("h.end").alias("period_end"), F.col("h.conflict").alias("date_conflict"), "blank")
-    got = head.join(filings(cells), "doc_id", "left")
+    head = docs.select("doc_id", header_period(flat).alias("h"), F.coalesce(given("fund_code"), printed).alias("fund_code"), given("source").alias("source"), F.coalesce(report_date(flat), cell).alias("report_date"), (F.coalesce(F.trim("text"), F.lit("")) == "").alias("blank"), *more)
+    return head.select("doc_id", "fund_code", "source", "report_date", F.col("h.start").alias("period_start"), F.col("h.end").alias("period_end"), F.col("h.conflict").alias("date_conflict"), "blank", *more)
+
+
+def _judged(got: DataFrame) -> DataFrame:
     error = F.when(F.col("blank"), "no text").when(F.col("template_variant").isNull(), "line 2.1 is missing").otherwise(F.col("error"))
     return got.withColumn("error", F.when(error.isNotNull(), F.concat(F.lit("ParseError: "), error))).drop("blank")
 
 
+def headed(docs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Filings from the header texts (doc_id, text; fund_code, source and report_cell where
+    there are any) and the cells of the same documents. A given fund code precedes the printed one."""
+    return _judged(_heads(docs, []).join(filings(cells), "doc_id", "left"))
+
+
+def headed_rows(docs: DataFrame) -> DataFrame:
+    """As headed, for documents whose row has its cells (an array of code, this, last): nothing is
+    joined. Rows that stand dealt out by document stay where they are.
+
+    The values become columns by an aggregation, which also keeps the planner from writing
+    everything that cells are made of into each later condition on a field.
+    """
+    more = [c for c in ("fund_code", "source", "report_cell", "broken") if c in docs.columns]
+    each = docs.select("doc_id", "text", *more, F.explode_outer("cells").alias("c"))
+    at = lambda code, col: F.max(F.when(F.col("c.code") == code, F.col(f"c.{col}")))
+    got = each.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("text", *more)], F.count("c").alias("n_cells"), *[at(c, col).alias(f"{col}:{c}") for c in CODES for col in ("this", "last")])
+    values = ["n_cells", *[f"`{col}:{c}`" for c in CODES for col in ("this", "last")], *(["broken"] if "broken" in more else [])]
+    got = _heads(got, values)
+    keep = [c for c in got.columns if ":" not in c]
+    got = _fields(got, keep).withColumn("template_variant", F.when(F.col("n_cells") > 0, F.col("template_variant")))
+    return _judged(got.drop("n_cells"))
+
+
 def parse_texts(docs: DataFrame) -> DataFrame:
     """Filings of text layers: doc_id, text and, where known, fund_code and source."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
@@ -104,18 +139,52 @@ def split_failures(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 GRID = "path string, sheet int, row int, col int, value_str string, value_num double, percent boolean, day date, error string"
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
-
+#: Fixed numbers of the built-in formats of days.
 _DAYS = {14, 15, 16, 17, 22}
 
 
-def _grid(content: bytes) -> list[tuple]:
+def _elements(z: zipfile.ZipFile, name: str, tag: str, within: str = "") -> Iterator[tuple[ElementTree.Element | None, ElementTree.Element | None]]:
+    """The elements of a part, one at a time, as (None, element), and before its elements each
+    element around them as (element, None); what has been read is dropped."""
+    with z.open(name) as part:
+        walk = ElementTree.iterparse(part, events=("start", "end"))
+        _, root = next(walk)
+        for event, x in walk:
+            if event == "start" and x.tag == f"{_NS}{within}":
+                yield x, None
+            elif event == "end" and x.tag == f"{_NS}{tag}":
+                yield None, x
+                x.clear()
+            if event == "end" and x.tag == f"{_NS}{within or tag}":
+                root.clear()
+
+
+def _sheets(z: zipfile.ZipFile) -> tuple[list[str], bool]:
+    """The sheets' parts in the order of the book's tabs, and whether its days count from 1904.
+    A book without a list of sheets is read in the order of its parts' numbers."""
+    names = set(z.namelist())
+    if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        said = book.find(f"{_NS}workbookPr")
+        late = said is not None and said.get("date1904", "0") in ("1", "true")
+        parts = {}
+        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target", "")
+            parts[r.get("Id")] = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+        # sheets of charts are no worksheets
+        return [parts[x.get(_REL)] for x in book.iter(f"{_NS}sheet") if re.search("(^|/)worksheets/", parts.get(x.get(_REL), "")) and parts[x.get(_REL)] in names], late
+    return sorted((n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml$", n)), key=lambda n: int(re.search(r"\d+", n)[0])), False
+
+
+def _grid(content: bytes) -> Iterator[tuple]:
     """Cells of all sheets by the standard library alone: sheet, row, col, text, number, percent, day."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
+            shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for _, si in _elements(z, "xl/sharedStrings.xml", "si")]
         styles: list[tuple[bool, bool]] = []  # of each cell format: percent, day
         if "xl/styles.xml" in names:
             root = ElementTree.fromstring(z.read("xl/styles.xml"))
@@ -124,33 +193,37 @@ def _grid(content: bytes) -> list[tuple]:
             for x in formats if formats is not None else []:
                 k = x.get("numFmtId") or "0"
                 styles.append((k in ("9", "10") or "%" in own.get(k, ""), int(k) in _DAYS or bool(re.search("[yd]", own.get(k, ""), re.I))))
-        out = []
-        sheets = sorted((n for n in names if re.match(r"xl/worksheets/sheet\d+\.xml$", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        sheets, late = _sheets(z)
+        first = datetime.date(1904, 1, 1) if late else datetime.date(1899, 12, 30)
         for k, name in enumerate(sheets, 1):
-            for c in ElementTree.fromstring(z.read(name)).iter(f"{_NS}c"):
-                v, kind, style = c.find(f"{_NS}v"), c.get("t"), int(c.get("s") or 0)
-                letters, row = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
-                col = 0
-                for x in letters:
-                    col = col * 26 + ord(x) - 64
-                text = number = day = None
-                percent = False
-                if kind == "inlineStr":
-                    text = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
-                elif v is None or kind == "b":
-                    continue
-                elif kind == "s":
-                    text = shared[int(v.text)]
-                elif kind == "d":
-                    day = datetime.date.fromisoformat(v.text[:10])
-                elif kind in (None, "n"):
-                    number, (percent, dated) = float(v.text), styles[style] if style < len(styles) else (False, False)
-                    if dated:
-                        day, number = datetime.date(1899, 12, 30) + datetime.timedelta(days=int(number)), None
+            at = [0, 0]  # cells without a reference follow the one before
+            for line, c in _elements(z, name, "c", "row"):
+                if line is not None:
+                    at = [int(line.get("r") or at[0] + 1), 0]
                 else:
-                    text = v.text
-                out.append((k, int(row), col, text, number, percent, day))
-        return out
+                    v, kind, style = c.find(f"{_NS}v"), c.get("t"), int(c.get("s") or 0)
+                    if c.get("r"):
+                        letters, row = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
+                        at = [int(row), functools.reduce(lambda n, x: n * 26 + ord(x) - 64, letters, 0)]
+                    else:
+                        at = [at[0], at[1] + 1]
+                    text = number = day = None
+                    percent = False
+                    if kind == "inlineStr":
+                        text = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
+                    elif v is None or kind == "b":
+                        continue
+                    elif kind == "s":
+                        text = shared[int(v.text)]
+                    elif kind == "d":
+                        day = datetime.date.fromisoformat(v.text[:10])
+                    elif kind in (None, "n"):
+                        number, (percent, dated) = float(v.text), styles[style] if style < len(styles) else (False, False)
+                        if dated:
+                            day, number = first + datetime.timedelta(days=int(number)), None
+                    else:
+                        text = v.text
+                    yield k, *at, text, number, percent, day
 
 
 def read_xlsx(files: DataFrame) -> DataFrame:
@@ -160,7 +233,7 @@ def read_xlsx(files: DataFrame) -> DataFrame:
         for part in parts:
             for path, content in zip(part["path"], part["content"]):
                 try:
-                    rows = [(path, *c, None) for c in _grid(bytes(content))] or [(path, *[None] * 7, "ParseError: no cells")]
+                    rows = [(path, *c, None) for c in _grid(content)] or [(path, *[None] * 7, "ParseError: no cells")]
                 except Exception as e:  # noqa: BLE001 - any fault of one file is a row of the failures
                     rows = [(path, *[None] * 7, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "value_str", "value_num", "percent", "day", "error"])
@@ -168,53 +241,69 @@ def read_xlsx(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, GRID)
 
 
-def _chosen(grid: DataFrame, searched: int) -> DataFrame:
-    """path, sheet, code_col, cols: of each file the first sheet whose code column holds 2.1 with
-    a number beside it. The code column is the one of the first few with most codes."""
+def _sheet_rows(grid: DataFrame, searched: int) -> DataFrame:
+    """path, broken, cells, code_col, cols: one row per file with the cells of its first sheet whose
+    code column holds 2.1 with a number beside it (the code column is the one of the first few
+    with most codes), where the value columns are those of the first two such numbers.
+
+    One exchange, by file: its sheets are judged one by one and the first that will do is kept.
+    """
     code = F.coalesce(normalise_code(F.col("value_str")), number_code(F.col("value_num")))
-    cells = grid.where("error is null").withColumn("code", F.when(code.rlike(CODE), code))
-    key = ["path", "sheet"]
-    best = cells.where((F.col("col") <= searched) & F.col("code").isNotNull()).groupBy(*key, "col").agg(F.countDistinct("code").alias("n"), F.min(F.when(F.col("code") == "2.1", F.col("row"))).alias("anchor")).where("anchor is not null")
-    best = best.groupBy(*key).agg(F.max_by(F.struct(F.col("col").alias("code_col"), "anchor"), F.struct("n", -F.col("col"))).alias("b")).select(*key, "b.*")
-    numbers = grid.where("value_num is not null").join(best, key).where("row = anchor and col > code_col")
-    ready = numbers.groupBy(*key, "code_col").agg(F.slice(F.array_sort(F.collect_set("col")), 1, 2).alias("cols"))
-    return ready.groupBy("path").agg(F.min_by(F.struct(*key[1:], "code_col", "cols"), "sheet").alias("s")).select("path", "s.*")
+    cell = F.struct("row", "col", F.when(code.rlike(CODE), code).alias("code"), "value_str", "value_num", "percent", "day")
+    sheets = grid.repartition("path").groupBy("path", "sheet").agg(F.array_sort(F.collect_list(F.when(F.col("error").isNull(), cell))).alias("cells"), F.max("error").alias("broken"))
+
+    def judged(k: Column) -> Column:
+        own = F.filter("cells", lambda c: (c["col"] == k) & c["code"].isNotNull())
+        anchor = F.get(F.filter(own, lambda c: c["code"] == "2.1"), F.lit(0))["row"]
+        return F.struct(F.when(anchor.isNotNull(), F.size(F.array_distinct(F.transform(own, lambda c: c["code"])))).alias("n"), (-k).alias("k"), anchor.alias("anchor"))
+
+    best = F.array_max(F.filter(F.transform(F.sequence(F.lit(1), F.lit(searched)), judged), lambda j: j["n"].isNotNull()))
+    sheets = sheets.withColumn("best", best)
+    numbers = F.filter("cells", lambda c: (c["row"] == F.col("best.anchor")) & (c["col"] > -F.col("best.k")) & c["value_num"].isNotNull())
+    sheets = sheets.withColumn("cols", F.when(F.col("best").isNotNull(), F.slice(F.transform(numbers, lambda c: c["col"]), 1, 2)))
+    ready = F.when(F.size("cols") > 0, F.col("sheet"))
+    got = sheets.groupBy("path").agg(F.max("broken").alias("broken"), F.min_by(F.when(ready.isNotNull(), F.struct("cells", (-F.col("best.k")).alias("code_col"), "cols")), ready).alias("s"))
+    return got.select("path", "broken", "s.cells", "s.code_col", "s.cols")
+
+
+def _grid_documents(grid: DataFrame, searched: int = 6) -> DataFrame:
+    """doc_id (path), broken, text (of the chosen sheet, cell by cell), report_cell (the first date
+    right of the last cell that says "reporting date" and has one) and cells: of each code's
+    first row the numbers in the two value columns. Text cells are no values."""
+    rows = _sheet_rows(grid, searched).withColumnRenamed("cells", "all")
+    coded = F.filter("all", lambda c: (c["col"] == F.col("code_col")) & c["code"].isNotNull() & ~c["code"].isin(*SECTIONS))
+    rows = rows.withColumn("coded", coded)
+    first = F.filter("coded", lambda c, i: F.array_position(F.transform("coded", lambda x: x["code"]), c["code"]) == i + 1)
+
+    def read(c: Column) -> Column:
+        scale = lambda x: F.when(x["percent"] & c["code"].isin(*PERCENT), 100).otherwise(1)
+        at = lambda i: F.get(F.transform(F.filter("all", lambda x: (x["row"] == c["row"]) & (x["col"] == F.get("cols", F.lit(i))) & x["value_num"].isNotNull()), lambda x: x["value_num"] * scale(x)), F.lit(0))
+        return F.struct(c["code"].alias("code"), at(0).alias("this"), at(1).alias("last"))
+
+    cells = F.filter(F.transform(first, read), lambda c: c["this"].isNotNull() | c["last"].isNotNull())
+    said = F.filter("all", lambda c: F.lower(c["value_str"]).contains("reporting date"))
+    after = F.transform(said, lambda s: F.get(F.filter("all", lambda c: (c["row"] == s["row"]) & (c["col"] > s["col"]) & c["day"].isNotNull()), F.lit(0))["day"])
+    text = F.array_join(F.transform("all", lambda c: c["value_str"]), "\n")
+    return rows.select(F.col("path").alias("doc_id"), "broken", text.alias("text"), F.get(F.reverse(F.array_compact(after)), F.lit(0)).alias("report_cell"), cells.alias("cells"))
 
 
 def grid_cells(grid: DataFrame, searched: int = 6) -> DataFrame:
-    """doc_id (path), code, this, last: of each code's first row the numbers in the two value
-    columns, those of the first two numbers of row 2.1. Text cells are no values."""
-    chosen = _chosen(grid, searched)
-    placed = grid.where("error is null").join(chosen, ["path", "sheet"])
-    code = F.coalesce(normalise_code(F.col("value_str")), number_code(F.col("value_num")))
-    lines = placed.where("col = code_col").withColumn("code", code).where(F.col("code").rlike(CODE) & ~F.col("code").isin(*SECTIONS))
-    lines = lines.groupBy("path", "code").agg(F.min("row").alias("row"))
-    values = placed.where("value_num is not null").join(lines, ["path", "row"])
-    value = F.col("value_num") * F.when(F.col("percent") & F.col("code").isin(*PERCENT), 100).otherwise(1)
-    pick = lambda i: F.max(F.when(F.col("col") == F.get("cols", F.lit(i)), value))
-    got = values.groupBy(F.col("path").alias("doc_id"), "code").agg(pick(0).alias("this"), pick(1).alias("last"))
-    return got.where("this is not null or last is not null")
+    """doc_id (path), code, this, last of the chosen sheets."""
+    return _grid_documents(grid, searched).select("doc_id", F.explode_outer("cells").alias("c")).where("c is not null").select("doc_id", "c.*")
 
 
 def grid_heads(grid: DataFrame, searched: int = 6) -> DataFrame:
-    """doc_id (path), text (of the chosen sheet, cell by cell) and report_cell: the first date
-    right of a cell that says "reporting date"."""
-    cells = grid.where("error is null").join(_chosen(grid, searched).select("path", "sheet"), ["path", "sheet"])
-    said = F.lower("value_str").contains("reporting date")
-    right = cells.where(said).select("path", F.col("row").alias("r"), F.col("col").alias("c"))
-    days = cells.where("day is not null").join(right, "path").where("row = r and col > c").groupBy("path").agg(F.max_by("day", F.struct("r", "c", -F.col("col"))).alias("report_cell"))
-    texts = F.array_sort(F.collect_list(F.when(F.col("value_str").isNotNull(), F.struct("row", "col", "value_str"))))
-    heads = cells.groupBy("path").agg(F.array_join(F.transform(texts, lambda x: x["value_str"]), "\n").alias("text"))
-    return heads.join(days, "path", "left").withColumnRenamed("path", "doc_id")
+    """doc_id (path), text and report_cell of the chosen sheets."""
+    return _grid_documents(grid, searched).where("text is not null").select("doc_id", "text", "report_cell")
 
 
 def parse_grids(grid: DataFrame, funds: DataFrame | None = None) -> DataFrame:
     """Filings of spreadsheets; funds (doc_id, fund_code, source) if the caller knows them."""
-    every = grid.groupBy(F.col("path").alias("doc_id")).agg(F.max("error").alias("broken"))
+    rows = _grid_documents(grid)
     if funds is not None:
-        every = every.join(funds, "doc_id", "left")
-    heads = every.join(grid_heads(grid), "doc_id", "left")
-    got = headed(heads, grid_cells(grid)).join(every.select("doc_id", "broken"), "doc_id")
+        rows = rows.join(funds, "doc_id", "left")
+    got = headed_rows(rows)
+    # what broke a file precedes what its text lacks
     none = F.when(F.col("error") == "ParseError: no text", "ParseError: no sheet has a line 2.1").otherwise(F.col("error"))
     return got.withColumn("error", F.coalesce("broken", none)).drop("broken")
 
