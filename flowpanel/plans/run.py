@@ -26,9 +26,14 @@ def parse_and_build(files: DataFrame, funds: DataFrame | None = None, glyphs: Ca
     return Parsed(rows, failures, build.build(rows, funds))
 
 
+#: How the outputs are sorted.
+ORDER = {name: ["fund_code", "period_end", "period_start", "source"] for name in ("fund_period", "fund_month", "quarantine", "superseded", "continuity_breaks", "diagnostics", "cross_check", "parse_failures")}
+
+
 def write_panel(parsed: Parsed, folder: str, index: DataFrame, rates: DataFrame | None = None, feed: DataFrame | None = None, form: str = "csv") -> dict[str, str]:
     """All outputs, each in a folder of its own: the panel by period and by month with the macro
-    series, the audit's parts, diagnostics, failures and, with a feed, the cross-check."""
+    series, the audit's parts, diagnostics, failures and, with a feed, the cross-check. Sorted by
+    fund and period, and visible together or not at all."""
     full = panel.with_macro(parsed.result.panel, index, rates)
     out = {
         "fund_period": full, "fund_month": panel.to_monthly(full), "quarantine": parsed.result.quarantine, "superseded": parsed.result.superseded,
@@ -37,7 +42,7 @@ def write_panel(parsed: Parsed, folder: str, index: DataFrame, rates: DataFrame
     if feed is not None:
         checked = panel.exact_crosscheck(full, feed, "nav_per_unit_end", "nav_per_unit")
         out["cross_check"] = checked.select("fund_code", "period_end", "nav_per_unit_end", "nav_per_unit", "diff_pct", "agrees")
-    return sinks.write_outputs(out, folder, form)
+    return sinks.write_outputs(out, folder, form, ORDER)
 
 
 def report(spark: SparkSession, parsed: Parsed) -> str:

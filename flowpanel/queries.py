@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .functions import parsing
 from .operators import gates, panel, stats
-from .plans import build
+from .plans import build, incremental
 from .sources import catalog, geometry, rates, readers
 
 START = 1_000_000_000_000
@@ -790,3 +790,49 @@ def exclusion_partition(spark, d):
     df = corrupted(spark, d)
     again = df.where((F.col("fund_code") * 100 + F.month("period_start")) % 5 == 0).withColumn("source", F.lit("f_3"))
     return build.audit(build.build(df.withColumn("source", F.lit("f_1")).unionByName(again)))
+
+
+@_query("WITH " + CORRUPTED + """, f AS (SELECT *, fund_code || '/' || period_start AS source FROM g), o AS (SELECT source, period_end IS NOT NULL AND k % 5 = 0 AS again, reason, k FROM f),
+p AS (SELECT source || '_1' AS source, CASE WHEN k % 13 = 0 THEN 0 ELSE CASE WHEN k % 10 = 0 AND NOT again AND reason = '' THEN 2 ELSE 1 END END AS n, CASE WHEN again THEN 'superseded' WHEN reason = '' THEN 'panel' ELSE 'quarantine' END AS part FROM o
+  UNION ALL SELECT source || '_3', 1, CASE WHEN reason = '' THEN 'panel' ELSE 'quarantine' END FROM o WHERE again
+  UNION ALL SELECT source || '_0', 1, 'failures' FROM o WHERE k % 7 = 0 UNION ALL SELECT source || '_9', -1, 'failures' FROM o WHERE k % 37 = 0)
+SELECT source, (n <> 0 AND part = 'panel')::BIGINT AS panel, (n <> 0 AND part = 'quarantine')::BIGINT AS quarantine, (n <> 0 AND part = 'superseded')::BIGINT AS superseded, CAST(CASE WHEN n = 2 OR part = 'failures' THEN 1 ELSE 0 END AS BIGINT) AS failures,
+  CASE n WHEN 0 THEN 'in no part' WHEN 2 THEN 'in several parts: panel, failures' WHEN -1 THEN 'no reference: failures' ELSE '' END AS verdict FROM p""")
+def reference_accounting(spark, d):
+    """Every reference of faulty, republished and unreadable filings with the parts that hold it. Planted:
+    some rows are taken out of their part, some of the panel stand among the failures, some failures
+    were never referred to."""
+    df = corrupted(spark, d)
+    k = F.col("fund_code") * 100 + F.month("period_start")
+    named = lambda suffix: F.concat(F.col("fund_code").cast("string"), F.lit("/"), F.col("period_start").cast("string"), F.lit(suffix))
+    first, again = df.withColumn("source", named("_1")), df.where((k % 5 == 0) & F.col("period_end").isNotNull()).withColumn("source", named("_3"))
+    unread = df.where(k % 7 == 0).select(named("_0").alias("source"))
+    parts = build.accounted(build.build(first.unionByName(again)), unread)
+    lost = (k % 13 == 0) & F.col("source").endswith("_1")
+    for name in ("panel", "quarantine", "superseded"):
+        parts[name] = parts[name].where(~lost)
+    twice = parts["panel"].where((k % 10 == 0) & F.col("source").endswith("_1")).select("source")
+    parts["failures"] = unread.unionByName(twice).unionByName(df.where(k % 37 == 0).select(named("_9").alias("source")))
+    refs = first.select("source").unionByName(again.select("source")).unionByName(unread)
+    return build.accounting(refs, parts)
+
+
+def _weeks_after(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The weekly ledger before and after: some weeks came, some were withdrawn, some restated."""
+    df = ledger(spark, d, "week").withColumn("source", F.lit("f_1"))
+    k = F.pmod(F.col("fund_code") * 31 + F.floor(F.datediff("period_start", F.lit("1992-01-06").cast("date")) / 7), F.lit(50))
+    before = df.where(k != 0)
+    restated = before.where(k == 2).withColumns({"subscriptions": F.coalesce("subscriptions", F.lit(0)) + 1000, "nav_end": F.col("nav_end") + 1000, "source": F.lit("f_3")})
+    return before, df.where(k != 1).unionByName(restated)
+
+
+@_query("WITH " + _ledger_sql("week") + """, a AS (SELECT *, (fund_code * 31 + datediff('day', DATE '1992-01-06', period_start) // 7 + 5000) % 50 AS k FROM ledger),
+z AS (SELECT fund_code, period_end, nav_begin, nav_end + CASE WHEN k = 2 THEN 1000 ELSE 0 END AS nav_end, CASE WHEN k = 2 THEN coalesce(subscriptions, 0) + 1000 ELSE subscriptions END AS subscriptions, redemptions,
+  CASE WHEN k = 2 THEN coalesce(net_flow, 0) + 1000 ELSE net_flow END AS net_flow, chg_investment, chg_distribution FROM a WHERE k <> 1)
+SELECT fund_code, strftime(period_end, '%Y-%m') AS month, count(*) AS n_periods, min_by(nav_begin, period_end) AS nav_begin, max_by(nav_end, period_end) AS nav_end, CAST(sum(subscriptions) AS BIGINT) AS subscriptions, CAST(sum(redemptions) AS BIGINT) AS redemptions, CAST(sum(net_flow) AS BIGINT) AS net_flow,
+  CAST(max_by(nav_end, period_end) - min_by(nav_begin, period_end) - coalesce(sum(net_flow), 0) - coalesce(sum(chg_investment), 0) - coalesce(sum(chg_distribution), 0) AS BIGINT) AS residual FROM z GROUP BY 1, 2""")
+def incremental_rebuild(spark, d):
+    """The months of the weekly ledger after changes, from those before: only touched months are worked out again."""
+    before, after = _weeks_after(spark, d)
+    got = incremental.update(incremental.full(before), after).months
+    return got.select("fund_code", "month", "n_periods", "nav_begin", "nav_end", "subscriptions", "redemptions", "net_flow", "residual")
