@@ -8,16 +8,18 @@ are nearer to their midpoint than that, so both stand in the midpoint's cell: th
 loses no link. A cell that no split makes smaller (a large group of near copies) is dealt to
 blocks, and each pair of blocks is a shard, so that a shard stays bounded.
 
-In every shard each vector's nearest candidates are pruned robustly (a candidate is dropped
-if a kept one is nearer to it by the factor ALPHA); the adjacency lists of all shards are
-united by vector. Then each shard's vectors are searched for in its part of the united
-graph: a best-first search from the medoids of the shard's parts and from the vector's own
-node, followed by expansion of everything within the range plus a slack. What it finds is verified in double precision, and nothing else is a link.
+In every shard each vector's candidates, the nearest and some at ever greater ranks, are pruned
+robustly (a candidate is dropped if a kept one is nearer to it by the factor ALPHA); the
+adjacency lists of all shards are united by vector. Then each shard's vectors are searched
+for in its part of the united graph: a best-first search from the medoids of the shard's
+parts, followed by expansion of everything within the range plus a slack. What it finds is
+verified in double precision, and nothing else is a link.
 
 A pair that stands in several shards counts in the first of them. A shard gives for each
 vector the number of its links and a tree edge of its group, never the pairs themselves. The
 audit compares, for every AUDIT-th vector by hash, the finds with all products in the shard;
-below LEAST_RECALL of these the operator fails rather than give an incomplete result.
+below LEAST_RECALL of these the search is made again with a wider beam, and at last the
+operator fails rather than give an incomplete result.
 
 Links: cosine >= LINK in double precision. Vectors that are null, of zero length or hold
 null or non-finite components, and those without a label, link with nothing and are kept.
@@ -42,7 +44,9 @@ from .common import components, small_batches, table, written
 
 LINK = 0.98
 #: Vectors of a shard; candidates, degree and factor of the pruning; width and slack of the search.
-SHARD, CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 4000, 48, 20, 1.2, 24, 0.02
+SHARD, CANDIDATES, DEGREE, ALPHA, BEAM, SLACK = 4000, 48, 32, 1.2, 32, 0.02
+#: Factor from one rank of far candidates to the next, and neighbours of a vector at most, named both ways.
+STRIDE, WIDE = 1.2, 128
 #: Pivots that split one cell, at most; a split counts if it multiplies the rows by no more than
 #: SPREAD and leaves no cell with more than SHRUNK of them; levels.
 FAN, SPREAD, SHRUNK, LEVELS = 64, 2.5, 0.95, 12
@@ -89,51 +93,73 @@ def thinned(pivots: np.ndarray) -> np.ndarray:
     return pivots[kept]
 
 
+def _ranks(n: int, near: int) -> np.ndarray:
+    """Ranks of the candidates by nearness: the nearest ones, then ever wider steps to the farthest."""
+    out, step = list(range(min(near, n))), float(near)
+    while near and step * STRIDE < n:
+        step *= STRIDE
+        out.append(int(step))
+    return np.array(out, dtype=np.int64)
+
+
 def prune(units: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    """Robust pruning: for each vector up to degree neighbours, -1 where there are fewer."""
+    """Robust pruning: for each vector up to degree neighbours, -1 where there are fewer.
+
+    Candidates are the nearest vectors and some at ever greater ranks of nearness, so that a list
+    reaches out of a group of near copies, however large: a search from afar then comes into
+    the group, and finds its way by vectors that are nearer and nearer. The nearest fill half of a
+    list at most; the rest is left to the others.
+    """
     n = len(units)
-    k = min(candidates, n - 1)
+    ranks = _ranks(n - 1, candidates)
+    k = len(ranks)
     out = np.full((n, degree), -1, dtype=np.int64)
     if k < 1:
         return out
     x = units.astype(np.float32)
-    for lo in range(0, n, 512):
-        own = np.arange(lo, min(n, lo + 512))
+    for lo in range(0, n, 256):
+        own = np.arange(lo, min(n, lo + 256))
         sims = x[own] @ x.T
         sims[np.arange(len(own)), own] = -9
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-        order = np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1, kind="stable")
-        near = np.take_along_axis(near, order, axis=1)
+        near = np.argsort(-sims, axis=1, kind="stable")[:, ranks]
         far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, near, axis=1)))
         among = np.einsum("bkd,bld->bkl", x[near], x[near])
         among = np.sqrt(np.maximum(0, 2 - 2 * among))
         alive = np.ones(near.shape, dtype=bool)
         rows = np.arange(len(own))
         for step in range(degree):
+            if step == degree // 2 and k > candidates:
+                alive[:, :candidates] = False
             pick = alive.argmax(axis=1)
             there = alive[rows, pick]
-            if not there.any():
-                break
             out[own[there], step] = near[rows[there], pick[there]]
-            alive &= alpha * among[rows, pick] > far
+            # one without a pick keeps what is alive
+            alive[there] &= (alpha * among[rows, pick] > far)[there]
             alive[rows, pick] = False
     return out
 
 
 def find(units: np.ndarray, neighbours: list[np.ndarray], link: float = LINK, beam: int = BEAM, slack: float = SLACK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Range search of every vector from the medoids: queries and hits, verified in double, part by part."""
+    """Range search of every vector from the medoids alone: queries and hits, verified in double,
+    part by part. Lists are ragged, so a node of many neighbours costs what it opens."""
     n = len(units)
-    width = max([len(x) for x in neighbours] + [1])
-    graph = np.full((n, width), -1, dtype=np.int64)
-    for i, x in enumerate(neighbours):
-        graph[i, : len(x)] = x
+    sizes = np.array([len(v) for v in neighbours], dtype=np.int64)
+    begin = np.cumsum(sizes) - sizes
+    flat = np.concatenate([np.empty(0, np.int64), *neighbours]).astype(np.int64)
     x = units.astype(np.float32)
+
+    def lists(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the nodes' lists, end to end: which node, which neighbour."""
+        each = sizes[nodes]
+        inside = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        return np.repeat(np.arange(len(nodes)), each), flat[np.repeat(begin[nodes], each) + inside]
+
     # medoids: the vectors nearest to the means of consecutive parts
     parts = np.array_split(np.arange(n), min(MEDOIDS, n))
     starts = np.unique([p[(x[p] @ x[p].mean(axis=0)).argmax()] for p in parts])
-    for lo in range(0, n, 512):
-        own = np.arange(lo, min(n, lo + 512))
-        m, rows = len(own), np.arange(min(512, n - lo))
+    for lo in range(0, n, 256):
+        own = np.arange(lo, min(n, lo + 256))
+        m, rows = len(own), np.arange(min(256, n - lo))
         seen = np.zeros((m, n), dtype=bool)
         inside = np.zeros((m, n), dtype=bool)  # within the range and the slack
         opened = np.zeros((m, n), dtype=bool)
@@ -145,11 +171,6 @@ def find(units: np.ndarray, neighbours: list[np.ndarray], link: float = LINK, be
         done[:, : len(starts)] = False
         seen[:, starts] = True
         inside[:, starts] = sims[:, : len(starts)] >= link - slack
-        # a query is a node of the graph itself: its own lists are opened, too
-        more, k = rows[~seen[rows, own]], len(starts)
-        ids[more, k], sims[more, k], done[more, k] = own[more], 1.0, False
-        seen[more, own[more]] = True
-        inside[more, own[more]] = True
         active = rows
         while len(active):
             score = np.where(done[active], -99, sims[active])
@@ -161,19 +182,26 @@ def find(units: np.ndarray, neighbours: list[np.ndarray], link: float = LINK, be
             done[active, pick] = True
             node = ids[active, pick]
             opened[active, node] = True
-            near = graph[node]
-            ok = near >= 0
-            safe = np.where(ok, near, 0)
-            ok &= ~seen[active[:, None], safe]
-            seen[np.repeat(active, ok.sum(axis=1)), near[ok]] = True
-            s = np.where(ok, np.einsum("qd,qkd->qk", x[own[active]], x[safe]), -9).astype(np.float32)
+            of, near = lists(node)
+            fresh = ~seen[active[of], near]
+            of, near = of[fresh], near[fresh]
+            seen[active[of], near] = True
+            s = np.einsum("nd,nd->n", x[own[active[of]]], x[near])
             hit = s >= link - slack
-            inside[np.repeat(active, hit.sum(axis=1)), near[hit]] = True
-            every = np.concatenate([sims[active], s], axis=1)
+            inside[active[of[hit]], near[hit]] = True
+            # the best of each query's old and new: padded to the longest list of this step
+            count = np.bincount(of, minlength=len(active))
+            width = int(count.max()) if len(of) else 0
+            if not width:
+                continue
+            at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            new_sims, new_ids = np.full((len(active), width), -9, np.float32), np.full((len(active), width), -1, np.int64)
+            new_sims[of, at], new_ids[of, at] = s, near
+            every = np.concatenate([sims[active], new_sims], axis=1)
             top = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
             sims[active] = np.take_along_axis(every, top, axis=1)
-            ids[active] = np.take_along_axis(np.concatenate([ids[active], near], axis=1), top, axis=1)
-            done[active] = np.take_along_axis(np.concatenate([done[active], ~ok], axis=1), top, axis=1)
+            ids[active] = np.take_along_axis(np.concatenate([ids[active], new_ids], axis=1), top, axis=1)
+            done[active] = np.take_along_axis(np.concatenate([done[active], new_ids < 0], axis=1), top, axis=1)
         # range expansion: open all that lie inside until nothing new does
         while True:
             q, node = np.nonzero(inside & ~opened)
@@ -182,11 +210,8 @@ def find(units: np.ndarray, neighbours: list[np.ndarray], link: float = LINK, be
             for a in range(0, len(q), 20_000):
                 qs, ns = q[a : a + 20_000], node[a : a + 20_000]
                 opened[qs, ns] = True
-                near = graph[ns]
-                qq = np.repeat(qs, width)
-                near = near.ravel()
-                fresh = near >= 0
-                qq, near = qq[fresh], near[fresh]
+                of, near = lists(ns)
+                qq = qs[of]
                 fresh = ~seen[qq, near]
                 qq, near = qq[fresh], near[fresh]
                 seen[qq, near] = True
@@ -197,6 +222,21 @@ def find(units: np.ndarray, neighbours: list[np.ndarray], link: float = LINK, be
         yield own[q[exact]], h[exact]
 
 
+def both_ways(n: int, tail: np.ndarray, head: np.ndarray, wide: int) -> list[np.ndarray]:
+    """Neighbours of n vectors from directed edges, each kept both ways. Of a vector that many name,
+    its own list and evenly spaced others are kept, wide of them: those that name it still reach it."""
+    own = np.unique(tail * n + head)
+    back = np.setdiff1d(np.unique(head * n + tail), own)
+    cut = lambda edges: np.searchsorted(edges, np.arange(n + 1) * n)
+    a, b = cut(own), cut(back)
+    out = []
+    for k in range(n):
+        mine, other = own[a[k] : a[k + 1]] % n, back[b[k] : b[k + 1]] % n
+        room = max(0, wide - len(mine))
+        out.append(np.concatenate([mine, other if len(other) <= room else other[np.linspace(0, len(other) - 1, room).astype(np.int64)] if room else other[:0]]))
+    return out
+
+
 def connected(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
     """The least number connected with each of n, by hooking and jumping; label continues a former result."""
     label = np.arange(n) if label is None else label
@@ -303,7 +343,7 @@ def _sharded(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
 FOUND = "node bigint, links bigint, least bigint, root bigint, audited bigint, audited_found bigint"
 
 
-def search(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
+def search(vectors: DataFrame, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
     """node, links (others, copies counted), least and root (the smallest id of the vector and that
     of its group, as far as the shard knows it), audited and audited_found (links of the audit, and those of them that the search found): one row per
     vector and shard."""
@@ -331,9 +371,7 @@ def search(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
         at = np.minimum(np.searchsorted(node, head), n - 1)
         here = node[at] == head
         tail, at = tail[here], at[here]
-        edges = np.unique(np.concatenate([tail * n + at, at * n + tail]))
-        starts = np.searchsorted(edges, np.arange(n + 1) * n)
-        neighbours = [edges[starts[k] : starts[k + 1]] % n for k in range(n)]
+        neighbours = both_ways(n, tail, at, WIDE)
         # a pair counts here unless a former shard holds it: a common cell that comes before, or, in
         # a shard of two blocks, one block for both
         own, copies = rows["own"].to_numpy(), rows["copies"].to_numpy()
@@ -354,7 +392,7 @@ def search(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
 
         links, found = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         group = np.arange(n)
-        for q, h in find(units, neighbours):
+        for q, h in find(units, neighbours, beam=beam):
             group = connected(n, q, h, group)
             q, h = counted(q, h)
             links += np.bincount(q, weights=copies[h], minlength=n).astype(np.int64)
@@ -390,9 +428,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", shard: int = SHARD)
     nodes = keyed.where("print is not null").groupBy("print").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("x").alias("x"))
     # a node is a number of its own: one id may stand with several vectors
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()))
-    found = search(nodes.select("space", "node", "least", "copies", "x"), shard)
-    links, seen = recall(found)
-    if seen < LEAST_RECALL * links:
+    # a search that finds too little is made again, wider
+    for beam in (BEAM, 4 * BEAM, 16 * BEAM):
+        found = search(nodes.select("space", "node", "least", "copies", "x"), shard, beam)
+        links, seen = recall(found)
+        if seen >= LEAST_RECALL * links:
+            break
+    else:
         raise RuntimeError(f"the search found {seen} of {links} audited links")
     others = found.groupBy("node").agg(F.sum("links").alias("others"))
     # groups are joined by ids, which stand in the shards already: no vector is looked up by its group
