@@ -836,3 +836,73 @@ def incremental_rebuild(spark, d):
     before, after = _weeks_after(spark, d)
     got = incremental.update(incremental.full(before), after).months
     return got.select("fund_code", "month", "n_periods", "nav_begin", "nav_end", "subscriptions", "redemptions", "net_flow", "residual")
+
+
+@_query("WITH " + _ledger_sql("week") + """, u AS (SELECT fund_code, period_start, period_end, nav_begin, nav_end, 1013 + fund_code * 0.5::DOUBLE AS pb, 1019 + fund_code * 0.5::DOUBLE AS pe, subscriptions AS fv FROM ledger)
+SELECT fund_code, period_start, round(nav_begin / pb, 2) AS units_begin, round(nav_end / pe, 2) AS units_end, round(pe / pb - 1, 10) AS gross_return, datediff('day', period_start, period_end) AS period_days, round(fv / CAST(nav_end AS DOUBLE) * 100, 8) AS foreign_share FROM u""")
+def unit_measures(spark, d):
+    """Units, returns, days and the share held by foreigners, from values and unit values."""
+    k = F.col("fund_code") * 0.5
+    df = ledger(spark, d, "week").withColumns({"nav_per_unit_begin": 1013 + k, "nav_per_unit_end": 1019 + k, "foreign_value": F.col("subscriptions")})
+    got = gates.with_unit_measures(df)
+    return got.select("fund_code", "period_start", F.round("units_begin", 2).alias("units_begin"), F.round("units_end", 2).alias("units_end"), F.round("gross_return", 10).alias("gross_return"), F.col("period_days").cast("bigint").alias("period_days"), F.round("foreign_share_of_nav", 8).alias("foreign_share"))
+
+
+@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'p' || o_orderkey || CASE WHEN o_orderkey % 4 = 0 THEN '_2' ELSE '_1' END END AS path, CASE WHEN o_orderkey % 3 = 0 THEN 'not fetched' END AS error,
+  CASE o_orderpriority[3:] WHEN 'LOW' THEN 'M-LOW' WHEN 'MEDIUM' THEN 'M-MED' WHEN 'HIGH' THEN 'HIGH' WHEN '' THEN 'OWN' ELSE 'OWN' END AS fund_code FROM orders""")
+def fetched_refs(spark, d):
+    """References with the path of their document by the manifest, which names some twice; those
+    without one as errors; and the registry's codes, where their keys are registered."""
+    o = _table(spark, d, "orders")
+    refs = o.select("o_orderkey", F.lit("m").alias("manager_id"), F.lower(F.substring("o_orderpriority", 3, 99)).alias("fund_key"), F.lit("OWN").alias("fund_code"), F.concat(F.lit("u"), "o_orderkey").alias("url"), F.lit(None).cast("string").alias("path"))
+    refs = refs.withColumn("fund_key", F.when(F.col("fund_key").isin("low", "medium", "high"), F.col("fund_key")).otherwise("other"))
+    path = lambda n: F.concat(F.lit("p"), "o_orderkey", F.lit(f"_{n}"))
+    manifest = o.where("o_orderkey % 3 <> 0").select(F.concat(F.lit("u"), "o_orderkey").alias("url"), F.explode(F.when(F.col("o_orderkey") % 4 == 0, F.array(path(1), path(2))).otherwise(F.array(path(1)))).alias("path"))
+    got, missing = catalog.fetched(refs, manifest)
+    every = got.withColumn("error", F.lit(None).cast("string")).unionByName(missing.withColumn("path", F.lit(None).cast("string")))
+    return catalog.with_codes(every, catalog.registry(spark, _managers())).select("o_orderkey", "path", "error", "fund_code")
+
+
+@_query("""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(CAST(o_orderdate AS DATE) + 6 AS DATE) AS b, o_orderkey % 3 = 0 AS s, o_orderkey % 5 = 0 AS e FROM orders)
+SELECT o_orderkey, a AS start, b AS "end", CASE WHEN s OR e THEN concat_ws('; ', CASE WHEN s THEN 'period_start VN ' || a || ' vs EN ' || CAST(a + 1 AS DATE) END, CASE WHEN e THEN 'period_end VN ' || b || ' vs EN ' || CAST(b - 1 AS DATE) END) END AS conflict FROM o""")
+def header_conflicts(spark, d):
+    """Headers whose English dates differ from the Vietnamese ones at either end: the conflict names both."""
+    a, b, k = F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 6), F.col("o_orderkey")
+    vn = lambda c: F.date_format(c, "'ngày' d 'tháng' M 'năm' yyyy")
+    en = lambda c: F.date_format(c, "d MMMM yyyy")
+    text = F.concat(F.lit("Kỳ báo cáo: Từ "), vn(a), F.lit(" đến "), vn(b), F.lit(" / From "), en(F.when(k % 3 == 0, F.date_add(a, 1)).otherwise(a)), F.lit(" to "), en(F.when(k % 5 == 0, F.date_add(b, -1)).otherwise(b)))
+    return _table(spark, d, "orders").select("o_orderkey", parsing.header_period(text).alias("h")).select("o_orderkey", "h.start", "h.end", "h.conflict")
+
+
+@_query("""SELECT CAST(o_orderdate AS DATE) AS day, CAST(count(*) AS DOUBLE) AS close FROM orders WHERE o_orderdate >= DATE '1994-03-05' AND o_orderdate < DATE '1996-09-02' GROUP BY 1""")
+def index_clip(spark, d):
+    """A market history with names of its own, clipped to the days wanted, both ends included."""
+    history = _table(spark, d, "orders").groupBy(F.col("o_orderdate").cast("timestamp").alias("Time")).agg(F.count("*").alias("CLOSE"))
+    return rates.index_series(history, "1994-03-05", "1996-09-01")
+
+
+@_query("""SELECT CAST(s_suppkey AS BIGINT) AS feed_id, s_name[10:] AS short_name, s_name || ' "' || s_nationkey || '"' AS name FROM supplier""")
+def feed_catalogue(spark, d):
+    """Suppliers as a feed's catalogue, one answer per nation."""
+    row = F.struct(F.col("s_suppkey").alias("id"), F.substring("s_name", 10, 99).alias("shortName"), F.concat("s_name", F.lit(' "'), "s_nationkey", F.lit('"')).alias("name"), F.lit(1).alias("more"))
+    payloads = _table(spark, d, "supplier").groupBy("s_nationkey").agg(F.to_json(F.struct(F.struct(F.collect_list(row).alias("rows")).alias("data"))).alias("json"))
+    return rates.fund_catalogue(payloads)
+
+
+@_query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'C' || c_custkey % 90000 + 10 WHEN 1 THEN 'AB' || c_custkey % 9 || '-X' || c_custkey % 7 || 'Z' END AS code FROM customer""")
+def printed_fund_codes(spark, d):
+    """Codes printed in brackets after a fund's name; lower case, blanks or one letter alone are none."""
+    k = F.col("c_custkey")
+    code = F.when(k % 4 == 0, F.concat(F.lit("C"), k % 90000 + 10)).when(k % 4 == 1, F.concat(F.lit("AB"), k % 9, F.lit("-X"), k % 7, F.lit("Z"))).when(k % 4 == 2, "lower").otherwise("A B")
+    text = F.concat(F.lit("Tên Quỹ: Quỹ Đầu tư (a) "), "c_name", F.lit(" (X) ("), code, F.lit(") (LAST)"))
+    return _table(spark, d, "customer").select("c_custkey", F.when(k % 4 < 2, parsing.fund_code(text)).otherwise(F.nullif(parsing.fund_code(text), F.lit("LAST"))).alias("code"))
+
+
+@_query("""WITH o AS (SELECT o_custkey AS manager_id, 1 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page_no, o_orderkey FROM orders),
+s AS (SELECT *, max(CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY manager_id ORDER BY page_no) AS failed FROM o) SELECT manager_id, count(*) AS n_pages, max(page_no) AS last FROM s WHERE failed = 0 AND page_no <= 5 GROUP BY 1""")
+def pages_walked(spark, d):
+    """Orders as numbered pages of each customer: a walk ends before the first that failed, and at the limit of five."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    pages = _table(spark, d, "orders").select(F.col("o_custkey").alias("manager_id"), (1 + F.row_number().over(w)).alias("page_no"), F.when(F.col("o_orderkey") % 11 == 0, 500).otherwise(200).alias("status"))
+    got = catalog.walked(pages, ["manager_id"], F.lit(1 << 30), F.lit(True), 5)
+    return got.groupBy("manager_id").agg(F.count("*").alias("n_pages"), F.max("page_no").alias("last"))
