@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_dir
+
 #: Rows and bytes of one Arrow batch; texts may be long, so a worker holds few rows at a time.
 BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
@@ -39,23 +41,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, or the one set on the context. In local
-    mode alone one of our own is set where there is none; a cluster without one is an error,
-    since its executors share no other folder."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        if not (spark.sparkContext.master or "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="flowpanel-"))
-    return jsc.getCheckpointDir().get()
+class _Written(threading.local):
+    """Tables that ``written`` made and ``clean`` has not removed yet, of each thread its own: runs
+    in two threads don't remove each other's."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.paths)
 
 
-#: Tables that ``written`` made and ``clean`` has not removed yet.
-_WRITTEN: list[str] = []
+_WRITTEN = _Written()
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -63,24 +60,24 @@ def written(df: DataFrame) -> DataFrame:
     until ``clean``, as the results that are built on it read it."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/flowpanel/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mark() -> int:
-    """How many tables are written and not removed: where a later ``clean`` may begin."""
+    """How many tables this thread has written and not removed: where a later ``clean`` may begin."""
     return len(_WRITTEN)
 
 
 def clean(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
-    """Removes the tables written after the first ``since``, but for the last ``keep``, and says
-    how many: for a caller whose results are stored."""
+    """Removes the tables that this thread wrote after the first ``since``, but for the last
+    ``keep``, and says how many: for a caller whose results are stored."""
     end = max(since, len(_WRITTEN) - keep)
     n = 0
-    for name in _WRITTEN[since:end]:
+    for name in _WRITTEN.paths[since:end]:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del _WRITTEN[since:end]
+    del _WRITTEN.paths[since:end]
     return n
 
 

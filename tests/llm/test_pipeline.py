@@ -130,3 +130,18 @@ class _Empty:
 def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError):
         common.shared_dir(_Empty())
+
+
+def test_threads_keep_their_own_tables(spark):
+    """A run that cleans up leaves the tables of another thread's run."""
+    import threading
+
+    from flowpanel.llm import common
+
+    common.clean(spark)
+    mine = common.written(spark.range(3))
+    other = threading.Thread(target=lambda: (common.written(spark.range(5)), common.clean(spark)))
+    other.start()
+    other.join()
+    assert mine.count() == 3 and common.mark() == 1
+    assert common.clean(spark) == 1
