@@ -103,10 +103,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other. Tables that a stage wrote for itself go when its result stands."""
+    """The stages one after the other. What a stage wrote for itself, and the output of the stage
+    before it, go when its own output stands."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
+    for k, (_, stage) in enumerate(STAGES[:-1]):
         before = mark()
         docs = written(stage(spark, docs, sf_dir))
-        clean(spark, before, keep=1)
+        clean(spark, before - (k > 0), keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
