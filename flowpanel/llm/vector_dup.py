@@ -121,7 +121,11 @@ def prune(units: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGREE,
         own = np.arange(lo, min(n, lo + 256))
         sims = x[own] @ x.T
         sims[np.arange(len(own)), own] = -9
-        near = np.argsort(-sims, axis=1, kind="stable")[:, ranks]
+        # in place at their ranks; the nearest, which stand before theirs, are then sorted
+        near = np.argpartition(-sims, ranks[min(candidates, k) - 1 :], axis=1)[:, ranks]
+        close = near[:, :candidates]
+        order = np.argsort(-np.take_along_axis(sims, close, axis=1), axis=1, kind="stable")
+        near[:, :candidates] = np.take_along_axis(close, order, axis=1)
         far = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, near, axis=1)))
         among = np.einsum("bkd,bld->bkl", x[near], x[near])
         among = np.sqrt(np.maximum(0, 2 - 2 * among))
