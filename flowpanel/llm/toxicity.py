@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sampled_ids, small_batches, table
+from .common import sampled_ids, small_batches, table, written
 
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
 #: A word enters if at least so many positives and this share of them hold it, at this ratio.
@@ -72,57 +72,49 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-max(-500.0, min(500.0, z)))))
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, seed: int = 7) -> Model:
-    """Fits the classifier; deterministic for the same lists."""
-    if not positive or not unlabelled:
-        return Model({}, -20.0)
-    # counted text by text: only the words of enough positives are ever held
-    n_p, n_u = len(positive), len(unlabelled)
-    p_df = Counter()
-    for t in positive:
-        p_df.update(features(t))
-    least = max(MIN_POSITIVE, MIN_SHARE * n_p)
-    p_df = {f: a for f, a in p_df.items() if a >= least}
-    u_df = Counter()
-    for t in unlabelled:
-        u_df.update(features(t) & p_df.keys())
-
-    def gain(f: str) -> float:
-        a, b = p_df[f], u_df[f]
+def risk(w: np.ndarray, b: float, x_p: np.ndarray, x_u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of a linear classifier on positive and unlabelled rows, by the
+    logistic loss, and what a step goes down: the gradient of the risk where the negative part is
+    not below zero, else minus the gradient of that part, which brings it back."""
+    sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
+    z_p, z_u = x_p @ w + b, x_u @ w + b
+    s_p, s_u = sigmoid(z_p), sigmoid(z_u)
+    negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+    value = prior * np.logaddexp(0, -z_p).mean() + max(0.0, negative)
+    # gradients of the losses by the scores
+    g_u, g_p = s_u / len(s_u), -prior * s_p / len(s_p)
+    if negative >= 0:
+        g_p = g_p + prior * (s_p - 1.0) / len(s_p)
+    else:
+        g_u, g_p = -g_u, -g_p
+    return float(value), np.concatenate([x_u.T @ g_u + x_p.T @ g_p, [g_u.sum() + g_p.sum()]])
+
+
+def pick(counts: list[tuple[str, int, int]], n_p: int, n_u: int) -> list[str]:
+    """The features of a model, from their numbers of positive and unlabelled texts: those more
+    common among the positives by the ratio, of most gain."""
+
+    def gain(a: int, b: int) -> float:
         share = (a + b) / (n_p + n_u)
         return 2 * (a * np.log(a / (n_p * share)) + (b * np.log(b / (n_u * share)) if b else 0.0))
 
-    common = [f for f, a in p_df.items() if a / n_p >= MIN_RATIO * (u_df[f] / n_u)]
-    picked = sorted(common, key=lambda f: (-gain(f), f))[:FEATURES]
-    at = {f: i for i, f in enumerate(picked)}
+    common = [(f, gain(a, b)) for f, a, b in counts if a >= max(MIN_POSITIVE, MIN_SHARE * n_p) and a / n_p >= MIN_RATIO * (b / n_u)]
+    return [f for f, _ in sorted(common, key=lambda x: (-x[1], x[0]))[:FEATURES]]
 
-    def matrix(texts) -> np.ndarray:
-        out = np.zeros((len(texts), len(picked)), dtype=np.float32)
-        for i, t in enumerate(texts):
-            out[i, [at[f] for f in features(t) & at.keys()]] = 1.0
-        return out
 
-    x_p, x_u = matrix(positive), matrix(unlabelled)
+def learn(picked: list[str], x_p: np.ndarray, x_u: np.ndarray, prior: float, seed: int = 7) -> Model:
+    """Fits the classifier on rows of zeros and ones; deterministic for the same rows."""
+    n_p, n_u = len(x_p), len(x_u)
     rng = np.random.default_rng(seed)
     w, b = np.zeros(len(picked)), -1.0
     m, v, step = np.zeros(len(picked) + 1), np.zeros(len(picked) + 1), 0
-    sigmoid = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
     for _ in range(EPOCHS):
         order = rng.permutation(n_u)
         for lo in range(0, n_u, BATCH):
             u = x_u[order[lo : lo + BATCH]]
             p = x_p[rng.integers(0, n_p, BATCH)]
-            z_p, z_u = p @ w + b, u @ w + b
-            s_p, s_u = sigmoid(z_p), sigmoid(z_u)
-            negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-            # gradients of the losses by the scores
-            g_u = s_u / len(s_u)
-            g_p = -prior * s_p / len(s_p)
-            if negative >= 0:
-                g_p = g_p + prior * (s_p - 1.0) / len(s_p)
-            else:
-                g_u, g_p = -g_u, -g_p
-            grad = np.concatenate([u.T @ g_u + p.T @ g_p + L2 * w, [g_u.sum() + g_p.sum()]])
+            grad = risk(w, b, p, u, prior)[1]
+            grad[:-1] += L2 * w
             step += 1
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad * grad
@@ -144,20 +136,61 @@ def train(positive: list[str], unlabelled: list[str], prior: float, seed: int =
     return Model({f: round(float(x), 6) for f, x in zip(picked, w) if abs(x) > 1e-6}, round(float(b), 6))
 
 
+def _rows(held: list[list[str]], picked: list[str]) -> np.ndarray:
+    at = {f: i for i, f in enumerate(picked)}
+    out = np.zeros((len(held), len(picked)), dtype=np.float32)
+    for i, own in enumerate(held):
+        out[i, [at[f] for f in own if f in at]] = 1.0
+    return out
+
+
+def train(positive: list[str], unlabelled: list[str], prior: float, seed: int = 7) -> Model:
+    """The classifier of two lists of texts, for few of them: ``fit`` is its form on tables."""
+    if not positive or not unlabelled:
+        return Model({}, -20.0)
+    p_df, u_df = (Counter(f for t in texts for f in features(t)) for texts in (positive, unlabelled))
+    picked = pick([(f, a, u_df[f]) for f, a in p_df.items()], len(positive), len(unlabelled))
+    return learn(picked, *(_rows([sorted(features(t)) for t in texts], picked) for texts in (positive, unlabelled)), prior, seed)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The classifier of training rows: docs doc_id, text; labels doc_id, toxic."""
+    """The classifier of training rows: docs doc_id, text; labels doc_id, toxic.
+
+    Texts stay in the tasks, however long: what reaches the driver is the counts of features that
+    enough positives hold, and of each of the texts (at most MOST_POSITIVE and MOST_UNLABELLED)
+    which of at most FEATURES it holds.
+    """
+    spark = docs.sparkSession
     seen = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     row = seen.agg(F.avg("toxic").alias("prior")).collect()[0]
     prior = min(0.5, max(0.001, row["prior"] or 0.001))
     # ids first: at most so many texts are then picked by a broadcast of at most so many ids
     p_ids = sampled_ids(seen.where("toxic = 1"), MOST_POSITIVE).withColumn("kind", F.lit(1))
     u_ids = sampled_ids(docs.where(fold(F.col("doc_id")) != 1), MOST_UNLABELLED).withColumn("kind", F.lit(0))
-    picked = docs.select("doc_id", "text").join(F.broadcast(p_ids.unionByName(u_ids)), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(p_ids.unionByName(u_ids)), "doc_id")
     text = F.coalesce("text", F.lit(""))
-    picked = picked.groupBy("kind", "doc_id").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
-    got = picked.select("kind", F.coalesce("text", F.lit("")).alias("text"), "doc_id").toArrow().sort_by([("kind", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-    kinds, texts = got.column("kind").to_pylist(), got.column("text").to_pylist()
-    return train([t for k, t in zip(kinds, texts) if k], [t for k, t in zip(kinds, texts) if not k], prior)
+    sample = sample.groupBy("kind", "doc_id").agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
+    small_batches(spark)
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("held", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [sorted(features(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, schema.types[2])], schema=schema)
+
+    held = written(sample.select(F.col("kind").cast("int"), F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "kind int, doc_id bigint, held array<string>"))
+    n = {r["kind"]: r["n"] for r in held.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = n.get(1, 0), n.get(0, 0)
+    if not n_p or not n_u:
+        return Model({}, -20.0)
+    counts = held.select("kind", F.explode("held").alias("f")).groupBy("f").agg(F.sum("kind").alias("a"), F.sum(1 - F.col("kind")).alias("b"))
+    # the same conditions as in pick, so that few rows reach the driver
+    counts = counts.where((F.col("a") >= float(max(MIN_POSITIVE, MIN_SHARE * n_p))) & (F.col("a") / n_p >= MIN_RATIO * (F.col("b") / n_u)))
+    picked = pick([(r["f"], r["a"], r["b"]) for r in counts.collect()], n_p, n_u)
+    names = F.array(*[F.lit(f) for f in picked]).cast("array<string>")
+    got = held.select("kind", "doc_id", F.array_intersect("held", names).alias("held")).toArrow().sort_by([("kind", "ascending"), ("doc_id", "ascending")])
+    kinds, rows = got.column("kind").to_pylist(), got.column("held").to_pylist()
+    return learn(picked, *(_rows([r for k, r in zip(kinds, rows) if k == kind], picked) for kind in (1, 0)), prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
