@@ -126,6 +126,11 @@ def _once(entries: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 ITEM = r'(?s)<div class="list-download">.*?<p>(.*?)</p>.*?<span class="date-time">(.*?)</span>.*?href="([^"]*)"'
 PUBLISHED = r"(?iu)Ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
 LABEL = r"(?iu)(?:Tuần|Ky|Kỳ)\s*\d+\s*/\s*\d{4}"
+PAGE_NUMBER = r"[?&]p=(\d+)"
+#: The fixed shapes of a form's hidden token and number of pages, and of sitemaps of reports.
+TOKEN = r'id="field_csrf_ft"[^>]*value="([^"]+)"'
+TOTAL = r'data-total="(\d+)"'
+REPORT_SITEMAP = r"(?i)/report-sitemap\d*\.xml$"
 
 
 def walked(bodies: DataFrame, by: list[str], last: Column, found: Column, max_pages: int = MAX_PAGES) -> DataFrame:
@@ -144,7 +149,7 @@ def walked(bodies: DataFrame, by: list[str], last: Column, found: Column, max_pa
 def listing_entries(bodies: DataFrame, funds: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """Entries of paged listings: bodies manager_id, page_no, status, body."""
     items = [F.regexp_extract_all("body", F.lit(ITEM), F.lit(k)) for k in (1, 2, 3)]
-    pages = F.array_max(F.transform(F.regexp_extract_all("body", F.lit(r"[?&]p=(\d+)"), F.lit(1)), lambda p: p.try_cast("int")))
+    pages = F.array_max(F.transform(F.regexp_extract_all("body", F.lit(PAGE_NUMBER), F.lit(1)), lambda p: p.try_cast("int")))
     reached = walked(bodies, ["manager_id"], F.coalesce(pages, F.lit(0)), F.regexp_like("body", F.lit(ITEM)), max_pages)
     zipped = F.arrays_zip(*[x.alias(k) for x, k in zip(items, ("title", "date", "href"))])
     rows = based(reached, funds).select("manager_id", "page_no", "base_url", F.posexplode(zipped).alias("pos", "i"))
@@ -166,14 +171,14 @@ def listing_entries(bodies: DataFrame, funds: DataFrame, max_pages: int = MAX_PA
 
 def form_token(body: Column) -> Column:
     """The hidden token that a disclosure form must send back; NULL if the form has none."""
-    return F.nullif(F.regexp_extract(body, r'id="field_csrf_ft"[^>]*value="([^"]+)"', 1), F.lit(""))
+    return F.nullif(F.regexp_extract(body, TOKEN, 1), F.lit(""))
 
 
 def form_entries(bodies: DataFrame, funds: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """Entries of a form's answers: bodies manager_id, fund_key, page_no, status, body, page_url.
     The first answer says how many pages there are. Daily reports are passed over."""
     first = Window.partitionBy("manager_id", "fund_key").orderBy("page_no")
-    totals = F.array_max(F.transform(F.regexp_extract_all("body", F.lit(r'data-total="(\d+)"'), F.lit(1)), lambda p: p.try_cast("int")))
+    totals = F.array_max(F.transform(F.regexp_extract_all("body", F.lit(TOTAL), F.lit(1)), lambda p: p.try_cast("int")))
     sized = bodies.withColumn("_total", F.coalesce(F.first(totals).over(first), F.lit(1)))
     reached = walked(sized, ["manager_id", "fund_key"], F.col("_total"), F.lit(True), max_pages)
     rows = reached.select("manager_id", "fund_key", "page_no", "page_url", F.posexplode(parsing.file_links(F.col("body"))).alias("pos", "href"))
@@ -213,7 +218,7 @@ def child_sitemaps(index: DataFrame, max_pages: int = MAX_PAGES) -> tuple[DataFr
     """The report sitemaps that an index (sitemap_url, body) names, in order, up to the limit, and
     whether these are all; an index without one is an error."""
     path = F.regexp_replace("url", r"[?#].*$", "")
-    every = locations(index).where(path.rlike(r"(?i)/report-sitemap\d*\.xml$"))
+    every = locations(index).where(path.rlike(REPORT_SITEMAP))
     n = every.count()
     if not n:
         raise ValueError("the sitemap index names no report sitemap")
