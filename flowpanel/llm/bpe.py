@@ -11,7 +11,8 @@ their buckets. A worker remembers, for short pre-tokens, the ids as joined decim
 these decimals the bytes that they decode to; a text's ids and its decoded bytes are joined from
 them. Longer pre-tokens each have a queue of their own and are not remembered.
 
-Texts: null and empty texts have no tokens; texts are encoded whole. Repeated rows give
+Texts: null and empty texts have no tokens; rows without an id are encoded like others; texts are
+encoded whole. Repeated rows give
 repeated results, other columns are not read, and an empty table gives an empty result.
 """
 

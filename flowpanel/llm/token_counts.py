@@ -10,7 +10,7 @@ then answered from that array, without encoding again.
 No piece joins a word's end with a following word mark, and a character without a piece of
 its own falls back to its bytes; both end a segment, and counts add up over segments.
 
-Texts: null and empty texts have no tokens; very long ones are counted whole, segment by segment. Repeated rows give repeated results, other
+Texts: null and empty texts have no tokens; rows without an id are counted like others; very long ones are counted whole, segment by segment. Repeated rows give repeated results, other
 columns are not read, and an empty table gives an empty result.
 """
 
