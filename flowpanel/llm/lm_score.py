@@ -23,7 +23,8 @@ tokens and score 0; a very long text is a block of its own. Repeated rows count
 stand, and each row is taken out of the models once when it is scored; an empty table gives an
 empty result; other columns, whatever their names, are not read. The target counts every row
 whose id is labelled good; where no other such row is left, target and background agree and the
-score is 0. Tasks look ids up in a sorted array of the labelled ones, 8 bytes each.
+score is 0. Up to MOST_SENT labelled ids are sent to the tasks as a sorted array, 8 bytes each,
+in which they look ids up; more are joined to the documents, which gives the same blocks.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ from .common import only, small_batches, table, written
 BLOCK = 1_750_000
 BUCKET_BYTES = 16 << 20
 LAMBDA, ALPHA = 0.6, 0.5
+#: Labelled ids that are sent to the tasks at most (32 MB).
+MOST_SENT = 4_000_000
 #: Tokens that are scored at a time.
 CHUNK = 1 << 18
 
@@ -112,15 +115,29 @@ def _pairs(words: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.n
     return before, after, _pair_keys(words[before], words[after])
 
 
-def _blocks(docs: DataFrame, target: np.ndarray) -> DataFrame:
-    """Blocks of documents: ids, numbers of tokens, which are of the target, distinct words and the place of each token."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.unique(target))
+def _flagged(docs: DataFrame, target: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
+    """docs (doc_id, text), and the distinct labelled ids if they are few; else docs with the column
+    good, which says whether the id is labelled, and None. Only few ids reach the driver."""
+    ids = target.select(F.col(target.columns[0]).cast("bigint").alias("_id")).where("_id is not null").distinct()
+    ids = written(ids)
+    if ids.count() <= MOST_SENT:
+        return docs, np.sort(ids.toArrow().column(0).to_numpy().astype(np.int64))
+    joined = docs.join(ids, F.col("doc_id") == F.col("_id"), "left")
+    return joined.select("doc_id", "text", F.col("_id").isNotNull().alias("good")), None
+
+
+def _blocks(docs: DataFrame, target: np.ndarray | None) -> DataFrame:
+    """Blocks of documents: ids, numbers of tokens, which are of the target (by the ids given, or by
+    the column good), distinct words and the place of each token."""
+    sent = None if target is None else docs.sparkSession.sparkContext.broadcast(target)
     schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n", pa.int64()), ("n_good", pa.int64()), *[(k, pa.binary()) for k in ("lengths", "good", "words", "at")]])
 
-    def packed(block: int, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
+    def looked_up(ids: list) -> np.ndarray:
         own = np.array([0 if i is None else i for i in ids], dtype=np.int64)
         good = np.searchsorted(sent.value, own, "right") > np.searchsorted(sent.value, own)
-        good &= np.array([i is not None for i in ids])
+        return good & np.array([i is not None for i in ids], dtype=bool)
+
+    def packed(block: int, ids: list, texts: list[np.ndarray], good: np.ndarray) -> pa.RecordBatch:
         start = np.zeros(1, dtype=np.uint64)
         words, at = np.unique(np.concatenate([start[:0], *[y for x in texts if len(x) for y in (start, x)]]), return_inverse=True)
         lengths = np.array([len(x) for x in texts], dtype=np.int64)
@@ -131,17 +148,20 @@ def _blocks(docs: DataFrame, target: np.ndarray) -> DataFrame:
         from pyspark import TaskContext
 
         _begin()
-        block, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        block, ids, texts, good, size = TaskContext.get().partitionId() << 32, [], [], [], 0
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = batch.column(0).to_pylist()
+            flags = batch.column(2).to_pylist() if sent is None else looked_up(own).tolist()
+            for i, text, flag in zip(own, batch.column(1).to_pylist(), flags):
                 ids.append(i)
                 texts.append(keys(text))
+                good.append(flag)
                 size += len(texts[-1])
                 if size >= BLOCK or len(ids) >= BLOCK:
-                    yield packed(block, ids, texts)
-                    block, ids, texts, size = block + 1, [], [], 0
+                    yield packed(block, ids, texts, np.array(good, dtype=bool))
+                    block, ids, texts, good, size = block + 1, [], [], [], 0
         if ids:
-            yield packed(block, ids, texts)
+            yield packed(block, ids, texts, np.array(good, dtype=bool))
 
     return docs.mapInArrow(run, "block bigint, ids array<bigint>, n bigint, n_good bigint, lengths binary, good binary, words binary, at binary")
 
@@ -266,12 +286,14 @@ def _scored(left: pa.Table, right: pa.Table, v: int, n: int, n_t: int) -> pa.Tab
     return pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array(t), pa.array(b), pa.array(b - t)], schema=schema)
 
 
-def exact_score(docs: DataFrame, target_ids: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score, from exact counts of all documents."""
+def exact_score(docs: DataFrame, target: DataFrame | np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score, from exact counts of all documents.
+    target: the labelled ids, as the first column of a table, or an array of a few."""
     small_batches(docs.sparkSession)
     docs = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    blocks = written(_blocks(docs, target_ids))
+    flagged = _flagged(docs, target) if isinstance(target, DataFrame) else (docs, np.unique(target))
+    blocks = written(_blocks(*flagged))
     buckets = 1 + size // BUCKET_BYTES
     v = _vocabulary(blocks, buckets)
     n, n_t = (x or 0 for x in blocks.agg(F.sum("n"), F.sum("n_good")).collect()[0])
@@ -283,4 +305,4 @@ def exact_score(docs: DataFrame, target_ids: np.ndarray) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint"))
-    return exact_score(docs, good.toArrow().column(0).to_numpy())
+    return exact_score(docs, good)

@@ -260,6 +260,17 @@ def test_lm_score_leaves_each_document_out(spark, tmp_path):
     assert lm_score.exact_score(clash, np.array([1])).count() == 3
 
 
+def test_lm_score_of_more_labels_than_are_sent(spark, tmp_path, monkeypatch):
+    """Joined flags give what sent ids give, rows without an id and repeated ones included."""
+    rows = [(i % 90 if i % 17 else None, " ".join(f"w{(i * j) % 23}" for j in range(1 + i % 30))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    target = spark.createDataFrame([(i,) for i in range(0, 90, 2)] + [(4,), (None,), (5000,)], "doc_id bigint")
+    scores = lambda: sorted((repr(r["doc_id"]), r["n_tokens"], round(r["target_loss"], 9), round(r["score"], 9)) for r in lm_score.exact_score(docs, target).collect())
+    sent = scores()
+    monkeypatch.setattr(lm_score, "MOST_SENT", 10)
+    assert scores() == sent and len({x[3] for x in sent}) > 20
+
+
 def test_lm_score_target_takes_every_good_document(spark, tmp_path):
     texts = [f"w{i % 50} n{i} a" for i in range(21_000)] + ["", None]
     good = set(range(0, 20_500)) | {21_000}
