@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import only, small_batches, table
 
 #: Entries of each of the two generations of a worker's memo of pre-tokens. It saves work only.
-MEMO = 200_000
+MEMO = 150_000
 #: Longer pre-tokens are not remembered, so that the memo stays small in bytes.
 MEMO_CHARS = 48
 #: Characters of the texts whose pre-tokens are held at once, if there are several.

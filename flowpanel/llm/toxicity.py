@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sampled_ids, small_batches, table, written
+from .common import only, sampled_ids, small_batches, table, written
 
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 6000
 #: A word enters if at least so many positives and this share of them hold it, at this ratio.
@@ -174,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("held", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity", lambda: None)  # the caches of other operators go
         for batch in batches:
             held = [sorted(features(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, schema.types[2])], schema=schema)
@@ -199,6 +200,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity", lambda: None)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t) for t in batch.column(1).to_pylist()], pa.float64())], schema=schema)
 
@@ -216,6 +218,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity", lambda: None)
         for batch in batches:
             yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
