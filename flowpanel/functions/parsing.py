@@ -122,9 +122,9 @@ def report_date(text: Column) -> Column:
     return F.coalesce(vn, _let(F.regexp_extract(text, EN_REPORT, 1), english_date))
 
 
-def clean_html(html: Column) -> Column:
-    """Text without tags, character references resolved, white space (also of other scripts) collapsed."""
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]+>", " ")), r"(?U)[\s\x1c-\x1f]+", " "))
+def clean_html(html: Column, closed: bool = False) -> Column:
+    """Text without tags, character references resolved (closed: as in unescape), white space (also of other scripts) collapsed."""
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]+>", " "), closed), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 #: Document links carry one of these endings.
@@ -170,7 +170,7 @@ def _numbered(digits: Column) -> Column:
     return F.when(known.isNotNull(), known).when(n.isNull() | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "\ufffd").when(none, "").otherwise(char)
 
 
-def _reference(part: Column) -> Column:
+def _reference(part: Column, closed: bool) -> Column:
     """What follows an ampersand, up to the next one, with the reference it begins with resolved."""
     old = sorted((k for k in _named() if not k.endswith(";")), key=len, reverse=True)
     rest = lambda token: F.substr(part, F.length(token) + 1)
@@ -182,16 +182,16 @@ def _reference(part: Column) -> Column:
 
     def name(token: Column) -> Column:
         # the whole name, else the longest old name that it begins with
-        begun = F.regexp_extract(token, "^(?:" + "|".join(old) + ")", 0)
+        begun = F.lit("") if closed else F.regexp_extract(token, "^(?:" + "|".join(old) + ")", 0)
         whole = lambda found: F.when(found.isNotNull(), resolved(token, found)).when(begun != "", resolved(begun, F.element_at(_as_map(_named()), begun))).otherwise(F.concat(F.lit("&"), part))
         return _let(F.element_at(_as_map(_named()), token), whole)
 
     plain = F.concat(F.lit("&"), part)
-    is_number = part.rlike("^#(?:[0-9]|[xX][0-9a-fA-F])")
+    is_number = part.rlike("^#(?:[0-9]+|[xX][0-9a-fA-F]+);" if closed else "^#(?:[0-9]|[xX][0-9a-fA-F])")
     found = F.when(is_number, _let(F.regexp_extract(part, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0), number))
     for basic, char in (("amp;", "&"), ("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("nbsp;", NBSP)):  # most are these
         found = found.when(part.startswith(basic), F.concat(F.lit(char), F.substr(part, F.lit(len(basic) + 1))))
-    return found.when(part.rlike(r"^[^\t\n\f <&#;]"), _let(F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0), name)).otherwise(plain)
+    return found.when(part.rlike(r"^[^\t\n\f <&#;]{1,32};" if closed else r"^[^\t\n\f <&#;]"), _let(F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0), name)).otherwise(plain)
 
 
 def _short(digits: Column) -> Column:
@@ -199,12 +199,13 @@ def _short(digits: Column) -> Column:
     return F.when(digits == "", "0").when(F.length(digits) > 8, "FFFFFFFF").otherwise(digits)
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, closed: bool = False) -> Column:
     """Character references resolved, in one pass: decimal, hexadecimal and named ones. What a
-    reference gives is not read again: "&amp;#39;" is "&#39;"."""
+    reference gives is not read again: "&amp;#39;" is "&#39;". With closed those alone that end with
+    a semicolon: one that a text's cut left open ("R&amp") stays as it stands."""
 
     def parted(parts: Column) -> Column:
-        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), _reference), ""))
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda part: _reference(part, closed)), ""))
 
     return F.when(F.contains(text, F.lit("&")), _let(F.split(text, "&"), parted)).otherwise(text)
 

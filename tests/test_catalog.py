@@ -31,6 +31,37 @@ def test_references_like_the_standard_library(spark):
             assert r["c"] == " ".join(html.unescape(re.sub(r"<[^>]+>", " ", r["t"])).split())
 
 
+def against_sql(spark, folder, name, table):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
+    cur = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in cur.description]
+    got = [tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, str(folder)).collect()]
+    assert sorted(got, key=repr) == sorted(cur.fetchall(), key=repr)
+
+
+TITLES = ["R&amp", "R&amp;D &amp", "a &quot;b&quot", "&copy; x&cop", "&amp;amp;&amp;lt;&am", "&middot", "&ampx &ampx; &lt &#39 &#39;", ""]
+
+
+@pytest.fixture(scope="module")
+def cut_pages(spark, tmp_path_factory):
+    """Pages whose titles are cut inside a reference."""
+    folder = tmp_path_factory.mktemp("cut")
+    spark.createDataFrame([(k, f"https://x.test/{k}", f"<title>{t}</title><p>a&nbsp;b &#39;c&#39; {t}</p>") for k, t in enumerate(TITLES)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+def test_cut_references_in_pages(spark, cut_pages):
+    against_sql(spark, cut_pages, "html_clean", "pages")
+
+
+def test_closed_references_alone(spark):
+    texts = {"R&amp": "R&amp", "&amp;&lt&gt;": "&&lt>", "&ampx; &notit; &notin;": "&ampx; &notit; ∉", "&#65 &#65; &#x41 &#X41; &#;": "&#65 A &#x41 A &#;", "é&eacute;&eacute": "éé&eacute", "&&amp;amp;": "&&amp;"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parsing.unescape(F.col("t"), closed=True).alias("u")).collect()
+    assert {r["t"]: r["u"] for r in got} == texts
+
+
 FUNDS = {"m": {"funds": {"vf1": {"aliases": ["VF1", "ĐẦU TƯ"]}, "vf": {"aliases": ["VF"]}, "a-b": {"aliases": ["A B", "A.B"]}, "b": {}, "Long": {"aliases": ["B"]}}}, "n": {"funds": {"vf": {"code": "N"}, "x": {}}}}
 
 
