@@ -122,9 +122,9 @@ def report_date(text: Column) -> Column:
     return F.coalesce(vn, _let(F.regexp_extract(text, EN_REPORT, 1), english_date))
 
 
-def clean_html(html: Column, closed: bool = False) -> Column:
+def clean_html(html: Column, *, closed: bool = False) -> Column:
     """Text without tags, character references resolved (closed: as in unescape), white space (also of other scripts) collapsed."""
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]+>", " "), closed), r"(?U)[\s\x1c-\x1f]+", " "))
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, r"<[^>]+>", " "), closed=closed), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 #: Document links carry one of these endings.
@@ -138,7 +138,7 @@ def links(html: Column) -> Column:
 def file_links(html: Column) -> Column:
     """The distinct targets of links to documents, in either kind of quotes, a query string allowed."""
     found = F.regexp_extract_all(html, F.lit(rf"""(?i)href=["']([^"']+\.(?:{DOCUMENTS})(?:\?[^"']*)?)["']"""), F.lit(1))
-    return F.array_distinct(F.transform(found, unescape))
+    return F.array_distinct(F.transform(found, lambda link: unescape(link)))
 
 
 def _named() -> dict[str, str]:
@@ -199,7 +199,7 @@ def _short(digits: Column) -> Column:
     return F.when(digits == "", "0").when(F.length(digits) > 8, "FFFFFFFF").otherwise(digits)
 
 
-def unescape(text: Column, closed: bool = False) -> Column:
+def unescape(text: Column, *, closed: bool = False) -> Column:
     """Character references resolved, in one pass: decimal, hexadecimal and named ones. What a
     reference gives is not read again: "&amp;#39;" is "&#39;". With closed those alone that end with
     a semicolon: one that a text's cut left open ("R&amp") stays as it stands."""
