@@ -116,6 +116,16 @@ def split_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return refs, entries.where("reason is not null").select(*DEAD)
 
 
+def _beside(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
+    """rows with what few says of their group (one row each, no value is a group of its own): few is
+    sent to the tasks, so a group need not stand in one."""
+    same = None
+    for c in by:
+        equal = F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+        same = equal if same is None else same & equal
+    return rows.join(F.broadcast(few.withColumnsRenamed({c: f"_by_{c}" for c in by})), same, "left").drop(*[f"_by_{c}" for c in by])
+
+
 def _once(entries: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """Of the entries that carry a URL the first of each; dead links all stay."""
     w = Window.partitionBy(*by, "url").orderBy(*order)
@@ -135,15 +145,13 @@ REPORT_SITEMAP = r"(?i)/report-sitemap\d*\.xml$"
 
 def walked(bodies: DataFrame, by: list[str], last: Column, found: Column, max_pages: int = MAX_PAGES) -> DataFrame:
     """The pages that a walk would reach: in order up to a page that failed or is empty, the last
-    page that any page before names, or the limit."""
-    w = Window.partitionBy(*by).orderBy("page_no")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    page that any page before names, or the limit. Of each walk one number is worked out, that of
+    the page it ends at; the bodies stay in the tasks that have them."""
     ok = (F.col("status") == 200) & found
     ends = F.col("page_no") >= F.when(last > 0, last).otherwise(F.col("page_no"))
-    stop = (~ok | ends).cast("int")
-    seen = bodies.withColumn("_stop", stop).withColumn("_stopped", F.coalesce(F.max("_stop").over(before), F.lit(0)))
-    got = seen.where((F.col("_stopped") == 0) & (F.col("page_no") <= max_pages)).where(ok)
-    return got.drop("_stop", "_stopped")
+    stops = bodies.where(~ok | ends).groupBy(*by).agg(F.min("page_no").alias("_stop"))
+    got = _beside(bodies, stops, by).where(F.col("page_no") <= F.coalesce("_stop", "page_no"))
+    return got.where(ok & (F.col("page_no") <= max_pages)).drop("_stop")
 
 
 def listing_entries(bodies: DataFrame, funds: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
@@ -177,10 +185,10 @@ def form_token(body: Column) -> Column:
 def form_entries(bodies: DataFrame, funds: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """Entries of a form's answers: bodies manager_id, fund_key, page_no, status, body, page_url.
     The first answer says how many pages there are. Daily reports are passed over."""
-    first = Window.partitionBy("manager_id", "fund_key").orderBy("page_no")
+    by = ["manager_id", "fund_key"]
     totals = F.array_max(F.transform(F.regexp_extract_all("body", F.lit(TOTAL), F.lit(1)), lambda p: p.try_cast("int")))
-    sized = bodies.withColumn("_total", F.coalesce(F.first(totals).over(first), F.lit(1)))
-    reached = walked(sized, ["manager_id", "fund_key"], F.col("_total"), F.lit(True), max_pages)
+    sized = _beside(bodies, bodies.groupBy(*by).agg(F.min_by(totals, "page_no").alias("_total")), by).withColumn("_total", F.coalesce("_total", F.lit(1)))
+    reached = walked(sized, by, F.col("_total"), F.lit(True), max_pages)
     rows = reached.select("manager_id", "fund_key", "page_no", "page_url", F.posexplode(parsing.file_links(F.col("body"))).alias("pos", "href"))
     rows = rows.withColumn("url", parsing.absolute_url(F.col("page_url"), F.col("href")))
     # a file that several funds list is the first one's, in the registry's order

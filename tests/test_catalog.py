@@ -116,3 +116,29 @@ def test_pages_without_status_or_files(spark):
     assert sum(r["url"] is not None for r in got) == 2
     pages = catalog.fund_page_entries(spark.createDataFrame(rows, schema), funds).collect()
     assert sorted((r["title"], r["reason"]) for r in pages) == [("u1", "the fund's page returned HTTP no status"), ("u4", "the fund's page returned HTTP 404")]
+
+
+def test_walks_without_a_task_for_a_listing(spark):
+    rows = [(m, p, rng.choice([200] * 12 + [503, None]), rng.choice(["x"] * 9 + [""]), rng.choice([0] * 9 + [3, 20])) for m in ("a", "b", "c", None) for p in rng.sample(range(1, 40), 25)]
+    df = spark.createDataFrame(rows, "manager_id string, page_no int, status int, body string, last int")
+    want = []
+    for m in {r[0] for r in rows}:
+        for r in sorted((r for r in rows if r[0] == m), key=lambda r: r[1]):
+            ok = r[2] == 200 and r[3] == "x"
+            if ok and r[1] <= 30:
+                want.append(r)
+            # a page whose status nobody knows is passed over
+            if (not ok and not (r[2] is None and r[3] == "x")) or r[1] >= (r[4] or r[1] + 1):
+                break
+    last = F.when(F.col("last") > 0, F.col("last")).otherwise(F.lit(1 << 30))
+    got = catalog.walked(df, ["manager_id"], last, F.col("body") == "x", 30)
+    assert "Window" not in plan(got)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_bodies_of_a_listing_are_not_brought_together(spark):
+    bodies = spark.createDataFrame([("m", "low", 1, 200, "https://m.test/list", "x")], "manager_id string, fund_key string, page_no int, status int, page_url string, body string")
+    for entries in (catalog.listing_entries, catalog.form_entries):
+        physical = plan(entries(bodies, catalog.registry(spark, FUNDS))).split("== Physical Plan ==")[1]
+        windows = [line for line in physical.splitlines() if "Window [" in line]
+        assert windows and all("url#" in line for line in windows)  # they find the first entry of each URL
