@@ -68,10 +68,13 @@ _SHAPES = {
 }
 
 
-def _keys(funds: DataFrame, how: str) -> DataFrame:
-    """manager_id, _key, fund_key: what is looked for, each with the first fund that it means."""
+def _keys(funds: DataFrame, how: str) -> Column:
+    """What is looked for: a map of managers to their keys, by length, each with the first fund that it means."""
     named = funds.select("manager_id", "ord", "fund_key", F.explode("aliases").alias("_key")) if how == "alias" else funds.select("manager_id", "ord", "fund_key", F.lower("fund_key").alias("_key"))
-    return named.where("_key <> ''").groupBy("manager_id", "_key").agg(F.min(F.struct("ord", "fund_key")).alias("_fund"))
+    first = named.where("manager_id is not null and _key <> ''").groupBy("manager_id", "_key").agg(F.min(F.struct("ord", "fund_key")).alias("_fund"))
+    sized = first.groupBy("manager_id", F.length("_key").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("_key", "_fund"))).alias("funds"))
+    whole = sized.groupBy("manager_id").agg(F.collect_list(F.struct("n", "funds")).alias("_keys"))
+    return whole.agg(F.map_from_entries(F.collect_list(F.struct("manager_id", "_keys")))).scalar()
 
 
 def matched(rows: DataFrame, funds: DataFrame, name: Column, how: str, out: str) -> DataFrame:
@@ -79,35 +82,30 @@ def matched(rows: DataFrame, funds: DataFrame, name: Column, how: str, out: str)
     key begins the file name ("prefix"), stands in the slug ("token"), or one of whose short names
     follows the word for fund in the title ("alias"); NULL if there is none.
 
-    The distinct names are cut to the lengths that keys have (a constant, no longer than the
-    longest key), and the cuts are joined to the keys by equality: no pattern is made from the
-    registry, and no name meets a fund whose key it doesn't hold.
+    The registry's keys are sent to the tasks, a manager's in one map for each length that they
+    have. The names are cut to these lengths, and the cuts are looked up: no pattern is made from
+    the registry, and rows stay where they are, however many have the same name or none.
     """
     begins, inner = _SHAPES[how]
-    keys = _keys(funds, how)
-    lengths = F.array(*[F.lit(r[0]) for r in keys.select(F.length("_key")).distinct().sort(F.length("_key")).collect()] or [F.lit(0)])
-    named = rows.withColumn("_name", name)
-    probes = named.where(F.col("_name").isNotNull()).select("manager_id", "_name").distinct()
 
-    def cuts(rest: Column) -> Column:
-        """The rest's beginnings of these lengths that end where a key may end."""
+    def funds_of(rest: Column) -> Column:
+        """The funds that the rest's beginnings mean, where a key may end."""
         fits = lambda n: F.length(rest) >= n if inner is None else (F.length(rest) >= n) & ~F.rlike(F.substr(rest, n + 1, F.lit(1)), F.lit(inner))
-        return F.transform(F.filter(lengths, fits), lambda n: F.substr(rest, F.lit(1), n))
+        return F.transform(F.filter("_keys", lambda k: fits(k["n"])), lambda k: F.element_at(k["funds"], F.substr(rest, F.lit(1), k["n"])))
 
-    probes = probes.select("manager_id", "_name", F.explode(F.array_distinct(F.flatten(F.transform(begins(F.col("_name")), cuts)))).alias("_key"))
-    hits = probes.join(keys, ["manager_id", "_key"]).groupBy("manager_id", "_name").agg(F.min("_fund")["fund_key"].alias(out))
-    return named.join(hits, ["manager_id", "_name"], "left").drop("_name")
+    found = F.array_min(F.flatten(F.transform(begins(name), funds_of)))
+    return rows.withColumn("_keys", F.element_at(_keys(funds, how), F.col("manager_id"))).withColumn(out, found["fund_key"]).drop("_keys")
 
 
 def coded(rows: DataFrame, funds: DataFrame, key: str = "fund_key", out: str = "fund_code") -> DataFrame:
     """rows with the registry's code of their fund; a key that is not registered is its own code, in capitals."""
     codes = funds.select("manager_id", F.col("fund_key").alias(key), F.col("fund_code").alias("_code")).dropDuplicates(["manager_id", key])
-    return rows.join(codes, ["manager_id", key], "left").withColumn(out, F.coalesce("_code", F.upper(key))).drop("_code")
+    return rows.join(F.broadcast(codes), ["manager_id", key], "left").withColumn(out, F.coalesce("_code", F.upper(key))).drop("_code")
 
 
 def based(rows: DataFrame, funds: DataFrame) -> DataFrame:
     """rows with the base_url of their manager."""
-    return rows.join(funds.groupBy("manager_id").agg(F.first("base_url", True).alias("base_url")), "manager_id", "left")
+    return rows.join(F.broadcast(funds.groupBy("manager_id").agg(F.first("base_url", True).alias("base_url"))), "manager_id", "left")
 
 
 def split_entries(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,8 +125,9 @@ def _beside(rows: DataFrame, few: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _once(entries: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """Of the entries that carry a URL the first of each; dead links all stay."""
-    w = Window.partitionBy(*by, "url").orderBy(*order)
+    """Of the entries that carry a URL the first of each; dead links all stay, and are dealt out."""
+    dealt = F.when(F.col("url").isNull(), F.xxhash64(*entries.columns))
+    w = Window.partitionBy(*by, "url", dealt).orderBy(*order)
     return entries.withColumn("_r", F.when(F.col("url").isNotNull(), F.row_number().over(w)).otherwise(1)).where("_r = 1").drop("_r")
 
 
@@ -193,7 +192,7 @@ def form_entries(bodies: DataFrame, funds: DataFrame, max_pages: int = MAX_PAGES
     rows = rows.withColumn("url", parsing.absolute_url(F.col("page_url"), F.col("href")))
     # a file that several funds list is the first one's, in the registry's order
     order = funds.select("manager_id", "fund_key", "ord").dropDuplicates(["manager_id", "fund_key"])
-    rows = _once(rows.join(order, ["manager_id", "fund_key"], "left"), ["manager_id"], [F.asc_nulls_last("ord"), F.col("fund_key"), F.col("page_no"), F.col("pos")])
+    rows = _once(rows.join(F.broadcast(order), ["manager_id", "fund_key"], "left"), ["manager_id"], [F.asc_nulls_last("ord"), F.col("fund_key"), F.col("page_no"), F.col("pos")])
     name = F.element_at(F.split("url", "/"), -1)
     rows = rows.withColumns({"title": name, "kind": parsing.report_kind(name, "period_word")}).where("kind <> 'daily'")
     reason = F.when(F.col("kind") != "weekly", "the file name is neither weekly nor daily")
@@ -340,4 +339,4 @@ def fetched(refs: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]
 def with_codes(refs: DataFrame, funds: DataFrame) -> DataFrame:
     """The fund code that the registry gives the ref's key, else the one the ref carries."""
     codes = funds.select("manager_id", "fund_key", F.col("fund_code").alias("_code")).dropDuplicates(["manager_id", "fund_key"])
-    return refs.join(codes, ["manager_id", "fund_key"], "left").withColumn("fund_code", F.coalesce("_code", "fund_code")).drop("_code")
+    return refs.join(F.broadcast(codes), ["manager_id", "fund_key"], "left").withColumn("fund_code", F.coalesce("_code", "fund_code")).drop("_code")

@@ -142,3 +142,21 @@ def test_bodies_of_a_listing_are_not_brought_together(spark):
         physical = plan(entries(bodies, catalog.registry(spark, FUNDS))).split("== Physical Plan ==")[1]
         windows = [line for line in physical.splitlines() if "Window [" in line]
         assert windows and all("url#" in line for line in windows)  # they find the first entry of each URL
+
+
+def test_rows_of_one_name_stay_where_they_are(spark):
+    funds = catalog.registry(spark, FUNDS)
+    rows = spark.range(400).repartition(4).select(F.when(F.col("id") % 50 == 0, "n").otherwise("m").alias("manager_id"), F.when(F.col("id") % 3 > 0, "Quỹ VF1").alias("title"), F.spark_partition_id().alias("before"))
+    got = catalog.based(catalog.coded(catalog.matched(rows, funds, F.col("title"), "alias", "fund_key"), funds), funds).withColumn("after", F.spark_partition_id()).collect()
+    assert len(got) == 400 and len({r["before"] for r in got}) == 4 and all(r["before"] == r["after"] for r in got)
+
+
+def test_dead_links_are_dealt_out(spark):
+    rows = spark.range(400).select(F.lit("m").alias("manager_id"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("u"), F.col("id") % 8)).alias("url"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = catalog._once(rows, ["manager_id"], [F.col("id")]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r["id"] for r in got if r["url"]) == [0, 4] and sum(r["url"] is None for r in got) == 300
+    assert len({r["task"] for r in got if r["url"] is None}) == 4
