@@ -276,16 +276,27 @@ def report_page_entries(bodies: DataFrame, funds: DataFrame) -> DataFrame:
         F.when(F.col("body").isNull(), "the report page could not be fetched")
         .when(F.coalesce(F.col("status") != 200, F.lit(True)), F.concat(F.lit("the report page returned HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("no status"))))
     )
-    files = F.when(why.isNull(), parsing.file_links(F.col("body")))
-    found = bodies.select("manager_id", "page_url", F.col("fund_key").alias("page_key"), why.alias("why"), F.explode_outer(files).alias("href"))
-    found = found.withColumn("url", parsing.absolute_url(F.col("page_url"), F.col("href")))
-    found = found.withColumn("why", F.when(F.col("url").isNull(), F.coalesce("why", F.lit("the report page has no file link"))))
-    # the first page of each file, and each page's file once
-    found = found.groupBy("manager_id", "page_url", "page_key", "url", "why").agg(F.lit(1).alias("_n")).drop("_n")
-    name = parsing.base_name(F.col("url"))
-    found = found.withColumns({"title": F.coalesce(name, "page_url"), "kind": F.when(F.col("url").isNotNull(), parsing.report_kind(name, "bc_code"))}).where("kind is null or kind in ('weekly', 'unknown')")
+    none = F.lit("the report page has no file link")
+
+    def entry_of(url: Column, name: Column, why: Column) -> Column:
+        kind = F.when(url.isNotNull(), parsing.report_kind(name, "bc_code"))
+        return F.struct(url.alias("url"), F.coalesce(name, F.col("page_url")).alias("title"), kind.alias("kind"), why.alias("why"))
+
+    def file(href: Column) -> Column:
+        named = lambda url: parsing._let(parsing.base_name(url), lambda name: entry_of(url, name, F.when(url.isNull(), none)))
+        return parsing._let(parsing.absolute_url(F.col("page_url"), href), named)
+
+    # links are named and told apart inside the page's array: a filter of rows would work the names out again
+    counted = lambda f: f["kind"].isNull() | f["kind"].isin("weekly", "unknown")
+    failed = lambda reason: F.array(entry_of(F.lit(None).cast("string"), F.lit(None).cast("string"), reason))
+    files = parsing._let(parsing.file_links(F.col("body")), lambda hrefs: F.when(F.size(hrefs) == 0, failed(none)).otherwise(F.filter(F.transform(hrefs, file), counted)))
+    found = bodies.select("manager_id", "page_url", F.col("fund_key").alias("page_key"), F.explode(F.when(why.isNotNull(), failed(why)).otherwise(files)).alias("f"))
+    # each page's file once; nearly all are, so they are dealt out before they are compared
+    found = found.select("manager_id", "page_url", "page_key", "f.*").repartition("page_url").distinct()
     found = matched(found, funds, F.when(F.col("kind") == "weekly", F.col("title")), "prefix", "own_key")
-    first = F.row_number().over(Window.partitionBy("manager_id", "url", F.col("own_key").isNotNull()).orderBy("page_url"))
+    # the first page of each file; pages without a file are dealt out
+    dealt = F.when(F.col("url").isNull(), F.col("page_url"))
+    first = F.row_number().over(Window.partitionBy("manager_id", "url", F.col("own_key").isNotNull(), dealt).orderBy("page_url"))
     kept = F.col("own_key").isNotNull() & F.col("url").isNotNull()
     found = found.withColumn("_first", F.when(kept, first == 1).otherwise(False))
     entry = lambda key, url, reason: F.struct(key.alias("fund_key"), url.alias("url"), reason.alias("reason"))

@@ -160,3 +160,23 @@ def test_dead_links_are_dealt_out(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted(r["id"] for r in got if r["url"]) == [0, 4] and sum(r["url"] is None for r in got) == 300
     assert len({r["task"] for r in got if r["url"] is None}) == 4
+
+
+def test_report_pages_name_their_files_once(spark):
+    funds = catalog.registry(spark, FUNDS)
+    schema = "manager_id string, page_url string, fund_key string, status int, body string"
+    page = "<a href='B_BC_TUAN_20240101.pdf'><a href='./x/B_BC_NGAY_20240101.pdf'><a href='B_BC_THANG_1.pdf'><a href='Q_BC_TUAN_1.pdf'><a href='/r/B_BC_TUAN_20240101.pdf'>"
+    rows = [(m, f"https://x.test/r/{k}", "b", 200 if k % 4 else 404, page) for m in ("m", "n") for k in range(40)] + [("m", "https://x.test/r/1", "b", 200, page), ("m", None, "b", 200, "<a href='a_BC_TUAN_.pdf'>")]
+    got = catalog.report_page_entries(spark.createDataFrame(rows, schema), funds)
+    # no filter works the names and kinds out again
+    assert not [line for line in plan(got).split("== Physical Plan ==")[1].splitlines() if "Filter" in line and "_BC_" in line]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = got.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["task"] for r in found if r["manager_id"] == "m" and "HTTP 404" in (r["reason"] or "")}) == 4  # pages without a file are dealt out
+    count = lambda manager, what: sum(r["manager_id"] == manager and what in (r["reason"] or "found") for r in found)
+    assert [count("m", w) for w in ("found", "HTTP 404", "no known kind", "no registered fund", "no file link")] == [1, 10, 30, 30, 1]
+    # n has no fund b: both names of the week begin with none
+    assert [count("n", w) for w in ("found", "HTTP 404", "no known kind", "no registered fund", "no file link")] == [0, 10, 30, 60, 0]
